@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def _hadoop_path(spark: SparkSession, value: str):
@@ -13,9 +15,13 @@ def _hadoop_path(spark: SparkSession, value: str):
 
 
 def _uri(path) -> str:
-    """The form of ``_metadata.file_path``."""
-    uri = path.toUri().toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    """Local paths come with one slash or with three; one is used throughout."""
+    return re.sub("^file:/+", "file:/", path.toUri().toString())
+
+
+def file_of_row() -> Column:
+    """The file a row was read from, spelled as ``resolve_paths`` does."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
 
 
 def exists(spark: SparkSession, value: str) -> bool:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions.text import not_blank, unify_newlines
-from millrace.sources.paths import resolve_paths
+from millrace.sources.paths import file_of_row, resolve_paths
 
 FILE_SHIFT = 40  # up to 2**40 rows in a file and 2**23 files
 FILE_LIST_BROADCAST = 200_000
@@ -39,7 +39,7 @@ def read_text(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """(ord, text): each whole file is one document, with unified line ends."""
     files = resolve_paths(spark, paths)
     rows = spark.read.text(sorted(set(files)), wholetext=True)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), unify_newlines(F.col("value")).alias("text"))
+    rows = rows.select(file_of_row().alias("file"), unify_newlines(F.col("value")).alias("text"))
     return _ordered(rows, files, F.lit(0)).select("ord", "text")
 
 
@@ -51,7 +51,7 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """
     files = resolve_paths(spark, paths)
     rows = spark.read.text(sorted(set(files))).select(
-        F.col("_metadata.file_path").alias("file"),
+        file_of_row().alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
         F.col("value").alias("line"),
@@ -79,7 +79,7 @@ def read_table(
 ) -> DataFrame:
     """Rows of a catalogue table in file order; ``split`` filters when the table has that column."""
     table = spark.table(name)
-    ordered = _with_row_index(table, sorted(table.inputFiles()), None)
+    ordered = _with_row_index(table, resolve_paths(table.sparkSession, sorted(table.inputFiles())), None)
     if split is not None and split_column in table.columns:
         ordered = ordered.where(F.col(split_column) == split)
     return ordered if columns is None else ordered.select("ord", *_present(table, columns))
@@ -93,7 +93,7 @@ def _present(rows: DataFrame, columns: list[str]) -> list[Column]:
 def _with_row_index(rows: DataFrame, files: list[str], columns: list[str] | None) -> DataFrame:
     wanted = _present(rows, columns if columns is not None else rows.columns)
     indexed = rows.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"), *wanted
+        file_of_row().alias("file"), F.col("_metadata.row_index").alias("row_index"), *wanted
     )
     return _ordered(indexed, files, F.col("row_index")).drop("row_index")
 
