@@ -84,7 +84,8 @@ def extend_samples(spark: SparkSession, root: str, names: list[str], target: int
     for name in names:
         source(name)
     done = [(name, *extend_sample(spark, root, name, target, corpus_root)) for name in names]
-    rows = [("pretrain", name, path, count, target) for name, path, count in done]
+    # A source named twice is mixed twice but summed up once.
+    rows = [("pretrain", name, path, count, target) for name, path, count in dict.fromkeys(done)]
     if rebuild_mix:
         mixed_path = f"{root.rstrip('/')}/pretrain/mixed_pretrain_sample"
         mixed = mix([read_lines(spark, path) for _, path, _ in done])
