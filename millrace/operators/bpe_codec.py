@@ -122,16 +122,25 @@ def _decoder(tokenizer: Tokenizer):
     spelling[UNKNOWN_ID] = b""
     for m in tokenizer.merges:
         spelling.setdefault(m.new_id, spelling[m.left] + spelling[m.right])
-    shared = SparkSession.active().sparkContext.broadcast(spelling)
+    spelled = [spelling.get(i, b"") for i in range(max(spelling) + 1)]
+    shared = SparkSession.active().sparkContext.broadcast(spelled)
 
     @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        table = shared.value
-        texts = [
-            None if row is None else b"".join([table[i] for i in row]).decode("utf-8", "replace")
-            for row in ids.to_pylist()
-        ]
-        return pa.array(texts, pa.string())
+    def decode(rows: pa.Array) -> pa.Array:
+        sizes = np.fromiter(map(len, shared.value), np.int64, len(shared.value))
+        ids = rows.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(sizes)):
+            raise ValueError("an id is outside the vocabulary")
+        starts = np.cumsum(sizes) - sizes
+        letters = np.frombuffer(b"".join(shared.value), np.uint8)
+        text = letters[_take_runs(starts[ids], sizes[ids])].tobytes()
+        token_ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+        row_ends = token_ends[np.concatenate([[0], np.cumsum(_sizes(rows))])]
+        gone = rows.is_null().to_pylist()
+        return pa.array(
+            [None if no else text[a:b].decode("utf-8", "replace") for no, a, b in zip(gone, row_ends, row_ends[1:])],
+            pa.string(),
+        )
 
     return decode
 

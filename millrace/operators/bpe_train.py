@@ -96,7 +96,9 @@ def _ranked_pairs(symbols: DataFrame) -> DataFrame:
     Such a pair joins (l, r) to the symbol before or after it, so the most frequent
     neighbour on either side bounds it.
     """
-    near = symbols.mapInArrow(_spots, SPOTS).groupBy("l", "r", "side", "near").agg(F.sum("cnt").alias("cnt"))
+    # The batches are summed already; placed by pair, both aggregations need no other shuffle.
+    spots = symbols.mapInArrow(_spots, SPOTS).repartition("l", "r")
+    near = spots.groupBy("l", "r", "side", "near").agg(F.sum("cnt").alias("cnt"))
     return near.groupBy("l", "r").agg(
         F.sum(F.when(F.col("side") == 0, F.col("cnt")).otherwise(0)).alias("cnt"),
         F.coalesce(F.max(F.when(F.col("near") >= 0, F.col("cnt"))), F.lit(0)).alias("bound"),

@@ -174,7 +174,8 @@ def supervise(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """
     prefix = lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"))
     parts = F.flatten(F.transform("messages", lambda m: F.array(prefix(m), strip(m["content"]), F.lit("<|im_end|>\n"))))
-    coded = rows.withColumn("_parts", tokenizer.encode_parts(parts))
+    # Every turn has tokens. Testing the messages keeps the encoder out of the filter.
+    coded = rows.where(F.size("messages") > 0).withColumn("_parts", tokenizer.encode_parts(parts))
 
     def label(ids: Column, i: Column) -> Column:
         role = F.get(F.col("messages"), F.floor(i / 3).cast("int"))["role"]
@@ -184,7 +185,6 @@ def supervise(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
         coded.withColumn("ids", F.flatten("_parts"))
         .withColumn("labels", F.flatten(F.transform("_parts", label)))
         .drop("_parts")
-        .where(F.size("ids") > 0)
     )
 
 

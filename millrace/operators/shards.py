@@ -130,7 +130,8 @@ def _walk(base: np.ndarray, end: np.ndarray, opening: int | None, limit: int) ->
 
 
 def _chunked(lengths: DataFrame, chunk_docs: int) -> DataFrame:
-    slim = materialise(lengths.where("n > 0").select("ord", F.col("n").cast("bigint").alias("n")), "lengths")
+    # Filtered after the write: a filter on the length of an encoded text would encode it twice.
+    slim = materialise(lengths.select("ord", F.col("n").cast("bigint").alias("n")), "lengths").where("n > 0")
     docs = slim.count()
     count = max(1, math.ceil(docs / max(chunk_docs, math.ceil(docs / MAX_CHUNKS))))
     if count == 1:

@@ -154,7 +154,7 @@ def supervised_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame,
     """
     shards = usable_shards(manifest, seq_len, names)
     pending, filled, first = draws, [], 0
-    for stop in (1, 4, 16, MAX_ATTEMPTS):
+    for stop in (1, 8, MAX_ATTEMPTS):
         tries = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))))
         cut = cut_windows(window_plan(tries, shards, seq_len), blocks, seq_len, block_size, "labels")
         good = cut.where(F.exists("y", lambda v: v != MASKED))

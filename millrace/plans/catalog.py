@@ -32,7 +32,7 @@ from millrace.plans.corpus import encode_documents
 from millrace.session import apply_settings, materialise, scratch_path
 from millrace.sinks.outputs import write_sample_jsonl
 from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards
-from millrace.sources.readers import parse_objects, read_lines, read_rows, string_field
+from millrace.sources.readers import parse_objects, read_lines, read_rows, spread_small, string_field
 from millrace.streaming.ingest import append_to, encode_stream, stream_parquet
 
 # Parameters of the registered queries; the oracles use the same values.
@@ -64,8 +64,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, text) for costly per-document work."""
+    return spread_small(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text", "lang", "source")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text", "lang", "source")
+    return spread_small(docs, "ord")
 
 
 def joined(ids: Column) -> Column:
@@ -91,23 +97,23 @@ def parquet_positions(spark, sf):
 
 
 def pretok_word_counts(spark, sf):
-    return word_counts(table(spark, sf, "documents"))
+    return word_counts(texts(spark, sf))
 
 
 def pretok_doc_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    return texts(spark, sf).select("doc_id", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
 
 
 # --- vocabulary
 
 
 def bpe_pair_counts(spark, sf):
-    pairs = pair_counts(word_symbols(materialise(word_counts(table(spark, sf, "documents")), "word-counts")))
+    pairs = pair_counts(word_symbols(materialise(word_counts(texts(spark, sf)), "word-counts")))
     return pairs.select(F.col("l").cast("bigint").alias("l"), F.col("r").cast("bigint").alias("r"), "cnt")
 
 
 def _train(spark, sf) -> Tokenizer:
-    counts = materialise(word_counts(table(spark, sf, "documents")), "word-counts")
+    counts = materialise(word_counts(texts(spark, sf)), "word-counts")
     return Tokenizer(train_bpe(counts, 257 + MERGES))
 
 
@@ -116,7 +122,9 @@ def tokenizer(spark, sf) -> Tokenizer:
 
 
 def bpe_train(spark, sf):
-    merges = _train(spark, sf).merge_table(spark)
+    trained = _train(spark, sf)
+    _made[(spark.sparkContext.applicationId, sf, "tokenizer")] = trained
+    merges = trained.merge_table(spark)
     return merges.select(*[F.col(c).cast("bigint").alias(c) for c in merges.columns])
 
 
@@ -127,36 +135,36 @@ def bpe_vocab(spark, sf):
 
 def bpe_encode(spark, sf):
     ids = tokenizer(spark, sf).encode(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", joined(ids).alias("ids"))
+    return texts(spark, sf).select("doc_id", joined(ids).alias("ids"))
 
 
 def bpe_encode_counts(spark, sf):
     ids = tokenizer(spark, sf).encode(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"))
+    return texts(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"))
 
 
 def bpe_decode(spark, sf):
     coder = tokenizer(spark, sf)
-    return table(spark, sf, "documents").select("doc_id", coder.decode(coder.encode(F.col("text"))).alias("text"))
+    return texts(spark, sf).select("doc_id", coder.decode(coder.encode(F.col("text"))).alias("text"))
 
 
 def char_vocabulary(spark, sf):
-    vocab = char_vocab(table(spark, sf, "documents"))
+    vocab = char_vocab(texts(spark, sf))
     return vocab.select("ch", F.col("id").cast("bigint").alias("id"))
 
 
 def _char_tokenizer(spark, sf) -> CharTokenizer:
-    return _once(spark, sf, "chars", lambda: CharTokenizer.of(table(spark, sf, "documents")))
+    return _once(spark, sf, "chars", lambda: CharTokenizer.of(texts(spark, sf)))
 
 
 def char_encode(spark, sf):
     ids = _char_tokenizer(spark, sf).encode(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", joined(ids).alias("ids"))
+    return texts(spark, sf).select("doc_id", joined(ids).alias("ids"))
 
 
 def char_decode(spark, sf):
     coder = _char_tokenizer(spark, sf)
-    return table(spark, sf, "documents").select("doc_id", coder.decode(coder.encode(F.col("text"))).alias("text"))
+    return texts(spark, sf).select("doc_id", coder.decode(coder.encode(F.col("text"))).alias("text"))
 
 
 # --- shards

@@ -26,6 +26,8 @@ INDEX_TYPE = "<u8"
 META_SUFFIX = ".meta.json"
 DATASET_META = "dataset.meta.json"
 
+SPAN_TOKENS = 1 << 20  # tokens fetched by one read
+
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
@@ -173,31 +175,42 @@ def read_shard_metas(spark: SparkSession, path: str) -> DataFrame:
     return metas
 
 
+def _read_range(path: str, element: np.dtype, expected: int, start: int, count: int) -> np.ndarray:
+    fs, path = _open(path)
+    with fs.open_input_file(path) as file:
+        if file.size() != expected * element.itemsize:
+            raise ValueError(f"{path} does not hold {expected} tokens")
+        return np.frombuffer(file.read_at(count * element.itemsize, start * element.itemsize), element)
+
+
 def read_binary_blocks(metas: DataFrame, source: str, block_size: int, labelled: bool = False) -> DataFrame:
     """(source, shard_id, block_id, ids[, labels]) by reading byte ranges; a wrong file length raises."""
     arrays = ["tokens", "labels"] if labelled else ["tokens"]
 
+    span = max(1, SPAN_TOKENS // block_size)
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                start = row["span"] * span * block_size
+                count = min(span * block_size, row["num_tokens"] - start)
+                edges = np.append(np.arange(0, count, block_size), count).astype(np.int32)
                 columns = []
                 for kind in arrays:
                     element = np.dtype(TOKEN_TYPES[row["dtype"]] if kind == "tokens" else LABEL_TYPES[row["label_dtype"]])
-                    fs, path = _open(row[kind])
-                    with fs.open_input_file(path) as file:
-                        if file.size() != row["num_tokens"] * element.itemsize:
-                            raise ValueError(f"{path} does not hold {row['num_tokens']} tokens")
-                        start = row["block_id"] * block_size
-                        count = min(block_size, row["num_tokens"] - start)
-                        data = file.read_at(count * element.itemsize, start * element.itemsize)
-                    values = np.frombuffer(data, element).astype(np.int32)
-                    columns.append(pa.array([values], pa.list_(pa.int32())))
+                    values = _read_range(row[kind], element, row["num_tokens"], start, count)
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(np.int32))))
+                blocks = len(edges) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard_id"]], pa.int32()), pa.array([row["block_id"]], pa.int64()), *columns],
+                    [
+                        pa.array(np.full(blocks, row["shard_id"], np.int32)),
+                        pa.array(row["span"] * span + np.arange(blocks, dtype=np.int64)),
+                        *columns,
+                    ],
                     names=["shard_id", "block_id", "ids", "labels"][: 2 + len(arrays)],
                 )
 
-    last = F.floor((F.col("num_tokens") - 1) / block_size)
-    spans = metas.where("num_tokens > 0").withColumn("block_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    last = F.floor((F.col("num_tokens") - 1) / (span * block_size))
+    spans = metas.where("num_tokens > 0").withColumn("span", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     schema = "shard_id int, block_id bigint, ids array<int>" + (", labels array<int>" if labelled else "")
-    return spans.repartition("shard_id", "block_id").mapInArrow(fetch, schema).withColumn("source", F.lit(source))
+    return spans.repartition("shard_id", "span").mapInArrow(fetch, schema).withColumn("source", F.lit(source))

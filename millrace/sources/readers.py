@@ -18,6 +18,7 @@ from millrace.sources.paths import file_of_row, resolve_paths
 
 FILE_SHIFT = 40  # up to 2**40 rows in a file and 2**23 files
 FILE_LIST_BROADCAST = 200_000
+SPREAD_BYTES = 256 << 20
 
 
 def _file_positions(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -70,6 +71,16 @@ def read_rows(spark: SparkSession, paths: str | Iterable[str], columns: list[str
     return _with_row_index(spark.read.parquet(*sorted(set(files))), files, columns)
 
 
+def spread_small(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a small input over the cores before costly per-row work.
+
+    A small file may hold all rows in one row group, which one task reads. Inputs above
+    ``SPREAD_BYTES`` have splits enough and stay where they are, without a shuffle.
+    """
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else rows
+
+
 def read_table(
     spark: SparkSession,
     name: str,
