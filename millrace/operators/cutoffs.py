@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import materialise
+
 ORD_BUCKET_BITS = 20  # at most 2**20 rows of unique ``ord`` values in a bucket
 HASH_BUCKET_DIGITS = 5  # about a millionth of the rows in a bucket of md5 keys
 
@@ -23,43 +25,53 @@ def hash_bucket(key: Column) -> Column:
     return F.substring(key, 1, HASH_BUCKET_DIGITS)
 
 
-def nth_cut(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFrame) -> DataFrame:
-    """(key, cut, taken): ``cut`` is the order value of the ``n``-th row of each key.
-
-    ``wanted`` is (key, n). A key with fewer rows is cut at its last row; a key with n < 1
-    or without rows has no row in the result.
-    """
+def bucket_counts(rows: DataFrame, key: str, order: str, bucket: Column) -> DataFrame:
+    """(key, _bucket, _rows, _last, _before), written: one small row per source and bucket."""
     slim = rows.select(key, F.col(order).alias("_order"), bucket.alias("_bucket"))
     counts = slim.groupBy(key, "_bucket").agg(F.count("*").alias("_rows"), F.max("_order").alias("_last"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edges = (
-        counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .join(wanted.select(key, F.col("n").alias("_n")), key)
-        .where(F.col("_before") < F.col("_n"))
-    )
-    inner = edges.where(F.col("_before") + F.col("_rows") <= F.col("_n"))
-    full = inner.groupBy(key).agg(F.max("_last").alias("cut"), F.max(F.col("_before") + F.col("_rows")).alias("taken"))
-    split = edges.where(F.col("_before") + F.col("_rows") > F.col("_n")).select(key, "_bucket", "_before", "_n")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("_order"))
+    return materialise(counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))), "bucket-counts")
+
+
+def cuts(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFrame) -> DataFrame:
+    """(key, n, cut, taken), written: ``cut`` is the order value of the ``n``-th row of each key.
+
+    ``wanted`` is (key, n), maybe with several n for a key. A key with fewer rows is cut at
+    its last row; n < 1 or a key without rows gives no row. The result is as small as
+    ``wanted``, so that joining it to the rows is a broadcast that the file size allows.
+    """
+    counts = bucket_counts(rows, key, order, bucket)
+    edges = counts.join(wanted.select(key, "n"), key).where(F.col("_before") < F.col("n"))
+    reach = F.col("_before") + F.col("_rows")
+    full = edges.where(reach <= F.col("n")).groupBy(key, "n").agg(F.max("_last").alias("cut"), F.max(reach).alias("taken"))
+    split = materialise(edges.where(reach > F.col("n")).select(key, "_bucket", "_before", "n"), "split-buckets")
+    slim = rows.select(key, F.col(order).alias("_order"), bucket.alias("_bucket"))
+    rank = F.row_number().over(Window.partitionBy(key, "n").orderBy("_order"))
     partial = (
         slim.join(split, [key, "_bucket"])
-        .withColumn("_rank", rank + F.col("_before"))
-        .where(F.col("_rank") == F.col("_n"))
-        .select(key, F.col("_order").alias("cut"), F.col("_rank").alias("taken"))
+        .withColumn("taken", rank + F.col("_before"))
+        .where(F.col("taken") == F.col("n"))
+        .select(key, "n", F.col("_order").alias("cut"), "taken")
     )
-    return full.unionByName(partial).groupBy(key).agg(F.max("cut").alias("cut"), F.max("taken").alias("taken"))
+    both = full.unionByName(partial).groupBy(key, "n").agg(F.max("cut").alias("cut"), F.max("taken").alias("taken"))
+    return materialise(both, "cuts")
 
 
 def take_first(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFrame) -> DataFrame:
     """The first ``n`` rows of every key in ``order``; keys not in ``wanted`` are dropped."""
-    cuts = nth_cut(rows, key, order, bucket, wanted).select(key, "cut")
-    return rows.join(cuts, key).where(F.col(order) <= F.col("cut")).drop("cut")
-
-
-def skip_first(rows: DataFrame, key: str, order: str, bucket: Column, skipped: DataFrame) -> DataFrame:
-    """All but the first ``n`` rows of every key; a key not in ``skipped`` keeps all rows."""
-    cuts = nth_cut(rows, key, order, bucket, skipped).select(key, "cut")
-    return rows.join(cuts, key, "left").where(F.col("cut").isNull() | (F.col(order) > F.col("cut"))).drop("cut")
+    found = cuts(rows, key, order, bucket, wanted).select(key, "cut")
+    return rows.join(found, key).where(F.col(order) <= F.col("cut")).drop("cut")
+
+
+def take_between(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFrame) -> DataFrame:
+    """Rows ``skip`` + 1 to ``n`` of every key; ``wanted`` is (key, skip, n)."""
+    ends = wanted.select(key, "n").union(wanted.select(key, F.col("skip").alias("n"))).distinct()
+    found = cuts(rows, key, order, bucket, ends).select(key, "n", "cut")
+    low = found.select(key, F.col("n").alias("skip"), F.col("cut").alias("_low"))
+    high = found.withColumnRenamed("cut", "_high")
+    span = materialise(wanted.join(high, [key, "n"]).join(low, [key, "skip"], "left").select(key, "_low", "_high"), "spans")
+    inside = (F.col(order) <= F.col("_high")) & (F.col("_low").isNull() | (F.col(order) > F.col("_low")))
+    return rows.join(span, key).where(inside).drop("_low", "_high")
 
 
 def limit_rows(rows: DataFrame, n: int, order: str = "ord") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import not_blank
 from millrace.operators.chat import truthy
-from millrace.operators.cutoffs import nth_cut, ord_bucket, skip_first, take_first
+from millrace.operators.cutoffs import cuts, ord_bucket, take_between
 from millrace.sources.readers import FILE_SHIFT, json_field, string_field
 
 SAMPLE = ("text", "dataset", "source", "metadata")
@@ -49,14 +51,10 @@ def missing_rows(available: DataFrame, existing: DataFrame, target: int) -> Data
     ``available`` is (ord, dataset, ...) and ``existing`` is (dataset, existing). A dataset
     that has enough gets nothing.
     """
-    bucket = ord_bucket(F.col("ord"))
-    have = existing.select("dataset", F.col("existing").alias("n"))
-    wanted = (
-        available.select("dataset").distinct().join(existing, "dataset", "left")
-        .where(F.coalesce("existing", F.lit(0)) < target)
-        .select("dataset", F.lit(target).cast("bigint").alias("n"))
-    )
-    return skip_first(take_first(available, "dataset", "ord", bucket, wanted), "dataset", "ord", bucket, have)
+    have = F.coalesce("existing", F.lit(0))
+    datasets = available.select("dataset").distinct().join(existing, "dataset", "left")
+    wanted = datasets.where(have < target).select("dataset", have.cast("bigint").alias("skip"), F.lit(target).cast("bigint").alias("n"))
+    return take_between(available, "dataset", "ord", ord_bucket(F.col("ord")), wanted)
 
 
 def top_up(available: DataFrame, existing: DataFrame, target: int) -> DataFrame:
@@ -70,8 +68,20 @@ def resume_file(available: DataFrame, skip: int) -> int:
     if skip < 1:
         return 0
     wanted = available.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(skip).cast("bigint").alias("n"))
-    cut = nth_cut(available.select("ord").withColumn("_all", F.lit(0)), "_all", "ord", ord_bucket(F.col("ord")), wanted).first()
-    return 0 if cut is None else int(cut["cut"]) >> FILE_SHIFT
+    found = cuts(available.select("ord").withColumn("_all", F.lit(0)), "_all", "ord", ord_bucket(F.col("ord")), wanted).first()
+    return 0 if found is None else int(found.cut) >> FILE_SHIFT
+
+
+def enough_files(paths: list[str], needed: int, count: Callable[[list[str]], int]) -> list[str]:
+    """The leading files that hold ``needed`` valid rows; more files are counted at each step.
+
+    A small sample of a large corpus thus reads a few files and not all of it.
+    """
+    kept, found, step = 0, 0, 1
+    while kept < len(paths) and found < needed:
+        found += count(paths[kept : kept + step])
+        kept, step = kept + step, step * 2
+    return paths[:kept]
 
 
 def skip_known(paths: list[str], known_counts: dict[str, int], skip: int) -> tuple[list[str], int]:

@@ -236,8 +236,8 @@ def _block_columns(blocks: DataFrame) -> DataFrame:
 def binary_shards(spark, sf):
     path = scratch_path(spark, "binary")
     vocab_size = tokenizer(spark, sf).vocab_size
-    placed = shard_plan(spark, sf).attach(tokens(spark, sf))
-    write_binary_shards(placed, path, choose_dtype(vocab_size), vocab_size)
+    plan = shard_plan(spark, sf)
+    write_binary_shards(plan.attach(tokens(spark, sf)), plan.manifest(), path, choose_dtype(vocab_size), vocab_size)
     return _block_columns(read_binary_blocks(read_shard_metas(spark, path), "all", BLOCK))
 
 

@@ -67,7 +67,7 @@ def tokenise_chat(
     plan = plan_shards(tokens.select("ord", F.size("ids").alias("n")), shard_tokens_limit)
     placed = plan.attach(tokens)
     if binary:
-        write_binary_shards(placed, path, choose_dtype(tokenizer.vocab_size), tokenizer.vocab_size, overwrite)
+        write_binary_shards(placed, plan.manifest(), path, choose_dtype(tokenizer.vocab_size), tokenizer.vocab_size, overwrite)
     else:
         write_token_table(placed, path, overwrite)
     supervised = tokens.agg(F.coalesce(F.sum(supervised_count(F.col("labels"))), F.lit(0)).alias("n")).first().n

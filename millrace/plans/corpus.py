@@ -49,7 +49,7 @@ def tokenise_corpus(
     dtype = choose_dtype(tokenizer.vocab_size, dtype)
     tokens, plan = shard_tokens(encode_documents(documents, tokenizer, max_documents), shard_tokens_limit)
     if binary:
-        write_binary_shards(tokens, path, dtype, tokenizer.vocab_size, overwrite)
+        write_binary_shards(tokens, plan.manifest(), path, dtype, tokenizer.vocab_size, overwrite)
     else:
         write_token_table(tokens, path, overwrite)
     return plan.manifest().withColumn("dtype", F.lit(dtype))

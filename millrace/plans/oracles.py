@@ -210,6 +210,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT ids[i] AS l, ids[i + 1] AS r, sum(cnt)::BIGINT AS cnt
             FROM (SELECT cnt, ids, unnest(range(1, len(ids))) AS i FROM (SELECT cnt, {IDS} AS ids FROM w0)) GROUP BY ALL""",
         "bpe_train": f"{BPE} SELECT rank::BIGINT AS rank, l, r, new_id::BIGINT AS new_id, cnt FROM merges",
+        "bpe_vocab": f"""{BPE},
+            tokens(k, spelled) AS (
+              SELECT 0, list_concat(['<unk>'], list_transform(
+                list_concat(range(33, 127), range(161, 173), range(174, 256), range(256, 324)), lambda p: chr(p::INT)))
+              UNION ALL SELECT k + 1, list_append(spelled, spelled[l + 1] || spelled[r + 1]) FROM tokens JOIN merges ON rank = k)
+            SELECT (i - 1)::BIGINT AS id, token FROM (
+              SELECT generate_subscripts(spelled, 1) AS i, unnest(spelled) AS token FROM tokens WHERE k = {c.MERGES})""",
         "bpe_encode": f"""{BPE} SELECT doc_id, string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos) AS ids
             FROM dw JOIN coded USING (word) GROUP BY doc_id""",
         "bpe_encode_counts": f"{BPE},{DOC_TOKENS} SELECT doc_id, n AS n_tokens FROM lens",

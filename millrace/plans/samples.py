@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numbers import count_label
 from millrace.operators.samples import (
+    enough_files,
     missing_rows,
     mix,
     normalise_columns,
@@ -72,6 +73,7 @@ def extend_sample(spark: SparkSession, root: str, name: str, target: int, corpus
     if existing >= target:
         return path, existing
     files, skip = skip_known(corpus.paths(corpus_root), corpus.known_counts, existing)
+    files = enough_files(files, target - existing + skip, lambda some: valid_rows(spark, corpus, some).count())
     if files:
         already = spark.range(1).select(F.lit(name).alias("dataset"), F.lit(skip).cast("bigint").alias("existing"))
         new = missing_rows(valid_rows(spark, corpus, files), already, target - existing + skip)

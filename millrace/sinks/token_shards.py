@@ -27,6 +27,7 @@ META_SUFFIX = ".meta.json"
 DATASET_META = "dataset.meta.json"
 
 SPAN_TOKENS = 1 << 20  # tokens fetched by one read
+TASK_TOKENS = 100_000_000  # tokens written by one task, about one full shard
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -80,11 +81,13 @@ class _ShardFiles:
         return self.tokens, self.docs
 
 
-def write_binary_shards(tokens: DataFrame, path: str, dtype: str, vocab_size: int, overwrite: bool = False) -> DataFrame:
+def write_binary_shards(
+    tokens: DataFrame, manifest: DataFrame, path: str, dtype: str, vocab_size: int, overwrite: bool = False
+) -> DataFrame:
     """Write (shard_id, ord, ids[, labels]) as binary shards; returns (shard_id, num_tokens, num_docs).
 
     A shard is one task's work by the format, a bounded one (its token limit), and streams
-    through it in Arrow batches.
+    through it in Arrow batches. ``manifest`` (shard_id, num_tokens) sets the number of tasks.
     """
     spark = tokens.sparkSession
     prepare_output(spark, path, overwrite)
@@ -119,7 +122,9 @@ def write_binary_shards(tokens: DataFrame, path: str, dtype: str, vocab_size: in
         )
 
     columns = ["shard_id", "ord", "ids", *(["labels"] if labelled else [])]
-    by_shard = tokens.select(*columns).repartition("shard_id").sortWithinPartitions("shard_id", "ord")
+    size = manifest.agg(F.count("*").alias("shards"), F.sum("num_tokens").alias("tokens")).first()
+    tasks = max(1, min(size.shards, max(-(-(size.tokens or 0) // TASK_TOKENS), spark.sparkContext.defaultParallelism)))
+    by_shard = tokens.select(*columns).repartition(tasks, "shard_id").sortWithinPartitions("shard_id", "ord")
     rows = by_shard.mapInArrow(write, "shard_id int, num_tokens bigint, num_docs bigint").collect()  # one small row per shard
     if not rows:
         files = _ShardFiles(path, 0, dtype, labelled, vocab_size)

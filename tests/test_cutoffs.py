@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.operators import cutoffs
-from millrace.operators.cutoffs import hash_bucket, limit_rows, ord_bucket, skip_first, take_first
+from millrace.operators.cutoffs import hash_bucket, limit_rows, ord_bucket, take_between, take_first
 from millrace.operators.quota import CorpusSpec, TokenizerSpec, mixed_corpus, quotas, shuffle_key, validate_corpora
 
 import pytest
@@ -20,8 +20,10 @@ def test_take_and_skip_equal_sorting(spark, monkeypatch):
     by_source = {s: sorted(o for t, o in data if t == s) for s in "abc"}
     taken = take_first(rows, "source", "ord", ord_bucket(F.col("ord")), wanted).collect()
     assert sorted((r.source, r.ord) for r in taken) == sorted((s, o) for s in "abc" for o in by_source[s][: wants[s]])
-    left = skip_first(rows, "source", "ord", ord_bucket(F.col("ord")), wanted).collect()
-    assert sorted((r.source, r.ord) for r in left) == sorted((s, o) for s in "abc" for o in by_source[s][wants[s] :])
+    spans = {"a": (11, 37), "b": (2, 3), "c": (0, 5)}
+    between = spark.createDataFrame([(k, *v) for k, v in spans.items()], "source string, skip bigint, n bigint")
+    left = take_between(rows, "source", "ord", ord_bucket(F.col("ord")), between).collect()
+    assert sorted((r.source, r.ord) for r in left) == sorted((s, o) for s in "abc" for o in by_source[s][slice(*spans[s])])
 
 
 def test_limit_keeps_at_least_one(spark, monkeypatch):

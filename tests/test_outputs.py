@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.bpe_codec import Tokenizer
 from millrace.operators.quota import TokenizerSpec
-from millrace.operators.samples import mix, pick_seed, replace_section, resume_file, sample_summary, skip_known, top_up
+from millrace.operators.samples import enough_files, mix, pick_seed, replace_section, resume_file, sample_summary, skip_known, top_up
 from millrace.operators.windows import MixtureSource
 from millrace.plans import samples as sample_plan
 from millrace.plans.corpus import tokenise_corpus, train_tokenizer
@@ -105,11 +105,12 @@ def test_reader_errors(spark, tmp_path):
 
 def test_labels_and_empty_shards(spark, tmp_path):
     rows = spark.createDataFrame([(0, 5, [1, 2], [-100, 2]), (0, 7, [3], [-100]), (1, 9, [4], [4])], "shard_id int, ord bigint, ids array<int>, labels array<int>")
-    write_binary_shards(rows, str(tmp_path / "l"), "uint16", 10)
+    manifest = spark.createDataFrame([(0, 3), (1, 1)], "shard_id int, num_tokens bigint")
+    write_binary_shards(rows, manifest, str(tmp_path / "l"), "uint16", 10)
     blocks = read_binary_blocks(read_shard_metas(spark, str(tmp_path / "l")), "s", 8, labelled=True).orderBy("shard_id").collect()
     assert [(r.ids, r.labels) for r in blocks] == [([1, 2, 3], [-100, 2, -100]), ([4], [4])]
     assert json.loads((tmp_path / "l" / "dataset.meta.json").read_text())["supervised_tokens"] == 2
-    write_binary_shards(rows.where("ord < 0"), str(tmp_path / "e"), "uint16", 10)
+    write_binary_shards(rows.where("ord < 0"), manifest.limit(0), str(tmp_path / "e"), "uint16", 10)
     assert read_shard_metas(spark, str(tmp_path / "e")).select("num_tokens", "num_docs").collect() == [(0, 0)]
 
 
@@ -172,6 +173,9 @@ def test_mix_and_summary(spark, tmp_path, monkeypatch):
 
 
 def test_small_sample_operators(spark):
+    sizes = {"a": 3, "b": 0, "c": 5, "d": 9, "e": 1}
+    total = lambda some: sum(sizes[p] for p in some)
+    assert [enough_files(list("abcde"), n, total) for n in (0, 3, 4, 9, 99)] == [[], ["a"], list("abc"), list("abcde"), list("abcde")]
     assert skip_known(["r/a", "r/b", "r/c"], {"a": 10, "c": 1}, 12) == (["r/b"], 1)
     assert skip_known(["r/a"], {"a": 10}, 9) == (["r/a"], 9)
     sizes = spark.createDataFrame([("n", "p1", 5), ("n", "p2", 9), ("n", "p3", 9), ("n", "p4", 12), ("m", "q", 0)], "name string, path string, rows bigint")
