@@ -25,13 +25,13 @@ def strip(col: Column) -> Column:
 
 
 def not_blank(col: Column) -> Column:
-    """True for text that keeps something after stripping; false for null."""
-    return F.coalesce(strip(col) != "", F.lit(False))
+    """A filter for text that keeps something after stripping."""
+    return strip(col) != ""
 
 
 def not_empty(col: Column) -> Column:
-    """The looser test of tokenizer training: whitespace-only text passes."""
-    return F.coalesce(col != "", F.lit(False))
+    """The looser filter of tokenizer training: whitespace-only text passes. Scans take it over."""
+    return col != ""
 
 
 def words(col: Column) -> Column:

@@ -24,8 +24,8 @@ def test_strip_and_blank_tests(spark):
     got = df.select(strip(F.col("t")), not_blank(F.col("t")), not_empty(F.col("t"))).collect()
     for row, (stripped, nonblank, nonempty) in zip(rows, got):
         assert stripped == (None if row is None else row.strip())
-        assert nonblank == bool(row and row.strip())
-        assert nonempty == bool(row)
+        assert bool(nonblank) == bool(row and row.strip())
+        assert bool(nonempty) == bool(row)
 
 
 def test_words_match_the_library(spark):
