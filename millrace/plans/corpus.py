@@ -11,10 +11,12 @@ from millrace.functions.text import not_empty
 from millrace.operators.bpe_codec import Tokenizer, choose_dtype
 from millrace.operators.bpe_train import train_bpe, word_counts
 from millrace.operators.cutoffs import limit_rows
-from millrace.operators.quota import CorpusSpec, TokenizerSpec, mixed_corpus, validate_corpora
+from millrace.operators.quota import CorpusSpec, TokenizerSpec, mixed_corpus, quotas, validate_corpora
+from millrace.operators.samples import enough_files
 from millrace.operators.shards import ShardPlan, plan_shards
 from millrace.session import materialise
 from millrace.sinks.token_shards import write_binary_shards, write_token_table
+from millrace.sources.paths import resolve_paths
 from millrace.sources.readers import parse_objects, read_lines, read_rows, read_table, read_text, string_field
 
 PRETRAIN_SHARD_TOKENS = 100_000_000
@@ -55,12 +57,21 @@ def tokenise_corpus(
     return plan.manifest().withColumn("dtype", F.lit(dtype))
 
 
-def read_corpus(spark: SparkSession, corpus: CorpusSpec) -> DataFrame:
-    """(source, ord, text) of one training source; only empty text is dropped."""
+def read_corpus(spark: SparkSession, corpus: CorpusSpec, wanted: int) -> DataFrame:
+    """(source, ord, text) of one training source, enough of it to take ``wanted`` documents.
+
+    Only empty text is dropped. JSON lines are taken in order, so leading files are read until
+    they hold enough; a shuffled source is shuffled as a whole.
+    """
     if corpus.kind == "local":
         rows = read_text(spark, corpus.path)
     elif corpus.kind == "jsonl":
-        rows = parse_objects(read_lines(spark, corpus.path)).select("ord", string_field(F.col("row"), corpus.text_column).alias("text"))
+        lines = lambda paths: parse_objects(read_lines(spark, paths)).select(
+            "ord", string_field(F.col("row"), corpus.text_column).alias("text")
+        )
+        valid = lambda paths: lines(paths).where(not_empty(F.col("text"))).count()
+        files = resolve_paths(spark, corpus.path)
+        rows = lines(files if len(files) == 1 else enough_files(files, wanted, valid))
     elif corpus.kind == "parquet":
         rows = read_rows(spark, corpus.path, [corpus.text_column]).withColumnRenamed(corpus.text_column, "text")
     else:
@@ -72,7 +83,8 @@ def read_corpus(spark: SparkSession, corpus: CorpusSpec) -> DataFrame:
 def train_tokenizer(spark: SparkSession, spec: TokenizerSpec, overwrite: bool = False) -> Tokenizer:
     """Take each source's quota, count words, learn merges and save the tables."""
     validate_corpora(spec.corpora)
-    documents = reduce(DataFrame.unionByName, [read_corpus(spark, c) for c in spec.corpora])
+    wanted = {r.source: r.n for r in quotas(spark, spec.corpora, spec.max_documents).collect()}  # one row per source
+    documents = reduce(DataFrame.unionByName, [read_corpus(spark, c, wanted[c.name]) for c in spec.corpora])
     counts = materialise(word_counts(mixed_corpus(documents, spec)), "word-counts")
     tokenizer = Tokenizer(train_bpe(counts, spec.vocab_size))
     tokenizer.save(spark, spec.path, overwrite)

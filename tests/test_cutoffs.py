@@ -11,6 +11,7 @@ import pytest
 
 def test_take_and_skip_equal_sorting(spark, monkeypatch):
     monkeypatch.setattr(cutoffs, "ORD_BUCKET_BITS", 3)
+    monkeypatch.setattr(cutoffs, "GROUP_BITS", 2)
     rng = random.Random(3)
     # One source holds most of the rows.
     data = [(rng.choice("aaaaab"), o) for o in rng.sample(range(500), 150)] + [("c", 1000)]

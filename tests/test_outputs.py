@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.bpe_codec import Tokenizer
-from millrace.operators.quota import TokenizerSpec
+from millrace.operators.quota import CorpusSpec, TokenizerSpec
 from millrace.operators.samples import enough_files, mix, pick_seed, replace_section, resume_file, sample_summary, skip_known, top_up
 from millrace.operators.windows import MixtureSource
 from millrace.plans import samples as sample_plan
-from millrace.plans.corpus import tokenise_corpus, train_tokenizer
+from millrace.plans.corpus import read_corpus, tokenise_corpus, train_tokenizer
 from millrace.plans.training import load_datasets, sample_set
 from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards
 from millrace.sources.readers import read_documents
@@ -193,3 +193,11 @@ def test_small_sample_operators(spark):
     old = spark.createDataFrame([("s", 1), ("t", 2)], "section string, v int")
     new = spark.createDataFrame([(9,)], "v int")
     assert sorted(replace_section(old, "s", new).collect()) == [("s", 9), ("t", 2)]
+
+
+def test_training_reads_leading_files_only(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"{i}.jsonl").write_text("".join(json.dumps({"text": t}) + "\n" for t in ("", f"{i}a", f"{i}b")))
+    (tmp_path / "9.jsonl").write_text("not json\n")
+    corpus = CorpusSpec("c", "jsonl", path=str(tmp_path / "*.jsonl"))
+    assert [r.text for r in read_corpus(spark, corpus, 5).orderBy("ord").collect()][:5] == ["0a", "0b", "1a", "1b", "2a"]
