@@ -73,3 +73,10 @@ def merge_words(ids: np.ndarray, word: np.ndarray, table: RankTable) -> tuple[np
         return ids, word
     order = np.argsort(np.concatenate(done_word), kind="stable")
     return np.concatenate(done_ids)[order], np.concatenate(done_word)[order]
+
+
+def take_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of consecutive runs, one after the other."""
+    ends = np.cumsum(lengths)
+    shift = np.repeat(starts - (ends - lengths), lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + shift

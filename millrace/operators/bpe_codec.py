@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.byte_symbols import BYTE_IDS, FIRST_MERGE_ID, UNKNOWN_ID
-from millrace.functions.merging import RankTable, merge_words
+from millrace.functions.merging import RankTable, merge_words, take_runs
 from millrace.functions.text import words
 from millrace.operators.bpe_train import MAX_VOCABULARY, Merge, vocabulary
 
@@ -76,13 +76,6 @@ def encode_words(found: list[str], table: RankTable) -> list[bytes]:
     return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _take_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of consecutive runs, one after the other."""
-    ends = np.cumsum(lengths)
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + shift
-
-
 def _encoder(tokenizer: Tokenizer):
     table = RankTable([(m.left, m.right, m.new_id) for m in tokenizer.merges])
     shared = SparkSession.active().sparkContext.broadcast(table)
@@ -102,7 +95,7 @@ def _encoder(tokenizer: Tokenizer):
         flat = np.frombuffer(b"".join(known), np.int32)
         pick = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.cumsum(lengths) - lengths
-        tokens = flat[_take_runs(starts[pick], lengths[pick])]
+        tokens = flat[take_runs(starts[pick], lengths[pick])]
         word_ends = np.concatenate([[0], np.cumsum(lengths[pick])])
         part_ends = word_ends[np.concatenate([[0], np.cumsum(_sizes(inner))])]
         row_ends = np.concatenate([[0], np.cumsum(_sizes(parts))])
@@ -133,7 +126,7 @@ def _decoder(tokenizer: Tokenizer):
             raise ValueError("an id is outside the vocabulary")
         starts = np.cumsum(sizes) - sizes
         letters = np.frombuffer(b"".join(shared.value), np.uint8)
-        text = letters[_take_runs(starts[ids], sizes[ids])].tobytes()
+        text = letters[take_runs(starts[ids], sizes[ids])].tobytes()
         token_ends = np.concatenate([[0], np.cumsum(sizes[ids])])
         row_ends = token_ends[np.concatenate([[0], np.cumsum(_sizes(rows))])]
         gone = rows.is_null().to_pylist()

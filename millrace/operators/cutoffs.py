@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.prefix import with_sum_before
 from millrace.session import materialise
 
 ORD_BUCKET_BITS = 20  # at most 2**20 rows of unique ``ord`` values in a bucket
 HASH_BUCKET_DIGITS = 5  # about a millionth of the rows in a bucket of md5 keys
-GROUP_BITS = 10  # buckets are numbered within groups of 2**10 of them
 
 
 def ord_bucket(ord_col: Column) -> Column:
@@ -27,20 +27,10 @@ def hash_bucket(key: Column) -> Column:
 
 
 def bucket_counts(rows: DataFrame, key: str, order: str, bucket: Column) -> DataFrame:
-    """(key, _bucket, _rows, _last, _before), written: one small row per source and bucket.
-
-    ``_before`` is summed over groups of buckets first, then within a group, so that no task
-    sees all buckets of a large source.
-    """
+    """(key, _bucket, _rows, _last, _before): one small row per source and bucket, from a written count."""
     slim = rows.select(key, F.col(order).alias("_order"), bucket.alias("_bucket"))
     counts = slim.groupBy(key, "_bucket").agg(F.count("*").alias("_rows"), F.max("_order").alias("_last"))
-    counts = materialise(counts.withColumn("_group", F.shiftright("_bucket", GROUP_BITS)), "bucket-sizes")
-    earlier = lambda w: F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = counts.groupBy(key, "_group").agg(F.sum("_rows").alias("_rows"))
-    offsets = groups.select(key, "_group", earlier(Window.partitionBy(key).orderBy("_group")).alias("_offset"))
-    within = earlier(Window.partitionBy(key, "_group").orderBy("_bucket"))
-    placed = counts.join(offsets, [key, "_group"]).withColumn("_before", F.col("_offset") + within)
-    return materialise(placed.drop("_group", "_offset"), "bucket-counts")
+    return with_sum_before(materialise(counts, "bucket-counts"), key, "_bucket", "_rows", "_before")
 
 
 def cuts(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import uniform
+from millrace.operators.prefix import with_sum_before
 from millrace.session import materialise
 
 MASKED = -100  # label of a token that is not supervised
@@ -32,11 +33,13 @@ def validate_mixture(sources: list[MixtureSource]) -> list[MixtureSource]:
     return sources
 
 
-def token_blocks(documents: DataFrame, block_size: int) -> DataFrame:
+def token_blocks(documents: DataFrame, block_size: int, overlap: int = 0) -> DataFrame:
     """(source, shard_id, block_id, ids[, labels]): shards cut into blocks of ``block_size`` tokens.
 
-    ``documents`` has source, shard_id, tok_start, ids and maybe labels. A document is cut at
-    block edges only, and the rows gathered for one block hold ``block_size`` tokens at most.
+    A block goes on into the next ones by ``overlap`` tokens, so that a window of that length
+    lies in the block it starts in. ``documents`` has source, shard_id, tok_start, ids and
+    maybe labels. A document is cut at block edges only, and the rows gathered for one block
+    hold ``block_size + overlap`` tokens at most.
     """
     arrays = [c for c in ("ids", "labels") if c in documents.columns]
     size = F.lit(block_size).cast("bigint")
@@ -44,11 +47,12 @@ def token_blocks(documents: DataFrame, block_size: int) -> DataFrame:
 
     def piece(block: Column) -> Column:
         start = F.greatest(F.col("tok_start"), block * size)
-        length = (F.least(stop, (block + 1) * size) - start).cast("int")
+        length = (F.least(stop, (block + 1) * size + overlap) - start).cast("int")
         skip = (start - F.col("tok_start") + 1).cast("int")
         return F.struct(block.alias("block_id"), start.alias("start"), *[F.slice(a, skip, length).alias(a) for a in arrays])
 
-    blocks = F.sequence(F.floor(F.col("tok_start") / size), F.floor((stop - 1) / size))
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("tok_start") - overlap) / size))
+    blocks = F.sequence(first, F.floor((stop - 1) / size))
     pieces = documents.where(F.size("ids") > 0).select(*SHARD, F.explode(F.transform(blocks, piece)).alias("p")).select(*SHARD, "p.*")
     gathered = pieces.groupBy(*SHARD, "block_id").agg(F.array_sort(F.collect_list(F.struct("start", *arrays))).alias("parts"))
     return gathered.select(*SHARD, "block_id", *[F.flatten(F.col("parts")[a]).alias(a) for a in arrays])
@@ -84,16 +88,11 @@ def usable_shards(manifest: DataFrame, seq_len: int, names: list[str]) -> DataFr
     for name in names:
         if name not in found:
             raise ValueError(f"{name} has no shard long enough for seq_len={seq_len}")
-    run = Window.partitionBy("source").orderBy("shard_id").rowsBetween(Window.unboundedPreceding, 0)
     totals = usable.groupBy("source").agg(
         F.sum("num_tokens").alias("total"), F.ceil(F.sum("num_tokens") / F.count("*")).alias("width")
     )
-    return (
-        usable.select(*SHARD, "num_tokens")
-        .withColumn("hi", F.sum("num_tokens").over(run))
-        .withColumn("lo", F.col("hi") - F.col("num_tokens"))
-        .join(totals, "source")
-    )
+    placed = with_sum_before(usable.select(*SHARD, "num_tokens"), "source", "shard_id", "num_tokens", "lo")
+    return placed.withColumn("hi", F.col("lo") + F.col("num_tokens")).join(totals, "source")
 
 
 def _scaled(share: Column, size: Column) -> Column:
@@ -123,22 +122,15 @@ def window_plan(draws: DataFrame, shards: DataFrame, seq_len: int) -> DataFrame:
 def cut_windows(plan: DataFrame, blocks: DataFrame, seq_len: int, block_size: int, targets: str = "ids") -> DataFrame:
     """Add (x, y): ``seq_len`` tokens from ``start`` and the ``targets`` one place later.
 
-    Only the tokens of a window travel to it: a block is sliced where it is joined.
+    One equi-join: ``blocks`` overlap by ``seq_len`` tokens, so each window lies in one block.
     """
     size = F.lit(block_size).cast("bigint")
-    spans = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + seq_len) / size))
-    keys = ["worker", "draw", "seed", "attempt", *SHARD, "start"]
-    wanted = plan.select(*keys, F.explode(spans).alias("block_id"))
-    begin = F.greatest(F.col("start"), F.col("block_id") * size)
-    length = (F.least(F.col("start") + seq_len + 1, (F.col("block_id") + 1) * size) - begin).cast("int")
-    skip = (begin - F.col("block_id") * size + 1).cast("int")
-    cut = wanted.join(blocks, [*SHARD, "block_id"]).select(
-        *keys,
-        F.struct("block_id", F.slice("ids", skip, length).alias("a"), F.slice(targets, skip, length).alias("b")).alias("part"),
-    )
-    whole = cut.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    a, b = F.flatten(F.col("parts")["a"]), F.flatten(F.col("parts")["b"])
-    return whole.select(*keys, F.slice(a, 1, seq_len).alias("x"), F.slice(b, 2, seq_len).alias("y"))
+    at = plan.withColumn("block_id", F.floor(F.col("start") / size))
+    skip = (F.col("start") - F.col("block_id") * size).cast("int")
+    joined = at.join(blocks, [*SHARD, "block_id"])
+    x, y = F.slice("ids", skip + 1, seq_len), F.slice(targets, skip + 2, seq_len)
+    whole = F.when(F.size(y) == seq_len, y).otherwise(F.raise_error(F.lit("blocks overlap by less than seq_len")))
+    return joined.select("worker", "draw", "seed", "attempt", *SHARD, "start", x.alias("x"), whole.alias("y"))
 
 
 def pretrain_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame, names: list[str], seq_len: int, block_size: int) -> DataFrame:

@@ -379,7 +379,7 @@ def mixture(spark, sf) -> tuple[DataFrame, DataFrame, int]:
 
 def _as_dataset(manifests: list[DataFrame], placed: list[DataFrame], seq_len: int) -> tuple[DataFrame, DataFrame, int]:
     manifest = materialise(samples.mix(manifests).drop("src_ord"), "manifest")
-    blocks = materialise(token_blocks(samples.mix(placed), BLOCK), "blocks")
+    blocks = materialise(token_blocks(samples.mix(placed), BLOCK, seq_len), "blocks")
     total = manifest.agg(F.sum("num_tokens").alias("n")).first().n
     return manifest, blocks, total // (seq_len * WORKERS)
 

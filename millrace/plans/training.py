@@ -32,11 +32,13 @@ def parse_mixture(values: dict) -> tuple[dict[str, str], list[MixtureSource], li
     return {i["name"]: i["tokenized_path"] for i in [*train, *evaluate]}, as_sources(train), as_sources(evaluate)
 
 
-def load_datasets(spark: SparkSession, paths: dict[str, str], block_size: int, labelled: bool) -> tuple[DataFrame, DataFrame]:
-    """(manifest, blocks) of binary token datasets by source name."""
+def load_datasets(
+    spark: SparkSession, paths: dict[str, str], block_size: int, seq_len: int, labelled: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(manifest, blocks) of binary token datasets by source name, for windows of ``seq_len`` tokens."""
     metas = {name: read_shard_metas(spark, path) for name, path in paths.items()}
     manifest = [m.select(F.lit(name).alias("source"), "shard_id", "num_tokens", "num_docs") for name, m in metas.items()]
-    blocks = [read_binary_blocks(m, name, block_size, labelled) for name, m in metas.items()]
+    blocks = [read_binary_blocks(m, name, block_size, seq_len, labelled) for name, m in metas.items()]
     return reduce(DataFrame.unionByName, manifest), materialise(reduce(DataFrame.unionByName, blocks), "blocks")
 
 

@@ -17,6 +17,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.merging import take_runs
 from millrace.sinks.outputs import prepare_output
 
 # Element types of the binary files.
@@ -188,8 +189,11 @@ def _read_range(path: str, element: np.dtype, expected: int, start: int, count:
         return np.frombuffer(file.read_at(count * element.itemsize, start * element.itemsize), element)
 
 
-def read_binary_blocks(metas: DataFrame, source: str, block_size: int, labelled: bool = False) -> DataFrame:
-    """(source, shard_id, block_id, ids[, labels]) by reading byte ranges; a wrong file length raises."""
+def read_binary_blocks(metas: DataFrame, source: str, block_size: int, overlap: int = 0, labelled: bool = False) -> DataFrame:
+    """(source, shard_id, block_id, ids[, labels]) by reading byte ranges; a wrong file length raises.
+
+    A block goes on into the next ones by ``overlap`` tokens.
+    """
     arrays = ["tokens", "labels"] if labelled else ["tokens"]
 
     span = max(1, SPAN_TOKENS // block_size)
@@ -198,14 +202,16 @@ def read_binary_blocks(metas: DataFrame, source: str, block_size: int, labelled:
         for batch in batches:
             for row in batch.to_pylist():
                 start = row["span"] * span * block_size
-                count = min(span * block_size, row["num_tokens"] - start)
-                edges = np.append(np.arange(0, count, block_size), count).astype(np.int32)
+                count = min(span * block_size + overlap, row["num_tokens"] - start)
+                starts = np.arange(0, min(span * block_size, count), block_size)
+                sizes = np.minimum(block_size + overlap, count - starts)
+                edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 columns = []
                 for kind in arrays:
                     element = np.dtype(TOKEN_TYPES[row["dtype"]] if kind == "tokens" else LABEL_TYPES[row["label_dtype"]])
                     values = _read_range(row[kind], element, row["num_tokens"], start, count)
-                    columns.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(np.int32))))
-                blocks = len(edges) - 1
+                    columns.append(pa.ListArray.from_arrays(edges, pa.array(values.astype(np.int32)[take_runs(starts, sizes)])))
+                blocks = len(starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(blocks, row["shard_id"], np.int32)),

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import cutoffs
+from millrace.operators import cutoffs, prefix
 from millrace.operators.cutoffs import hash_bucket, limit_rows, ord_bucket, take_between, take_first
 from millrace.operators.quota import CorpusSpec, TokenizerSpec, mixed_corpus, quotas, shuffle_key, validate_corpora
 
@@ -11,7 +11,7 @@ import pytest
 
 def test_take_and_skip_equal_sorting(spark, monkeypatch):
     monkeypatch.setattr(cutoffs, "ORD_BUCKET_BITS", 3)
-    monkeypatch.setattr(cutoffs, "GROUP_BITS", 2)
+    monkeypatch.setattr(prefix, "GROUP_BITS", 2)
     rng = random.Random(3)
     # One source holds most of the rows.
     data = [(rng.choice("aaaaab"), o) for o in rng.sample(range(500), 150)] + [("c", 1000)]

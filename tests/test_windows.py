@@ -35,6 +35,9 @@ def test_blocks_hold_the_shard(spark, data):
     for r in token_blocks(docs, BLOCK).collect():
         span = slice(r.block_id * BLOCK, (r.block_id + 1) * BLOCK)
         assert r.ids == ids[r.source, r.shard_id][span] and r.labels == labels[r.source, r.shard_id][span]
+    for r in token_blocks(docs, BLOCK, 17).collect():
+        span = slice(r.block_id * BLOCK, (r.block_id + 1) * BLOCK + 17)
+        assert r.ids == ids[r.source, r.shard_id][span] and r.labels == labels[r.source, r.shard_id][span]
     assert token_blocks(docs, BLOCK).count() == sum(-(-n // BLOCK) for n in SHARDS.values())
 
 
@@ -43,7 +46,7 @@ def test_windows_shift_by_one(spark, data, seq_len):
     docs, manifest, ids, _ = data
     mix = [MixtureSource("a", 1.0), MixtureSource("b", 3.0)]
     draws = source_draws(spark, mix, 150, 9, workers=2)
-    rows = pretrain_windows(draws, manifest, token_blocks(docs.drop("labels"), BLOCK), ["a", "b"], seq_len, BLOCK).collect()
+    rows = pretrain_windows(draws, manifest, token_blocks(docs.drop("labels"), BLOCK, seq_len), ["a", "b"], seq_len, BLOCK).collect()
     assert len(rows) == 300 and len({(r.worker, r.draw) for r in rows}) == 300
     for r in rows:
         shard = ids[r.source, r.shard_id]
@@ -51,6 +54,13 @@ def test_windows_shift_by_one(spark, data, seq_len):
         assert r.x == shard[r.start : r.start + seq_len] and r.y == shard[r.start + 1 : r.start + seq_len + 1]
 
 
+def test_too_small_an_overlap_fails(spark, data):
+    docs, manifest, _, _ = data
+    draws = source_draws(spark, [MixtureSource("b")], 50, 9)
+    with pytest.raises(Exception, match="overlap"):
+        pretrain_windows(draws, manifest, token_blocks(docs, BLOCK, 2), ["b"], 10, BLOCK).collect()
+
+
 def test_draw_shares_follow_weights_and_tokens(spark, data):
     _, manifest, _, _ = data
     n = 6000
@@ -78,7 +88,7 @@ def test_the_only_start_is_zero(spark):
 
 def test_supervised_windows_redraw(spark, data):
     docs, manifest, ids, labels = data
-    blocks = token_blocks(docs, BLOCK)
+    blocks = token_blocks(docs, BLOCK, 6)
     draws = source_draws(spark, [MixtureSource("a"), MixtureSource("b")], 60, 4)
     rows = supervised_windows(draws, manifest, blocks, ["a", "b"], 6, BLOCK).collect()
     assert len({r.draw for r in rows}) == len(rows) == 60 and max(r.attempt for r in rows) > 0
@@ -90,7 +100,7 @@ def test_supervised_windows_redraw(spark, data):
 
 def test_windows_without_supervision_raise(spark, data):
     docs, manifest, _, _ = data
-    masked = token_blocks(docs.withColumn("labels", F.transform("labels", lambda v: F.lit(MASKED))), BLOCK)
+    masked = token_blocks(docs.withColumn("labels", F.transform("labels", lambda v: F.lit(MASKED))), BLOCK, 6)
     with pytest.raises(RuntimeError, match="100 attempts"):
         supervised_windows(source_draws(spark, [MixtureSource("a")], 3, 4), manifest, masked, ["a"], 6, BLOCK)
 
@@ -102,7 +112,7 @@ def test_workers_and_sample_sets_have_their_own_seed(spark, data):
     other = source_draws(spark, mix, 100, 6)
     as_rows = lambda df: [r.source for r in df.orderBy("draw").collect()]
     assert as_rows(one.where("worker = 1")) == as_rows(other)
-    blocks = token_blocks(docs, BLOCK)
+    blocks = token_blocks(docs, BLOCK, 5)
     sets = {
         name: [(r.source, r.shard_id, r.start) for r in sample_set(manifest, blocks, mix, 40, 5, BLOCK, 7, name).orderBy("draw").collect()]
         for name in SAMPLE_SETS
