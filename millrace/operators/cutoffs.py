@@ -28,8 +28,8 @@ def hash_bucket(key: Column) -> Column:
 
 def bucket_counts(rows: DataFrame, key: str, order: str, bucket: Column) -> DataFrame:
     """(key, _bucket, _rows, _last, _before): one small row per source and bucket, from a written count."""
-    slim = rows.select(key, F.col(order).alias("_order"), bucket.alias("_bucket"))
-    counts = slim.groupBy(key, "_bucket").agg(F.count("*").alias("_rows"), F.max("_order").alias("_last"))
+    slim = rows.select(key, F.col(order).alias("_at"), bucket.alias("_bucket"))
+    counts = slim.groupBy(key, "_bucket").agg(F.count("*").alias("_rows"), F.max("_at").alias("_last"))
     return with_sum_before(materialise(counts, "bucket-counts"), key, "_bucket", "_rows", "_before")
 
 
@@ -45,13 +45,13 @@ def cuts(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFram
     reach = F.col("_before") + F.col("_rows")
     full = edges.where(reach <= F.col("n")).groupBy(key, "n").agg(F.max("_last").alias("cut"), F.max(reach).alias("taken"))
     split = materialise(edges.where(reach > F.col("n")).select(key, "_bucket", "_before", "n"), "split-buckets")
-    slim = rows.select(key, F.col(order).alias("_order"), bucket.alias("_bucket"))
-    rank = F.row_number().over(Window.partitionBy(key, "n").orderBy("_order"))
+    slim = rows.select(key, F.col(order).alias("_at"), bucket.alias("_bucket"))
+    rank = F.row_number().over(Window.partitionBy(key, "n").orderBy("_at"))
     partial = (
         slim.join(split, [key, "_bucket"])
         .withColumn("taken", rank + F.col("_before"))
         .where(F.col("taken") == F.col("n"))
-        .select(key, "n", F.col("_order").alias("cut"), "taken")
+        .select(key, "n", F.col("_at").alias("cut"), "taken")
     )
     both = full.unionByName(partial).groupBy(key, "n").agg(F.max("cut").alias("cut"), F.max("taken").alias("taken"))
     return materialise(both, "cuts")

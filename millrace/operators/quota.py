@@ -94,11 +94,12 @@ def mixed_corpus(documents: DataFrame, spec: TokenizerSpec) -> DataFrame:
     wanted = quotas(spark, spec.corpora, spec.max_documents)
     shuffled = [c.name for c in spec.corpora if is_shuffled(c, spec.shuffle_buffer)]
     numbered = documents.join(F.broadcast(wanted.select("source", "src_ord")), "source")
-    in_order = numbered.where(~F.col("source").isin(shuffled)).withColumn("place", F.lit(""))
-    by_key = numbered.where(F.col("source").isin(shuffled)).withColumn(
-        "place", shuffle_key(spec.seed, F.col("src_ord"), F.col("ord"))
-    )
-    taken = take_first(in_order, "source", "ord", ord_bucket(F.col("ord")), wanted).unionByName(
-        take_first(by_key, "source", "place", hash_bucket(F.col("place")), wanted)
+    is_drawn, by_ord = F.col("source").isin(shuffled), F.col("ord")
+    key = shuffle_key(spec.seed, F.col("src_ord"), by_ord)
+    # Within a source all orders have one form: md5 keys, or ordinals of equal width.
+    placed = numbered.withColumn("place", F.when(is_drawn, key).otherwise("")).withColumn(
+        "_order", F.when(is_drawn, key).otherwise(F.lpad(by_ord.cast("string"), 19, "0"))
     )
+    bucket = F.when(is_drawn, hash_bucket(key)).otherwise(ord_bucket(by_ord))
+    taken = take_first(placed, "source", "_order", bucket, wanted)
     return taken.select("src_ord", "source", "ord", "place", "text")

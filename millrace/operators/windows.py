@@ -152,7 +152,8 @@ def supervised_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame,
         good = cut.where(F.exists("y", lambda v: v != MASKED))
         earliest = good.groupBy("worker", "draw").agg(F.min(F.struct("attempt", "seed", *SHARD, "start", "x", "y")).alias("w"))
         filled.append(materialise(earliest.select("worker", "draw", "w.*"), "windows"))
-        pending = materialise(pending.join(filled[-1], ["worker", "draw"], "left_anti"), "open-draws")
+        # Draws are made from their number, so open ones are found again and not stored.
+        pending = pending.join(filled[-1], ["worker", "draw"], "left_anti")
         if pending.isEmpty():
             break
         first = stop

@@ -14,7 +14,8 @@ def spark(tmp_path_factory):
         "tests",
         "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            "spark.sql.codegen.wholeStage": "false",  # small data: compiling would take most of the time
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
