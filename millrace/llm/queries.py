@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, urls
+from millrace.llm import language, mixing, toxicity, urls
+from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
 RULES = [
@@ -28,8 +29,26 @@ def op2_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_read(spark, sf_dir, "pages"), RULES)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    model = toxicity.fit_toxicity(docs.where(~held_out), _read(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    model = language.fit_languages(docs.where(~held_out))
+    return language.predict_language(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_verdicts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
