@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, mixing, toxicity, urls
+from millrace.llm import language, licenses, mixing, toxicity, urls
 from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
@@ -44,7 +44,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language)
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses)
 
 
 def queries() -> dict:

@@ -20,18 +20,21 @@ from millrace.session import materialise
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"\w+")
+STEM, LONGEST_STEM = 4, 9  # characters
+CACHE = 300_000  # words whose weights a worker keeps
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     """``docs_per_class`` bounds the training sample, in expectation, chosen by hash of the id. Words of
-    fewer than ``min_docs`` documents of the sample have no weight."""
+    fewer than ``min_docs`` documents of the sample, or spread over the classes as by chance, have no weight."""
 
     docs_per_class: int = 2500
     min_docs: int = 4
+    least_chi2: float = 15.0
     steps: int = 200
     rate: float = 0.1
-    decay: float = 2e-5
+    decay: float = 1e-4
     least_weight: float = 0.05
 
 
@@ -41,6 +44,11 @@ class ToxicityModel:
     bias: float
 
 
+def features(word: str) -> list[str]:
+    """A word and its beginnings, by which unseen inflections and compounds are known."""
+    return [word, *[word[:k] + "*" for k in range(STEM, min(len(word), LONGEST_STEM) + 1)]]
+
+
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
@@ -50,15 +58,27 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
+def telling(inside: int, outside: int, toxic: int, clean: int, params: ToxicityParams) -> bool:
+    """Does a word occur in toxic and in clean documents unevenly beyond chance (chi-squared)?"""
+    n, seen = toxic + clean, inside + outside
+    if seen < params.min_docs or seen == n:
+        return False
+    cross = float(inside * (clean - outside) - outside * (toxic - inside))
+    return n * cross**2 / (float(toxic) * clean * seen * (n - seen)) >= params.least_chi2
+
+
 def fit_noisy_or(texts: list[str], labels: np.ndarray, importance: np.ndarray, params: ToxicityParams) -> ToxicityModel:
     """Minimise the weighted log loss of the noisy-or over documents by Adam.
 
     With H the sum of softplus(z) over sentences, 1 - prod(1 - p) = 1 - exp(-H). The loss is H for a clean
     document and -log(1 - exp(-H)) for a toxic one.
     """
-    bags = [[set(TOKEN.findall(t[a:b].lower())) for a, b in sentences(t)] for t in texts]
-    spread = Counter(w for bag in bags for w in set().union(*bag))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= params.min_docs))}
+    bags = [[{f for w in set(TOKEN.findall(t[a:b].lower())) for f in features(w)} for a, b in sentences(t)] for t in texts]
+    toxic = labels.astype(bool)
+    inside, outside = Counter(), Counter()
+    for bag, bad in zip(bags, toxic, strict=True):
+        (inside if bad else outside).update(set().union(*bag))
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w in inside | outside if telling(inside[w], outside[w], toxic.sum(), (~toxic).sum(), params)))}
     word, sentence, doc, n = [], [], [], 0
     for d, bag in enumerate(bags):
         for words in bag:
@@ -71,7 +91,6 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, importance: np.ndarray, p
     value = np.zeros(len(vocabulary) + 1)
     value[-1] = -6.0
     first, second = np.zeros_like(value), np.zeros_like(value)
-    toxic = labels.astype(bool)
     for step in range(1, params.steps + 1):
         z = np.bincount(sentence, value[word], n) + value[-1]
         total = np.maximum(np.bincount(doc, softplus(z), len(texts)), 1e-12)
@@ -86,6 +105,18 @@ def fit_noisy_or(texts: list[str], labels: np.ndarray, importance: np.ndarray, p
     return ToxicityModel(kept, float(value[-1]))
 
 
+def weigh(sentence: str, weights: dict[str, float], known: dict[str, bool]) -> list[float]:
+    """The weights of a sentence's distinct features that have any, in a fixed order; ``known`` remembers which words have any."""
+    words = []
+    for word in set(TOKEN.findall(sentence.lower())):
+        any_weight = known.get(word)
+        if any_weight is None:
+            any_weight = known[word] = any(f in weights for f in features(word))
+        if any_weight:
+            words.append(word)
+    return [weights[f] for f in sorted({f for w in words for f in features(w)}) if f in weights] if words else []
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Fit on the texts of ``docs`` (doc_id, text) with a row in ``labels`` (doc_id, toxic).
 
@@ -132,16 +163,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> Da
     def run(batches):
         weights, bias = shared.value.weights, shared.value.bias
         rest = float(softplus(np.array(bias)))
+        known: dict[str, bool] = {}
         for batch in batches:
             scores, found = [], []
+            if len(known) > CACHE:
+                known.clear()
             for text in batch.column(len(keep)).to_pylist():
                 hazard, spans = 0.0, []
                 for a, b in sentences(text or ""):
-                    known = [weights[w] for w in set(TOKEN.findall(text[a:b].lower())) if w in weights]
-                    if not known:
+                    some = weigh(text[a:b], weights, known)
+                    if not some:
                         hazard += rest
                         continue
-                    z = bias + sum(sorted(known))
+                    z = bias + sum(some)
                     hazard += float(softplus(np.array(z))) if z < 30 else z
                     if z >= 0:
                         spans.append({"start": a, "end": b, "score": 1 / (1 + float(np.exp(-z)))})
