@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from millrace.session import materialise
 
 UNKNOWN = -18.0  # log-probability of a character that no piece covers, in every language
 SMOOTH = 0.01  # expected count added to every piece
-CACHE = 400_000  # words whose sums a worker keeps
+CACHE = 400_000  # words whose sums a worker keeps from batch to batch
+AT_ONCE = 20_000  # words summed together
 LONG = 30  # characters of a word whose probability stays above the least float
 
 
@@ -40,7 +42,8 @@ def load_pieces(path: str) -> list[str]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return [p for p in pieces if "▁" not in p[1:]]  # a word has its mark at the beginning only
 
 
 class PieceLattice:
@@ -49,14 +52,15 @@ class PieceLattice:
     def __init__(self, pieces: list[str]):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for number, piece in enumerate(pieces):
-            self.automaton.add_word(piece, (len(piece), number))
+            self.automaton.add_word(piece, number)
         self.automaton.make_automaton()
 
     def arcs(self, word: str) -> list[tuple[int, int, int]]:
         """(start, end, piece) by end; piece -1 is a single character that is no piece itself."""
-        found = [(end + 1 - length, end + 1, number) for end, (length, number) in self.automaton.iter(word)]
+        found = [(end + 1 - int(self.sizes[number]), end + 1, number) for end, number in self.automaton.iter(word)]
         single = {start for start, end, _ in found if end - start == 1}
         found += [(i, i + 1, -1) for i in range(len(word)) if i not in single]
         found.sort(key=lambda arc: arc[1])
@@ -72,17 +76,46 @@ def forward(arcs, length: int, logs: np.ndarray) -> np.ndarray:
     return best[length]
 
 
-def word_scores(lattice: PieceLattice, word: str, probs: list[list[float]], logs: np.ndarray) -> list[float]:
-    """As ``forward``, in plain probabilities where the word is too short for them to underflow."""
-    arcs, n = lattice.arcs(word), len(word)
-    if n > LONG:
-        return forward(arcs, n, logs).tolist()
-    out = []
-    for p in probs:
-        sums = [1.0] + [0.0] * n
-        for start, end, piece in arcs:
-            sums[end] += sums[start] * p[piece]
-        out.append(math.log(sums[n]))
+def word_scores(lattice: PieceLattice, words: list[str], logs: np.ndarray) -> np.ndarray:
+    """``forward`` of many words at once: (words, languages).
+
+    The automaton reads all words in one string; pieces that would reach from one word into the next are
+    left out. Sums then grow by end place, for all words and languages together, in plain
+    probabilities where a word is too short for them to underflow.
+    """
+    lengths = np.array([len(w) for w in words], np.int64)
+    first = np.cumsum(lengths + 1) - lengths - 1  # each word has one place more than it has characters
+    found = np.fromiter(chain.from_iterable(lattice.automaton.iter("".join(words))), np.int64)
+    char_first = np.cumsum(lengths) - lengths
+    end, piece = found[::2] + 1, found[1::2]
+    size = lattice.sizes[piece]
+    word_of = np.repeat(np.arange(len(words)), lengths)
+    word = word_of[end - 1]
+    inside = end - size >= char_first[word]
+    end, size, piece, word = end[inside], size[inside], piece[inside], word[inside]
+    single = np.zeros(int(lengths.sum()), bool)
+    single[end[size == 1] - 1] = True
+    rest = np.flatnonzero(~single)
+    end, size, piece = np.append(end, rest + 1), np.append(size, 1 + 0 * rest), np.append(piece, np.full(len(rest), len(logs) - 1))
+    word = np.append(word, word_of[rest])
+    level = end - char_first[word]
+    order = np.argsort(level * len(words) + word, kind="stable")
+    order = order[lengths[word[order]] <= LONG]
+    level, size, piece, word = level[order], size[order], piece[order], word[order]
+    probs = np.exp(logs)
+    sums = np.zeros((int(lengths.sum()) + len(words), logs.shape[1]))
+    sums[first] = 1.0
+    bounds = np.searchsorted(level, np.arange(1, LONG + 2))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a < b:
+            to = word[a:b]
+            begins = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            place = first[to] + level[a:b]
+            sums[place[begins]] = np.add.reduceat(sums[place - size[a:b]] * probs[piece[a:b]], begins)
+    with np.errstate(divide="ignore"):
+        out = np.log(sums[first + lengths])
+    for i in np.flatnonzero(lengths > LONG):
+        out[i] = forward(lattice.arcs(words[i]), len(words[i]), logs)
     return out
 
 
@@ -186,30 +219,28 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
 
     def run(batches):
         pieces, languages, priors, logs = shared.value
-        lattice, probs = PieceLattice(pieces), np.exp(logs.T).tolist()
-        known: dict[str, list[float]] = {}
+        lattice = PieceLattice(pieces)
+        row_of: dict[str, int] = {}
+        table = np.zeros((0, len(languages)))
         for batch in batches:
+            texts = [t.split() if languages and t and any(map(str.isalpha, t)) else None for t in batch.column(len(keep)).to_pylist()]
+            if len(row_of) > CACHE:
+                row_of, table = {}, table[:0]
+            new = list(dict.fromkeys(w for words in texts for w in words or () if w not in row_of))
+            parts = [word_scores(lattice, ["▁" + w for w in new[i : i + AT_ONCE]], logs) for i in range(0, len(new), AT_ONCE)]
+            row_of.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            table = np.concatenate([table, *parts])
             named, scores = [], []
-            for text in batch.column(len(keep)).to_pylist():
-                if not languages or not text or not any(map(str.isalpha, text)):
+            for words in texts:
+                if words is None:
                     named.append("und")
                     scores.append(0.0)
                     continue
-                total = list(priors)
-                for word, n in Counter(text.split()).items():
-                    got = known.get(word)
-                    if got is None:
-                        got = word_scores(lattice, "▁" + word, probs, logs)
-                        if len(known) >= CACHE:
-                            known.clear()
-                        if len(word) <= LONG:
-                            known[word] = got
-                    for i, x in enumerate(got):
-                        total[i] += n * x
-                top = max(total)
-                named.append(languages[total.index(top)])
-                scores.append(1.0 / math.fsum(math.exp(x - top) for x in total))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(named), pa.array(scores)], [*keep, "lang_pred", "score"])
+                total = table[[row_of[w] for w in words]].sum(axis=0) + priors
+                top = int(np.argmax(total))
+                named.append(languages[top])
+                scores.append(1.0 / float(np.exp(total - total[top]).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(named), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
