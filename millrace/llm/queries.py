@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import language, licenses, mixing, toxicity, urls
+from millrace.llm import decontaminate, language, licenses, mixing, near_dedup, toxicity, urls
 from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
@@ -48,7 +48,17 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses)
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_read(spark, sf_dir, "documents"))
+
+
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), ["doc_id"])
+    ids = F.transform("leaks", lambda x: x["item_id"])
+    return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), ids.alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("least_edits"))
+
+
+QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks)
 
 
 def queries() -> dict:
