@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language, licenses, mixing, near_dedup, toxicity, urls
+from millrace.llm import decontaminate, fingerprints, language, licenses, mixing, near_dedup, toxicity, urls
 from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
@@ -58,7 +58,11 @@ def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), ids.alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("least_edits"))
 
 
-QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks)
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op10_fingerprints)
 
 
 def queries() -> dict:
