@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, fingerprints, language, licenses, mixing, near_dedup, toxicity, urls
+from millrace.llm import decontaminate, fingerprints, language, licenses, mixing, near_dedup, substrings, toxicity, urls
 from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
@@ -58,11 +58,15 @@ def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") > 0).alias("leaked"), ids.alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("least_edits"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op10_fingerprints)
+QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op8_substrings, op10_fingerprints)
 
 
 def queries() -> dict:
@@ -96,5 +100,22 @@ SELECT doc_id, size, source_size, target,
 FROM placed"""
 
 
+_SUBSTRINGS = r"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+words AS (SELECT doc_id, len(ws) AS n, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM docs),
+windows AS (
+  SELECT doc_id, i, word, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s
+  FROM words),
+starts AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM windows WHERE i + 19 <= n),
+marked AS (
+  SELECT w.doc_id, w.i, w.word,
+         max(coalesce(s.again, false)::INT) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM words w LEFT JOIN starts s ON w.doc_id = s.doc_id AND w.i = s.i)
+SELECT d.doc_id, len(any_value(d.ws))::BIGINT AS n_words, coalesce(sum(m.gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (WHERE m.gone = 0), '')) AS kept_sha256
+FROM docs d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _MIX}
+    return {"op1_mix_sources": _MIX, "op8_substrings": _SUBSTRINGS}
