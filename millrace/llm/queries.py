@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, fingerprints, language, licenses, mixing, near_dedup, substrings, toxicity, urls
+from millrace.llm import backoff_lm, decontaminate, fingerprints, language, licenses, mixing, near_dedup, substrings, toxicity, urls
 from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
@@ -62,11 +62,17 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = in_fold(F.col("doc_id"), 7, 2)
+    scored = backoff_lm.score_texts(_read(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op8_substrings, op10_fingerprints)
+QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op8_substrings, op9_lm_scores, op10_fingerprints)
 
 
 def queries() -> dict:
