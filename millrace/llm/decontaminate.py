@@ -20,7 +20,7 @@ from millrace.llm.hashing import mix64
 
 TABLE_BITS = 22
 CHUNK = 1 << 20  # characters hashed at once; a longer text is a chunk of its own
-_M = np.uint64(0x9E3779B97F4A7C15)
+_M = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
@@ -54,13 +54,13 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     run, size, done = wide, 1, 0
     while True:
         if q & size:
-            out = out * (_M ** np.uint64(1)) * np.uint64(2 * size + 1) + run[done : done + len(out)]
+            out = out * np.uint64(_M * (2 * size + 1) % 2**64) + run[done : done + len(out)]
             done += size
         size *= 2
         if size > q:
             return mix64(out)
         half = size // 2
-        run = run[: len(run) - half] * (_M + np.uint64(2 * size)) + run[half:]
+        run = run[: len(run) - half] * np.uint64((_M + 2 * size) % 2**64) + run[half:]
 
 
 def budget(n: int, params: LeakParams) -> int:
@@ -106,7 +106,7 @@ class Benchmark:
             return []
         entry = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         item = self.item[entry]
-        diagonal = np.repeat(at, counts) - self.place[entry] + len(points) * 0
+        diagonal = np.repeat(at, counts) - self.place[entry] 
         width = self.budgets[item] + 1
         shift = np.int64(1) << np.int64(40)
         base = np.floor_divide(diagonal, width)
@@ -169,19 +169,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: L
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    schema = docs.select(*keep).schema.simpleString()[7:-1]
     found_type = "array<struct<item_id:bigint,edits:bigint,end:bigint>>"
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // params.block_chars))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("end", pa.int64())]))
 
-    def searcher(shared, width):
+    carried = keep if "text" in keep else [*keep, "_text"]
+    at = keep.index("text") if "text" in keep else len(keep)
+
+    def searcher(shared):
         def run(batches):
             index = Benchmark(shared.value, params)
             for batch in batches:
-                before = batch.column(width).to_pylist()
+                before = batch.column(len(carried)).to_pylist()
                 out = []
-                for text, known in zip(batch.column(width + 1).to_pylist(), before, strict=True):
+                for text, known in zip(batch.column(at).to_pylist(), before, strict=True):
                     best = {x["item_id"]: (x["edits"], x["end"]) for x in known or ()}
                     if text:
                         points, _ = code_points([text])
@@ -195,13 +197,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: L
                             if got is not None and (key not in best or got < best[key]):
                                 best[key] = got
                     out.append([{"item_id": i, "edits": e, "end": at} for i, (e, at) in sorted(best.items())])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, kind), batch.column(width + 1)], [*keep, "leaks", "_text"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(out, kind)], [*carried, "leaks"])
 
         return run
 
-    rows = docs.select(*keep, F.array().cast(found_type).alias("leaks"), F.col("text").alias("_text"))
+    rows = docs.select(*keep, *[F.col("text").alias("_text")] * ("text" not in keep))
+    schema = rows.schema.simpleString()[7:-1]
+    rows = rows.withColumn("leaks", F.array().cast(found_type))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # block_chars in expectation
-        rows = rows.mapInArrow(searcher(shared, len(keep)), f"{schema}, leaks {found_type}, _text string")
+        rows = rows.mapInArrow(searcher(shared), f"{schema}, leaks {found_type}")
     return rows.drop("_text")

@@ -216,6 +216,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
     """
     shared = docs.sparkSession.sparkContext.broadcast((load_pieces(model.params.vocabulary), model.languages, model.priors, model.logs))
     schema = docs.select(*keep).schema.simpleString()[7:-1]
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches):
         pieces, languages, priors, logs = shared.value
@@ -223,7 +224,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
         row_of: dict[str, int] = {}
         table = np.zeros((0, len(languages)))
         for batch in batches:
-            texts = [t.split() if languages and t and any(map(str.isalpha, t)) else None for t in batch.column(len(keep)).to_pylist()]
+            texts = [t.split() if languages and t and any(map(str.isalpha, t)) else None for t in batch.column(at).to_pylist()]
             if len(row_of) > CACHE:
                 row_of, table = {}, table[:0]
             new = list(dict.fromkeys(w for words in texts for w in words or () if w not in row_of))
@@ -242,7 +243,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
                 scores.append(1.0 / float(np.exp(total - total[top]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(named), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*keep, *[F.col("text").alias("_text")] * ("text" not in keep)).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def in_fold(doc_id: Column, parts: int, fold: int) -> Column:

@@ -164,19 +164,19 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """The mix itself: each take as a row with the columns of ``docs``, the text cut to the words taken,
-    n_chars to match, and pass, n_words, shard and position (from 0, shuffled within the shard).
+    """The mix itself: each take as a row with the columns of ``docs``, a text of which only some words are taken cut
+    to these, joined by one space, n_chars to match, and pass, n_words, shard and position (from 0, shuffled within the shard).
 
     ``docs`` has doc_id, text, source and n_chars; its doc_ids are unique (rows of one id would share
     their takes). Documents of which nothing is taken are not in it.
     """
-    plan = mix(docs, params).where(F.size("takes") > 0).select(F.col("doc_id").alias("_id"), "takes")
+    plan = mix(docs, params).select(F.col("doc_id").alias("_id"), F.explode("takes").alias("_take"))
+    place = F.row_number().over(Window.partitionBy("_take.shard").orderBy("_take.key", "_id")) - 1
+    plan = plan.withColumn("_position", place.cast("bigint"))  # shards hold a bounded number of blocks
     rows = docs.join(plan, F.col("doc_id") == F.col("_id")).drop("_id")
-    rows = rows.select(*docs.columns, F.explode("takes").alias("_take"))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_take.n_words").cast("int")), " ")
     whole = F.col("_take.n_words") >= word_count(F.col("text"))
-    head = F.concat(F.lit(r"^([\x20\x09-\x0D]*"), F.lit(WORD), F.lit("){"), F.col("_take.n_words").cast("string"), F.lit("}"))
-    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_substr("text", head)))
+    rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(head))
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
-    position = F.row_number().over(Window.partitionBy(F.col("_take.shard")).orderBy(F.col("_take.key"), "doc_id")) - 1
     own = [c for c in docs.columns if c not in ("pass", "n_words", "shard", "position")]
-    return rows.select(*own, F.col("_take.pass").alias("pass"), F.col("_take.n_words").alias("n_words"), F.col("_take.shard").alias("shard"), position.cast("bigint").alias("position"))
+    return rows.select(*own, F.col("_take.pass").alias("pass"), F.col("_take.n_words").alias("n_words"), F.col("_take.shard").alias("shard"), F.col("_position").alias("position"))

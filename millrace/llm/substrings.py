@@ -274,42 +274,53 @@ def _search_shards(params: SubstringParams):
     return run
 
 
-def _remove(window: int, keep_text: bool):
-    """Apply the removed windows to the texts; sha256 and counts, or the kept text as well."""
-
+def keep_words(text: str | None, runs: list[dict] | None, window: int) -> tuple[int, list[bytes]]:
+    """(number of words, words that no removed window covers)."""
+    words = (text or "").encode().split()
+    n = len(words)
+    if runs:
+        gone = np.zeros(n + 1, np.int64)
+        at = np.array([(r["start"], r["start"] + r["n"] + window - 1) for r in runs], np.int64)
+        np.add.at(gone, np.minimum(at[:, 0], n), 1)
+        np.add.at(gone, np.minimum(at[:, 1], n), -1)
+        words = [w for w, g in zip(words, np.cumsum(gone).tolist(), strict=False) if not g]
+    return n, words
+
+
+def _digests(window: int):
     def run(batches):
         for batch in batches:
             out = []
             for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = (text or "").encode().split()
-                n = len(words)
-                if runs:
-                    gone = np.zeros(n + 1, np.int64)
-                    at = np.array([(r["start"], r["start"] + r["n"] + window - 1) for r in runs], np.int64)
-                    np.add.at(gone, np.minimum(at[:, 0], n), 1)
-                    np.add.at(gone, np.minimum(at[:, 1], n), -1)
-                    words = [w for w, g in zip(words, np.cumsum(gone).tolist(), strict=False) if not g]
-                kept = b" ".join(words)
-                out.append((doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if keep_text else [])))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())[: 4 + keep_text]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], names)
+                n, words = keep_words(text, runs, window)
+                out.append((doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(), keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) for each row of ``docs`` (doc_id, text).
+def _cut_texts(window: int, at: int, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                texts.append(b" ".join(keep_words(text, runs, window)[1]).decode() if runs else text)
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    Every word goes that is covered by a window whose words also start earlier: in a smaller doc_id, or before in
-    the same document. Windows are judged on the input, not on what is left. Null and empty
-    texts have no words; the kept words are joined by one space. Rows of one doc_id count as one
-    document: equal ones are treated alike, and different ones share their removals by place. Null ids come
-    before all others and are one document. An empty table gives no rows; other columns are ignored.
-    """
+    return run
+
+
+NO_ID = -(2**63)
+
+
+def with_removals(docs: DataFrame, params: SubstringParams) -> DataFrame:
+    """``docs`` with ``_runs``, the windows (start, n) to remove: n windows from word ``start`` on; null without any."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), "text")
-    plain = docs.where("text IS NOT NULL")
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    plain = docs.where("text IS NOT NULL").select(own.alias("doc_id"), "text")
     hot = spark.sparkContext.broadcast(_crowded(plain, params))
     rows = plain.mapInArrow(_deal_spans(hot, params), "kind tinyint, key bigint, content bigint, doc_id bigint, place bigint")
     dealt = rows.repartition("key").sortWithinPartitions("kind", "key", "content", "doc_id", "place")
@@ -324,7 +335,27 @@ def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams(),
         shards = max(spark.sparkContext.defaultParallelism, -(-words // params.shard_words))
         found = cut.repartition(int(shards), "key").sortWithinPartitions("key").mapInArrow(_search_shards(params), "doc_id bigint, start int, n int")
         removed = removed.unionByName(materialise(found, "index-matches"))
-    runs = removed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    out = docs.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(_remove(params.window, keep_text), schema)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
+    runs = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    return docs.join(runs, own == F.col("_id"), "left").drop("_id")
+
+
+def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs`` (doc_id, text).
+
+    Every word goes that is covered by a window whose words also start earlier: in a smaller doc_id, or before in
+    the same document. Windows are judged on the input, not on what is left. Null and empty
+    texts have no words; the kept words are joined by one space. Rows of one doc_id count as one
+    document: equal ones are treated alike, and different ones share their removals by place. Null ids come
+    before all others and are one document. An empty table gives no rows; other columns are ignored.
+    """
+    rows = with_removals(docs.select("doc_id", "text"), params).select("doc_id", "text", "_runs")
+    return rows.mapInArrow(_digests(params.window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars and others) with the words of ``remove_repeats`` cut from the texts, and n_chars to
+    match. A text that loses words has single spaces between the others; one that loses none is left as it is."""
+    names = docs.columns
+    rows = with_removals(docs, params).select(*names, "_runs")
+    cut = rows.mapInArrow(_cut_texts(params.window, names.index("text"), names), docs.schema)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in names else cut
