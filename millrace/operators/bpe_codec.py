@@ -7,6 +7,7 @@ costs one pass over the text at any size, and hot words cost nothing extra.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,12 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.byte_symbols import BYTE_IDS, FIRST_MERGE_ID, UNKNOWN_ID
+from millrace.functions.byte_symbols import BYTE_IDS, BYTE_SYMBOLS, FIRST_MERGE_ID, UNKNOWN, UNKNOWN_ID
 from millrace.functions.merging import RankTable, merge_words, take_runs
 from millrace.functions.text import words
 from millrace.operators.bpe_train import MAX_VOCABULARY, Merge, vocabulary
+from millrace.sources.paths import readable, resolve_files, write_file
 
 WORD_CACHE = 500_000  # distinct words one Python worker remembers
+LARGEST_JSON = 256 << 20  # bytes of a vocabulary file, which the driver reads
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,30 @@ class Tokenizer:
         rows = table.orderBy("rank").collect()
         return cls([Merge(r["rank"], r["l"], r["r"], r["new_id"], r["cnt"]) for r in rows])
 
+    def save_json(self, spark: SparkSession, path: str, overwrite: bool = False) -> None:
+        """The vocabulary and merges as one JSON file in the form of the public tokenizer library."""
+        tokens = dict(vocabulary(self.merges))
+        model = {
+            "type": "BPE", "unk_token": UNKNOWN, "vocab": {token: i for i, token in tokens.items()},
+            "merges": [[tokens[m.left], tokens[m.right]] for m in self.merges],
+        }
+        pieces = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        special = {"id": UNKNOWN_ID, "content": UNKNOWN, "special": True, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+        content = {"version": "1.0", "added_tokens": [special], "pre_tokenizer": pieces, "decoder": pieces, "model": model}
+        write_file(spark, path, json.dumps(content, ensure_ascii=False), overwrite)
+
+    @classmethod
+    def load_json(cls, spark: SparkSession, path: str) -> Tokenizer:
+        """From such a file. Its ids must be those of this byte alphabet: the unknown token, the bytes in order, merges."""
+        files = resolve_files(spark, path)
+        if len(files) != 1 or files[0][1] > LARGEST_JSON:
+            raise ValueError(f"{path} must be one file of at most {LARGEST_JSON} bytes")
+        model = json.loads(spark.read.text(readable(files[0][0]), wholetext=True).first()[0])["model"]
+        vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if vocab.get(UNKNOWN) != UNKNOWN_ID or any(vocab.get(s) != i for s, i in zip(BYTE_SYMBOLS, BYTE_IDS, strict=True)):
+            raise ValueError(f"{path} does not number the unknown token and the byte alphabet from 0 in order")
+        return cls([Merge(rank, vocab[a], vocab[b], vocab[a + b], 0) for rank, (a, b) in enumerate(merges)])
+
     def encode(self, text: Column) -> Column:
         """``array<int>`` of ids; text is pre-tokenised whole."""
         return _encoder(self)(F.array(words(text)))[0]
@@ -89,8 +116,9 @@ def _encoder(tokenizer: Tokenizer):
         unseen = [w for w in found if w not in cache]
         fresh = dict(zip(unseen, encode_words(unseen, shared.value)))
         known = [fresh[w] if w in fresh else cache[w] for w in found]
-        if len(cache) + len(fresh) <= WORD_CACHE:
-            cache.update(fresh)
+        if len(cache) + len(fresh) > WORD_CACHE:
+            cache.clear()
+        cache.update((w, ids) for w, ids in fresh.items() if len(ids) <= 256)  # long words seldom come again
         lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
         flat = np.frombuffer(b"".join(known), np.int32)
         pick = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -161,10 +161,15 @@ def conversation_messages(turns: DataFrame) -> DataFrame:
 
 
 def require_messages(rows: DataFrame) -> DataFrame:
-    """(ord, messages) of converted rows; a row without messages fails the job."""
-    raw = json_field(F.col("row"), "messages")
-    messages = F.try_variant_get(raw, "$", "array<struct<role string, content string>>")
-    return rows.select("ord", F.coalesce(messages, F.raise_error(F.lit("row without messages"))).alias("messages"))
+    """(ord, messages) of converted rows; a row without messages, or with a turn whose role or content is no
+    string, fails the job."""
+    turns = items(json_field(F.col("row"), "messages"))
+    text = lambda t, name: string_value(field(t, name))
+    bad = F.exists(turns, lambda t: text(t, "role").isNull() | text(t, "content").isNull())
+    messages = F.transform(turns, lambda t: F.struct(text(t, "role").alias("role"), text(t, "content").alias("content")))
+    checked = F.when(~bad, messages).otherwise(
+        F.raise_error(F.when(turns.isNull(), "row without messages").otherwise("a message needs a role and a content, both strings")))
+    return rows.select("ord", checked.alias("messages"))
 
 
 def supervise(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:

@@ -38,7 +38,7 @@ def cuts(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFram
 
     ``wanted`` is (key, n), maybe with several n for a key. A key with fewer rows is cut at
     its last row; n < 1 or a key without rows gives no row. The result is as small as
-    ``wanted``, so that joining it to the rows is a broadcast that the file size allows.
+    ``wanted``, one row for each source of a specification, so it is broadcast to the rows.
     """
     counts = bucket_counts(rows, key, order, bucket)
     edges = counts.join(wanted.select(key, "n"), key).where(F.col("_before") < F.col("n"))
@@ -48,7 +48,7 @@ def cuts(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFram
     slim = rows.select(key, F.col(order).alias("_at"), bucket.alias("_bucket"))
     rank = F.row_number().over(Window.partitionBy(key, "n").orderBy("_at"))
     partial = (
-        slim.join(split, [key, "_bucket"])
+        slim.join(F.broadcast(split), [key, "_bucket"])
         .withColumn("taken", rank + F.col("_before"))
         .where(F.col("taken") == F.col("n"))
         .select(key, "n", F.col("_at").alias("cut"), "taken")
@@ -60,7 +60,7 @@ def cuts(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFram
 def take_first(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFrame) -> DataFrame:
     """The first ``n`` rows of every key in ``order``; keys not in ``wanted`` are dropped."""
     found = cuts(rows, key, order, bucket, wanted).select(key, "cut")
-    return rows.join(found, key).where(F.col(order) <= F.col("cut")).drop("cut")
+    return rows.join(F.broadcast(found), key).where(F.col(order) <= F.col("cut")).drop("cut")
 
 
 def take_between(rows: DataFrame, key: str, order: str, bucket: Column, wanted: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def take_between(rows: DataFrame, key: str, order: str, bucket: Column, wanted:
     high = found.withColumnRenamed("cut", "_high")
     span = materialise(wanted.join(high, [key, "n"]).join(low, [key, "skip"], "left").select(key, "_low", "_high"), "spans")
     inside = (F.col(order) <= F.col("_high")) & (F.col("_low").isNull() | (F.col(order) > F.col("_low")))
-    return rows.join(span, key).where(inside).drop("_low", "_high")
+    return rows.join(F.broadcast(span), key).where(inside).drop("_low", "_high")
 
 
 def limit_rows(rows: DataFrame, n: int, order: str = "ord") -> DataFrame:
@@ -79,4 +79,6 @@ def limit_rows(rows: DataFrame, n: int, order: str = "ord") -> DataFrame:
     spark = rows.sparkSession
     wanted = spark.range(1).select(F.lit(0).alias("_all"), F.lit(max(1, n)).cast("bigint").alias("n"))
     keyed = rows.withColumn("_all", F.lit(0))
-    return take_first(keyed, "_all", order, ord_bucket(F.col(order)), wanted).drop("_all")
+    cut = cuts(keyed, "_all", order, ord_bucket(F.col(order)), wanted).first()
+    # One value, so it can be a literal that the scan filters by.
+    return rows.where(F.col(order) <= cut["cut"]) if cut is not None else rows.where(F.lit(False))

@@ -46,6 +46,9 @@ class TokenizerSpec:
             raise ValueError("a tokenizer specification needs raw_datasets")
         if values.get("path") is None:
             raise ValueError("a tokenizer specification needs a path")
+        unknown = set(values) - {*DEFAULTS, "raw_datasets", "train_datasets", "path"}
+        if unknown:
+            raise ValueError(f"unknown keys in a tokenizer specification: {', '.join(sorted(unknown))}")
         given = {k: values[k] for k in DEFAULTS if k in values}
         return cls([CorpusSpec(**c) for c in corpora], values["path"], **given)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.functions.text import not_blank
 from millrace.operators.chat import truthy
@@ -35,9 +36,11 @@ def normalise_json(rows: DataFrame, dataset: Column | str, text_column: str = "t
 def normalise_columns(rows: DataFrame, dataset: Column | str, text_column: str = "text") -> DataFrame:
     """The same for tabular rows, which carry no metadata."""
     label = F.lit(dataset) if isinstance(dataset, str) else dataset
+    is_text = text_column in rows.columns and isinstance(rows.schema[text_column].dataType, StringType)
+    text = F.col(f"`{text_column}`") if is_text else F.lit(None).cast("string")  # numbers are no text
     own = F.nullif(F.col("source").cast("string"), F.lit("")) if "source" in rows.columns else F.lit(None).cast("string")
     return rows.select(
-        "ord", F.col(text_column).alias("text"), label.alias("dataset"), own.alias("source"), F.lit(None).cast("string").alias("metadata")
+        "ord", text.alias("text"), label.alias("dataset"), own.alias("source"), F.lit(None).cast("string").alias("metadata")
     ).where(not_blank(F.col("text")))
 
 

@@ -32,7 +32,7 @@ from millrace.plans.corpus import encode_documents
 from millrace.session import apply_settings, materialise, scratch_path
 from millrace.sinks.outputs import write_sample_jsonl
 from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards
-from millrace.sources.readers import parse_objects, read_lines, read_rows, spread_small, string_field
+from millrace.sources.readers import parse_objects, read_lines, read_rows, spread, string_field
 from millrace.streaming.ingest import append_to, encode_stream, stream_parquet
 
 # Parameters of the registered queries; the oracles use the same values.
@@ -66,12 +66,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, text) for costly per-document work."""
-    return spread_small(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text", "lang", "source")
-    return spread_small(docs, "ord")
+    return spread(docs, "ord")
 
 
 def joined(ids: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,9 @@ from millrace.operators.chat import (
 from millrace.operators.cutoffs import limit_rows
 from millrace.operators.shards import dataset_manifest, plan_shards
 from millrace.session import materialise
-from millrace.sinks.outputs import write_chat_jsonl
-from millrace.sinks.token_shards import write_binary_shards, write_token_table
+from millrace.sinks.outputs import require_free, write_chat_jsonl
+from millrace.sinks.token_shards import write_binary_shards, write_table_meta, write_token_table
+from millrace.sources.paths import write_file
 from millrace.sources.readers import check_source, parse_objects, read_lines, read_rows, read_table
 
 SUPERVISED_SHARD_TOKENS = 50_000_000
@@ -45,10 +47,14 @@ def convert_to_chatml(
     max_examples: int | None = None,
     overwrite: bool = False,
 ) -> DataFrame:
-    """Write ChatML rows; returns the summary (rows_seen, rows_written, rows_skipped)."""
+    """Write ChatML rows and, as ``_summary.json`` among them, the summary; returns it (rows_seen, rows_written, rows_skipped)."""
+    require_free(rows.sparkSession, path, overwrite)
     converted = chat_limit(materialise(convert_chat(rows, source_name, table_name), "chat"), max_examples)
     write_chat_jsonl(converted, path, overwrite)
-    return chat_summary(converted)
+    summary = chat_summary(converted)
+    facts = summary.first().asDict() | {"source": source_name or table_name, "output": path}
+    write_file(rows.sparkSession, f"{path}/_summary.json", json.dumps(facts, indent=2), overwrite=True)
+    return summary
 
 
 def tokenise_chat(
@@ -61,6 +67,7 @@ def tokenise_chat(
     overwrite: bool = False,
 ) -> DataFrame:
     """Encode converted rows (ord, row) with loss masks, shard and write; returns the totals."""
+    require_free(rows.sparkSession, path, overwrite)
     tokens = materialise(supervise(require_messages(rows), tokenizer).select("ord", "ids", "labels"), "chat-tokens")
     if max_documents is not None:
         tokens = limit_rows(tokens, max_documents)
@@ -70,5 +77,6 @@ def tokenise_chat(
         write_binary_shards(placed, plan.manifest(), path, choose_dtype(tokenizer.vocab_size), tokenizer.vocab_size, overwrite)
     else:
         write_token_table(placed, path, overwrite)
+        write_table_meta(rows.sparkSession, path, plan.manifest(), choose_dtype(tokenizer.vocab_size), tokenizer.vocab_size)
     supervised = tokens.agg(F.coalesce(F.sum(supervised_count(F.col("labels"))), F.lit(0)).alias("n")).first().n
     return dataset_manifest(plan.manifest()).withColumn("supervised_tokens", F.lit(supervised).cast("bigint"))

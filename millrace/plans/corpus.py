@@ -15,7 +15,8 @@ from millrace.operators.quota import CorpusSpec, TokenizerSpec, mixed_corpus, qu
 from millrace.operators.samples import enough_files
 from millrace.operators.shards import ShardPlan, plan_shards
 from millrace.session import materialise
-from millrace.sinks.token_shards import write_binary_shards, write_token_table
+from millrace.sinks.outputs import require_free
+from millrace.sinks.token_shards import write_binary_shards, write_table_meta, write_token_table
 from millrace.sources.paths import resolve_paths
 from millrace.sources.readers import parse_objects, read_lines, read_rows, read_table, read_text, string_field
 
@@ -49,11 +50,13 @@ def tokenise_corpus(
 ) -> DataFrame:
     """Encode, shard and write a corpus; returns the shard manifest."""
     dtype = choose_dtype(tokenizer.vocab_size, dtype)
+    require_free(documents.sparkSession, path, overwrite)
     tokens, plan = shard_tokens(encode_documents(documents, tokenizer, max_documents), shard_tokens_limit)
     if binary:
         write_binary_shards(tokens, plan.manifest(), path, dtype, tokenizer.vocab_size, overwrite)
     else:
         write_token_table(tokens, path, overwrite)
+        write_table_meta(documents.sparkSession, path, plan.manifest(), dtype, tokenizer.vocab_size)
     return plan.manifest().withColumn("dtype", F.lit(dtype))
 
 
@@ -71,7 +74,7 @@ def read_corpus(spark: SparkSession, corpus: CorpusSpec, wanted: int) -> DataFra
         )
         valid = lambda paths: lines(paths).where(not_empty(F.col("text"))).count()
         files = resolve_paths(spark, corpus.path)
-        rows = lines(files if len(files) == 1 else enough_files(files, wanted, valid))
+        rows = lines(enough_files(files, wanted, valid))
     elif corpus.kind == "parquet":
         rows = read_rows(spark, corpus.path, [corpus.text_column]).withColumnRenamed(corpus.text_column, "text")
     else:
@@ -83,6 +86,7 @@ def read_corpus(spark: SparkSession, corpus: CorpusSpec, wanted: int) -> DataFra
 def train_tokenizer(spark: SparkSession, spec: TokenizerSpec, overwrite: bool = False) -> Tokenizer:
     """Take each source's quota, count words, learn merges and save the tables."""
     validate_corpora(spec.corpora)
+    require_free(spark, spec.path, overwrite)
     wanted = {r.source: r.n for r in quotas(spark, spec.corpora, spec.max_documents).collect()}  # one row per source
     documents = reduce(DataFrame.unionByName, [read_corpus(spark, c, wanted[c.name]) for c in spec.corpora])
     counts = materialise(word_counts(mixed_corpus(documents, spec)), "word-counts")

@@ -17,9 +17,9 @@ from millrace.operators.samples import (
     skip_known,
 )
 from millrace.session import materialise
-from millrace.sinks.outputs import prepare_output, write_sample_jsonl
-from millrace.sources.paths import exists, resolve_paths
-from millrace.sources.readers import parse_objects, read_lines, read_rows
+from millrace.sinks.outputs import write_sample_jsonl
+from millrace.sources.paths import children, delete, exists, resolve_paths
+from millrace.sources.readers import parse_objects, read_lines, read_rows, read_table
 from millrace.sources.registry import CorpusSource, source
 
 SUMMARY_SCHEMA = "section string, name string, path string, rows bigint, target bigint"
@@ -39,9 +39,18 @@ def valid_rows(spark: SparkSession, corpus: CorpusSource, paths: list[str]) -> D
         return normalise_json(parse_objects(read_lines(spark, paths)), corpus.name, corpus.text_column)
     if corpus.kind == "parquet":
         return normalise_columns(read_rows(spark, paths, [corpus.text_column, *corpus.extra_columns]), corpus.name, corpus.text_column)
+    if corpus.kind == "table":
+        return normalise_columns(read_table(spark, corpus.table, columns=[corpus.text_column, *corpus.extra_columns]), corpus.name, corpus.text_column)
     raise ValueError(f"unsupported source kind: {corpus.kind}")
 
 
+def drop_unfinished(spark: SparkSession, path: str) -> None:
+    """Remove parts of a sample whose job did not end: they carry no commit mark."""
+    for part in children(spark, path):
+        if part.startswith("from-") and not exists(spark, f"{path}/{part}/_SUCCESS"):
+            delete(spark, f"{path}/{part}")
+
+
 def _copy_seed(spark: SparkSession, root: str, name: str, target: int) -> int:
     """Start from the largest existing sample of exactly this name below the target."""
     path = sample_path(root, name, target)
@@ -69,15 +78,18 @@ def _copy_seed(spark: SparkSession, root: str, name: str, target: int) -> int:
 def extend_sample(spark: SparkSession, root: str, name: str, target: int, corpus_root: str) -> tuple[str, int]:
     """Append valid rows until the sample has ``target`` of them; what exists is never cut."""
     corpus, path = source(name), sample_path(root, name, target)
+    drop_unfinished(spark, path)
     existing = _copy_seed(spark, root, name, target)
     if existing >= target:
         return path, existing
     files, skip = skip_known(corpus.paths(corpus_root), corpus.known_counts, existing)
-    files = enough_files(files, target - existing + skip, lambda some: valid_rows(spark, corpus, some).count())
-    if files:
+    if corpus.kind != "table":
+        files = enough_files(files, target - existing + skip, lambda some: valid_rows(spark, corpus, some).count())
+    if files or corpus.kind == "table":
         already = spark.range(1).select(F.lit(name).alias("dataset"), F.lit(skip).cast("bigint").alias("existing"))
         new = missing_rows(valid_rows(spark, corpus, files), already, target - existing + skip)
-        write_sample_jsonl(new, f"{path}/from-{existing:012d}")
+        # An empty part of this number may be left by a run that found no rows.
+        write_sample_jsonl(new, f"{path}/from-{existing:012d}", overwrite=True)
     return path, count_rows(spark, path)
 
 
@@ -91,9 +103,8 @@ def extend_samples(spark: SparkSession, root: str, names: list[str], target: int
     if rebuild_mix:
         mixed_path = f"{root.rstrip('/')}/pretrain/mixed_pretrain_sample"
         mixed = mix([read_lines(spark, path) for _, path, _ in done])
-        prepare_output(spark, mixed_path, overwrite=True)
         ordered = mixed.repartitionByRange("src_ord", "ord").sortWithinPartitions("src_ord", "ord")
-        ordered.select("line").write.text(mixed_path)
+        ordered.select("line").write.mode("overwrite").text(mixed_path)
         rows.append(("pretrain", "mixed_pretrain", mixed_path, sum(count for *_, count in done), None))
     return update_summary(spark, root, spark.createDataFrame(rows, SUMMARY_SCHEMA))
 

@@ -20,7 +20,11 @@ from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas
 
 
 def parse_mixture(values: dict) -> tuple[dict[str, str], list[MixtureSource], list[MixtureSource]]:
-    """(paths by name, training sources, evaluation sources); evaluation defaults to training."""
+    """(paths by key, training sources, evaluation sources); evaluation defaults to training.
+
+    A source's key is its name, or the name and a number where entries of that name have other paths
+    or stand in one list twice; so a training and an evaluation entry of one name keep their own data.
+    """
     if not values.get("train_datasets"):
         raise ValueError("a mixture needs train_datasets")
     train = values["train_datasets"]
@@ -28,8 +32,21 @@ def parse_mixture(values: dict) -> tuple[dict[str, str], list[MixtureSource], li
     for item in [*train, *evaluate]:
         if not item.get("tokenized_path"):
             raise ValueError(f"a source needs a tokenized_path: {item.get('name')}")
-    as_sources = lambda items: validate_mixture([MixtureSource(i["name"], i.get("weight", 1.0)) for i in items])
-    return {i["name"]: i["tokenized_path"] for i in [*train, *evaluate]}, as_sources(train), as_sources(evaluate)
+    paths: dict[str, str] = {}
+
+    def as_sources(items: list[dict]) -> list[MixtureSource]:
+        out: list[MixtureSource] = []
+        for item in items:
+            key, number = item["name"], 1
+            while paths.get(key, item["tokenized_path"]) != item["tokenized_path"] or key in [s.name for s in out]:
+                number += 1
+                key = f"{item['name']}#{number}"
+            paths[key] = item["tokenized_path"]
+            out.append(MixtureSource(key, item.get("weight", 1.0)))
+        return validate_mixture(out)
+
+    sources = as_sources(train)
+    return paths, sources, as_sources(evaluate)
 
 
 def load_datasets(

@@ -32,13 +32,19 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` if set.
 
-    Only a session without one (tests) gets a local folder.
+    Only a local session, whose executor is the driver itself, gets a folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

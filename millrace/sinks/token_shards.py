@@ -14,11 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.merging import take_runs
-from millrace.sinks.outputs import prepare_output
+from millrace.sinks.outputs import clear, require_free, save_mode
+from millrace.sources.paths import children, exists, metadata_name, qualified, readable, write_file
 
 # Element types of the binary files.
 TOKEN_TYPES = {"uint16": "<u2", "uint32": "<u4"}
@@ -31,16 +32,52 @@ SPAN_TOKENS = 1 << 20  # tokens fetched by one read
 TASK_TOKENS = 100_000_000  # tokens written by one task, about one full shard
 
 
+# Hadoop schemes and those of the same stores in Arrow.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-    return pafs.LocalFileSystem(), path
+    """(file system, path in it) of a qualified path, as ``shard_root`` gives it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    if scheme not in SCHEMES:
+        raise ValueError(f"binary shards cannot be kept on {scheme}: {path}")
+    return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{metadata_name(rest)}")
+
+
+def shard_root(spark: SparkSession, path: str) -> str:
+    """One spelling for the driver's checks, the writing tasks and the reading tasks."""
+    root = qualified(spark, path)
+    _open(root)
+    return root
 
 
 def write_token_table(tokens: DataFrame, path: str, overwrite: bool = False) -> None:
     """(ord, ids[, labels], shard_id) partitioned by shard, without moving rows first."""
-    prepare_output(tokens.sparkSession, path, overwrite)
-    tokens.write.partitionBy("shard_id").parquet(path)
+    require_free(tokens.sparkSession, path, overwrite)
+    tokens.write.mode(save_mode(overwrite)).partitionBy("shard_id").parquet(path)
+
+
+def write_table_meta(spark: SparkSession, path: str, manifest: DataFrame, dtype: str, vocab_size: int, tokenizer: str | None = None) -> None:
+    """The facts of a token table beside it: its shards as a table and one row about all of it."""
+    manifest.write.mode("overwrite").parquet(f"{path}/_shards")
+    facts = {"dtype": dtype, "tokenizer_vocab_size": vocab_size, "tokenizer": tokenizer}
+    write_file(spark, f"{path}/_{DATASET_META}", json.dumps(facts, indent=2), overwrite=True)
+
+
+def read_token_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, tokens) of a token table: (shard_id, num_tokens, num_docs) and (shard_id, ord, tok_start, ids[, labels]).
+
+    Shards are partitions, so a filter on shard_id reads only their files.
+    """
+    if not exists(spark, f"{path}/_{DATASET_META}"):
+        raise FileNotFoundError(f"token dataset not found: {path}")
+    tokens = spark.read.parquet(path)
+    length = F.size("ids").cast("bigint")
+    before = Window.partitionBy("shard_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.withColumn("tok_start", F.coalesce(F.sum(length).over(before), F.lit(0).cast("bigint")))
+    return spark.read.parquet(f"{path}/_shards"), placed.withColumn("shard_id", F.col("shard_id").cast("int"))
 
 
 class _ShardFiles:
@@ -78,6 +115,8 @@ class _ShardFiles:
             out.write(json.dumps(meta, indent=2).encode())
         # A repeated task replaces the files of the first one with the same bytes.
         for k, path in self.temp.items():
+            if self.fs.get_file_info(self.final[k]).type == pafs.FileType.File:  # not every store replaces on a move
+                self.fs.delete_file(self.final[k])
             self.fs.move(path, self.final[k])
         return self.tokens, self.docs
 
@@ -91,7 +130,8 @@ def write_binary_shards(
     through it in Arrow batches. ``manifest`` (shard_id, num_tokens) sets the number of tasks.
     """
     spark = tokens.sparkSession
-    prepare_output(spark, path, overwrite)
+    clear(spark, path, overwrite)
+    path = shard_root(spark, path)
     fs, base = _open(path)
     fs.create_dir(base, recursive=True)
     labelled = "labels" in tokens.columns
@@ -149,24 +189,26 @@ def _write_dataset_meta(tokens: DataFrame, rows: list, path: str, dtype: str, vo
 
 
 def read_shard_metas(spark: SparkSession, path: str) -> DataFrame:
-    """(shard_id, tokens, labels, dtype, label_dtype, num_tokens, num_docs), numbered by file name.
+    """(shard_id, tokens, labels, dtype, label_dtype, num_tokens, num_docs); the id is the number in the meta file's name.
 
-    File names default to the name of the meta file. A missing path, a path without shards or
-    an unknown element type raises.
+    File names default to the name of the meta file. A missing path, a path without shards, a meta file that cannot
+    be read or lacks its type or counts, or an unknown element type raises.
     """
-    fs, base = _open(path)
-    if fs.get_file_info(base).type == pafs.FileType.NotFound:
+    path = shard_root(spark, path)
+    if not exists(spark, path):
         raise FileNotFoundError(f"token dataset not found: {path}")
-    found = fs.get_file_info(pafs.FileSelector(base))
-    names = sorted(i.base_name for i in found if i.base_name.endswith(META_SUFFIX) and i.base_name != DATASET_META)
+    names = [n for n in children(spark, path) if n.endswith(META_SUFFIX) and n != DATASET_META]
     if not names:
         raise FileNotFoundError(f"no *{META_SUFFIX} files in {path}")
-    numbers = spark.createDataFrame(list(enumerate(names)), "shard_id int, meta string")
+    # Names of other writers may have no number; they are counted off in order.
+    own = {n: int(n.removesuffix(META_SUFFIX)) for n in names if n.removesuffix(META_SUFFIX).isdigit()}
+    ids = own if len(own) == len(names) and len(set(own.values())) == len(names) else {n: i for i, n in enumerate(names)}
+    numbers = spark.createDataFrame([(i, metadata_name(n)) for n, i in ids.items()], "shard_id int, meta string")
     schema = (
         "dtype string, label_dtype string, num_tokens bigint, num_docs bigint,"
         " files struct<tokens: string, labels: string, index: string>"
     )
-    raw = spark.read.text([f"{path}/{n}" for n in names], wholetext=True)
+    raw = spark.read.text([readable(f"{path}/{n}") for n in names], wholetext=True)
     metas = raw.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("meta"), F.from_json("value", schema).alias("m"))
     stem = F.regexp_replace("meta", r"\.meta\.json$", "")
     metas = metas.join(numbers, "meta").select(
@@ -174,6 +216,9 @@ def read_shard_metas(spark: SparkSession, path: str) -> DataFrame:
         *[F.concat(F.lit(f"{path}/"), F.coalesce(F.col(f"m.files.{k}"), F.concat(stem, F.lit(f".{k}")))).alias(k) for k in ("tokens", "labels")],
         "m.dtype", F.coalesce("m.label_dtype", F.lit("int32")).alias("label_dtype"), "m.num_tokens", "m.num_docs",
     )
+    broken = metas.where(F.col("dtype").isNull() | F.col("num_tokens").isNull() | (F.col("num_tokens") < 0)).select("tokens").first()
+    if broken is not None:
+        raise ValueError(f"the meta file beside {broken[0]} cannot be read, or has no dtype or num_tokens")
     for column, known in (("dtype", TOKEN_TYPES), ("label_dtype", LABEL_TYPES)):
         odd = metas.where(~F.col(column).isin(*known)).select(column).first()
         if odd is not None:

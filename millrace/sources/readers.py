@@ -14,17 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from millrace.functions.text import not_blank, unify_newlines
-from millrace.sources.paths import file_of_row, resolve_paths
+from millrace.session import materialise
+from millrace.sources.paths import file_of_row, metadata_name, readable, resolve_files, resolve_paths
 
 FILE_SHIFT = 40  # up to 2**40 rows in a file and 2**23 files
-FILE_LIST_BROADCAST = 200_000
-SPREAD_BYTES = 256 << 20
+LONGEST_TEXT = 1 << (FILE_SHIFT - 1)  # bytes of a text file whose lines can be numbered
 
 
 def _file_positions(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, file_idx); a path given twice has two positions and so reads twice."""
-    table = spark.createDataFrame(pd.DataFrame({"file": paths, "file_idx": range(len(paths))}), "file string, file_idx bigint")
-    return F.broadcast(table) if len(paths) <= FILE_LIST_BROADCAST else table
+    """(file, file_idx); a path given twice has two positions and so reads twice.
+
+    The list is the driver's own, of one entry for each file, and goes to every task.
+    """
+    table = pd.DataFrame({"file": [metadata_name(p) for p in paths], "file_idx": range(len(paths))})
+    return F.broadcast(spark.createDataFrame(table, "file string, file_idx bigint"))
 
 
 def _ordered(rows: DataFrame, paths: list[str], position: Column) -> DataFrame:
@@ -39,7 +42,7 @@ def _ordered(rows: DataFrame, paths: list[str], position: Column) -> DataFrame:
 def read_text(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """(ord, text): each whole file is one document, with unified line ends."""
     files = resolve_paths(spark, paths)
-    rows = spark.read.text(sorted(set(files)), wholetext=True)
+    rows = spark.read.text([readable(f) for f in sorted(set(files))], wholetext=True)
     rows = rows.select(file_of_row().alias("file"), unify_newlines(F.col("value")).alias("text"))
     return _ordered(rows, files, F.lit(0)).select("ord", "text")
 
@@ -61,10 +64,15 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
 
     Text files have no row index. A line is placed at twice the byte at which its split
     starts plus its number in the split; as every line has a byte or more, this is unique
-    and rises with the lines. It takes one pass and no shuffle. Files are below 512 GB.
+    and rises with the lines. It takes one pass and no shuffle. The splits of a later scan may
+    differ, so the lines are written once with their places, and all that follows reads these.
     """
-    files = resolve_paths(spark, paths)
-    rows = spark.read.text(sorted(set(files))).select(
+    found = resolve_files(spark, paths)
+    for name, size in found:
+        if size >= LONGEST_TEXT:
+            raise ValueError(f"{name} has {size} bytes; lines are numbered in files below {LONGEST_TEXT} bytes")
+    files = [name for name, _ in found]
+    rows = spark.read.text([readable(f) for f in sorted(set(files))]).select(
         file_of_row().alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
@@ -72,23 +80,22 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     )
     numbered = rows.withColumn("number", _line_of_split(F.xxhash64("file", "start"), "id"))
     placed = numbered.where(not_blank(F.col("line")))
-    return _ordered(placed, files, F.col("start") * 2 + F.col("number")).select("ord", "line")
+    ordered = _ordered(placed, files, F.col("start") * 2 + F.col("number")).select("ord", "line")
+    return materialise(ordered, "lines")
 
 
 def read_rows(spark: SparkSession, paths: str | Iterable[str], columns: list[str] | None = None) -> DataFrame:
     """Parquet rows with ``ord``; ``columns`` prunes the scan."""
     files = resolve_paths(spark, paths)
-    return _with_row_index(spark.read.parquet(*sorted(set(files))), files, columns)
+    return _with_row_index(spark.read.parquet(*[readable(f) for f in sorted(set(files))]), files, columns)
 
 
-def spread_small(rows: DataFrame, key: str) -> DataFrame:
-    """Spread a small input over the cores before costly per-row work.
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Spread rows over the cores before costly per-row work, where they come from few row groups.
 
-    A small file may hold all rows in one row group, which one task reads. Inputs above
-    ``SPREAD_BYTES`` have splits enough and stay where they are, without a shuffle.
+    A row group is read by one task whatever its size. Inputs of many files need no such shuffle.
     """
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def read_table(
