@@ -83,9 +83,13 @@ class FMIndex:
         """One step of backward search: the ranges [low, high) of suffixes, with ``symbol`` before them."""
         return self.less[symbol] + self.tree.rank(symbol, low), self.less[symbol] + self.tree.rank(symbol, high)
 
-    def search(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of the suffixes that begin with the ``length`` symbols of the joined text from each start on."""
+    def search_repeated(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, low, high): of the runs of ``length`` symbols from each start on, those that stand at two places
+        or more, with the range of suffixes that begin with them. A run is given up once its end stands at one place only."""
+        which = np.arange(len(starts))
         low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text), np.int64)
         for i in reversed(range(length)):
-            low, high = self.extend(self.text[starts + i], low, high)
-        return low, high
+            low, high = self.extend(self.text[starts[which] + i], low, high)
+            more = high - low > 1
+            which, low, high = which[more], low[more], high[more]
+        return which, low, high

@@ -13,7 +13,6 @@ minimizer of its own, so no shard grows with one passage's popularity.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,16 +27,16 @@ from millrace.session import materialise
 
 PLACE_BITS = 26  # words of one chunk or document: below 2**26
 SPAN, REMOVED = 0, 1
-MOST_BITS = 24
+SKETCH_BITS = 14
 
 
 @dataclass(frozen=True)
 class SubstringParams:
-    """``window`` words must agree; minimizers are of ``gram`` words. Minimizers with more than about ``most_spans``
-    spans are broken up. ``index_words`` is the size at which an index is built from the shard's spans."""
+    """``window`` words must agree; minimizers are of ``gram`` words. Minimizers with more than ``most_spans``
+    different spans are broken up. ``index_words`` is the size at which an index is built from the shard's spans."""
 
     window: int = 20
-    gram: int = 4
+    gram: int = 5
     most_spans: int = 4000
     index_words: int = 400_000
     shard_words: int = 2_000_000
@@ -124,25 +123,24 @@ def covered(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.n
 
 
 def _crowded(docs: DataFrame, params: SubstringParams) -> np.ndarray | None:
-    """Table of hash buckets of minimizers, true where they have so many spans that they are to be broken up."""
+    """Table of hash buckets of minimizers, true where they have so many spans that they are to be broken up: more than
+    ``most_spans``, and eight times the mean bucket. Equal spans of a batch count once."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    spans = max(1, chars // 50)
-    most = max(params.most_spans, -(-8 * spans // (1 << MOST_BITS)))
-    bits = int(np.clip(math.ceil(math.log2(4 * spans / most + 2)), 8, MOST_BITS))
+    most = max(params.most_spans, -(-8 * (chars // 50) // (1 << SKETCH_BITS)))
 
     def sketch(batches):
-        counts = np.zeros(1 << bits, np.int32)
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             key, _, _, _, _, repeated = batch_spans(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), None, params)
-            counts += np.bincount(_bucket(key[~repeated], counts), minlength=1 << bits).astype(np.int32)
+            counts += np.bincount(_bucket(key[~repeated], counts), minlength=1 << SKETCH_BITS)
         filled = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(counts[filled].astype(np.int64))], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(counts[filled])], ["bucket", "n"])
 
     rows = docs.mapInArrow(sketch, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > most)
     found = [r["bucket"] for r in rows.select("bucket").collect()]
     if not found:
         return None
-    table = np.zeros(1 << bits, bool)
+    table = np.zeros(1 << SKETCH_BITS, bool)
     table[found] = True
     return table
 
@@ -209,6 +207,23 @@ def _out(kind, key, doc, start, count) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["kind", "key", "doc_id", "start", "n"])
 
 
+def _loose_windows(window: int):
+    """The single windows of the asked spans of each document, as spans with the window's hash as key and content."""
+
+    def run(batches):
+        for batch in batches:
+            asked = batch.column(2).to_pylist()
+            for a, _, words in words_of(batch.column(1)):
+                for row in range(len(words.first) - 1):
+                    spans = [np.arange(x["start"], x["start"] + x["n"]) for x in asked[a + row]]
+                    start = np.concatenate(spans).astype(np.int64)
+                    at = start + words.first[row]
+                    hashes = run_hashes(prefix_sums(words.hashes), at, at + window)
+                    yield _emit(SPAN, hashes, hashes, np.full(len(at), batch.column(0)[a + row].as_py(), np.int64), start, np.ones(len(at), np.int64))
+
+    return run
+
+
 def _cut_spans(window: int):
     """Words of the asked spans of each document: (key, doc_id, start, words)."""
 
@@ -231,7 +246,7 @@ def earlier_windows(spans: list[tuple[int, int, bytes]], window: int) -> tuple[n
     counts = np.array([len(s) - window + 1 for s in sequences], np.int64)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = np.repeat(index.first, counts) + offset
-    low, high = index.search(starts, window)
+    which, low, high = index.search_repeated(starts, window)
     # The windows' places in order of (doc_id, start), and the least of each range of equal windows.
     doc = np.repeat(np.array([s[0] for s in spans], np.int64), counts)
     word = np.repeat(np.array([s[1] for s in spans], np.int64), counts) + offset
@@ -242,11 +257,11 @@ def earlier_windows(spans: list[tuple[int, int, bytes]], window: int) -> tuple[n
     by_place = np.full(len(index.text), np.iinfo(np.int64).max)
     by_place[starts] = number
     ranked = np.append(by_place[index.order], np.iinfo(np.int64).max)
-    ranges, which = np.unique(low, return_inverse=True)
+    ranges, of = np.unique(low, return_inverse=True)
     ends = np.empty(len(ranges), np.int64)
-    ends[which] = high
+    ends[of] = high
     least = np.minimum.reduceat(ranked, np.ravel(np.column_stack([ranges, ends])))[::2] if len(ranges) else ranges
-    repeated = number > least[which]
+    repeated = which[number[which] > least[of]]
     return doc[repeated], word[repeated]
 
 
@@ -314,6 +329,8 @@ def _cut_texts(window: int, at: int, names: list[str]):
 
 
 NO_ID = -(2**63)
+SPAN_ROWS = "kind tinyint, key bigint, content bigint, doc_id bigint, place bigint"
+MATCH_ROWS = "kind tinyint, key bigint, doc_id bigint, start int, n int"
 
 
 def with_removals(docs: DataFrame, params: SubstringParams) -> DataFrame:
@@ -322,16 +339,25 @@ def with_removals(docs: DataFrame, params: SubstringParams) -> DataFrame:
     own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     plain = docs.where("text IS NOT NULL").select(own.alias("doc_id"), "text")
     hot = spark.sparkContext.broadcast(_crowded(plain, params))
-    rows = plain.mapInArrow(_deal_spans(hot, params), "kind tinyint, key bigint, content bigint, doc_id bigint, place bigint")
-    dealt = rows.repartition("key").sortWithinPartitions("kind", "key", "content", "doc_id", "place")
-    matched = materialise(dealt.mapInArrow(_match_spans(params), "kind tinyint, key bigint, doc_id bigint, start int, n int"), "matched-spans")
+    order = lambda rows: rows.repartition("key").sortWithinPartitions("kind", "key", "content", "doc_id", "place")
+    rows = plain.mapInArrow(_deal_spans(hot, params), SPAN_ROWS)
+    matched = materialise(order(rows).mapInArrow(_match_spans(params), MATCH_ROWS), "matched-spans")
 
     asked = matched.where(F.col("kind") == SPAN)
-    words = asked.agg(F.sum(F.col("n") + params.window - 1)).first()[0] or 0
     removed = matched.where(F.col("kind") == REMOVED).select("doc_id", "start", "n")
+    with_asked = lambda rows: plain.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked")), "doc_id").select("doc_id", "text", "asked")
+
+    # Keys with too many different spans for one index: their windows are matched by hash alone.
+    crowded = materialise(asked.groupBy("key").agg(F.count("*").alias("spans"), F.sum(F.col("n") + params.window - 1).alias("words")), "asked-keys")
+    loose = crowded.where(F.col("spans") > params.most_spans).select("key")
+    if loose.limit(1).count():
+        windows = with_asked(asked.join(loose, "key", "left_semi")).mapInArrow(_loose_windows(params.window), SPAN_ROWS)
+        found = order(windows).mapInArrow(_match_spans(params), MATCH_ROWS).where(F.col("kind") == REMOVED)
+        removed = removed.unionByName(materialise(found.select("doc_id", "start", "n"), "loose-matches"))
+        asked = asked.join(loose, "key", "left_anti")
+    words = crowded.where(F.col("spans") <= params.most_spans).agg(F.sum("words")).first()[0] or 0
     if words:
-        by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
-        cut = plain.join(by_doc, "doc_id").select("doc_id", "text", "asked").mapInArrow(_cut_spans(params.window), "key bigint, doc_id bigint, start int, words binary")
+        cut = with_asked(asked).mapInArrow(_cut_spans(params.window), "key bigint, doc_id bigint, start int, words binary")
         shards = max(spark.sparkContext.defaultParallelism, -(-words // params.shard_words))
         found = cut.repartition(int(shards), "key").sortWithinPartitions("key").mapInArrow(_search_shards(params), "doc_id bigint, start int, n int")
         removed = removed.unionByName(materialise(found, "index-matches"))
