@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import format_count, parse_count
-from millrace.functions.text import not_blank, not_empty, words
+from millrace.functions.text import not_blank, not_empty, strip, words
 from millrace.operators import chat, samples
 from millrace.operators.bpe_codec import Tokenizer, choose_dtype
 from millrace.operators.bpe_train import pair_counts, train_bpe, word_counts, word_symbols
@@ -28,11 +28,19 @@ from millrace.operators.windows import (
     usable_shards,
     window_plan,
 )
+from millrace.plans.chat import read_chat
 from millrace.plans.corpus import encode_documents
 from millrace.session import apply_settings, materialise, scratch_path
-from millrace.sinks.outputs import write_sample_jsonl
-from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards
-from millrace.sources.readers import parse_objects, read_lines, read_rows, spread, string_field
+from millrace.sinks.outputs import write_chat_jsonl, write_sample_jsonl
+from millrace.sinks.token_shards import (
+    read_binary_blocks,
+    read_shard_metas,
+    read_token_table,
+    write_binary_shards,
+    write_table_meta,
+    write_token_table,
+)
+from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, spread, string_field
 from millrace.streaming.ingest import append_to, encode_stream, stream_parquet
 
 # Parameters of the registered queries; the oracles use the same values.
@@ -528,6 +536,47 @@ def jsonl_documents(spark, sf):
     return rows.select(number.alias("doc_id"), string_field(F.col("row"), "text").alias("text"), string_field(F.col("row"), "dataset").alias("dataset"))
 
 
+def jsonl_limited(spark, sf):
+    """The first third of a JSON-lines corpus, with other file splits for the rows than for the limit."""
+    path = scratch_path(spark, "jsonl")
+    write_sample_jsonl(samples.normalise_json(sample_rows(spark, sf), "sample"), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        rows = read_documents(spark, "jsonl", path)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        limited = limit_rows(rows, rows.count() // 3)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+        return materialise(limited.select("text"), "limited")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def token_table(spark, sf):
+    """Write the token table with its facts and read places and shards back from it."""
+    path = scratch_path(spark, "token-table")
+    plan, vocab_size = shard_plan(spark, sf), tokenizer(spark, sf).vocab_size
+    write_token_table(plan.attach(tokens(spark, sf)), path)
+    write_table_meta(spark, path, plan.manifest(), choose_dtype(vocab_size), vocab_size)
+    _, stored = read_token_table(spark, path)
+    return stored.select(F.col("ord").alias("doc_id"), F.col("shard_id").cast("bigint").alias("shard_id"), "tok_start", F.size("ids").cast("bigint").alias("n_tokens"))
+
+
+def chatml_file(spark, sf):
+    """Write converted chats as JSON lines and render the messages read back."""
+    path = scratch_path(spark, "chatml")
+    write_chat_jsonl(_converted(spark, sf), path)
+    return chat.require_messages(read_chat(spark, "jsonl", path)).select(chat.render(F.col("messages")).alias("text"))
+
+
+def blank_rows(spark, sf):
+    """What the filters keep where blank and padded texts are put among the documents."""
+    blank = F.concat(F.lit(" \t\n"), F.lit("\u3000"))
+    kind = F.pmod("doc_id", F.lit(4))
+    text = F.when(kind == 0, "").when(kind == 1, blank).when(kind == 2, F.concat(blank, "text")).otherwise(F.col("text"))
+    rows = table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return rows.select("doc_id", not_blank(F.col("text")).alias("not_blank"), not_empty(F.col("text")).alias("not_empty"), strip(F.col("text")).alias("stripped"))
+
+
 def stream_encode(spark, sf):
     path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
     schema = "doc_id bigint, text string"
@@ -545,6 +594,7 @@ QUERIES = (
     chat_convert, chat_totals, chat_limited, chatml_render, role_map, content_parts, prompt_response, sft_labels, sft_totals,
     corpus_take, mixture_draws, window_starts, windows_pretrain, windows_sft, window_batches, step_tokens, source_report,
     normalise_rows, resume_topup, mixed_rebuild, sample_totals, seed_choice, counts_format, jsonl_documents, stream_encode,
+    jsonl_limited, token_table, chatml_file, blank_rows,
 )
 
 
