@@ -5,17 +5,17 @@ frequency. Two texts agree in one sample with a probability of their weighted Ja
 Samples are banded; texts that share a band are compared with a pivot of that band by their exact
 weighted Jaccard similarity, and links make up classes.
 
-Exact copies are one text from the start. A band's group, however large, is never paired up: each
-round compares its members with one pivot, and members already in the pivot's class are not compared.
-Pivots leave the group and rounds go on until what is left of every group lies in one class, so every link
-between texts that share a band is found or implied by others.
+Exact copies are one text from the start. A small group of a band is compared in one task. A larger one, however
+large, is never paired up: each round compares its members with a few pivots, and members already in a
+pivot's class are not compared with it. Pivots leave the group, and rounds go on until what is left of it is small or
+lies in one class, so every link between texts that share a band is found or implied by others.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ class NearParams:
     """``frequent``: share of texts from which on a shingle weighs less, falling to ``least_idf`` for one in all
     texts (so that texts of a large group, whose common shingles are frequent, still reach the
     threshold). With 10 bands of 3 samples a link of similarity 0.8 is missed with a chance of 0.0008.
-    ``pairs_per_task`` bounds the pairs of a pivot that go to one task."""
+    ``pairs_per_task`` bounds the pairs of a pivot that go to one task; groups of up to ``group_size`` texts
+    are compared in one task without pivots. Before, groups above ``fine_from`` are banded anew with ``fine_bands`` of
+    ``fine_rows`` samples, which miss a link of similarity 0.8 with a chance of 0.0007."""
 
     words: int = 5
     threshold: float = 0.8
@@ -41,6 +43,10 @@ class NearParams:
     frequent: float = 0.02
     least_idf: float = 0.75
     pairs_per_task: int = 500
+    group_size: int = 1500
+    fine_from: int = 300
+    fine_bands: int = 40
+    fine_rows: int = 8
     seed: int = 11
 
 
@@ -55,6 +61,7 @@ def _gamma2_quantiles() -> np.ndarray:
     return (low + high) / 2
 
 
+FROM_LARGE, FROM_SMALL = 4, 16  # pivots of a group's largest class and of its smallest ones
 GAMMA = _gamma2_quantiles()
 LOG_GAMMA = np.log(GAMMA)
 
@@ -239,6 +246,71 @@ def verify(pairs: DataFrame, texts: DataFrame, frequent: Frequent, params: NearP
     return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def finer_groups(groups: DataFrame, texts: DataFrame, frequent: Frequent, params: NearParams) -> DataFrame:
+    """The groups (band, rep, root), with those above ``fine_from`` members replaced by groups of more selective bands.
+
+    Many texts made from one by edits share bands though most pairs lie below the threshold. Bands of more
+    samples, and more of them, part these and still bring a pair at the threshold together.
+    """
+    sizes = groups.groupBy("band").agg(F.count("*").alias("n"))
+    large = materialise(sizes.where(F.col("n") > params.fine_from).select("band"), "large-bands")
+    if not large.limit(1).count():
+        return groups
+    ids = groups.join(large, "band", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    fine = replace(params, bands=params.fine_bands, rows=params.fine_rows, seed=params.seed + 1)
+    members = signatures(texts.join(ids, "doc_id", "left_semi"), frequent, fine).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    members = materialise(members, "fine-members")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    found = members.join(shared, "band", "left_semi").select("band", "rep", F.col("rep").alias("root"))
+    return groups.join(large, "band", "left_anti").select("band", "rep", "root").unionByName(found)
+
+
+def choose_pivots(groups: DataFrame) -> DataFrame:
+    """(band, size, pivots) of the groups (band, rep, root) with several classes; ``pivots`` is an array of (rep, root).
+
+    Some come from the largest class, to which most others are likely to belong, and some from the smallest, so that
+    outliers are soon compared with all. While all classes are of one text, two are enough. They are
+    picked by hashing into lanes and taking one from each, which needs no group in one place.
+    """
+    lane = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    parts = groups.groupBy("band", "root", lane("rep", FROM_LARGE).alias("lane")).agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    classes = parts.groupBy("band", "root").agg(F.sum("n").alias("n"), F.collect_list("rep").alias("reps"))
+    lanes = classes.groupBy("band", lane("root", FROM_SMALL).alias("lane")).agg(
+        F.count("*").alias("classes"), F.sum("n").alias("n"), F.min(F.struct("n", F.col("reps")[0].alias("rep"), "root")).alias("small"), F.max(F.struct("n", "root", "reps")).alias("large"))
+    found = lanes.groupBy("band").agg(F.sum("classes").alias("classes"), F.sum("n").alias("size"), F.collect_list("small").alias("small"), F.max("large").alias("large"))
+    pivot = lambda rep, root: F.struct(rep.alias("rep"), root.alias("root"))
+    small = F.transform("small", lambda c: pivot(c["rep"], c["root"]))
+    large = F.transform("large.reps", lambda r: pivot(r, F.col("large.root")))
+    both = F.when(F.col("large.n") == 1, F.slice(small, 1, 2)).otherwise(F.array_distinct(F.concat(small, large)))
+    return found.where("classes > 1").select("band", "size", both.alias("pivots"))
+
+
+def compare_groups(groups: DataFrame, texts: DataFrame, frequent: Frequent, params: NearParams) -> DataFrame:
+    """Links (a, b) within groups (band, rep, root) of at most ``group_size`` members, each compared in one task. A
+    member is compared with those that are not yet in its class."""
+    shared = groups.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(table: pa.Table) -> pa.Table:
+        reps, root_of = table["rep"].to_pylist(), table["root"].to_pylist()
+        bags = []
+        for _, _, shingles, counts, first in _bags_of(table["text"].combine_chunks(), params.words):
+            weights = shared.value.weights(shingles, counts)
+            bags += [(shingles[i:j], weights[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+        totals = np.array([w.sum() for _, w in bags])
+        root_of, links = np.unique(root_of, return_inverse=True)[1], []
+        for i, bag in enumerate(bags):
+            # The similarity is at most the ratio of the total weights.
+            close = np.minimum(totals[:i], totals[i]) >= params.threshold * np.maximum(totals[:i], totals[i]) * (1 - 1e-9)
+            for j in np.flatnonzero(close & (root_of[:i] != root_of[i])):
+                if root_of[i] != root_of[j] and weighted_jaccard(bag, bags[j]) >= params.threshold:
+                    links.append((reps[i], reps[j]))
+                    root_of[root_of == root_of[i]] = root_of[j]
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    rows = groups.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("band", "rep", "root", "text")
+    return rows.groupBy("band").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """(doc_id, class_id) for each row of ``docs`` (doc_id, text): the smallest doc_id of its class.
 
@@ -261,30 +333,35 @@ def near_classes(docs: DataFrame, params: NearParams = NearParams()) -> DataFram
     texts = texts.join(firsts, ["doc_id", "t1", "t2"], "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
     texts = materialise(texts.select("doc_id", "text"), "candidate-texts")
 
-    edges, tested, roots = None, None, None
+    groups = materialise(finer_groups(groups, texts, frequent, params), "finer-groups")
+
+    edges, roots, tested = None, None, None
     while True:
-        # In each group the pivot comes from the smallest class, so a large class costs no rounds.
-        by_class = groups.groupBy("band", "root").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"))
-        pivots = by_class.groupBy("band").agg(F.count("*").alias("classes"), F.min(F.struct("n", "pivot", "root")).alias("p")).where("classes > 1")
-        pivots = materialise(pivots.select("band", F.col("p.pivot").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
+        pivots = materialise(choose_pivots(groups), "pivots")
         if not pivots.limit(1).count():
             break
-        groups = groups.join(pivots, "band")
-        pairs = groups.where("root <> pivot_root").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        groups = materialise(groups.join(pivots, "band"), "open-groups")
+        small, groups = groups.where(F.col("size") <= params.group_size), groups.where(F.col("size") > params.group_size)
+        found = compare_groups(small.select("band", "rep", "root"), texts, frequent, params)
+        is_pivot = F.exists("pivots", lambda p: p["rep"] == F.col("rep"))
+        pairs = groups.select("rep", "root", is_pivot.alias("is_pivot"), F.explode("pivots").alias("p")).where("root <> p.root AND (NOT is_pivot OR rep < p.rep)")
+        pairs = pairs.select(F.col("rep").alias("a"), F.col("p.rep").alias("b")).distinct()
         if tested is not None:
             flipped = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(flipped, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialise(verify(pairs, texts, frequent, params), "links")
+        if pairs.limit(1).count():
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = found.unionByName(verify(pairs, texts, frequent, params))
+        found = materialise(found, "links")
         if found.limit(1).count():
             edges = found if edges is None else edges.unionByName(found)
             roots = components(edges)
-        left = groups.where("rep <> pivot").select("band", "rep", "root")
+        groups = groups.where(~is_pivot).select("band", "rep", "root")
         if roots is not None:
             named = roots.select(F.col("node").alias("rep"), F.col("root").alias("new_root"))
-            left = left.join(named, "rep", "left").select("band", "rep", F.coalesce("new_root", "root").alias("root"))
-        groups = materialise(left, "band-groups")
+            groups = groups.join(named, "rep", "left").select("band", "rep", F.coalesce("new_root", "root").alias("root"))
+        groups = materialise(groups, "band-groups")
 
     classed = distinct.select("t1", "t2", "rep")
     if roots is not None:

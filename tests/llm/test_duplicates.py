@@ -77,8 +77,9 @@ def similar(rng, make_text):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-def test_near_classes(docs_of, similar):
-    params = near_dedup.NearParams(pairs_per_task=2)
+@pytest.mark.parametrize(("group_size", "fine_from"), [(600, 300), (3, 300), (3, 4)])
+def test_near_classes(docs_of, similar, group_size, fine_from):
+    params = near_dedup.NearParams(pairs_per_task=2, group_size=group_size, fine_from=fine_from)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs_of(similar), params).collect()}
     assert got == brute_classes(similar, params)
 
