@@ -35,8 +35,8 @@ class LMParams:
     word_share: float = 1e-4
     gram_share: float = 1e-5
     discount: float = 0.75
-    block_chars: int = 8_000_000
-    shard_entries: int = 3_000_000
+    block_chars: int = 4_000_000
+    shard_entries: int = 1_500_000
 
 
 def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
