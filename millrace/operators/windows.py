@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from millrace.session import materialise
 MASKED = -100  # label of a token that is not supervised
 MAX_ATTEMPTS = 100
 SHARD = ["source", "shard_id"]
+Fetch = Callable[[DataFrame, int, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -119,11 +121,14 @@ def window_plan(draws: DataFrame, shards: DataFrame, seq_len: int) -> DataFrame:
     return matched.withColumn("start", start).select("worker", "draw", "seed", "attempt", *SHARD, "start")
 
 
-def cut_windows(plan: DataFrame, blocks: DataFrame, seq_len: int, block_size: int, targets: str = "ids") -> DataFrame:
+def cut_windows(plan: DataFrame, blocks: DataFrame | Fetch, seq_len: int, block_size: int, targets: str = "ids") -> DataFrame:
     """Add (x, y): ``seq_len`` tokens from ``start`` and the ``targets`` one place later.
 
-    One equi-join: ``blocks`` overlap by ``seq_len`` tokens, so each window lies in one block.
+    One equi-join: ``blocks`` overlap by ``seq_len`` tokens, so each window lies in one block. Instead of
+    blocks there can be a function of (plan, seq_len, targets) that fetches the windows' tokens.
     """
+    if not isinstance(blocks, DataFrame):
+        return blocks(plan, seq_len, targets)
     size = F.lit(block_size).cast("bigint")
     at = plan.withColumn("block_id", F.floor(F.col("start") / size))
     skip = (F.col("start") - F.col("block_id") * size).cast("int")
@@ -133,12 +138,12 @@ def cut_windows(plan: DataFrame, blocks: DataFrame, seq_len: int, block_size: in
     return joined.select("worker", "draw", "seed", "attempt", *SHARD, "start", x.alias("x"), whole.alias("y"))
 
 
-def pretrain_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame, names: list[str], seq_len: int, block_size: int) -> DataFrame:
+def pretrain_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame | Fetch, names: list[str], seq_len: int, block_size: int) -> DataFrame:
     plan = window_plan(draws.withColumn("attempt", F.lit(0)), usable_shards(manifest, seq_len, names), seq_len)
     return cut_windows(plan, blocks, seq_len, block_size)
 
 
-def supervised_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame, names: list[str], seq_len: int, block_size: int) -> DataFrame:
+def supervised_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame | Fetch, names: list[str], seq_len: int, block_size: int) -> DataFrame:
     """Windows with at least one supervised target; shard and start are drawn again until one is found.
 
     Later attempts are only made for draws that are still open, more of them at a time.
@@ -150,8 +155,10 @@ def supervised_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame,
         tries = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))))
         cut = cut_windows(window_plan(tries, shards, seq_len), blocks, seq_len, block_size, "labels")
         good = cut.where(F.exists("y", lambda v: v != MASKED))
-        earliest = good.groupBy("worker", "draw").agg(F.min(F.struct("attempt", "seed", *SHARD, "start", "x", "y")).alias("w"))
-        filled.append(materialise(earliest.select("worker", "draw", "w.*"), "windows"))
+        columns = ["attempt", "seed", *SHARD, "start", "x", "y"]
+        if stop - first > 1:  # of several tries the first one
+            good = good.groupBy("worker", "draw").agg(F.min(F.struct(*columns)).alias("w")).select("worker", "draw", "w.*")
+        filled.append(materialise(good.select("worker", "draw", *columns), "windows"))
         # Draws are made from their number, so open ones are found again and not stored.
         pending = pending.join(filled[-1], ["worker", "draw"], "left_anti")
         if pending.isEmpty():

@@ -30,6 +30,7 @@ from millrace.operators.windows import (
 )
 from millrace.plans.chat import read_chat
 from millrace.plans.corpus import encode_documents
+from millrace.plans.training import open_datasets
 from millrace.session import apply_settings, materialise, scratch_path
 from millrace.sinks.outputs import write_chat_jsonl, write_sample_jsonl
 from millrace.sinks.token_shards import (
@@ -436,16 +437,26 @@ def windows_sft(spark, sf):
     return _plan_columns(found, F.col("attempt").cast("bigint").alias("attempt"), joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
 
 
+def windows_ranges(spark, sf):
+    """The supervised windows again, from binary shards of which only the windows' bytes are read."""
+    path = scratch_path(spark, "labelled")
+    _, _, n = chat_dataset(spark, sf)
+    plan, vocab_size = chat_plan(spark, sf), tokenizer(spark, sf).vocab_size
+    write_binary_shards(plan.attach(chat_tokens(spark, sf)), plan.manifest(), path, choose_dtype(vocab_size), vocab_size)
+    manifest, fetch = open_datasets(spark, {"chat": path})
+    draws = source_draws(spark, [MixtureSource("chat")], n, SEED, WORKERS)
+    found = supervised_windows(draws, manifest, fetch, ["chat"], CHAT_SEQ_LEN, BLOCK)
+    return _plan_columns(found, F.col("attempt").cast("bigint").alias("attempt"), joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
+
+
 def window_batches(spark, sf):
-    _, _, n = mixture(spark, sf)
-    draws = batches(source_draws(spark, mixture_sources(), n, SEED, WORKERS), BATCH, ACCUMULATE)
-    per = draws.groupBy(F.col("worker").cast("bigint").alias("worker"), "step", "batch_id")
+    windows = batches(_pretrain(spark, sf), BATCH, ACCUMULATE)
+    per = windows.groupBy(F.col("worker").cast("bigint").alias("worker"), "step", "batch_id")
     return per.agg(F.count("*").alias("windows"), F.min("draw").alias("first_draw"))
 
 
 def step_tokens(spark, sf):
-    _, _, n = mixture(spark, sf)
-    steps = token_accounting(source_draws(spark, mixture_sources(), n, SEED, WORKERS), BATCH, SEQ_LEN, ACCUMULATE)
+    steps = token_accounting(_pretrain(spark, sf), BATCH, SEQ_LEN, ACCUMULATE)
     return steps.withColumn("worker", F.col("worker").cast("bigint"))
 
 
@@ -594,7 +605,7 @@ QUERIES = (
     chat_convert, chat_totals, chat_limited, chatml_render, role_map, content_parts, prompt_response, sft_labels, sft_totals,
     corpus_take, mixture_draws, window_starts, windows_pretrain, windows_sft, window_batches, step_tokens, source_report,
     normalise_rows, resume_topup, mixed_rebuild, sample_totals, seed_choice, counts_format, jsonl_documents, stream_encode,
-    jsonl_limited, token_table, chatml_file, blank_rows,
+    jsonl_limited, token_table, chatml_file, blank_rows, windows_ranges,
 )
 
 

@@ -200,7 +200,7 @@ topped AS (SELECT doc_id, dataset, k > total // 8 AS added, total // 4 AS target
 def oracle_sql() -> dict[str, str]:
     lang_windows = f"{LANG_DRAWS},{starts(c.SEQ_LEN, 1)},{DOC_STREAM}"
     chat = f"{BPE_CHAT},{CHAT_SHARDS}"
-    return {
+    known = {
         "doc_filter": f"SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents WHERE {strip('text')} <> ''",
         "train_filter": "SELECT page_id, length(html)::BIGINT AS chars FROM pages WHERE html <> ''",
         "parquet_positions": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id FROM documents WHERE {strip('text')} <> ''",
@@ -326,3 +326,4 @@ def oracle_sql() -> dict[str, str]:
             FROM documents, (SELECT ' ' || chr(9) || chr(10) || chr(12288) AS b))""",
         "jsonl_documents": "SELECT doc_id, text, 'sample' AS dataset FROM documents WHERE text <> ''",
     }
+    return known | {"windows_ranges": known["windows_sft"]}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.windows import (
     SAMPLE_SETS,
+    Fetch,
     MixtureSource,
     pretrain_windows,
     source_draws,
@@ -16,7 +17,7 @@ from millrace.operators.windows import (
     validate_mixture,
 )
 from millrace.session import materialise
-from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas
+from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, read_windows
 
 
 def parse_mixture(values: dict) -> tuple[dict[str, str], list[MixtureSource], list[MixtureSource]]:
@@ -59,9 +60,16 @@ def load_datasets(
     return reduce(DataFrame.unionByName, manifest), materialise(reduce(DataFrame.unionByName, blocks), "blocks")
 
 
+def open_datasets(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, Fetch]:
+    """(manifest, fetch) of binary token datasets by source name; ``fetch`` reads the bytes of planned windows only."""
+    metas = [read_shard_metas(spark, path).withColumn("source", F.lit(name)) for name, path in paths.items()]
+    known = materialise(reduce(DataFrame.unionByName, metas), "shard-metas")
+    return known.select("source", "shard_id", "num_tokens", "num_docs"), lambda plan, seq_len, targets: read_windows(plan, known, seq_len, targets)
+
+
 def sample_set(
     manifest: DataFrame,
-    blocks: DataFrame,
+    blocks: DataFrame | Fetch,
     sources: list[MixtureSource],
     n: int,
     seq_len: int,
@@ -71,7 +79,7 @@ def sample_set(
     mode: str = "pretrain",
     workers: int = 1,
 ) -> DataFrame:
-    """``n`` windows per worker of one of the three sample sets."""
+    """``n`` windows per worker of one of the three sample sets, from the blocks or the fetch function of the datasets."""
     if mode not in ("pretrain", "sft"):
         raise ValueError(f"unknown mode: {mode}")
     draws = source_draws(manifest.sparkSession, sources, n, seed + SAMPLE_SETS[name], workers)

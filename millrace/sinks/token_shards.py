@@ -234,6 +234,50 @@ def _read_range(path: str, element: np.dtype, expected: int, start: int, count:
         return np.frombuffer(file.read_at(count * element.itemsize, start * element.itemsize), element)
 
 
+def read_windows(plan: DataFrame, metas: DataFrame, seq_len: int, targets: str = "ids") -> DataFrame:
+    """Add (x, y) to planned windows (worker, draw, seed, attempt, source, shard_id, start) by reading just their bytes.
+
+    ``metas`` has the columns of ``read_shard_metas`` and source. Windows are dealt by shard and span, so a
+    task reads on from one place, and what is read grows with the windows and not with the data.
+    """
+    arrays = ["tokens", "labels"] if targets == "labels" else ["tokens"]
+    files = metas.select("source", "shard_id", F.col("num_tokens").alias("_size"), "dtype", "label_dtype", *[F.col(a).alias(f"_{a}") for a in arrays])
+    span = F.floor(F.col("start") / SPAN_TOKENS)
+    named = ["worker", "draw", "seed", "attempt", "source", "shard_id", "start"]
+    located = plan.select(*named).join(files, ["source", "shard_id"]).withColumn("_span", span)
+    dealt = located.repartition("source", "shard_id", "_span").sortWithinPartitions("source", "shard_id", "start")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, pafs.NativeFile] = {}
+
+        def read(path: str, element: np.dtype, size: int, start: int) -> np.ndarray:
+            if path not in opened:
+                if len(opened) == len(arrays):  # rows come by shard, so an earlier one is done
+                    for file in opened.values():
+                        file.close()
+                    opened.clear()
+                fs, inner = _open(path)
+                opened[path] = fs.open_input_file(inner)
+                if opened[path].size() != size * element.itemsize:
+                    raise ValueError(f"{path} does not hold {size} tokens")
+            return np.frombuffer(opened[path].read_at(seq_len * element.itemsize, start * element.itemsize), element).astype(np.int32)
+
+        for batch in batches:
+            x, y = [], []
+            for row in batch.select([c for c in batch.schema.names if c not in ("worker", "draw", "seed", "attempt")]).to_pylist():
+                tokens = np.dtype(TOKEN_TYPES[row["dtype"]])
+                x.append(read(row["_tokens"], tokens, row["_size"], row["start"]))
+                if targets == "labels":
+                    y.append(read(row["_labels"], np.dtype(LABEL_TYPES[row["label_dtype"]]), row["_size"], row["start"] + 1))
+                else:
+                    y.append(read(row["_tokens"], tokens, row["_size"], row["start"] + 1))
+            lists = [pa.array(v, pa.list_(pa.int32())) for v in (x, y)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], *lists], [*named, "x", "y"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.select(*named).schema)
+    return dealt.mapInArrow(fetch, f"{schema}, x array<int>, y array<int>")
+
+
 def read_binary_blocks(metas: DataFrame, source: str, block_size: int, overlap: int = 0, labelled: bool = False) -> DataFrame:
     """(source, shard_id, block_id, ids[, labels]) by reading byte ranges; a wrong file length raises.
 

@@ -10,7 +10,7 @@ from millrace.operators.samples import enough_files, mix, pick_seed, replace_sec
 from millrace.operators.windows import MixtureSource
 from millrace.plans import samples as sample_plan
 from millrace.plans.corpus import read_corpus, tokenise_corpus, train_tokenizer
-from millrace.plans.training import load_datasets, sample_set
+from millrace.plans.training import load_datasets, open_datasets, sample_set
 from millrace.sinks import token_shards
 from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards
 from millrace.sources.readers import read_documents
@@ -83,6 +83,8 @@ def test_binary_blocks_feed_windows(spark, corpus, coder, tmp_path, monkeypatch)
     _, short = load_datasets(spark, {"docs": out}, 32, 20, labelled=False)
     assert sorted(short.collect()) == sorted(blocks.collect())
     windows = sample_set(manifest, blocks, [MixtureSource("docs")], 30, 20, 32, 1).collect()
+    _, fetch = open_datasets(spark, {"docs": out})
+    assert sorted(sample_set(manifest, fetch, [MixtureSource("docs")], 30, 20, 32, 1).collect()) == sorted(windows)
     assert len(windows) == 30 and all(len(r.x) == len(r.y) == 20 and r.x[1:] == r.y[:-1] for r in windows)
 
 
