@@ -20,6 +20,14 @@ from millrace.sources import registry
 from millrace.sources.readers import read_documents
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """These run as users' plans do, with code generation."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.fixture(scope="module")
 def coder(spark):
     texts = spark.createDataFrame([(0, "some words of some text, words again")], "ord bigint, text string")
