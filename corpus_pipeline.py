@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, language, mixing, near_dedup, substrings
-from millrace.session import apply_settings, materialise
+from millrace.llm.queries import settle
+from millrace.session import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts and such without a letter) go; a missing lang is filled in."""
+    settle(spark)
     model = language.fit_languages(docs)
     found = language.predict_language(docs, model, list(COLUMNS))
     return found.where(F.col("lang_pred") != "und").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -27,6 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each class stays. Documents without an id have no class and stay."""
+    settle(spark)
     classes = materialise(near_dedup.near_classes(docs), "near-classes")
     others = classes.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
@@ -39,11 +42,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that stand earlier go. A text that loses none stays as it is; one that loses all goes."""
+    settle(spark)
     return substrings.without_repeats(docs).where((F.col("text") != "") | F.col("text").isNull()).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item is found go."""
+    settle(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_leaks(docs, benchmark, list(COLUMNS))
     return found.where(F.size("leaks") == 0).select(*COLUMNS)
@@ -51,6 +56,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a row for each time a document is taken, with its shard and place there."""
+    settle(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -64,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apply_settings(spark)
+    settle(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -6,7 +6,7 @@ sums give the hash of any run of bytes, so the cost is a few passes over the dat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,14 @@ def utf8_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
+def row_slices(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about CHUNK bytes of a string column, for work that unfolds whole texts in memory."""
+    for batch in batches:
+        _, offsets = utf8_of(batch.column(column))
+        for a, b in chunks_of(offsets):
+            yield batch.slice(a, b - a)
+
+
 def chunks_of(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of rows [a, b) of about CHUNK bytes."""
     a, n = 0, len(offsets) - 1

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.hashing import row_slices
 from millrace.session import materialise
 
 UNKNOWN = -18.0  # log-probability of a character that no piece covers, in every language
@@ -125,15 +126,16 @@ def text_words(text: str) -> list[str]:
 
 def fit_unigrams(lattice: PieceLattice, n_pieces: int, words: dict[str, int], rounds: int) -> np.ndarray:
     """log-probabilities of the pieces by expectation maximisation over all segmentations of ``words``."""
-    lattices = [(lattice.arcs(w), len(w), c) for w, c in words.items()]
     probs = np.full(n_pieces + 1, 1.0 / n_pieces)
     probs[-1] = math.exp(UNKNOWN)
     for _ in range(rounds):
         p = probs.tolist()
         expected = [SMOOTH] * (n_pieces + 1)
-        for arcs, n, count in lattices:
+        for word, count in words.items():  # lattices are made anew, as those of all words would fill the memory
+            n = len(word)
             if n > LONG:  # would underflow, and says little of a language
                 continue
+            arcs = lattice.arcs(word)
             ahead = [0.0] * (n + 1)
             ahead[0] = 1.0
             for s, e, k in arcs:
@@ -223,7 +225,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, keep: list[str]) ->
         lattice = PieceLattice(pieces)
         row_of: dict[str, int] = {}
         table = np.zeros((0, len(languages)))
-        for batch in batches:
+        for batch in row_slices(batches, at):
             texts = [t.split() if languages and t and any(map(str.isalpha, t)) else None for t in batch.column(at).to_pylist()]
             if len(row_of) > CACHE:
                 row_of, table = {}, table[:0]

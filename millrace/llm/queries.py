@@ -9,14 +9,22 @@ from millrace.llm import backoff_lm, decontaminate, fingerprints, language, lice
 from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
+# Whole texts travel to Python in batches of so many rows.
+ARROW_ROWS = "2000"
+
 RULES = [
     urls.Rule("com", "/", "allow"), urls.Rule("example.com", "/en/", "block"), urls.Rule("www.example.com", "/en/", "allow"),
     urls.Rule("net", "/es/", "block"), urls.Rule("net", "/fr/", "block"),
 ]
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def settle(spark: SparkSession) -> None:
     apply_settings(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -147,7 +147,7 @@ def passages(rng, make_text):
     return rows
 
 
-@pytest.mark.parametrize("params", [substrings.SubstringParams(), substrings.SubstringParams(most_spans=4, index_words=200), substrings.SubstringParams(gram=1, most_spans=60)])
+@pytest.mark.parametrize("params", [substrings.SubstringParams(), substrings.SubstringParams(most_spans=4, index_words=200), substrings.SubstringParams(index_spans=2), substrings.SubstringParams(gram=1, most_spans=60)])
 def test_repeated_passages(docs_of, passages, params):
     got = substrings.remove_repeats(docs_of(passages).repartition(5), params).collect()
     assert Counter(map(tuple, got)) == brute_removal(passages, params.window)

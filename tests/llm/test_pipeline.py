@@ -1,5 +1,9 @@
 """The pipeline's stages on a small corpus with planted cases, and the query contract."""
 
+import os
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from test_models import flat, least_edits
 from millrace.llm import decontaminate, mixing, near_dedup, queries
 
 
+SF = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, rng, make_text, tmp_path_factory):
     """A folder with documents (copies, near copies, passages, leaks, junk, nulls) and benchmark."""
@@ -55,7 +62,7 @@ def test_stages(spark, corpus, tmp_path):
             assert sorted(after) == sorted(r for r in before if r[1] and any(map(str.isalpha, r[1])))
             assert docs.where("lang IS NULL").count() == 0
         elif name == "near_duplicates":
-            classes = brute_classes(list(dict(before).items()), near_dedup.NearParams())
+            classes = brute_classes(before, near_dedup.NearParams())  # repeated rows count
             assert sorted(after) == sorted((i, t) for i, t in dict(before).items() if classes[i] == i)
         elif name == "repeated_passages":
             want = brute_removal(before, 20)
@@ -86,6 +93,18 @@ def test_empty_corpus(spark, corpus):
         assert docs.count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the standard tables")
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_query_equals_its_oracle(spark, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    frame = queries.queries()[name](spark, SF)
+    result = db.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(frame.columns) == sorted(columns)
+    assert Counter(tuple(r[c] for c in sorted(columns)) for r in frame.collect()) == Counter(tuple(r[columns.index(c)] for c in sorted(columns)) for r in result.fetchall())
+
+
 def test_queries_are_registered():
     known = contract.queries()
     assert set(queries.queries()) <= set(known) and "pipeline" in known
