@@ -165,7 +165,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: L
     ``end`` counts characters of the text with runs of white space as one. Of an item's places only that with
     the fewest edits is listed (then the first). Letter case A-Z and white space do not matter. Null and
     empty texts have no leaks, null ids and texts of the benchmark (item_id, text) are left out, repeated ids
-    are separate texts of one item. Equal rows give equal results; other columns are ignored.
+    are separate texts of one item. Equal rows give equal results; columns not in ``keep`` are ignored, also one
+    named leaks, which cannot be kept.
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")

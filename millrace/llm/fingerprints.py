@@ -22,10 +22,12 @@ from millrace.session import materialise
 @dataclass(frozen=True)
 class FingerprintParams:
     """``bins`` minimum hashes of 12 bits (three hexadecimal digits each). ``range_rows``: documents that one
-    task puts in order to pair each with the next."""
+    task streams in order to pair each with the next; more where there would be over ``most_ranges`` tasks, as the
+    driver keeps one row for each."""
 
     bins: int = 128
     range_rows: int = 4000
+    most_ranges: int = 50_000
 
 
 class PhraseParser:
@@ -137,7 +139,7 @@ def _part_of(known: np.ndarray, doc_id: np.ndarray, limits: np.ndarray) -> np.nd
 
 def _ranges(keys: DataFrame, params: FingerprintParams) -> np.ndarray:
     """Limits of doc_id ranges of about range_rows rows, ascending: one number for each task to come."""
-    parts = -(-keys.count() // params.range_rows)
+    parts = min(params.most_ranges, -(-keys.count() // params.range_rows))
     if parts < 2:
         return np.zeros(0, np.int64)
     return np.array(sorted({int(x) for x in keys.where("known").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}), np.int64)

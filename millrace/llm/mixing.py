@@ -167,7 +167,7 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     """The mix itself: each take as a row with the columns of ``docs``, a text of which only some words are taken cut
     to these, joined by one space, n_chars to match, and pass, n_words, shard and position (from 0, shuffled within the shard).
 
-    ``docs`` has doc_id, text, source and n_chars; its doc_ids are unique (rows of one id would share
+    ``docs`` has doc_id, text, source and n_chars (columns of the added names are replaced); its doc_ids are unique (rows of one id would share
     their takes). Documents of which nothing is taken are not in it.
     """
     plan = mix(docs, params).select(F.col("doc_id").alias("_id"), F.explode("takes").alias("_take"))
