@@ -33,11 +33,13 @@ SKETCH_BITS = 14
 @dataclass(frozen=True)
 class SubstringParams:
     """``window`` words must agree; minimizers are of ``gram`` words. Minimizers with more than ``most_spans``
-    different spans are broken up. ``index_words`` is the size at which an index is built from the shard's spans."""
+    different spans are broken up; of those that the sketch of counts does not show, at most ``index_spans`` spans go
+    into an index. ``index_words`` is the size at which an index is built from the shard's spans."""
 
     window: int = 20
     gram: int = 5
     most_spans: int = 4000
+    index_spans: int = 16_000
     index_words: int = 400_000
     shard_words: int = 2_000_000
 
@@ -349,13 +351,13 @@ def with_removals(docs: DataFrame, params: SubstringParams) -> DataFrame:
 
     # Keys with too many different spans for one index: their windows are matched by hash alone.
     crowded = materialise(asked.groupBy("key").agg(F.count("*").alias("spans"), F.sum(F.col("n") + params.window - 1).alias("words")), "asked-keys")
-    loose = crowded.where(F.col("spans") > params.most_spans).select("key")
+    loose = crowded.where(F.col("spans") > params.index_spans).select("key")
     if loose.limit(1).count():
         windows = with_asked(asked.join(loose, "key", "left_semi")).mapInArrow(_loose_windows(params.window), SPAN_ROWS)
         found = order(windows).mapInArrow(_match_spans(params), MATCH_ROWS).where(F.col("kind") == REMOVED)
         removed = removed.unionByName(materialise(found.select("doc_id", "start", "n"), "loose-matches"))
         asked = asked.join(loose, "key", "left_anti")
-    words = crowded.where(F.col("spans") <= params.most_spans).agg(F.sum("words")).first()[0] or 0
+    words = crowded.where(F.col("spans") <= params.index_spans).agg(F.sum("words")).first()[0] or 0
     if words:
         cut = with_asked(asked).mapInArrow(_cut_spans(params.window), "key bigint, doc_id bigint, start int, words binary")
         shards = max(spark.sparkContext.defaultParallelism, -(-words // params.shard_words))
