@@ -22,7 +22,7 @@ from millrace.session import materialise
 
 UNKNOWN = -18.0  # log-probability of a character that no piece covers, in every language
 SMOOTH = 0.01  # expected count added to every piece
-CACHE = 400_000  # words whose sums a worker keeps from batch to batch
+CACHE = 700_000  # words whose sums a worker keeps from batch to batch
 AT_ONCE = 20_000  # words summed together
 LONG = 30  # characters of a word whose probability stays above the least float
 
