@@ -1,42 +1,46 @@
 """Score texts with an n-gram model run as a weighted backoff automaton.
 
-Unigrams are add-one smoothed counts of all words of the training texts. Bigrams and trigrams are kept where
-they make up at least a set share of all tokens, so their number is bounded whatever the corpus, and discounted.
-Kept n-grams are arcs between states (the longest kept history); a failure arc leads to the next
-shorter history at the cost of its backoff weight. A text is one walk from left to right.
-
-The vocabulary grows with the corpus and is never in one place: documents are dealt into blocks of bounded
-size, each block sends the counts of its words to shards by hash, and gets back the corpus counts of just
-these words.
+Unigrams are add-one smoothed counts of all words of the training texts. Bigrams and trigrams of all words are kept
+from a fixed count on, so their number grows with the corpus, and discounted. Kept n-grams are arcs between states (the longest
+kept history); a failure arc leads to the next shorter history at the cost of its backoff weight. A text is
+one walk from left to right, and all places of a block walk at once: a state depends on two words only.
+
+Neither the vocabulary nor the n-grams are ever in one place. Documents are dealt into blocks of bounded size, each
+block sends its words and bigrams with their counts to shards by hash, and gets back the corpus counts of just these. Then
+it sends those trigrams of which both bigrams are kept, sharded by history, and gets back their counts and
+the sums behind the backoff weights of its own histories.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.hashing import words_of
+from millrace.llm.hashing import mix64, words_of
 from millrace.session import materialise
 
 END_HASH = np.uint64(0x5851F42D4C957F2D)  # stands for the end token among word hashes
+BEGIN_HASH = np.uint64(0x14057B7EF767814F)  # stands for a text's beginning in histories
+_PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
 class LMParams:
-    """``word_share``: words of at least this share of the training tokens may stand in longer n-grams;
-    ``gram_share``: n-grams of at least this share are kept. Their numbers are at most the inverses, which
-    bounds what is broadcast. ``block_chars``: text of a block; ``shard_entries``: counts that a shard holds."""
+    """``least_count``: n-grams of at least this count are kept. ``word_share`` and ``gram_share`` prune further, and are off: words
+    of at least this share of the training tokens may stand in longer n-grams, n-grams of at least this share are
+    kept. ``block_chars``: text of a block; ``shard_entries``: counts that a shard holds."""
 
-    word_share: float = 1e-4
-    gram_share: float = 1e-5
+    word_share: float = 0.0
+    gram_share: float = 0.0
     discount: float = 0.75
     block_chars: int = 4_000_000
     shard_entries: int = 1_500_000
+    least_count: int = 2
 
 
 def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,147 +55,259 @@ def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
 
 
+def _shard_bounds(words: np.ndarray, shards: int) -> np.ndarray:
+    """Places in the sorted hashes where each shard's range of hashes begins, and the end."""
+    limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(words, limits), [len(words)]]).astype(np.int64)
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """Integers from 0 on in the fewest bytes that hold them all."""
+    return _pack_planes(values.astype(np.min_scalar_type(int(values.max(initial=0)))))
+
+
+def _pack_planes(values: np.ndarray) -> bytes:
+    """Width and number, then all first bytes, all second ones and so on, compressed."""
+    width = values.itemsize
+    planes = values.view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpack_planes(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).reshape(-1)
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    return _unpack_planes(data).view(f"u{data[0]}").astype(np.int64)
+
+
+def unpack_floats(data: bytes) -> np.ndarray:
+    return _unpack_planes(data).view(np.float64)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as differences, of 6 bytes where that is enough for all."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = 8 if (steps[1:] >> np.uint64(48)).any() else 6
+    return bytes([width]) + keys[:1].tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "tinyint": pa.int8()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.table([pa.array(list(c), kinds[k]) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+class BlockGrams:
+    """The distinct words and bigrams of a block by hash, and where they stand. ``at`` and ``pair_at`` are the word of each place
+    and the bigram that ends there; ``starts`` are the texts' first places."""
+
+    def __init__(self, column: pa.Array):
+        hashes, self.first = token_stream(column)
+        self.starts = self.first[:-1]
+        before = np.append(BEGIN_HASH, hashes)[:-1]
+        before[self.starts] = BEGIN_HASH
+        self.words, self.at = np.unique(hashes, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(mix64(before * _PAIR + hashes), return_inverse=True)
+        self.inner = np.delete(np.arange(len(hashes)), self.starts)  # places with two words, or one and the beginning, before
+
+
+class KnownCounts:
+    """What a block knows after the first replies: corpus counts of its words and bigrams, and which are kept.
+
+    ``histories`` and ``states`` are the histories of one and of two words that may have arcs; trigrams of which both bigrams are kept are
+    ``tri``, numbers of (history's bigram, word) in order, and ``tri_at`` those of the places ``tri_places``.
+    """
+
+    def __init__(self, grams: BlockGrams, replies: list[dict], least: tuple[int, int], n_train: int):
+        self.grams = grams
+        replies = sorted(replies, key=lambda r: r["shard"])
+        self.count = np.concatenate([unpack_ints(r["counts"]) for r in replies])
+        self.pair_count = np.concatenate([unpack_ints(r["pair_counts"]) for r in replies])
+        self.owned = np.concatenate([np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=int.from_bytes(r["pair_counts"][1:9], "little")) for r in replies]).astype(bool)
+        # A bigram's history and word, from any of its places.
+        place = np.empty(len(grams.pairs), np.int64)
+        place[grams.pair_at] = np.arange(len(grams.pair_at))
+        begins = np.zeros(len(grams.at), bool)
+        begins[grams.starts] = True
+        self.pair_word = grams.at[place]
+        self.pair_history = np.where(begins[place], len(grams.words), grams.at[place - 1])
+        self.history_count = np.append(self.count, n_train)  # the beginning comes after the words
+        heavy = np.append(self.count >= least[0], True)
+        self.kept = (self.pair_count >= least[1]) & heavy[self.pair_history] & heavy[self.pair_word]
+        usable = np.flatnonzero(heavy & (self.history_count >= least[1]))
+        hashes = np.append(grams.words, BEGIN_HASH)
+        self.histories = usable[np.argsort(hashes[usable])]
+        self.history_hashes = hashes[self.histories]
+        inner = grams.inner
+        self.tri_places = inner[self.kept[grams.pair_at[inner - 1]] & self.kept[grams.pair_at[inner]]]
+        numbers = grams.pair_at[self.tri_places - 1] * np.int64(len(grams.words)) + grams.at[self.tri_places]
+        self.tri, at, self.tri_at = np.unique(numbers, return_index=True, return_inverse=True)
+        self.tri_pair = self.tri // max(1, len(grams.words))
+        self.tri_lower = self.pair_count[grams.pair_at[self.tri_places[at]]]
+        before = np.zeros(len(grams.pairs), bool)
+        before[grams.pair_at[inner - 1]] = True
+        self.states = np.flatnonzero(before & self.kept)  # two-word histories, as bigrams; also those without a trigram here
+        self.tri_state = np.searchsorted(self.states, self.tri_pair)
+
+
+COUNT_ROWS = "shard bigint, block bigint, words binary, counts binary, pairs binary, pair_counts binary, tokens bigint, texts bigint"
+REPLY_ROWS = "block bigint, shard bigint, counts binary, pair_counts binary, owned binary, known bigint, tokens bigint, texts bigint"
+ARC_ROWS = "shard bigint, block bigint, states binary, sizes binary, words binary, word_at binary, counts binary, lower binary, histories binary, sums binary, below binary"
+WEIGHT_ROWS = "block bigint, shard bigint, tri_counts binary, state_sums binary, state_below binary, sums binary, below binary"
+
+
 def _count_block(shards: int):
-    """A block's distinct words and their training counts, cut by the shard of the hash."""
+    """A block's distinct words and bigrams and their training counts, cut by the shard of the hash."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, first = token_stream(table["text"].combine_chunks())
-        train = np.repeat(table["train"].to_numpy(), np.diff(first))
-        words, at = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(at, train, len(words)).astype(np.int64)
-        bounds = _shard_bounds(words, shards)
+        grams = BlockGrams(table["text"].combine_chunks())
+        taught = table["train"].to_numpy()
+        train = np.repeat(taught, np.diff(grams.first))
+        counts = np.bincount(grams.at, train, len(grams.words)).astype(np.int64)
+        pair_counts = np.bincount(grams.pair_at, train, len(grams.pairs)).astype(np.int64)
+        of, pair_of = _shard_bounds(grams.words, shards), _shard_bounds(grams.pairs, shards)
         block = table["block"][0].as_py()
-        rows = [(s, block, words[a:b].tobytes(), counts[a:b].tobytes(), int(counts[a:b].sum())) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["shard", "block", "words", "counts", "tokens"])
+        rows = []
+        for s, (a, b, c, d) in enumerate(zip(of[:-1], of[1:], pair_of[:-1], pair_of[1:], strict=True)):
+            own = (int(train.sum()), int(taught.sum())) if s == 0 else (0, 0)
+            rows.append((s, block, pack_keys(grams.words[a:b]), pack_ints(counts[a:b]), pack_keys(grams.pairs[c:d]), pack_ints(pair_counts[c:d]), *own))
+        return _table(rows, COUNT_ROWS)
 
     return run
 
 
-def _shard_bounds(words: np.ndarray, shards: int) -> np.ndarray:
-    """Places in the sorted hashes where each shard's range of hashes begins, and the end."""
-    limits = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(words, limits), [len(words)]]).astype(np.int64)
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(totals of the distinct keys, number of each sent key, first place of each distinct key, ends of all but the last sender's keys)."""
+    _, place, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return np.bincount(at, np.concatenate(counts), len(place)).astype(np.int64), at, place, np.cumsum([len(k) for k in keys])[:-1]
+
+
+def _merge_shard(table: pa.Table) -> pa.Table:
+    """Corpus counts for each block of a shard, in the order in which the block sent its words and bigrams, with a mark on the
+    bigrams that the block answers for; and, as block -1, the number of known words, and the training tokens and texts."""
+    column = lambda name, read: [read(x) for x in table[name].to_pylist()]
+    totals, at, _, ends = _merged(column("words", unpack_keys), column("counts", unpack_ints))
+    pair_totals, pair_at, place, pair_ends = _merged(column("pairs", unpack_keys), column("pair_counts", unpack_ints))
+    owned = np.zeros(len(pair_at), bool)
+    owned[place] = True
+    shard = table["shard"][0].as_py()
+    parts = zip(table["block"].to_pylist(), np.split(totals[at], ends), np.split(pair_totals[pair_at], pair_ends), np.split(owned, pair_ends), strict=True)
+    rows = [(b, shard, pack_ints(c), pack_ints(p), np.packbits(o).tobytes(), 0, 0, 0) for b, c, p, o in parts]
+    rows.append((-1, shard, None, None, None, int((totals > 0).sum()), sum(table["tokens"].to_pylist()), sum(table["texts"].to_pylist())))
+    return _table(rows, REPLY_ROWS)
+
+
+def _send_arcs(shards: int, least: tuple[int, int], n_train: int, discount: float):
+    """A block's trigrams with kept bigrams, by the shard of the history; and of its one-word histories
+    the discounted counts, and the unigram counts + 1, of the kept bigrams that the block answers for."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams = BlockGrams(left["text"].combine_chunks())
+        known = KnownCounts(grams, right.to_pylist(), least, n_train)
+        train = np.repeat(left["train"].to_numpy(), np.diff(grams.first))
+        counts = np.bincount(known.tri_at, train[known.tri_places], len(known.tri)).astype(np.int64)
+        words = grams.words[known.tri % max(1, len(grams.words))]
+        states = grams.pairs[known.states]
+        sizes = np.bincount(known.tri_state, minlength=len(states))
+        mine = np.flatnonzero(known.kept & known.owned)
+        of = known.pair_history[mine]
+        sums = np.bincount(of, np.maximum(known.pair_count[mine] - discount, 0), len(grams.words) + 1)[known.histories]
+        below = np.bincount(of, known.count[known.pair_word[mine]] + 1, len(grams.words) + 1)[known.histories]
+        cut, history_cut = _shard_bounds(states, shards), _shard_bounds(known.history_hashes, shards)
+        tri_cut = np.concatenate([[0], np.cumsum(sizes)])[cut]
+        block = left["block"][0].as_py()
+        rows = []
+        for s in range(shards):
+            a, b, c, d, e, f = cut[s], cut[s + 1], tri_cut[s], tri_cut[s + 1], history_cut[s], history_cut[s + 1]
+            distinct, at = np.unique(words[c:d], return_inverse=True)
+            rows.append((s, block, pack_keys(states[a:b]), pack_ints(sizes[a:b]), pack_keys(distinct), pack_ints(at), pack_ints(counts[c:d]), pack_ints(known.tri_lower[c:d]), pack_keys(known.history_hashes[e:f]), _pack_planes(sums[e:f]), _pack_planes(below[e:f])))
+        return _table(rows, ARC_ROWS)
+
+    return run
 
 
-def _merge_shard(least: int):
-    """Corpus counts for each block of a shard, in the order in which the block sent its words; and, as block -1, the
-    number of known words and those with at least ``least`` tokens."""
+def _weigh_shard(least_gram: int, discount: float):
+    """For each block of a shard, in the order in which it sent them: corpus counts of its trigrams, and for its histories the discounted
+    counts of all kept arcs and those of the same words after the shorter history."""
 
     def run(table: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
-        own = np.concatenate([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()])
-        words, at = np.unique(np.concatenate(sent), return_inverse=True)
-        totals = np.bincount(at, own, len(words)).astype(np.int64)
-        replies = np.split(totals[at], np.cumsum([len(s) for s in sent])[:-1])
-        heavy = totals >= least
+        column = lambda name, read: [read(x) for x in table[name].to_pylist()]
+        states = column("states", unpack_keys)
+        state_ends = np.cumsum([len(x) for x in states])[:-1]
+        distinct, state_at = np.unique(np.concatenate(states), return_inverse=True)
+        state = np.repeat(state_at, np.concatenate(column("sizes", unpack_ints)))
+        words = [w[at] for w, at in zip(column("words", unpack_keys), column("word_at", unpack_ints), strict=True)]
+        tri_ends = np.cumsum([len(x) for x in words])[:-1]
+        words = np.concatenate(words)
+        order = np.lexsort((words, state))
+        opens = np.append(True, (state[order][1:] != state[order][:-1]) | (words[order][1:] != words[order][:-1]))[: len(order)]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(opens) - 1
+        first = order[opens]
+        totals = np.bincount(at, np.concatenate(column("counts", unpack_ints)), len(first)).astype(np.int64)
+        lower = np.concatenate(column("lower", unpack_ints))[first]
+        kept = totals >= least_gram
+        sums = np.bincount(state[first][kept], np.maximum(totals[kept] - discount, 0), len(distinct))
+        below = np.bincount(state[first][kept], np.maximum(lower[kept] - discount, 0), len(distinct))
+        histories = column("histories", unpack_keys)
+        ends = np.cumsum([len(x) for x in histories])[:-1]
+        _, of = np.unique(np.concatenate(histories), return_inverse=True)
+        own, under = (np.bincount(of, np.concatenate(column(name, unpack_floats)))[of] for name in ("sums", "below"))
         shard = table["shard"][0].as_py()
-        rows = [(b, shard, None, r.tobytes(), 0) for b, r in zip(table["block"].to_pylist(), replies, strict=True)]
-        rows.append((-1, shard, words[heavy].tobytes(), totals[heavy].tobytes(), int((totals > 0).sum())))
-        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "shard", "words", "counts", "known"])
+        parts = zip(table["block"].to_pylist(), np.split(totals[at], tri_ends), np.split(sums[state_at], state_ends), np.split(below[state_at], state_ends), np.split(own, ends), np.split(under, ends), strict=True)
+        return _table([(b, shard, pack_ints(t), *(_pack_planes(x) for x in rest)) for b, t, *rest in parts], WEIGHT_ROWS)
 
     return run
 
 
-@dataclass
 class BackoffAutomaton:
-    """States are kept histories: 0 is the empty one, 1 a text's beginning. ``arcs[s][w]`` is (log10 probability,
-    next state), ``backoff[s]`` the log10 weight of the failure arc to ``fail[s]``, ``after[w]`` the state
-    after a word that was only known as a unigram."""
-
-    words: np.ndarray
-    arcs: list[dict[int, tuple[float, int]]] = field(default_factory=lambda: [{}, {}])
-    backoff: list[float] = field(default_factory=lambda: [0.0, 0.0])
-    fail: list[int] = field(default_factory=lambda: [0, 0])
-    after: list[int] = field(default_factory=list)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the words that may stand in longer n-grams, -1 for others."""
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-    def walk(self, ids: list[int], unigrams: list[float]) -> float:
-        """log10 probability of a text: its tokens' numbers and their unigram log10 probabilities."""
-        arcs, backoff, fail, after = self.arcs, self.backoff, self.fail, self.after
-        state, total = 1, 0.0
-        for word, unigram in zip(ids, unigrams, strict=True):
-            if word < 0:
-                while state:
-                    total += backoff[state]
-                    state = fail[state]
-                total += unigram
-                continue
-            arc = arcs[state].get(word)
-            while arc is None and state:
-                total += backoff[state]
-                state = fail[state]
-                arc = arcs[state].get(word)
-            if arc is None:
-                total += unigram
-                state = after[word]
-            else:
-                total += arc[0]
-                state = arc[1]
-        return total
-
-
-def build_automaton(words: np.ndarray, counts: np.ndarray, n_train: int, vocabulary: int, tokens: int, bigrams: dict, trigrams: dict, discount: float) -> BackoffAutomaton:
-    """``bigrams`` and ``trigrams`` map tuples of word numbers to counts, with len(words) for a text's beginning.
+    """The part of the automaton that a block's texts walk through. States are histories of two words, one and none; ``arc`` holds
+    the log10 probability of the arc by order and place (NaN where none), ``fall`` the log10 weight of the failure arc of the state
+    before each place.
 
     The discounted mass of a history is what its failure arc hands on, divided by what the shorter history
     gives to words without an arc of their own; so the probabilities after each history add up to 1.
     """
-    begin = len(words)
-    out = BackoffAutomaton(words)
-    unigram = (counts + 1) / (tokens + vocabulary + 1)
-    state = {(): 0, (begin,): 1}
-    for history in [*((w,) for w in sorted({g[0] for g in bigrams} - {begin})), *sorted({g[:2] for g in trigrams})]:
-        state[history] = len(out.arcs)
-        out.arcs.append({})
-        out.backoff.append(0.0)
-        out.fail.append(state.get(history[1:], 0))
-    seen = {(w,): int(c) for w, c in enumerate(counts)} | {(begin,): n_train} | bigrams
-    out.after = [state.get((w,), 0) for w in range(len(words))]
-    chance: dict[tuple, float] = {}
-    kept: dict[tuple, list[tuple]] = {}
-    for grams in (bigrams, trigrams):
-        for gram, count in sorted(grams.items()):
-            history, word = gram[:-1], gram[-1]
-            chance[gram] = max(count - discount, 0.0) / seen[history]
-            kept.setdefault(history, []).append(gram)
-            to = next(state[gram[i:]] for i in range(len(gram) + 1) if gram[i:] in state)
-            out.arcs[state[history]][word] = (math.log10(chance[gram]), to)
-    for history, grams in kept.items():
-        shorter = [chance[g[1:]] if len(g) > 2 else float(unigram[g[-1]]) for g in grams]
-        left, below = 1 - math.fsum(chance[g] for g in grams), 1 - math.fsum(shorter)
-        out.backoff[state[history]] = math.log10(max(left, 1e-12) / max(below, 1e-12))
-    return out
-
-
-def _gram_counts(shared):
-    """(order, key, n): bigrams and trigrams of the shared words in training texts; keys are word numbers in base len + 1."""
-
-    def run(batches):
-        words = shared.value
-        base = len(words) + 1
-        for batch in batches:
-            hashes, first = token_stream(batch.column(0))
-            at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-            ids = np.where(words[at] == hashes, at, -1)
-            stream = np.full(len(ids) + len(first) - 1, base - 1, np.int64)  # a beginning before each text
-            stream[np.arange(len(ids)) + np.repeat(np.arange(1, len(first)), np.diff(first))] = ids
-            begins = stream == base - 1
-            for order in (2, 3):
-                key, good = np.zeros(max(0, len(stream) - order + 1), np.int64), np.ones(max(0, len(stream) - order + 1), bool)
-                for i in range(order):
-                    part = stream[i : i + len(key)]
-                    key = key * base + part
-                    good &= part >= 0
-                    if i:
-                        good &= ~begins[i : i + len(key)]
-                values, counts = np.unique(key[good], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), order, np.int8)), pa.array(values), pa.array(counts.astype(np.int64))], ["size", "key", "n"])
 
-    return run
+    def __init__(self, known: KnownCounts, replies: list[dict], least_gram: int, discount: float, room: int):
+        grams, n = known.grams, len(known.grams.at)
+        replies = sorted(replies, key=lambda r: r["shard"])
+        total = np.concatenate([unpack_ints(r["tri_counts"]) for r in replies])
+        state_sums, state_below, sums, below = (np.concatenate([unpack_floats(r[name]) for r in replies]) for name in ("state_sums", "state_below", "sums", "below"))
+        weigh = lambda own, under: np.where(own > 0, np.log10(np.maximum(1 - own, 1e-12) / np.maximum(1 - under, 1e-12)), 0.0)
+        one, two = np.zeros(len(grams.words) + 1), np.zeros(len(grams.pairs))
+        one[known.histories] = weigh(sums / known.history_count[known.histories], below / room)
+        middle = known.history_count[known.pair_word[known.states]]
+        two[known.states] = weigh(state_sums / known.pair_count[known.states], state_below / middle)
+        self.unigram = np.log10((known.count + 1) / room)[grams.at]
+        pair = np.full(len(grams.pairs), np.nan)
+        at = np.flatnonzero(known.kept)
+        pair[at] = np.log10(np.maximum(known.pair_count[at] - discount, 0) / known.history_count[known.pair_history[at]])
+        longest = np.full(len(known.tri), np.nan)
+        at = np.flatnonzero(total >= least_gram)
+        longest[at] = np.log10(np.maximum(total[at] - discount, 0) / known.pair_count[known.tri_pair[at]])
+        self.arc = {2: pair[grams.pair_at], 3: np.full(n, np.nan)}
+        self.arc[3][known.tri_places] = longest[known.tri_at]
+        self.fall = {1: one[known.pair_history[grams.pair_at]], 2: np.zeros(n)}
+        self.fall[2][grams.inner] = two[grams.pair_at[grams.inner - 1]]
+
+    def walk(self) -> np.ndarray:
+        """log10 probability of the token at each place: failure arcs until there is an arc, at last the unigram."""
+        after_one = np.where(np.isnan(self.arc[2]), self.fall[1] + self.unigram, self.arc[2])
+        return np.where(np.isnan(self.arc[3]), self.fall[2] + after_one, self.arc[3])
 
 
 def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -> DataFrame:
@@ -208,47 +324,31 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
     rows = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-chars // params.block_chars))
-    shards = max(1, -(-(chars // 30) // params.shard_entries))
+    shards = max(1, -(-(chars // 6) // params.shard_entries))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
 
-    sent = rows.select("block", "train", "text").groupBy("block").applyInArrow(_count_block(shards), "shard bigint, block bigint, words binary, counts binary, tokens bigint")
-    sent = materialise(sent, "block-words")
-    tokens = sent.agg(F.sum("tokens")).first()[0] or 0
-    least = max(1, math.ceil(params.word_share * tokens))
-    merged = materialise(sent.groupBy("shard").applyInArrow(_merge_shard(least), "block bigint, shard bigint, words binary, counts binary, known bigint"), "word-counts")
-    stats = merged.where("block = -1").select("words", "counts", "known").collect()  # at most 1 / word_share words in all
-    vocabulary = sum(r["known"] for r in stats)
-    pairs = sorted({(w, c) for r in stats for w, c in zip(np.frombuffer(r["words"], np.uint64).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True)} or {(int(END_HASH), 0)})
-    words, counts = np.array([w for w, _ in pairs], np.uint64), np.array([c for _, c in pairs], np.int64)
-
-    shared = spark.sparkContext.broadcast(words)
-    taught = rows.where("train")
-    grams = taught.select("text").mapInArrow(_gram_counts(shared), "size tinyint, key bigint, n bigint").groupBy("size", "key").agg(F.sum("n").alias("n"))
-    grams = materialise(grams.where(F.col("n") >= max(2, math.ceil(params.gram_share * tokens))), "kept-grams").collect()  # at most 2 / gram_share
-    base = len(words) + 1
-    bigrams = {divmod(r["key"], base): r["n"] for r in grams if r["size"] == 2}
-    trigrams = {(r["key"] // base**2, r["key"] // base % base, r["key"] % base): r["n"] for r in grams if r["size"] == 3}
-    n_train = taught.count()
-    model = spark.sparkContext.broadcast(build_automaton(words, counts, n_train, vocabulary, tokens, bigrams, trigrams, params.discount))
+    sent = rows.select("block", "train", "text").groupBy("block").applyInArrow(_count_block(shards), COUNT_ROWS)
+    merged = materialise(sent.groupBy("shard").applyInArrow(_merge_shard, REPLY_ROWS), "word-counts")
+    stats = merged.where("block = -1").agg(F.sum("known"), F.sum("tokens"), F.sum("texts")).first()
+    vocabulary, tokens, n_train = (x or 0 for x in stats)
+    least = (max(1, math.ceil(params.word_share * tokens)), max(params.least_count, math.ceil(params.gram_share * tokens)))
+    replies = merged.where("block >= 0").select("block", "shard", "counts", "pair_counts", "owned")
+
+    paired = rows.select("block", "train", "text").groupBy("block").cogroup(replies.groupBy("block"))
+    arcs = paired.applyInArrow(_send_arcs(shards, least, n_train, params.discount), ARC_ROWS)
+    weights = materialise(arcs.groupBy("shard").applyInArrow(_weigh_shard(least[1], params.discount), WEIGHT_ROWS), "arc-weights")
     room = tokens + vocabulary + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = model.value
-        hashes, first = token_stream(left["text"].combine_chunks())
-        known, at = np.unique(hashes, return_inverse=True)
-        replies = sorted(zip(right["shard"].to_pylist(), right["counts"].to_pylist(), strict=True))
-        count = np.concatenate([np.frombuffer(x, np.int64) for _, x in replies])
-        unigram = np.log10((count + 1) / room)
-        ids = automaton.ids(known)[at].tolist()
-        each = unigram[at]
-        starts = first[:-1]
-        bounds = first.tolist()
-        plain = each.tolist()
-        scores = [automaton.walk(ids[a:b], plain[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        grams = BlockGrams(left["text"].combine_chunks())
+        got = right.to_pylist()
+        known = KnownCounts(grams, [r for r in got if r["counts"] is not None], least, n_train)
+        automaton = BackoffAutomaton(known, [r for r in got if r["counts"] is None], least[1], params.discount, room)
+        add = lambda each: pa.array(np.add.reduceat(each, grams.starts))
         return pa.table(
-            [left["doc_id"], pa.array(np.diff(first)), pa.array(np.add.reduceat((count > 0)[at].astype(np.int64), starts)), pa.array(np.full(len(starts), tokens, np.int64)), pa.array(np.add.reduceat(each, starts)), pa.array(scores, pa.float64())],
+            [left["doc_id"], pa.array(np.diff(grams.first)), add((known.count > 0)[grams.at].astype(np.int64)), pa.array(np.full(len(grams.starts), tokens, np.int64)), add(automaton.unigram), add(automaton.walk())],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    replies = merged.where("block >= 0").select("block", "shard", "counts")
-    paired = rows.select("block", "doc_id", "text").groupBy("block").cogroup(replies.groupBy("block"))
+    both = replies.unionByName(weights, allowMissingColumns=True)
+    paired = rows.select("block", "doc_id", "text").groupBy("block").cogroup(both.groupBy("block"))
     return paired.applyInArrow(score, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -213,6 +213,28 @@ def test_lm_scores(docs_of, rng, make_text):
     assert (lone["n_tokens"], lone["n_known"], lone["train_tokens"], lone["base_score"], lone["score"]) == (3, 0, 0, 0.0, 0.0)
 
 
+def test_lm_keeps_rare_grams_of_a_larger_corpus(docs_of, rng, make_text):
+    """N-grams are kept from a fixed count on, however many tokens there are."""
+    rows = [(i, make_text(rng, 150)) for i in range(1700)]
+    rows += [(5000 + i, "seldom seen words here") for i in range(2)] + [(6000, "seldom seen words here")]
+    out = {r["doc_id"]: r for r in backoff_lm.score_texts(docs_of(rows), F.col("doc_id") < 6000, backoff_lm.LMParams(block_chars=300_000, shard_entries=30_000)).collect()}
+    train = [[*t.split(), None] for i, t in rows if i < 6000]
+    count = Counter(w for t in train for w in t)
+    assert sum(count.values()) > 250_000
+    grams = Counter(tuple(line[i : i + size]) for line in (["^", *t] for t in train) for size in (2, 3) for i in range(len(line) - size + 1))
+    assert grams["seldom", "seen", "words"] == 2
+    kept = sum(c >= 2 for c in grams.values())
+    assert kept > 10_000
+    n, v, want = sum(count.values()), len(count), 0.0
+    line = ["^", *rows[-1][1].split(), None]
+    for i in range(1, len(line)):
+        gram = tuple(line[max(0, i - 2) : i + 1])
+        before = 1700 + 2 if gram[:-1] == ("^",) else (grams[gram[:-1]] if len(gram) == 3 else count[gram[0]])
+        want += math.log10((grams[gram] - 0.75) / before)
+    assert out[6000]["score"] == pytest.approx(want)
+    assert out[6000]["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in line[1:]))
+
+
 def slow_model(train, count, n, v, params):
     """(probabilities of kept n-grams, backoff weights, unigram probability) by plain counting; "^" begins a text."""
     heavy = {w for w, c in count.items() if c >= max(1, math.ceil(params.word_share * n))}
