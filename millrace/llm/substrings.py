@@ -330,16 +330,34 @@ def _cut_texts(window: int, at: int, names: list[str]):
     return run
 
 
-NO_ID = -(2**63)
 SPAN_ROWS = "kind tinyint, key bigint, content bigint, doc_id bigint, place bigint"
 MATCH_ROWS = "kind tinyint, key bigint, doc_id bigint, start int, n int"
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_own``, a number for each document with a text, in the order of (doc_id, hash of the text), null ids first.
+
+    The doc_id itself is that number where none is null and none has different texts. Otherwise the distinct (doc_id, hash) are
+    sorted in ranges, and the documents written once with the place of theirs."""
+    own = F.col("doc_id").cast("bigint")
+    per = docs.where("text IS NOT NULL").groupBy(own.alias("_id")).agg((F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("several"))
+    if not per.where("_id IS NULL OR several").limit(1).count():
+        return docs.withColumn("_own", own)
+    marked = docs.withColumn("_id", own).withColumn("_mark", F.md5(F.col("text").cast("binary")))
+    keys = marked.where("text IS NOT NULL").select("_id", "_mark").distinct()
+    order = (F.col("_id").asc_nulls_first(), F.col("_mark"))
+    # The numbers rise with the partition and the row in it.
+    places = materialise(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_own", F.monotonically_increasing_id()), "document-places")
+    places = places.withColumnsRenamed({"_id": "_place_id", "_mark": "_place_mark"})
+    met = F.col("_id").eqNullSafe(F.col("_place_id")) & (F.col("_mark") == F.col("_place_mark"))
+    return materialise(marked.join(places, met, "left").select(*docs.columns, "_own"), "numbered-documents")
+
+
 def with_removals(docs: DataFrame, params: SubstringParams) -> DataFrame:
     """``docs`` with ``_runs``, the windows (start, n) to remove: n windows from word ``start`` on; null without any."""
     spark = docs.sparkSession
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    plain = docs.where("text IS NOT NULL").select(own.alias("doc_id"), "text")
+    docs = numbered(docs)
+    plain = docs.where("text IS NOT NULL").select(F.col("_own").alias("doc_id"), "text")
     hot = spark.sparkContext.broadcast(_crowded(plain, params))
     order = lambda rows: rows.repartition("key").sortWithinPartitions("kind", "key", "content", "doc_id", "place")
     rows = plain.mapInArrow(_deal_spans(hot, params), SPAN_ROWS)
@@ -364,7 +382,7 @@ def with_removals(docs: DataFrame, params: SubstringParams) -> DataFrame:
         found = cut.repartition(int(shards), "key").sortWithinPartitions("key").mapInArrow(_search_shards(params), "doc_id bigint, start int, n int")
         removed = removed.unionByName(materialise(found, "index-matches"))
     runs = removed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    return docs.join(runs, own == F.col("_id"), "left").drop("_id")
+    return docs.join(runs, F.col("_own") == F.col("_id"), "left").drop("_id", "_own")
 
 
 def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:
@@ -372,9 +390,9 @@ def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams())
 
     Every word goes that is covered by a window whose words also start earlier: in a smaller doc_id, or before in
     the same document. Windows are judged on the input, not on what is left. Null and empty
-    texts have no words; the kept words are joined by one space. Rows of one doc_id count as one
-    document: equal ones are treated alike, and different ones share their removals by place. Null ids come
-    before all others and are one document. An empty table gives no rows; other columns are ignored.
+    texts have no words; the kept words are joined by one space. Rows of one doc_id and text count as one
+    document and are treated alike; different texts of one doc_id are documents of their own, in the order of the texts'
+    md5. Null ids come before all others, by the same rule. An empty table gives no rows; other columns are ignored.
     """
     rows = with_removals(docs.select("doc_id", "text"), params).select("doc_id", "text", "_runs")
     return rows.mapInArrow(_digests(params.window), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

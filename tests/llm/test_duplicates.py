@@ -163,6 +163,25 @@ def test_texts_without_repeats(docs_of, passages):
     assert [r["n_removed"] for r in substrings.remove_repeats(docs_of([(None, "a"), (None, None)])).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("params", [substrings.SubstringParams(), substrings.SubstringParams(index_spans=2)])
+def test_passages_of_documents_that_share_an_id(docs_of, rng, make_text, params):
+    """Texts without an id, or of one id, keep their own words, lose only their own repeats, and may be of any length."""
+    shared = make_text(rng, 30)
+    rows = [(None, shared + " " + make_text(rng, 40)), (None, make_text(rng, 90) + " " + shared), (None, make_text(rng, 5)), (None, make_text(rng, 60)), (None, None)]
+    rows += [(4, make_text(rng, 70) + " " + shared[2:]), (4, make_text(rng, 3)), (4, make_text(rng, 50)), (4, make_text(rng, 30) + " " + shared), (-(2**63), shared)]
+    rows += [(i, make_text(rng, i) + " " + shared + " " + make_text(rng, 9)) for i in range(5, 12)] + [rows[0], rows[5]]
+    marks = sorted({(i is not None, i or 0, hashlib.md5(t.encode()).hexdigest()) for i, t in rows if t is not None})
+    number = lambda i, t: marks.index((i is not None, i or 0, hashlib.md5(t.encode()).hexdigest())) if t is not None else -1
+    ids = {number(i, t): i for i, t in rows}
+    want = Counter()
+    for (n, *rest), count in brute_removal([(number(i, t), t) for i, t in rows], params.window).items():
+        want[ids[n], *rest] += count
+    got = Counter(map(tuple, substrings.remove_repeats(docs_of(rows).repartition(3), params).collect()))
+    assert got == want
+    kept = Counter((r["doc_id"], len((r["text"] or "").split())) for r in substrings.without_repeats(docs_of(rows), params).collect())
+    assert kept == Counter((i, n - gone) for (i, n, gone, _), count in want.items() for _ in range(count))
+
+
 def brute_fingerprint(text, bins):
     known, phrase, cuts = set(), "", []
     for at, char in enumerate(text, 1):
