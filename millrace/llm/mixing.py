@@ -120,17 +120,20 @@ def shard_quotas(targets: DataFrame, block: int, params: MixParams) -> DataFrame
     return runs.select("shard", "rank", first.alias("first"), "n").where("n > 0")
 
 
-def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+def mix(docs: DataFrame, params: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes: a row for each row of ``docs`` (doc_id, text, source) with doc_id, source, size
     (words), source_size, target (words of its source) and ``takes``, an array of (pass, shard, n_words,
     key): the document's first n_words words go to that shard, placed by key.
 
     Documents are taken whole, but for the one of each source at which its target ends. Null
     and wordless texts have size 0 and are never taken; a null source is a source of its own; equal
-    rows are taken as separate documents, and an empty table gives no rows. Other columns are ignored.
+    rows are taken as separate documents, and an empty table gives no rows. Documents without an id stand in the order of
+    their texts' hashes in place of the ids'. ``keep`` names further columns to hand on; others are ignored.
     """
-    key = F.md5(F.concat_ws(":", F.lit(params.seed), F.col("doc_id").cast("string")))
-    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes")
+    mark = F.xxhash64("text")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), mark.cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(params.seed), named))
+    sizes = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), mark.alias("mark"), *[F.col(c).alias(f"keep_{c}") for c in keep]), "sizes")
     targets = materialise(source_targets(sizes, params), "targets")
     words = targets.agg(F.sum("quota_words")).first()[0] or 0
     block = max(params.block_words, -(-words // MOST_BLOCKS))
@@ -143,7 +146,7 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     per = rows.groupBy("rank", "place").agg(F.sum("size").alias("sum"))
     earlier = lambda col, w: F.coalesce(F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per.select("rank", "place", earlier("sum", Window.partitionBy("rank").orderBy("place")).alias("offset"))
-    within = Window.partitionBy("rank", "place").orderBy("key", "doc_id", "size")
+    within = Window.partitionBy("rank", "place").orderBy("key", "doc_id", "size", "mark")
     rows = rows.join(offsets, ["rank", "place"]).withColumn("start", F.col("offset") + earlier("size", within))
 
     for n in range(MAX_PASSES):
@@ -160,20 +163,22 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
         shuffled = F.md5(F.concat_ws(":", "key", F.lit(n), F.col(f"shard_{n}").cast("string")))
         takes.append(F.struct(F.lit(n).alias("pass"), F.col(f"shard_{n}").alias("shard"), F.col(f"n_{n}").alias("n_words"), shuffled.alias("key")))
     takes = F.filter(F.array(*takes), lambda t: t["shard"].isNotNull())
-    return rows.select("doc_id", "source", "size", "source_size", "target", takes.alias("takes"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", takes.alias("takes"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mix itself: each take as a row with the columns of ``docs``, a text of which only some words are taken cut
     to these, joined by one space, n_chars to match, and pass, n_words, shard and position (from 0, shuffled within the shard).
 
-    ``docs`` has doc_id, text, source and n_chars (columns of the added names are replaced); its doc_ids are unique (rows of one id would share
-    their takes). Documents of which nothing is taken are not in it.
+    ``docs`` has doc_id, text, source and n_chars (columns of the added names are replaced). Each row is a document of its own,
+    also without an id or with that of another: rows are written once with a number, by which they meet their takes.
+    Documents of which nothing is taken are not in it.
     """
-    plan = mix(docs, params).select(F.col("doc_id").alias("_id"), F.explode("takes").alias("_take"))
-    place = F.row_number().over(Window.partitionBy("_take.shard").orderBy("_take.key", "_id")) - 1
-    plan = plan.withColumn("_position", place.cast("bigint"))  # shards hold a bounded number of blocks
-    rows = docs.join(plan, F.col("doc_id") == F.col("_id")).drop("_id")
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_mark", F.xxhash64("text")), "mixed-rows")
+    plan = mix(rows, params, ("_row", "_mark")).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_taken"), "_mark", F.explode("takes").alias("_take"))
+    place = F.row_number().over(Window.partitionBy("_take.shard").orderBy("_take.key", "_id", "_mark", "_taken")) - 1
+    plan = plan.withColumn("_position", place.cast("bigint")).drop("_id", "_mark")  # shards hold a bounded number of blocks
+    rows = rows.join(plan, F.col("_row") == F.col("_taken"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_take.n_words").cast("int")), " ")
     whole = F.col("_take.n_words") >= word_count(F.col("text"))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(head))

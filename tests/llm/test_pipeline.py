@@ -78,6 +78,26 @@ def test_stages(spark, corpus, tmp_path):
             assert docs.agg(F.sum("n_words")).first()[0] == pytest.approx(1.5 * total, abs=5)
 
 
+def test_mixture_keeps_documents_that_share_an_id(spark, rng, make_text):
+    """Documents without an id, or with that of another, get their own takes, and sources reach their targets."""
+    rows = [(None if i % 3 == 0 else i // 2 if i % 3 == 1 else i, make_text(rng, rng.randrange(20, 60)), "en", f"s{i % 2}", 1) for i in range(90)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, None, "en", "s0", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    plan = mixing.mix(docs).collect()
+    assert Counter((r["source"], r["doc_id"], r["n_words"]) for r in out) == Counter((r["source"], r["doc_id"], t["n_words"]) for r in plan for t in r["takes"])
+    for source in ("s0", "s1"):
+        target = next(r["target"] for r in plan if r["source"] == source)
+        assert sum(r["n_words"] for r in out if r["source"] == source) == int(target)
+    texts = {}
+    for i, t, *_ in rows:
+        texts.setdefault(i, []).append(t)
+    assert all(any(t.startswith(r["text"]) for t in texts[r["doc_id"]]) for r in out)
+    whole = Counter((r["doc_id"], r["text"], r["pass"]) for r in out)
+    assert max(whole[r[0], r[1], n] for r in rows[1:] for n in range(2)) == 1 and any(i is None for i, _, _ in whole)
+    again = corpus_pipeline.mix_sources(spark, docs.repartition(4), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_run_equals_stages(spark, corpus):
     path, _ = corpus
     first = corpus_pipeline.run(spark, path)
