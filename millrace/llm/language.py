@@ -124,18 +124,40 @@ def text_words(text: str) -> list[str]:
     return ["▁" + w for w in text.split()]
 
 
+def add_long(expected: list[float], arcs: list[tuple[int, int, int]], n: int, count: int, logs: list[float]) -> None:
+    """Add the expected pieces of a word of any length, in log space, where plain sums would underflow."""
+
+    def sums(at, order, of, to):
+        place = -1
+        for arc in [*order, (None, None, None)]:
+            if arc[to] != place:
+                if place != -1:
+                    top = max(terms)
+                    at[place] = top + math.log(math.fsum(math.exp(t - top) for t in terms))
+                place, terms = arc[to], []
+            if arc[0] is not None:
+                terms.append(at[arc[of]] + logs[arc[2]])
+
+    ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)  # every place is reached, as single characters are arcs
+    sums(ahead, arcs, 0, 1)
+    sums(behind, sorted(arcs, key=lambda a: -a[0]), 1, 0)
+    for s, e, k in arcs:
+        expected[k] += count * math.exp(ahead[s] + logs[k] + behind[e] - ahead[n])
+
+
 def fit_unigrams(lattice: PieceLattice, n_pieces: int, words: dict[str, int], rounds: int) -> np.ndarray:
     """log-probabilities of the pieces by expectation maximisation over all segmentations of ``words``."""
     probs = np.full(n_pieces + 1, 1.0 / n_pieces)
     probs[-1] = math.exp(UNKNOWN)
     for _ in range(rounds):
-        p = probs.tolist()
+        p, logs = probs.tolist(), np.log(probs).tolist()
         expected = [SMOOTH] * (n_pieces + 1)
         for word, count in words.items():  # lattices are made anew, as those of all words would fill the memory
             n = len(word)
-            if n > LONG:  # would underflow, and says little of a language
-                continue
             arcs = lattice.arcs(word)
+            if n > LONG:  # a sentence or more, in scripts without spaces
+                add_long(expected, arcs, n, count, logs)
+                continue
             ahead = [0.0] * (n + 1)
             ahead[0] = 1.0
             for s, e, k in arcs:

@@ -89,6 +89,34 @@ def test_forward_sums_all_segmentations():
     assert np.exp(fitted[:-1]).sum() == pytest.approx(1)
 
 
+def test_long_words_are_learned_from():
+    """The expected pieces of a long word are those of plain sums, and a word of any length counts."""
+    lattice = language.PieceLattice(VOCABULARY)
+    short, long = [0.01] * (len(VOCABULARY) + 1), [0.01] * (len(VOCABULARY) + 1)
+    probs = [0.1, 0.2, 0.2, 0.1, 0.2, 0.1, 0.1, 1e-8]
+    word = "▁abcbaab"
+    found = list(segmentations(word, [*VOCABULARY, "c"]))
+    weight = [math.prod(probs[VOCABULARY.index(x) if x in VOCABULARY else -1] for x in s) for s in found]
+    for s, w in zip(found, weight, strict=True):
+        for x in s:
+            short[VOCABULARY.index(x) if x in VOCABULARY else -1] += 3 * w / sum(weight)
+    language.add_long(long, lattice.arcs(word), len(word), 3, [math.log(p) for p in probs])
+    assert long == pytest.approx(short)
+    fitted = np.exp(language.fit_unigrams(lattice, len(VOCABULARY), {"▁" + "ab" * 2000: 1, "▁" + "c" * 4000: 1}, 4)[:-1])
+    assert fitted.sum() == pytest.approx(1)
+    assert fitted[VOCABULARY.index("ab")] > 0.4  # 1 / 7 if nothing is learned
+
+
+def test_scripts_without_spaces(spark, rng):
+    """Chinese and Japanese sentences are single words, told apart by what was learned from them."""
+    letters = {"ja": "日本国会人年大学生時間行東京", "zh": "日本国会人年大学生时间这们来"}
+    weights = {"ja": [9] * 4 + [1] * 10, "zh": [1] * 4 + [9] * 10}
+    rows = [(i, "".join(rng.choices(letters[lang][:10], weights[lang][:10], k=50)), lang) for i in range(60) for lang in letters]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = language.predict_language(docs.where("doc_id >= 40"), language.fit_languages(docs.where("doc_id < 40")), ["doc_id", "lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in out) and len(out) == 40
+
+
 def test_language(spark, rng):
     kinds = {"en": "the house was very large and they went there with him".split(), "de": "das haus war sehr groß und sie gingen mit ihm dorthin".split()}
     rows = [(i, " ".join(rng.choice(kinds[lang]) for _ in range(12)), lang) for i in range(120) for lang in ("en", "de")]
