@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import backoff_lm, decontaminate, fingerprints, language, licenses, mixing, near_dedup, substrings, toxicity, urls
+from millrace.llm import backoff_lm, clustering, decontaminate, fingerprints, language, licenses, mixing, near_dedup, ngram_join, resampling, substrings, toxicity, urls
 from millrace.llm.language import in_fold
 from millrace.session import apply_settings
 
@@ -80,7 +80,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op8_substrings, op9_lm_scores, op10_fingerprints)
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op8_substrings, op9_lm_scores,
+    op10_fingerprints, op11_clusters, op12_resampling, op13_ngram_join,
+)
 
 
 def queries() -> dict:
@@ -131,5 +146,76 @@ SELECT d.doc_id, len(any_value(d.ws))::BIGINT AS n_words, coalesce(sum(m.gone),
 FROM docs d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id"""
 
 
+_SHINGLES = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS shingles FROM docs),
+rows AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common
+  FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (n + m - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, l.component_id, coalesce(d.n_links, 0)::BIGINT AS n_links
+FROM sets s JOIN least l USING (doc_id) LEFT JOIN degree d USING (doc_id)"""
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds spelled out as tables c0 … c5 of centroids and a0 … a5 of assigned vectors."""
+    near = """a{r} AS (
+  SELECT vec_id, v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT p.vec_id, p.v, c.cluster, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM points p, c{r} c) GROUP BY vec_id, v)"""
+    move = """m{r} AS (
+  SELECT cluster, list(x ORDER BY i) AS v FROM (
+    SELECT cluster, i, ((sum(x)::BIGINT - ((sum(x)::BIGINT % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM (SELECT cluster, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM a{p}) GROUP BY cluster, i) GROUP BY cluster),
+c{r} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{p} c LEFT JOIN m{r} m USING (cluster))"""
+    parts = ["""points AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""", f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS cluster, v FROM points
+  ORDER BY sha256('2:' || vec_id::VARCHAR), v LIMIT {k})""", near.format(r=0)]
+    for r in range(1, rounds + 1):
+        parts += [move.format(r=r, p=r - 1), near.format(r=r)]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT a.vec_id, a.cluster::INT AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+       (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+
+
+# The table of CRC-32 is made by eight shifts of each byte; a word's CRC goes over the bytes of its hexadecimal form.
+_RESAMPLING = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+texts AS (
+  SELECT doc_id AS id, 's' AS side, text FROM documents UNION ALL SELECT item_id, 't', text FROM benchmark),
+words AS (
+  SELECT id, side, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
+bytes AS (SELECT word, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bs FROM hexed),
+buckets AS (
+  SELECT word, xor(list_reduce(bs, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  FROM bytes, crc),
+features AS (SELECT w.id, w.side, b.bucket FROM words w JOIN buckets b USING (word)),
+totals AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM features GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM totals),
+gains AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * (all_s + 10000)) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM totals, sums),
+weighed AS (SELECT id, count(*) AS n, sum(gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE side = 's' GROUP BY id),
+scored AS (
+  SELECT d.doc_id, coalesce(w.n, 0)::BIGINT AS n_features, coalesce(w.weight, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || d.doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE AS h FROM documents d LEFT JOIN weighed w ON d.doc_id = w.id),
+noisy AS (SELECT doc_id, n_features, weight, weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM scored),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM noisy WHERE n_features >= 20)
+SELECT y.doc_id, y.n_features, y.weight, y.score, CASE WHEN p.place <= 10 * p.n // 100 THEN p.place END::BIGINT AS rank
+FROM noisy y LEFT JOIN placed p USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _MIX, "op8_substrings": _SUBSTRINGS}
+    return {"op1_mix_sources": _MIX, "op8_substrings": _SUBSTRINGS, "op11_clusters": _clusters_sql(), "op12_resampling": _RESAMPLING, "op13_ngram_join": _SHINGLES}
