@@ -27,6 +27,7 @@ from millrace.session import materialise
 
 SEGMENT = 1 << 20  # bytes of a text whose words are in memory at once
 LONGEST = 64  # bytes of a head word at most, which bounds the broadcast
+STEPS = 8  # classes of frequency for each power of two
 HELD = 1 << 17  # features that a task counts before it hands the counts on
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -126,7 +127,11 @@ class Vocabulary:
 
 
 def _most_frequent(docs: DataFrame, size: int, most: int) -> list[tuple[bytes, ...]]:
-    """The ``most`` most frequent runs of ``size`` words, none longer than LONGEST bytes in all; counts are exact."""
+    """The most frequent runs of ``size`` words, ``most`` of them or fewer, none longer than LONGEST bytes in all; counts are exact.
+
+    Runs are counted by powers of their frequency first, which says from where on there are no more than ``most``. So only these
+    reach the driver, not the most frequent ones of each task.
+    """
 
     def count(batches):
         held: Counter = Counter()
@@ -148,8 +153,16 @@ def _most_frequent(docs: DataFrame, size: int, most: int) -> list[tuple[bytes, .
     if most < 1:
         return []
     counts = docs.mapInArrow(count, "feature binary, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "feature").limit(most).select("feature").collect()
-    return [tuple(bytes(r["feature"]).split(b" ")) for r in top]
+    counts = materialise(counts.where("n > 1").withColumn("step", F.floor(F.log2("n") * STEPS)), "run-counts")
+    steps, found = None, 0
+    for r in counts.groupBy("step").agg(F.count("*").alias("runs")).orderBy(F.desc("step")).collect():  # 64 * STEPS rows at most
+        found += r["runs"]
+        if found > most:
+            break
+        steps = r["step"]
+    if steps is None:
+        return []
+    return [tuple(bytes(r["feature"]).split(b" ")) for r in counts.where(F.col("step") >= steps).select("feature").collect()]
 
 
 def build_vocabulary(docs: DataFrame, params: ResampleParams, column: str = "text") -> Vocabulary:
