@@ -114,7 +114,7 @@ def _column_overlap(n: Column, percent: int) -> Column:
 
 
 def _seen_twice(rows: DataFrame) -> DataFrame:
-    """Rows (node, n, shingle) whose shingle stands in several nodes, with ``df``: in how many.
+    """Rows (node, shingle, …) whose shingle stands in several nodes, with ``df``: in how many.
 
     Counts are summed in each task first; the join back splits a frequent shingle's rows.
     """
@@ -128,8 +128,8 @@ def open_nodes(nodes: DataFrame, params: JoinParams) -> DataFrame:
     A partner has T shingles or more, so it counts extra(T) more than one hit needs, or more; the first extra(T)
     shingles in common are among the first of both.
     """
-    shared = _seen_twice(nodes.select("node", "n", F.explode("firsts").alias("shingle")))
-    hits = shared.groupBy("node", "n").agg(F.count("*").alias("hits"))
+    shared = _seen_twice(nodes.select("node", F.explode("firsts").alias("shingle")))
+    hits = nodes.select("node", "n").join(shared.groupBy("node").agg(F.count("*").alias("hits")), "node")
     least = F.greatest(F.lit(1), F.ceil(_column_overlap(F.col("n"), params.percent) * params.first_share / F.lit(100)))
     return hits.where(F.col("hits") >= least).select("node", "n")
 
