@@ -48,6 +48,29 @@ def test_training_equals_the_library(spark, seed, monkeypatch):
     assert dict((t, i) for i, t in vocabulary(merges)) == tok.get_vocab()
 
 
+@pytest.mark.parametrize(("pool", "candidates"), [(1, 1), (7, 3), (60, 512)])
+def test_training_with_a_small_pool_of_pairs(spark, pool, candidates, monkeypatch):
+    """Pairs outside the pool, new ones and those counted anew give the same merges."""
+    monkeypatch.setattr(bpe_train, "POOL", pool)
+    monkeypatch.setattr(bpe_train, "CANDIDATES", candidates)
+    counted, count = [], bpe_train._ranked_pairs
+    monkeypatch.setattr(bpe_train, "_ranked_pairs", lambda symbols: counted.append(1) or count(symbols))
+    rng = random.Random(8)
+    syllables = ["an", "the", "ou", "ing", "aaa", "he", "t", "é"]
+    texts = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(40)) for _ in range(8)]
+    assert spelled(train_bpe(word_counts(frame(spark, texts)), 257 + 40)) == merges_of(library(texts, 257 + 40))
+    assert len(counted) <= {1: 40, 7: 20, 60: 3}[pool]
+
+
+def test_many_merges_equal_the_library(spark):
+    rng = random.Random(11)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    syllables = ["".join(rng.choices(letters, range(26, 0, -1), k=rng.randint(1, 4))) for _ in range(400)]
+    texts = [" ".join("".join(rng.choices(syllables, range(400, 0, -1), k=rng.randint(1, 3))) for _ in range(500)) for _ in range(40)]
+    merges = train_bpe(word_counts(frame(spark, texts)), 257 + 2048)
+    assert len(merges) == 2048 and spelled(merges) == merges_of(library(texts, 257 + 2048))
+
+
 def test_training_ends_when_no_pair_is_left(spark):
     merges = train_bpe(word_counts(frame(spark, ["ab ab cd", "a"])), 5000)
     assert spelled(merges) == merges_of(library(["ab ab cd", "a"], 5000))
