@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -75,18 +73,6 @@ def resume_file(available: DataFrame, skip: int) -> int:
     return 0 if found is None else int(found.cut) >> FILE_SHIFT
 
 
-def enough_files(paths: list[str], needed: int, count: Callable[[list[str]], int]) -> list[str]:
-    """The leading files that hold ``needed`` valid rows; more files are counted at each step.
-
-    A small sample of a large corpus thus reads a few files and not all of it.
-    """
-    kept, found, step = 0, 0, 1
-    while kept < len(paths) and found < needed:
-        found += count(paths[kept : kept + step])
-        kept, step = kept + step, step * 2
-    return paths[:kept]
-
-
 def skip_known(paths: list[str], known_counts: dict[str, int], skip: int) -> tuple[list[str], int]:
     """Drop files whose known number of valid rows lies wholly before the resume point."""
     kept = []

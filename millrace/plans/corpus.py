@@ -12,13 +12,12 @@ from millrace.operators.bpe_codec import Tokenizer, choose_dtype
 from millrace.operators.bpe_train import train_bpe, word_counts
 from millrace.operators.cutoffs import limit_rows
 from millrace.operators.quota import CorpusSpec, TokenizerSpec, mixed_corpus, quotas, validate_corpora
-from millrace.operators.samples import enough_files
 from millrace.operators.shards import ShardPlan, plan_shards
 from millrace.session import materialise
 from millrace.sinks.outputs import require_free
 from millrace.sinks.token_shards import write_binary_shards, write_table_meta, write_token_table
 from millrace.sources.paths import resolve_paths
-from millrace.sources.readers import parse_objects, read_lines, read_rows, read_table, read_text, string_field
+from millrace.sources.readers import leading_files, parse_objects, read_lines, read_rows, read_table, read_text, string_field
 
 PRETRAIN_SHARD_TOKENS = 100_000_000
 
@@ -74,7 +73,7 @@ def read_corpus(spark: SparkSession, corpus: CorpusSpec, wanted: int) -> DataFra
         )
         valid = lambda paths: lines(paths).where(not_empty(F.col("text"))).count()
         files = resolve_paths(spark, corpus.path)
-        rows = lines(enough_files(files, wanted, valid))
+        rows = lines(leading_files(files, wanted, valid))
     elif corpus.kind == "parquet":
         rows = read_rows(spark, corpus.path, [corpus.text_column]).withColumnRenamed(corpus.text_column, "text")
     else:

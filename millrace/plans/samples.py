@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numbers import count_label
 from millrace.operators.samples import (
-    enough_files,
     missing_rows,
     mix,
     normalise_columns,
@@ -19,7 +18,7 @@ from millrace.operators.samples import (
 from millrace.session import materialise
 from millrace.sinks.outputs import write_sample_jsonl
 from millrace.sources.paths import children, delete, exists, resolve_paths
-from millrace.sources.readers import parse_objects, read_lines, read_rows, read_table
+from millrace.sources.readers import leading_files, parse_objects, read_lines, read_rows, read_table
 from millrace.sources.registry import CorpusSource, source
 
 SUMMARY_SCHEMA = "section string, name string, path string, rows bigint, target bigint"
@@ -84,7 +83,7 @@ def extend_sample(spark: SparkSession, root: str, name: str, target: int, corpus
         return path, existing
     files, skip = skip_known(corpus.paths(corpus_root), corpus.known_counts, existing)
     if corpus.kind != "table":
-        files = enough_files(files, target - existing + skip, lambda some: valid_rows(spark, corpus, some).count())
+        files = leading_files(files, target - existing + skip, lambda some: valid_rows(spark, corpus, some).count())
     if files or corpus.kind == "table":
         already = spark.range(1).select(F.lit(name).alias("dataset"), F.lit(skip).cast("bigint").alias("existing"))
         new = missing_rows(valid_rows(spark, corpus, files), already, target - existing + skip)

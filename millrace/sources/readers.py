@@ -6,7 +6,7 @@ does not keep by itself. ``ord`` is a unique BIGINT that sorts the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from millrace.functions.text import not_blank, unify_newlines
-from millrace.session import materialise
 from millrace.sources.paths import file_of_row, metadata_name, readable, resolve_files, resolve_paths
 
 FILE_SHIFT = 40  # up to 2**40 rows in a file and 2**23 files
@@ -59,13 +58,24 @@ def _line_of_split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield row_id - begin
 
 
+def with_fixed_splits(rows: DataFrame) -> DataFrame:
+    """The same rows over file splits that are decided now.
+
+    A file scan is planned anew by each action, from the settings and core count of that moment, so places counted in
+    one action may not hold in the next. A frame made of the scan's partitions always has these. Nothing is read or written here, and a lost
+    partition is read again from the same bytes.
+    """
+    spark = rows.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(rows._jdf.toJavaRDD(), rows._jdf.schema()), spark)
+
+
 def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """(ord, line): the lines of text files that are not blank.
 
     Text files have no row index. A line is placed at twice the byte at which its split
     starts plus its number in the split; as every line has a byte or more, this is unique
-    and rises with the lines. It takes one pass and no shuffle. The splits of a later scan may
-    differ, so the lines are written once with their places, and all that follows reads these.
+    and rises with the lines. It takes one pass and no shuffle, and neither moves nor copies a line. Splits are
+    fixed when this is called, so that each action on the result finds the same places.
     """
     found = resolve_files(spark, paths)
     for name, size in found:
@@ -75,13 +85,24 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     rows = spark.read.text([readable(f) for f in sorted(set(files))]).select(
         file_of_row().alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("id"),
         F.col("value").alias("line"),
     )
-    numbered = rows.withColumn("number", _line_of_split(F.xxhash64("file", "start"), "id"))
+    marked = with_fixed_splits(rows).withColumn("id", F.monotonically_increasing_id())
+    numbered = marked.withColumn("number", _line_of_split(F.xxhash64("file", "start"), "id"))
     placed = numbered.where(not_blank(F.col("line")))
-    ordered = _ordered(placed, files, F.col("start") * 2 + F.col("number")).select("ord", "line")
-    return materialise(ordered, "lines")
+    return _ordered(placed, files, F.col("start") * 2 + F.col("number")).select("ord", "line")
+
+
+def leading_files(files: list[str], needed: int, rows_of: Callable[[list[str]], int]) -> list[str]:
+    """The leading files that hold ``needed`` rows; more files are counted at each step.
+
+    A small part of a large corpus thus opens a few files and not all of them.
+    """
+    kept, found, step = 0, 0, 1
+    while kept < len(files) and found < needed:
+        found += rows_of(files[kept : kept + step])
+        kept, step = kept + step, step * 2
+    return files[:kept]
 
 
 def read_rows(spark: SparkSession, paths: str | Iterable[str], columns: list[str] | None = None) -> DataFrame:
@@ -158,18 +179,31 @@ def read_documents(
     text_column: str = "text",
     table: str | None = None,
     split: str | None = "train",
+    first: int | None = None,
 ) -> DataFrame:
-    """(ord, text) of one source. Whole files keep blank text, the other kinds drop it."""
+    """(ord, text) of one source. Whole files keep blank text, the other kinds drop it.
+
+    ``first``: only files up to the one that holds the document of this number are opened. The documents
+    after it in that file stay; ``limit_rows`` drops them.
+    """
     check_source(kind, paths, table)
-    if kind == "text":
-        return read_text(spark, paths)
-    if kind == "jsonl":
-        rows = parse_objects(read_lines(spark, paths)).select("ord", string_field(F.col("row"), text_column).alias("text"))
-    elif kind == "parquet":
-        rows = _text_only(read_rows(spark, paths, [text_column]), text_column)
-    else:
+    if kind == "table":
         rows = _text_only(read_table(spark, table, split, columns=[text_column]), text_column)
-    return rows.where(not_blank(F.col("text")))
+        return rows.where(not_blank(F.col("text")))
+
+    def documents(files) -> DataFrame:
+        if kind == "text":
+            return read_text(spark, files)
+        if kind == "jsonl":
+            rows = parse_objects(read_lines(spark, files)).select("ord", string_field(F.col("row"), text_column).alias("text"))
+        else:
+            rows = _text_only(read_rows(spark, files, [text_column]), text_column)
+        return rows.where(not_blank(F.col("text")))
+
+    if first is None:
+        return documents(paths)
+    files = resolve_paths(spark, paths)
+    return documents(leading_files(files, max(1, first), lambda some: documents(some).count()) or files)
 
 
 def _text_only(rows: DataFrame, column: str) -> DataFrame:

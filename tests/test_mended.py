@@ -43,7 +43,7 @@ def test_limit_does_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
         assert [r.text.split()[1] for r in limited.orderBy("ord").collect()] == [str(i) for i in range(1000)]
         plan = limited._jdf.queryExecution().executedPlan().toString()
-        assert "NestedLoop" not in plan and "Cartesian" not in plan and "PushedFilters: [IsNotNull(ord), LessThanOrEqual" in plan
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("Scan") == 2  # the lines and the list of files
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 

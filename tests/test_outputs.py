@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from millrace.operators.bpe_codec import Tokenizer
 from millrace.operators.quota import CorpusSpec, TokenizerSpec
-from millrace.operators.samples import enough_files, mix, pick_seed, replace_section, resume_file, sample_summary, skip_known, top_up
+from millrace.operators.samples import mix, pick_seed, replace_section, resume_file, sample_summary, skip_known, top_up
 from millrace.operators.windows import MixtureSource
 from millrace.plans import samples as sample_plan
 from millrace.plans.corpus import read_corpus, tokenise_corpus, train_tokenizer
 from millrace.plans.training import load_datasets, open_datasets, sample_set
 from millrace.sinks import token_shards
 from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards
-from millrace.sources.readers import read_documents
+from millrace.sources.readers import leading_files, read_documents
 from millrace.sources.registry import CorpusSource
 from millrace.streaming.ingest import append_to, encode_stream, stream_parquet
 
@@ -183,7 +183,7 @@ def test_mix_and_summary(spark, tmp_path, monkeypatch):
 def test_small_sample_operators(spark):
     sizes = {"a": 3, "b": 0, "c": 5, "d": 9, "e": 1}
     total = lambda some: sum(sizes[p] for p in some)
-    assert [enough_files(list("abcde"), n, total) for n in (0, 3, 4, 9, 99)] == [[], ["a"], list("abc"), list("abcde"), list("abcde")]
+    assert [leading_files(list("abcde"), n, total) for n in (0, 3, 4, 9, 99)] == [[], ["a"], list("abc"), list("abcde"), list("abcde")]
     assert skip_known(["r/a", "r/b", "r/c"], {"a": 10, "c": 1}, 12) == (["r/b"], 1)
     assert skip_known(["r/a"], {"a": 10}, 9) == (["r/a"], 9)
     sizes = spark.createDataFrame([("n", "p1", 5), ("n", "p2", 9), ("n", "p3", 9), ("n", "p4", 12), ("m", "q", 0)], "name string, path string, rows bigint")

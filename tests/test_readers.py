@@ -1,8 +1,12 @@
 import json
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators.cutoffs import limit_rows
 from millrace.sources.paths import resolve_paths
 from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, read_table, string_field
 from millrace.sources.registry import SOURCES, source
@@ -116,3 +120,60 @@ def test_registry():
     assert source("cci4_zh").paths("s3a://bucket/")[0] == "s3a://bucket/zh_cc-high-loss0/000_00000.jsonl"
     with pytest.raises(ValueError):
         source("nothing")
+
+
+def written_bytes(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_lines_are_not_copied(spark, tmp_path):
+    """Reading, counting and limiting lines writes no more for a corpus ten times as large."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    grown = []
+    for count in (2000, 20000):
+        path = tmp_path / f"{count}.jsonl"
+        path.write_text("".join(json.dumps({"text": f"a line of some length that has the number {i}"}) + "\n" for i in range(count)))
+        before = written_bytes(shared)
+        docs = read_documents(spark, "jsonl", str(path))
+        assert docs.count() == count
+        assert texts(limit_rows(docs, 7)) == [f"a line of some length that has the number {i}" for i in range(7)]
+        grown.append(written_bytes(shared) - before)
+    assert max(grown) < 50_000
+
+
+def test_line_places_hold_when_settings_change(spark, tmp_path):
+    path = tmp_path / "rows.jsonl"
+    path.write_text("".join(json.dumps({"text": str(i)}) + "\n" * (1 + i % 3) for i in range(3000)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        docs = read_documents(spark, "jsonl", str(path))
+        places = {r.text: r.ord for r in docs.collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        assert {r.text: r.ord for r in docs.collect()} == places and len(set(places.values())) == 3000
+        assert texts(limit_rows(docs, 1234)) == [str(i) for i in range(1234)]
+        other = read_documents(spark, "jsonl", str(path))
+        assert texts(other) == [str(i) for i in range(3000)] and other.rdd.getNumPartitions() != docs.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("kind", ["jsonl", "parquet", "text"])
+def test_first_documents_open_leading_files_only(spark, tmp_path, kind):
+    for i in range(6):
+        rows = [f"{i}-{j}" for j in range(1 if kind == "text" else 10)]
+        if kind == "jsonl":
+            (tmp_path / f"{i}.x").write_text("".join(json.dumps({"text": t}) + "\n\n" for t in ["", *rows]))
+        elif kind == "parquet":
+            pq.write_table(pa.table({"text": ["", *rows]}), tmp_path / f"{i}.x")
+        else:
+            (tmp_path / f"{i}.x").write_text(rows[0])
+    n = 2 if kind == "text" else 15
+    docs = read_documents(spark, kind, str(tmp_path / "*.x"), first=n)
+    whole = read_documents(spark, kind, str(tmp_path / "*.x"))
+    assert texts(limit_rows(docs, n)) == texts(limit_rows(whole, n))
+    assert {t.split("-")[0] for t in texts(docs)} == {"0", "1", "2"}  # one file, then two more
+    (tmp_path / "5.x").write_bytes(b"not to be opened")
+    assert texts(limit_rows(read_documents(spark, kind, str(tmp_path / "*.x"), first=n), n))
+    assert len(texts(read_documents(spark, kind, str(tmp_path / "[0-4].x"), first=999))) == 5 * (1 if kind == "text" else 10)
