@@ -41,7 +41,7 @@ from millrace.sinks.token_shards import (
     write_table_meta,
     write_token_table,
 )
-from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, spread, string_field
+from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, read_rows_after, spread, string_field
 from millrace.streaming.ingest import append_to, encode_stream, stream_parquet
 
 # Parameters of the registered queries; the oracles use the same values.
@@ -426,8 +426,28 @@ def _pretrain(spark, sf) -> DataFrame:
     return pretrain_windows(draws, manifest, blocks, [s for s, _ in MIXTURE], SEQ_LEN, BLOCK)
 
 
+def stored_mixture(spark, sf) -> dict[str, str]:
+    """Paths of a token table for each language, written once."""
+
+    def make():
+        paths, vocab_size = {}, tokenizer(spark, sf).vocab_size
+        for name, _ in MIXTURE:
+            rows = tokens(spark, sf).where(F.col("source") == name).drop("source")
+            plan, paths[name] = plan_shards(rows.select("ord", F.size("ids").alias("n")), SHARD_TOKENS), scratch_path(spark, f"table-{name}")
+            write_token_table(plan.attach(rows), paths[name])
+            write_table_meta(spark, paths[name], plan.manifest(), choose_dtype(vocab_size), vocab_size)
+        return paths
+
+    return _once(spark, sf, "stored-mixture", make)
+
+
 def windows_pretrain(spark, sf):
-    return _plan_columns(_pretrain(spark, sf), joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
+    """Windows of the stored token tables, of which only the row groups of planned windows are read."""
+    manifest, fetch = open_datasets(spark, stored_mixture(spark, sf))
+    total = manifest.agg(F.sum("num_tokens").alias("n")).first().n
+    draws = source_draws(spark, mixture_sources(), total // (SEQ_LEN * WORKERS), SEED, WORKERS)
+    found = pretrain_windows(draws, manifest, fetch, [s for s, _ in MIXTURE], SEQ_LEN, BLOCK)
+    return _plan_columns(found, joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
 
 
 def windows_sft(spark, sf):
@@ -547,6 +567,16 @@ def jsonl_documents(spark, sf):
     return rows.select(number.alias("doc_id"), string_field(F.col("row"), "text").alias("text"), string_field(F.col("row"), "dataset").alias("dataset"))
 
 
+def parquet_resume(spark, sf):
+    """The documents after the first third, from a copy in many row groups, of which the first ones are not opened."""
+    path = scratch_path(spark, "groups")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 1 << 17).parquet(path)
+    rows = read_rows_after(spark, path, docs.count() // 3, ["doc_id", "text", "absent"])
+    ranked = rows.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.col("absent").isNull().alias("absent"))
+    return ranked
+
+
 def jsonl_limited(spark, sf):
     """The first third of a JSON-lines corpus, with other file splits for the rows than for the limit."""
     path = scratch_path(spark, "jsonl")
@@ -605,7 +635,7 @@ QUERIES = (
     chat_convert, chat_totals, chat_limited, chatml_render, role_map, content_parts, prompt_response, sft_labels, sft_totals,
     corpus_take, mixture_draws, window_starts, windows_pretrain, windows_sft, window_batches, step_tokens, source_report,
     normalise_rows, resume_topup, mixed_rebuild, sample_totals, seed_choice, counts_format, jsonl_documents, stream_encode,
-    jsonl_limited, token_table, chatml_file, blank_rows, windows_ranges,
+    jsonl_limited, parquet_resume, token_table, chatml_file, blank_rows, windows_ranges,
 )
 
 

@@ -319,6 +319,8 @@ def oracle_sql() -> dict[str, str]:
               r AS parsed FROM s""",
         "jsonl_limited": """SELECT text FROM (SELECT doc_id, text FROM documents WHERE text <> '' ORDER BY doc_id
             LIMIT (SELECT count(*) // 3 FROM documents WHERE text <> ''))""",
+        "parquet_resume": """SELECT doc_id, length(text) AS chars, true AS absent FROM documents ORDER BY doc_id
+            OFFSET (SELECT count(*) // 3 FROM documents)""",
         "token_table": f"{BPE},{DOC_TOKENS},{DOC_SHARDS} SELECT id AS doc_id, shard_id, tok_start, tok_end - tok_start AS n_tokens FROM placed",
         "chatml_file": f"WITH {JSON_SHAPES} SELECT text FROM chatml WHERE text IS NOT NULL",
         "blank_rows": f"""SELECT doc_id, {strip('t')} <> '' AS not_blank, t <> '' AS not_empty, {strip('t')} AS stripped FROM (

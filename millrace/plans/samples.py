@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import count_label
+from millrace.operators.cutoffs import cuts, ord_bucket
 from millrace.operators.samples import (
-    missing_rows,
     mix,
     normalise_columns,
     normalise_json,
@@ -17,10 +19,11 @@ from millrace.operators.samples import (
 )
 from millrace.session import materialise
 from millrace.sinks.outputs import write_sample_jsonl
-from millrace.sources.paths import children, delete, exists, resolve_paths
-from millrace.sources.readers import leading_files, parse_objects, read_lines, read_rows, read_table
+from millrace.sources.paths import children, delete, exists, read_file, resolve_paths, write_file
+from millrace.sources.readers import FILE_SHIFT, leading_files, parse_objects, read_lines, read_rows, read_rows_after, read_table
 from millrace.sources.registry import CorpusSource, source
 
+POSITION = "_position.json"
 SUMMARY_SCHEMA = "section string, name string, path string, rows bigint, target bigint"
 
 
@@ -32,12 +35,17 @@ def count_rows(spark: SparkSession, path: str) -> int:
     return spark.read.option("recursiveFileLookup", "true").text(path).count() if exists(spark, path) else 0
 
 
-def valid_rows(spark: SparkSession, corpus: CorpusSource, paths: list[str]) -> DataFrame:
-    """(ord, text, dataset, source, metadata) from the given files; unused columns are not read."""
+def valid_rows(spark: SparkSession, corpus: CorpusSource, paths: list[str], skip: int = 0) -> DataFrame:
+    """(ord, text, dataset, source, metadata) from the given files; unused columns are not read.
+
+    Of Parquet files, ``skip`` rows are passed over without reading their row groups.
+    """
     if corpus.kind == "jsonl":
         return normalise_json(parse_objects(read_lines(spark, paths)), corpus.name, corpus.text_column)
     if corpus.kind == "parquet":
-        return normalise_columns(read_rows(spark, paths, [corpus.text_column, *corpus.extra_columns]), corpus.name, corpus.text_column)
+        columns = [corpus.text_column, *corpus.extra_columns]
+        rows = read_rows_after(spark, paths, skip, columns) if skip else read_rows(spark, paths, columns)
+        return normalise_columns(rows, corpus.name, corpus.text_column)
     if corpus.kind == "table":
         return normalise_columns(read_table(spark, corpus.table, columns=[corpus.text_column, *corpus.extra_columns]), corpus.name, corpus.text_column)
     raise ValueError(f"unsupported source kind: {corpus.kind}")
@@ -50,6 +58,19 @@ def drop_unfinished(spark: SparkSession, path: str) -> None:
             delete(spark, f"{path}/{part}")
 
 
+def _note_position(spark: SparkSession, part: str, file: str, row: int, rows: int) -> None:
+    write_file(spark, f"{part}/{POSITION}", json.dumps({"file": file, "row": row, "rows": rows}), overwrite=True)
+
+
+def _last_position(spark: SparkSession, path: str, existing: int) -> tuple[str, int] | None:
+    """(file, row) of the last row of a sample of ``existing`` rows, if its newest part has noted it."""
+    marks = [part for part in children(spark, path) if part.startswith("from-") and exists(spark, f"{path}/{part}/{POSITION}")]
+    if not marks:
+        return None
+    noted = json.loads(read_file(spark, f"{path}/{marks[-1]}/{POSITION}"))
+    return (noted["file"], noted["row"]) if noted["rows"] == existing else None
+
+
 def _copy_seed(spark: SparkSession, root: str, name: str, target: int) -> int:
     """Start from the largest existing sample of exactly this name below the target."""
     path = sample_path(root, name, target)
@@ -71,24 +92,48 @@ def _copy_seed(spark: SparkSession, root: str, name: str, target: int) -> int:
     copied = read_lines(spark, best.path)
     ordered = copied.repartitionByRange("ord").sortWithinPartitions("ord")
     ordered.select("line").write.text(f"{path}/from-{0:012d}")
+    noted = _last_position(spark, best.path, best.rows)
+    if noted:
+        _note_position(spark, f"{path}/from-{0:012d}", *noted, best.rows)
     return best.rows
 
 
 def extend_sample(spark: SparkSession, root: str, name: str, target: int, corpus_root: str) -> tuple[str, int]:
-    """Append valid rows until the sample has ``target`` of them; what exists is never cut."""
+    """Append valid rows until the sample has ``target`` of them; what exists is never cut.
+
+    Rows that the sample has are found by count. A part made from Parquet files also notes its last row, so that the next run
+    starts behind it and reads nothing before.
+    """
     corpus, path = source(name), sample_path(root, name, target)
     drop_unfinished(spark, path)
     existing = _copy_seed(spark, root, name, target)
     if existing >= target:
         return path, existing
     files, skip = skip_known(corpus.paths(corpus_root), corpus.known_counts, existing)
+    passed = 0
+    if corpus.kind == "parquet":
+        every, position = resolve_paths(spark, corpus.paths(corpus_root)), _last_position(spark, path, existing)
+        if position and position[0] in every:
+            files, skip, passed = every[every.index(position[0]):], 0, position[1] + 1
+        else:
+            files = resolve_paths(spark, files)
+    wanted = target - existing + skip
     if corpus.kind != "table":
-        files = leading_files(files, target - existing + skip, lambda some: valid_rows(spark, corpus, some).count())
+        files = leading_files(files, wanted, lambda some: valid_rows(spark, corpus, some, passed if some[:1] == files[:1] else 0).count())
     if files or corpus.kind == "table":
-        already = spark.range(1).select(F.lit(name).alias("dataset"), F.lit(skip).cast("bigint").alias("existing"))
-        new = missing_rows(valid_rows(spark, corpus, files), already, target - existing + skip)
+        available = valid_rows(spark, corpus, files, passed)
+        ends = spark.createDataFrame([(name, n) for n in {skip, wanted}], "dataset string, n bigint")
+        found = {r.n: r.cut for r in cuts(available, "dataset", "ord", ord_bucket(F.col("ord")), ends).collect()}
+        # Without a place for the last row to skip there are none to skip, as there is one wherever there are rows.
+        new = available.where((F.col("ord") > found.get(skip, -1)) & (F.col("ord") <= found.get(wanted, -1)))
+        part = f"{path}/from-{existing:012d}"
         # An empty part of this number may be left by a run that found no rows.
-        write_sample_jsonl(new, f"{path}/from-{existing:012d}", overwrite=True)
+        write_sample_jsonl(new, part, overwrite=True)
+        count = count_rows(spark, path)
+        if corpus.kind == "parquet" and found.get(wanted):
+            last = found[wanted]
+            _note_position(spark, part, files[last >> FILE_SHIFT], last & ((1 << FILE_SHIFT) - 1), count)
+        return path, count
     return path, count_rows(spark, path)
 
 

@@ -17,7 +17,7 @@ from millrace.operators.windows import (
     validate_mixture,
 )
 from millrace.session import materialise
-from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, read_windows
+from millrace.sinks.token_shards import is_token_table, read_binary_blocks, read_shard_metas, read_table_groups, read_table_windows, read_token_table, read_windows
 
 
 def parse_mixture(values: dict) -> tuple[dict[str, str], list[MixtureSource], list[MixtureSource]]:
@@ -61,10 +61,28 @@ def load_datasets(
 
 
 def open_datasets(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, Fetch]:
-    """(manifest, fetch) of binary token datasets by source name; ``fetch`` reads the bytes of planned windows only."""
-    metas = [read_shard_metas(spark, path).withColumn("source", F.lit(name)) for name, path in paths.items()]
-    known = materialise(reduce(DataFrame.unionByName, metas), "shard-metas")
-    return known.select("source", "shard_id", "num_tokens", "num_docs"), lambda plan, seq_len, targets: read_windows(plan, known, seq_len, targets)
+    """(manifest, fetch) of token datasets by source name, each binary or a token table.
+
+    ``fetch`` reads planned windows only: their bytes from binary shards, their row groups from tables.
+    """
+    tables = {name: path for name, path in paths.items() if is_token_table(spark, path)}
+    named = lambda df, name: df.withColumn("source", F.lit(name))
+    binary = [named(read_shard_metas(spark, path), name) for name, path in paths.items() if name not in tables]
+    metas = materialise(reduce(DataFrame.unionByName, binary), "shard-metas") if binary else None
+    groups = materialise(reduce(DataFrame.unionByName, [named(read_table_groups(spark, path), name) for name, path in tables.items()]), "table-groups") if tables else None
+    columns = ["source", "shard_id", "num_tokens", "num_docs"]
+    manifests = [metas.select(*columns)] if binary else []
+    manifests += [named(read_token_table(spark, path)[0], name).select(*columns) for name, path in tables.items()]
+
+    def fetch(plan: DataFrame, seq_len: int, targets: str) -> DataFrame:
+        if not tables:
+            return read_windows(plan, metas, seq_len, targets)
+        stored = read_table_windows(plan.where(F.col("source").isin(*tables)), groups, seq_len, targets)
+        if not binary:
+            return stored
+        return stored.unionByName(read_windows(plan.where(~F.col("source").isin(*tables)), metas, seq_len, targets))
+
+    return reduce(DataFrame.unionByName, manifests), fetch
 
 
 def sample_set(

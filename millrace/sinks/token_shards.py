@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.merging import take_runs
 from millrace.sinks.outputs import clear, require_free, save_mode
-from millrace.sources.paths import children, exists, metadata_name, qualified, readable, write_file
+from millrace.sources.paths import children, exists, metadata_name, qualified, readable, resolve_paths, write_file
+from millrace.sources.stores import open_store, opened_parquet, row_groups
 
 # Element types of the binary files.
 TOKEN_TYPES = {"uint16": "<u2", "uint32": "<u4"}
@@ -29,34 +31,33 @@ META_SUFFIX = ".meta.json"
 DATASET_META = "dataset.meta.json"
 
 SPAN_TOKENS = 1 << 20  # tokens fetched by one read
+GROUP_BYTES = 8 << 20  # of a row group of a token table
 TASK_TOKENS = 100_000_000  # tokens written by one task, about one full shard
 
 
-# Hadoop schemes and those of the same stores in Arrow.
-SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
-
-
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    """(file system, path in it) of a qualified path, as ``shard_root`` gives it."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
-    if scheme not in SCHEMES:
-        raise ValueError(f"binary shards cannot be kept on {scheme}: {path}")
-    return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{metadata_name(rest)}")
-
-
 def shard_root(spark: SparkSession, path: str) -> str:
     """One spelling for the driver's checks, the writing tasks and the reading tasks."""
     root = qualified(spark, path)
-    _open(root)
+    open_store(root)
     return root
 
 
 def write_token_table(tokens: DataFrame, path: str, overwrite: bool = False) -> None:
-    """(ord, ids[, labels], shard_id) partitioned by shard, without moving rows first."""
-    require_free(tokens.sparkSession, path, overwrite)
-    tokens.write.mode(save_mode(overwrite)).partitionBy("shard_id").parquet(path)
+    """(ord, ids[, labels], shard_id) partitioned by shard, in order, with ``tok_start``, and the index of its row groups.
+
+    Each shard is moved to one task and placed there, once, so that readers need not move any tokens. Row groups are
+    small, so that a window is read without much around it.
+    """
+    spark = tokens.sparkSession
+    require_free(spark, path, overwrite)
+    before = Window.partitionBy("shard_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.size("ids").cast("bigint")).over(before), F.lit(0).cast("bigint"))
+    placed = tokens.withColumn("tok_start", start)
+    placed.write.mode(save_mode(overwrite)).option("parquet.block.size", GROUP_BYTES).partitionBy("shard_id").parquet(path)
+    files = resolve_paths(spark, path)
+    shard = F.regexp_extract("file", r"/shard_id=(\d+)/[^/]*$", 1).cast("int")
+    groups = row_groups(spark, files, "tok_start").select(shard.alias("shard_id"), "file", "row_group", "num_rows", F.col("least").alias("tok_start"))
+    groups.write.mode("overwrite").parquet(f"{path}/_groups")
 
 
 def write_table_meta(spark: SparkSession, path: str, manifest: DataFrame, dtype: str, vocab_size: int, tokenizer: str | None = None) -> None:
@@ -66,25 +67,84 @@ def write_table_meta(spark: SparkSession, path: str, manifest: DataFrame, dtype:
     write_file(spark, f"{path}/_{DATASET_META}", json.dumps(facts, indent=2), overwrite=True)
 
 
+def is_token_table(spark: SparkSession, path: str) -> bool:
+    return exists(spark, f"{path}/_{DATASET_META}")
+
+
 def read_token_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(manifest, tokens) of a token table: (shard_id, num_tokens, num_docs) and (shard_id, ord, tok_start, ids[, labels]).
 
-    Shards are partitions, so a filter on shard_id reads only their files.
+    Shards are partitions, so a filter on shard_id reads only their files; places are stored, so one on tok_start
+    reads only the row groups it meets.
     """
-    if not exists(spark, f"{path}/_{DATASET_META}"):
+    if not is_token_table(spark, path):
         raise FileNotFoundError(f"token dataset not found: {path}")
     tokens = spark.read.parquet(path)
-    length = F.size("ids").cast("bigint")
-    before = Window.partitionBy("shard_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.withColumn("tok_start", F.coalesce(F.sum(length).over(before), F.lit(0).cast("bigint")))
-    return spark.read.parquet(f"{path}/_shards"), placed.withColumn("shard_id", F.col("shard_id").cast("int"))
+    return spark.read.parquet(f"{path}/_shards"), tokens.withColumn("shard_id", F.col("shard_id").cast("int"))
+
+
+def read_table_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(shard_id, starts, groups): a token table's shards with the first token of each row group, in order, and where it is."""
+    stored = spark.read.parquet(f"{path}/_groups")
+    ordered = F.array_sort(F.collect_list(F.struct("tok_start", "file", "row_group")))
+    # A shard has a bounded number of tokens, and so of groups.
+    listed = stored.groupBy("shard_id").agg(ordered.alias("g"))
+    place = F.transform("g", lambda g: F.struct(g["file"].alias("file"), g["row_group"].alias("row_group")))
+    return listed.select("shard_id", F.transform("g", lambda g: g["tok_start"]).alias("starts"), place.alias("groups"))
+
+
+def read_table_windows(plan: DataFrame, groups: DataFrame, seq_len: int, targets: str = "ids") -> DataFrame:
+    """Add (x, y) to planned windows (worker, draw, seed, attempt, source, shard_id, start) by reading just their row groups.
+
+    ``groups`` has the columns of ``read_table_groups`` and source. Windows are dealt by the group they start in and a task
+    goes through its groups in order, so a group is read by one task, however many windows start in it, and again
+    only by a window that comes from the group before.
+    """
+    named = ["worker", "draw", "seed", "attempt", "source", "shard_id", "start"]
+    located = plan.select(*named).join(groups, ["source", "shard_id"])
+    first = F.size(F.filter("starts", lambda s: s <= F.col("start")))
+    past = F.size(F.filter("starts", lambda s: s <= F.col("start") + seq_len))
+    located = located.withColumn("_first", first).withColumn("_past", past).select(
+        *named, "_first", F.slice("starts", F.col("_first"), F.col("_past") - F.col("_first") + 1).alias("_starts"),
+        F.slice("groups", F.col("_first"), F.col("_past") - F.col("_first") + 1).alias("_groups"))
+    dealt = located.repartition("source", "shard_id", "_first").sortWithinPartitions("source", "shard_id", "start")
+    arrays = list(dict.fromkeys(["ids", targets]))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[np.ndarray]] = {}
+
+        def read(group: tuple[str, int], wanted: list[tuple[str, int]]) -> list[np.ndarray]:
+            if group not in held:
+                for other in [g for g in held if g not in wanted]:
+                    del held[other]
+                with opened_parquet(group[0]) as file:
+                    table = file.read_row_group(group[1], columns=arrays)
+                held[group] = [pc.list_flatten(table[a]).combine_chunks().to_numpy().astype(np.int32) for a in arrays]
+            return held[group]
+
+        for batch in batches:
+            x, y = [], []
+            for row in batch.select(["start", "_starts", "_groups"]).to_pylist():
+                wanted = [(g["file"], g["row_group"]) for g in row["_groups"]]
+                at = row["start"] - row["_starts"][0]
+                parts = [read(g, wanted) for g in wanted]
+                run = [np.concatenate([p[i] for p in parts]) if len(parts) > 1 else parts[0][i] for i in range(len(arrays))]
+                x.append(run[0][at : at + seq_len])
+                y.append(run[-1][at + 1 : at + 1 + seq_len])
+                if len(y[-1]) < seq_len:
+                    raise ValueError(f"{wanted[0][0]} ends before token {row['start'] + seq_len + 1}")
+            lists = [pa.array(v, pa.list_(pa.int32())) for v in (x, y)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], *lists], [*named, "x", "y"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.select(*named).schema)
+    return dealt.mapInArrow(fetch, f"{schema}, x array<int>, y array<int>")
 
 
 class _ShardFiles:
     """The files of one shard while they are written under a temporary name."""
 
     def __init__(self, root: str, shard_id: int, dtype: str, labelled: bool, vocab_size: int):
-        self.fs, base = _open(root)
+        self.fs, base = open_store(root)
         self.name, self.dtype, self.vocab_size = f"{shard_id:05d}", dtype, vocab_size
         self.kinds = ["tokens", "index", *(["labels"] if labelled else [])]
         mark = uuid.uuid4().hex
@@ -132,7 +192,7 @@ def write_binary_shards(
     spark = tokens.sparkSession
     clear(spark, path, overwrite)
     path = shard_root(spark, path)
-    fs, base = _open(path)
+    fs, base = open_store(path)
     fs.create_dir(base, recursive=True)
     labelled = "labels" in tokens.columns
 
@@ -176,7 +236,7 @@ def write_binary_shards(
 
 
 def _write_dataset_meta(tokens: DataFrame, rows: list, path: str, dtype: str, vocab_size: int) -> None:
-    fs, base = _open(path)
+    fs, base = open_store(path)
     meta = {
         "format": "token-dataset", "version": 1, "num_shards": len(rows), "num_tokens": sum(r[1] for r in rows),
         "num_docs": sum(r[2] for r in rows), "dtype": dtype, "tokenizer_vocab_size": vocab_size,
@@ -227,7 +287,7 @@ def read_shard_metas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_range(path: str, element: np.dtype, expected: int, start: int, count: int) -> np.ndarray:
-    fs, path = _open(path)
+    fs, path = open_store(path)
     with fs.open_input_file(path) as file:
         if file.size() != expected * element.itemsize:
             raise ValueError(f"{path} does not hold {expected} tokens")
@@ -256,7 +316,7 @@ def read_windows(plan: DataFrame, metas: DataFrame, seq_len: int, targets: str =
                     for file in opened.values():
                         file.close()
                     opened.clear()
-                fs, inner = _open(path)
+                fs, inner = open_store(path)
                 opened[path] = fs.open_input_file(inner)
                 if opened[path].size() != size * element.itemsize:
                     raise ValueError(f"{path} does not hold {size} tokens")

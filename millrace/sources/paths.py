@@ -74,6 +74,16 @@ def write_file(spark: SparkSession, value: str, content: str, overwrite: bool =
         out.close()
 
 
+def read_file(spark: SparkSession, value: str) -> str:
+    """The content of one small file, whatever its name."""
+    path, fs = _hadoop_path(spark, value)
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def _data_files(fs, path) -> list[tuple[str, int]]:
     found = []
     for status in fs.listStatus(path):

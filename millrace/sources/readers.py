@@ -9,14 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType
 
 from millrace.functions.text import not_blank, unify_newlines
+from millrace.operators.prefix import with_sum_before
+from millrace.session import materialise
 from millrace.sources.paths import file_of_row, metadata_name, readable, resolve_files, resolve_paths
+from millrace.sources.stores import opened_parquet, row_groups
 
 FILE_SHIFT = 40  # up to 2**40 rows in a file and 2**23 files
+BATCH_ROWS = 4096
 LONGEST_TEXT = 1 << (FILE_SHIFT - 1)  # bytes of a text file whose lines can be numbered
 
 
@@ -111,6 +117,44 @@ def read_rows(spark: SparkSession, paths: str | Iterable[str], columns: list[str
     return _with_row_index(spark.read.parquet(*[readable(f) for f in sorted(set(files))]), files, columns)
 
 
+def read_rows_after(spark: SparkSession, paths: str | Iterable[str], skip: int, columns: list[str]) -> DataFrame:
+    """``read_rows`` without the first ``skip`` rows of all files, whose row groups are not read.
+
+    Footers tell the rows of each group; sums of these, in two levels, tell which group holds the first row wanted. Groups
+    before it aren't opened, it is read from that row on, and later ones whole, each by one task.
+    """
+    files = resolve_paths(spark, paths)
+    if not files:
+        return read_rows(spark, paths, columns)
+    stored = spark.read.parquet(*[readable(f) for f in sorted(set(files))])
+    schema = stored.select(*_present(stored, columns)).schema
+    place = F.shiftleft("file_idx", 20) + F.col("row_group")
+    groups = materialise(row_groups(spark, files).where("num_rows > 0").withColumns({"_all": F.lit(0), "place": place}), "row-groups")
+    summed = materialise(with_sum_before(groups, "_all", "place", "num_rows", "before"), "row-groups")
+    placed = with_sum_before(summed, "file_idx", "place", "num_rows", "first")
+    rest = placed.where(F.col("before") + F.col("num_rows") > skip)
+    rest = materialise(rest.select("file", "row_group", F.greatest(F.lit(skip) - F.col("before"), F.lit(0)).alias("offset"), (F.shiftleft("file_idx", FILE_SHIFT) + F.col("first")).alias("base")), "row-groups")
+    own = [c for c in columns if c in stored.columns]
+    out = schema.add("ord", LongType())
+    kinds = to_arrow_schema(out)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            at, offset = row["base"], row["offset"]
+            with opened_parquet(row["file"]) as file:
+                for batch in file.iter_batches(BATCH_ROWS, row_groups=[row["row_group"]], columns=own):
+                    ords = pa.array(range(at, at + len(batch)), pa.int64())
+                    at += len(batch)
+                    values = [batch.column(c) if c in batch.schema.names else pa.nulls(len(batch)) for c in columns]
+                    whole = pa.RecordBatch.from_arrays([v.cast(k.type) for v, k in zip([*values, ords], kinds, strict=True)], schema=kinds)
+                    left = whole.slice(offset)
+                    offset = max(0, offset - len(whole))
+                    if len(left):
+                        yield left
+
+    return rest.repartition(max(1, rest.count())).mapInArrow(scan, out)
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Spread rows over the cores before costly per-row work, where they come from few row groups.
 

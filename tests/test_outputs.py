@@ -1,6 +1,8 @@
 import json
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,56 @@ def test_binary_blocks_feed_windows(spark, corpus, coder, tmp_path, monkeypatch)
     assert len(windows) == 30 and all(len(r.x) == len(r.y) == 20 and r.x[1:] == r.y[:-1] for r in windows)
 
 
+def test_windows_from_a_token_table(spark, corpus, coder, tmp_path, monkeypatch):
+    """A token table gives the windows that binary shards give, beside one too, and row groups no window needs are not read."""
+    monkeypatch.setattr(token_shards, "GROUP_BYTES", 64)
+    root, _ = corpus
+    docs = read_documents(spark, "jsonl", str(root / "docs.jsonl")).repartition(3)
+    flat, table = str(tmp_path / "flat"), str(tmp_path / "table")
+    # Spark checks the size of a row group after a hundred rows only.
+    many = docs.unionByName(docs.withColumn("ord", F.col("ord") + 10**6)).unionByName(docs.withColumn("ord", F.col("ord") + 10**7))
+    many = many.crossJoin(spark.range(5)).withColumn("ord", F.col("ord") + F.col("id") * 10**8).drop("id")
+    for path, binary in ((flat, True), (table, False)):
+        tokenise_corpus(many, coder, path, 20_000, binary=binary)
+    sources = [MixtureSource("docs")]
+    whole, fetch = open_datasets(spark, {"docs": flat})
+    manifest, group_fetch = open_datasets(spark, {"docs": table})
+    assert sorted(manifest.select("shard_id", "num_tokens", "num_docs").collect()) == sorted(whole.select("shard_id", "num_tokens", "num_docs").collect())
+    want = sorted(sample_set(whole, fetch, sources, 300, 20, 32, 1).collect())
+    assert sorted(sample_set(manifest, group_fetch, sources, 300, 20, 32, 1).collect()) == want and len(want) == 300
+    both, mixed = open_datasets(spark, {"a": flat, "b": table})
+    windows = sample_set(both, mixed, [MixtureSource("a"), MixtureSource("b")], 60, 20, 32, 1).collect()
+    assert {r.source for r in windows} == {"a", "b"} and all(r.x[1:] == r.y[:-1] for r in windows)
+    groups = spark.read.parquet(f"{table}/_groups").collect()
+    assert len(groups) > 2 * len({g.shard_id for g in groups})
+    stored = spark.read.parquet(table).orderBy("shard_id", "ord").select("shard_id", "tok_start", F.size("ids").alias("n")).collect()
+    assert all(b.tok_start == (a.tok_start + a.n if a.shard_id == b.shard_id else 0) for a, b in zip(stored, stored[1:]))
+    # Overwrite the bytes of all groups but those of shard 1: its windows are read as before.
+    for file in (tmp_path / "table").glob("shard_id=*/*.parquet"):
+        if "shard_id=1" not in str(file):
+            content = file.read_bytes()
+            with open(file, "r+b") as out:
+                out.write(b"x" * (len(content) - 8 - int.from_bytes(content[-8:-4], "little")))
+    plan = spark.createDataFrame([(0, i, 1, 0, "docs", 1, 37 * i) for i in range(40)], "worker int, draw bigint, seed int, attempt int, source string, shard_id int, start bigint")
+    at = {(r.shard_id, r.start): (r.x, r.y) for r in fetch(plan, 20, "ids").collect()}
+    assert {(r.shard_id, r.start): (r.x, r.y) for r in group_fetch(plan, 20, "ids").collect()} == at
+
+
+def test_labelled_windows_from_a_token_table(spark, tmp_path):
+    rows = [(i, list(range(7 * i, 7 * i + 7)), [-100] * 3 + list(range(7 * i + 3, 7 * i + 7))) for i in range(30)]
+    tokens = spark.createDataFrame(rows, "ord bigint, ids array<int>, labels array<int>").withColumn("shard_id", F.lit(0))
+    token_shards.write_token_table(tokens.repartition(4), str(tmp_path / "t"))
+    token_shards.write_table_meta(spark, str(tmp_path / "t"), spark.sql("SELECT 0 AS shard_id, 210L AS num_tokens, 30L AS num_docs"), "uint16", 300)
+    manifest, fetch = open_datasets(spark, {"s": str(tmp_path / "t")})
+    found = sample_set(manifest, fetch, [MixtureSource("s")], 50, 9, 32, 3, mode="sft").collect()
+    assert len(found) == 50
+    for r in found:
+        assert r.x == list(range(r.start, r.start + 9)) and r.y == [v if v % 7 >= 3 else -100 for v in range(r.start + 1, r.start + 10)]
+    beyond = spark.createDataFrame([(0, 0, 1, 0, "s", 0, 205)], "worker int, draw bigint, seed int, attempt int, source string, shard_id int, start bigint")
+    with pytest.raises(Exception, match="ends before token"):
+        fetch(beyond, 9, "ids").collect()
+
+
 def test_reader_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_shard_metas(spark, str(tmp_path / "none"))
@@ -164,6 +216,28 @@ def test_samples_grow_without_gaps_or_repeats(spark, tmp_path, monkeypatch, know
     assert rows == 7 and {r["dataset"] for r in _lines(spark, path)} == {"web_more"}
 
 
+def test_parquet_samples_go_on_behind_their_last_row(spark, tmp_path, monkeypatch):
+    """A noted position spares reading what comes before: the files passed can even be gone."""
+    (tmp_path / "src").mkdir()
+    files, valid = [], []
+    for f in range(4):
+        texts = [f"{f}-{i}" if i % 4 else " " for i in range(40)]
+        valid += [t for t in texts if t.strip()]
+        pq.write_table(pa.table({"text": texts, "source": ["web"] * 40}), tmp_path / "src" / f"{f}.parquet", row_group_size=10)
+        files.append(f"{f}.parquet")
+    monkeypatch.setitem(sample_plan.source.__globals__["SOURCES"], "tab", CorpusSource("tab", "parquet", files, "text", extra_columns=["source"]))
+    root, src = str(tmp_path / "out"), tmp_path / "src"
+    for target in (7, 20, 65, 70, 1000):
+        path, rows = sample_plan.extend_sample(spark, root, "tab", target, str(src))
+        assert [r["text"] for r in _lines(spark, path)] == valid[:target] and rows == min(target, len(valid))
+        if target == 70:  # the 70th valid row is in the third file, behind its first row group
+            for name in ("0.parquet", "1.parquet"):
+                (src / name).write_bytes(b"gone")
+            content = (src / "2.parquet").read_bytes()
+            second = pq.ParquetFile(src / "2.parquet").metadata.row_group(0).total_byte_size
+            (src / "2.parquet").write_bytes(b"PAR1" + b"x" * (second // 2) + content[4 + second // 2:])
+
+
 def test_mix_and_summary(spark, tmp_path, monkeypatch):
     (tmp_path / "src").mkdir()
     root = str(tmp_path / "out")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.cutoffs import limit_rows
 from millrace.sources.paths import resolve_paths
-from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, read_table, string_field
+from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, read_rows_after, read_table, string_field
 from millrace.sources.registry import SOURCES, source
 
 
@@ -177,3 +177,26 @@ def test_first_documents_open_leading_files_only(spark, tmp_path, kind):
     (tmp_path / "5.x").write_bytes(b"not to be opened")
     assert texts(limit_rows(read_documents(spark, kind, str(tmp_path / "*.x"), first=n), n))
     assert len(texts(read_documents(spark, kind, str(tmp_path / "[0-4].x"), first=999))) == 5 * (1 if kind == "text" else 10)
+
+
+def test_rows_after_skipped_groups(spark, tmp_path):
+    at = 0
+    for i, (rows, size) in enumerate([(25, 10), (0, 10), (7, 3), (40, 40)]):
+        part = pa.table({"text": [f"t{j}" for j in range(at, at + rows)], "n": pa.array(range(at, at + rows), pa.int32())})
+        pq.write_table(part if i != 2 else part.drop(["n"]), tmp_path / f"{i}.parquet", row_group_size=size)
+        at += rows
+    path = str(tmp_path / "*.parquet")
+    whole = {r.text: (r.ord, r.n) for r in read_rows(spark, path, ["text", "n"]).collect()}
+    for skip in (0, 1, 9, 10, 11, 24, 25, 26, 30, 32, 71, 72, 99):
+        got = read_rows_after(spark, path, skip, ["text", "n", "none"])
+        assert got.columns == ["text", "n", "none", "ord"]
+        rows = got.orderBy("ord").collect()
+        assert [r.text for r in rows] == [f"t{j}" for j in range(skip, 72)]
+        assert all(whole[r.text] == (r.ord, r.n) and r.none is None for r in rows)
+    # A skipped group's pages can be anything, as they are not read.
+    first = tmp_path / "0.parquet"
+    end = pq.ParquetFile(first).metadata.row_group(1).column(0).dictionary_page_offset
+    first.write_bytes(b"PAR1" + b"x" * (end - 4) + first.read_bytes()[end:])
+    assert [r.text for r in read_rows_after(spark, path, 12, ["text"]).orderBy("ord").collect()] == [f"t{j}" for j in range(12, 72)]
+    with pytest.raises(Exception):
+        read_rows_after(spark, path, 9, ["text"]).collect()
