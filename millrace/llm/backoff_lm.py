@@ -13,12 +13,13 @@ the sums behind the backoff weights of its own histories.
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import mix64, words_of
@@ -310,6 +311,13 @@ class BackoffAutomaton:
         return np.where(np.isnan(self.arc[3]), self.fall[2] + after_one, self.arc[3])
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of frames that nothing refers to any more: it does when the driver collects
+    its garbage, which it may not do for long while the next files come in."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -325,10 +333,13 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, -(-chars // params.block_chars))
     shards = max(1, -(-(chars // 6) // params.shard_entries))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)))
+    # The text tells rows of one id, or without one, apart; equal rows count alike wherever they are.
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
     sent = rows.select("block", "train", "text").groupBy("block").applyInArrow(_count_block(shards), COUNT_ROWS)
     merged = materialise(sent.groupBy("shard").applyInArrow(_merge_shard, REPLY_ROWS), "word-counts")
+    del sent
+    free_shuffles(spark)
     stats = merged.where("block = -1").agg(F.sum("known"), F.sum("tokens"), F.sum("texts")).first()
     vocabulary, tokens, n_train = (x or 0 for x in stats)
     least = (max(1, math.ceil(params.word_share * tokens)), max(params.least_count, math.ceil(params.gram_share * tokens)))
@@ -337,6 +348,8 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
     paired = rows.select("block", "train", "text").groupBy("block").cogroup(replies.groupBy("block"))
     arcs = paired.applyInArrow(_send_arcs(shards, least, n_train, params.discount), ARC_ROWS)
     weights = materialise(arcs.groupBy("shard").applyInArrow(_weigh_shard(least[1], params.discount), WEIGHT_ROWS), "arc-weights")
+    del paired, arcs
+    free_shuffles(spark)
     room = tokens + vocabulary + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
