@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.merging import take_runs
+from millrace.session import materialise
 from millrace.sinks.outputs import clear, require_free, save_mode
 from millrace.sources.paths import children, exists, metadata_name, qualified, readable, resolve_paths, write_file
 from millrace.sources.stores import open_store, opened_parquet, row_groups
@@ -29,6 +30,7 @@ LABEL_TYPES = {"int32": "<i4"}
 INDEX_TYPE = "<u8"
 META_SUFFIX = ".meta.json"
 DATASET_META = "dataset.meta.json"
+STAGING = "_staging"
 
 SPAN_TOKENS = 1 << 20  # tokens fetched by one read
 GROUP_BYTES = 8 << 20  # of a row group of a token table
@@ -141,16 +143,15 @@ def read_table_windows(plan: DataFrame, groups: DataFrame, seq_len: int, targets
 
 
 class _ShardFiles:
-    """The files of one shard while they are written under a temporary name."""
+    """The files of one shard as one attempt writes them, in the staging folder and under a name of its own."""
 
     def __init__(self, root: str, shard_id: int, dtype: str, labelled: bool, vocab_size: int):
         self.fs, base = open_store(root)
         self.name, self.dtype, self.vocab_size = f"{shard_id:05d}", dtype, vocab_size
         self.kinds = ["tokens", "index", *(["labels"] if labelled else [])]
-        mark = uuid.uuid4().hex
-        self.final = {k: f"{base}/{self.name}.{k}" for k in [*self.kinds, "meta.json"]}
-        self.temp = {k: f"{base}/.{self.name}.{k}.{mark}" for k in self.final}
-        self.out = {k: self.fs.open_output_stream(self.temp[k]) for k in self.kinds}
+        self.mark = uuid.uuid4().hex
+        self.staged = {k: f"{base}/{STAGING}/{self.name}.{k}.{self.mark}" for k in [*self.kinds, "meta.json"]}
+        self.out = {k: self.fs.open_output_stream(self.staged[k]) for k in self.kinds}
         self.out["index"].write(np.zeros(1, INDEX_TYPE).tobytes())
         self.tokens = self.docs = 0
 
@@ -162,7 +163,7 @@ class _ShardFiles:
         self.tokens += len(ids)
         self.docs += len(sizes)
 
-    def close(self) -> tuple[int, int]:
+    def close(self) -> tuple[str, int, int]:
         for stream in self.out.values():
             stream.close()
         meta = {
@@ -171,35 +172,45 @@ class _ShardFiles:
             "num_tokens": self.tokens, "num_docs": self.docs, "tokenizer_vocab_size": self.vocab_size,
             "files": {k: f"{self.name}.{k}" for k in self.kinds},
         }
-        with self.fs.open_output_stream(self.temp["meta.json"]) as out:
+        with self.fs.open_output_stream(self.staged["meta.json"]) as out:
             out.write(json.dumps(meta, indent=2).encode())
-        # A repeated task replaces the files of the first one with the same bytes.
-        for k, path in self.temp.items():
-            if self.fs.get_file_info(self.final[k]).type == pafs.FileType.File:  # not every store replaces on a move
-                self.fs.delete_file(self.final[k])
-            self.fs.move(path, self.final[k])
-        return self.tokens, self.docs
+        return self.mark, self.tokens, self.docs
+
+
+def publish_shard(root: str, shard_id: int, mark: str, labelled: bool) -> None:
+    """Move the files of the attempt ``mark`` to their names, the meta file last. It can be done again, also at the same time."""
+    fs, base = open_store(root)
+    for kind in ["tokens", "index", *(["labels"] if labelled else []), "meta.json"]:
+        staged, final = f"{base}/{STAGING}/{shard_id:05d}.{kind}.{mark}", f"{base}/{shard_id:05d}.{kind}"
+        try:
+            fs.move(staged, final)
+        except OSError:
+            # Another attempt of this step has moved it; if not, there is nothing at the final name.
+            if fs.get_file_info(final).type != pafs.FileType.File:
+                raise
 
 
 def write_binary_shards(
-    tokens: DataFrame, manifest: DataFrame, path: str, dtype: str, vocab_size: int, overwrite: bool = False
+    tokens: DataFrame, manifest: DataFrame, path: str, dtype: str, vocab_size: int, overwrite: bool = False, tokenizer: str | None = None
 ) -> DataFrame:
     """Write (shard_id, ord, ids[, labels]) as binary shards; returns (shard_id, num_tokens, num_docs).
 
     A shard is one task's work by the format, a bounded one (its token limit), and streams
-    through it in Arrow batches. ``manifest`` (shard_id, num_tokens) sets the number of tasks.
+    through it in Arrow batches. ``manifest`` (shard_id, num_tokens) sets the number of tasks. Tasks write to a staging folder and
+    report what they wrote; Spark keeps the report of one attempt of each task, and only files named there are published. So an attempt
+    that is repeated, or runs beside another, never touches a published file, and a reader sees whole shards only.
     """
     spark = tokens.sparkSession
     clear(spark, path, overwrite)
     path = shard_root(spark, path)
     fs, base = open_store(path)
-    fs.create_dir(base, recursive=True)
+    fs.create_dir(f"{base}/{STAGING}", recursive=True)
     labelled = "labels" in tokens.columns
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: _ShardFiles | None = None
         current = -1
-        done: list[tuple[int, int, int]] = []
+        done: list[tuple[int, str, int, int]] = []
         for batch in batches:
             shard = batch.column("shard_id").to_numpy()
             edges = np.flatnonzero(np.diff(shard)) + 1
@@ -218,28 +229,36 @@ def write_binary_shards(
         if files is not None:
             done.append((current, *files.close()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))],
-            names=["shard_id", "num_tokens", "num_docs"],
+            [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))],
+            names=["shard_id", "mark", "num_tokens", "num_docs"],
         )
 
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard_id, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                publish_shard(path, shard_id, mark, labelled)
+            yield batch.select([0])
+
     columns = ["shard_id", "ord", "ids", *(["labels"] if labelled else [])]
     size = manifest.agg(F.count("*").alias("shards"), F.sum("num_tokens").alias("tokens")).first()
     tasks = max(1, min(size.shards, max(-(-(size.tokens or 0) // TASK_TOKENS), spark.sparkContext.defaultParallelism)))
     by_shard = tokens.select(*columns).repartition(tasks, "shard_id").sortWithinPartitions("shard_id", "ord")
-    rows = by_shard.mapInArrow(write, "shard_id int, num_tokens bigint, num_docs bigint").collect()  # one small row per shard
-    if not rows:
-        files = _ShardFiles(path, 0, dtype, labelled, vocab_size)
-        rows = [(0, *files.close())]
-    written = spark.createDataFrame([tuple(r) for r in rows], "shard_id int, num_tokens bigint, num_docs bigint")
-    _write_dataset_meta(tokens, rows, path, dtype, vocab_size)
+    written = materialise(by_shard.mapInArrow(write, "shard_id int, mark string, num_tokens bigint, num_docs bigint"), "shard-commits")
+    if written.isEmpty():
+        written = spark.createDataFrame([(0, *_ShardFiles(path, 0, dtype, labelled, vocab_size).close())], written.schema)
+    written.select("shard_id", "mark").mapInArrow(publish, "shard_id int").agg(F.count("*")).collect()
+    fs.delete_dir(f"{base}/{STAGING}")  # with what attempts left that did not count
+    written = written.select("shard_id", "num_tokens", "num_docs")
+    _write_dataset_meta(tokens, written, path, dtype, vocab_size, tokenizer)
     return written
 
 
-def _write_dataset_meta(tokens: DataFrame, rows: list, path: str, dtype: str, vocab_size: int) -> None:
+def _write_dataset_meta(tokens: DataFrame, written: DataFrame, path: str, dtype: str, vocab_size: int, tokenizer: str | None) -> None:
     fs, base = open_store(path)
+    total = written.agg(F.count("*").alias("shards"), F.sum("num_tokens").alias("tokens"), F.sum("num_docs").alias("docs")).first()
     meta = {
-        "format": "token-dataset", "version": 1, "num_shards": len(rows), "num_tokens": sum(r[1] for r in rows),
-        "num_docs": sum(r[2] for r in rows), "dtype": dtype, "tokenizer_vocab_size": vocab_size,
+        "format": "token-dataset", "version": 1, "num_shards": total.shards, "num_tokens": total.tokens,
+        "num_docs": total.docs, "dtype": dtype, "tokenizer_vocab_size": vocab_size, **({"tokenizer": tokenizer} if tokenizer else {}),
     }
     if "labels" in tokens.columns:
         counted = tokens.select(F.sum(F.expr("size(filter(labels, v -> v <> -100))")).alias("n")).first()

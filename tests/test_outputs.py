@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,27 @@ def test_binary_blocks_feed_windows(spark, corpus, coder, tmp_path, monkeypatch)
     assert len(windows) == 30 and all(len(r.x) == len(r.y) == 20 and r.x[1:] == r.y[:-1] for r in windows)
 
 
+def test_attempts_of_one_shard_at_once(tmp_path):
+    """Only the reported attempt is published, whichever ends last, and publishing can run twice at the same time."""
+    root = f"file:{tmp_path}"
+    (tmp_path / token_shards.STAGING).mkdir()
+    for shard in range(20):
+        first, second = (token_shards._ShardFiles(root, shard, "uint16", True, 9) for _ in range(2))
+        for attempt, value in ((first, 1), (second, 2)):
+            attempt.add(np.array([value] * 3), np.array([3]), np.array([value] * 3))
+        mark, tokens, docs = first.close()
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda _: token_shards.publish_shard(root, shard, mark, True), range(4)))
+        second.add(np.array([2]), np.array([1]), np.array([2]))
+        second.close()  # after the other was published
+        assert (tokens, docs) == (3, 1)
+        assert np.fromfile(tmp_path / f"{shard:05d}.tokens", "<u2").tolist() == [1, 1, 1]
+        assert np.fromfile(tmp_path / f"{shard:05d}.labels", "<i4").tolist() == [1, 1, 1]
+        assert json.loads((tmp_path / f"{shard:05d}.meta.json").read_text())["num_tokens"] == 3
+    with pytest.raises(OSError):
+        token_shards.publish_shard(root, 99, "none", True)
+
+
 def test_windows_from_a_token_table(spark, corpus, coder, tmp_path, monkeypatch):
     """A token table gives the windows that binary shards give, beside one too, and row groups no window needs are not read."""
     monkeypatch.setattr(token_shards, "GROUP_BYTES", 64)
