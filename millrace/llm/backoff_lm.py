@@ -13,16 +13,16 @@ the sums behind the backoff weights of its own histories.
 
 from __future__ import annotations
 
-import gc
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import mix64, words_of
+from millrace.llm.shuffles import free_shuffles
 from millrace.session import materialise
 
 END_HASH = np.uint64(0x5851F42D4C957F2D)  # stands for the end token among word hashes
@@ -311,13 +311,6 @@ class BackoffAutomaton:
         return np.where(np.isnan(self.arc[3]), self.fall[2] + after_one, self.arc[3])
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have Spark drop the shuffle files of frames that nothing refers to any more: it does when the driver collects
-    its garbage, which it may not do for long while the next files come in."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score and score.
 

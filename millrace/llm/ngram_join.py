@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components
 from millrace.llm.hashing import Words, mix64, prefix_sums, run_hashes, words_of
+from millrace.llm.shuffles import free_shuffles
 from millrace.session import materialise
 
 
@@ -278,11 +279,14 @@ def jaccard_join(docs: DataFrame, params: JoinParams = JoinParams(), id_column:
     firsts = able.join(nodes.select("node", "one.*"), ["id", "t1", "t2"]).select("node", "n", "firsts").dropDuplicates(["node"])
     firsts = materialise(firsts, "first-shingles")
     still = materialise(open_nodes(firsts, params), "open-nodes")
+    free_shuffles(docs.sparkSession)
 
     wanted = nodes.join(still.select("node"), "node", "left_semi").select("node", "one.*")
     texts = rows.join(wanted, ["id", "t1", "t2"]).select("node", "text").dropDuplicates(["node"])
     sets = materialise(whole_sets(texts, params).withColumn("n", F.size("shingles").cast("bigint")), "open-sets")
+    free_shuffles(docs.sparkSession)
     placed = materialise(clusters(sets, params), "clusters")
+    free_shuffles(docs.sparkSession)
     members = sets.join(placed, "node").join(nodes.select("node", "mult"), "node")
     found = materialise(linked(members, params), "links")
 
