@@ -42,7 +42,7 @@ from millrace.sinks.token_shards import (
     write_token_table,
 )
 from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, read_rows_after, spread, string_field
-from millrace.streaming.ingest import append_to, encode_stream, stream_parquet
+from millrace.streaming.ingest import append_to, convert_stream, encode_stream, stream_lines, stream_parquet
 
 # Parameters of the registered queries; the oracles use the same values.
 MERGES = 32
@@ -626,6 +626,17 @@ def stream_encode(spark, sf):
     return spark.read.parquet(path).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
 
 
+def stream_chat(spark, sf):
+    """The chat file once more, taken up in two runs of a stream, as it grows."""
+    folder, path, checkpoint = (scratch_path(spark, f"chat-{n}") for n in ("lines", "stream", "checkpoint"))
+    rows = chat_json(spark, sf).select(F.col("ord"), F.to_json("row").alias("line"))
+    for part in range(2):
+        rows.where(F.pmod("ord", F.lit(2)) == part).select("line").write.mode("append").text(folder)
+        convert_stream(stream_lines(spark, folder, files_per_batch=2), path, checkpoint).awaitTermination()
+    stored = read_lines(spark, f"{path}/batch-*")
+    return parse_objects(stored).select(string_field(F.col("row"), "text").alias("text"))
+
+
 QUERIES = (
     doc_filter, train_filter, parquet_positions, pretok_word_counts, pretok_doc_counts,
     bpe_pair_counts, bpe_train, bpe_vocab, bpe_encode, bpe_encode_counts, bpe_decode,
@@ -635,7 +646,7 @@ QUERIES = (
     chat_convert, chat_totals, chat_limited, chatml_render, role_map, content_parts, prompt_response, sft_labels, sft_totals,
     corpus_take, mixture_draws, window_starts, windows_pretrain, windows_sft, window_batches, step_tokens, source_report,
     normalise_rows, resume_topup, mixed_rebuild, sample_totals, seed_choice, counts_format, jsonl_documents, stream_encode,
-    jsonl_limited, parquet_resume, token_table, chatml_file, blank_rows, windows_ranges,
+    jsonl_limited, parquet_resume, token_table, chatml_file, blank_rows, windows_ranges, stream_chat,
 )
 
 

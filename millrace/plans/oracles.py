@@ -323,6 +323,7 @@ def oracle_sql() -> dict[str, str]:
             OFFSET (SELECT count(*) // 3 FROM documents)""",
         "token_table": f"{BPE},{DOC_TOKENS},{DOC_SHARDS} SELECT id AS doc_id, shard_id, tok_start, tok_end - tok_start AS n_tokens FROM placed",
         "chatml_file": f"WITH {JSON_SHAPES} SELECT text FROM chatml WHERE text IS NOT NULL",
+        "stream_chat": f"WITH {JSON_SHAPES} SELECT text FROM chatml WHERE text IS NOT NULL",
         "blank_rows": f"""SELECT doc_id, {strip('t')} <> '' AS not_blank, t <> '' AS not_empty, {strip('t')} AS stripped FROM (
             SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN b WHEN 2 THEN b || text ELSE text END AS t
             FROM documents, (SELECT ' ' || chr(9) || chr(10) || chr(12288) AS b))""",

@@ -64,6 +64,12 @@ def _line_of_split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield row_id - begin
 
 
+def number_lines(rows: DataFrame) -> DataFrame:
+    """Add ``number``, a line's place in its split, to rows (file, start, line) as a scan gives them."""
+    marked = rows.withColumn("id", F.monotonically_increasing_id())
+    return marked.withColumn("number", _line_of_split(F.xxhash64("file", "start"), "id"))
+
+
 def with_fixed_splits(rows: DataFrame) -> DataFrame:
     """The same rows over file splits that are decided now.
 
@@ -93,9 +99,7 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("start"),
         F.col("value").alias("line"),
     )
-    marked = with_fixed_splits(rows).withColumn("id", F.monotonically_increasing_id())
-    numbered = marked.withColumn("number", _line_of_split(F.xxhash64("file", "start"), "id"))
-    placed = numbered.where(not_blank(F.col("line")))
+    placed = number_lines(with_fixed_splits(rows)).where(not_blank(F.col("line")))
     return _ordered(placed, files, F.col("start") * 2 + F.col("number")).select("ord", "line")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.bpe_codec import Tokenizer
+from millrace.operators.chat import convert_chat
 from millrace.operators.quota import CorpusSpec, TokenizerSpec
 from millrace.operators.samples import mix, pick_seed, replace_section, resume_file, sample_summary, skip_known, top_up
 from millrace.operators.windows import MixtureSource
@@ -16,9 +17,9 @@ from millrace.plans.corpus import read_corpus, tokenise_corpus, train_tokenizer
 from millrace.plans.training import load_datasets, open_datasets, sample_set
 from millrace.sinks import token_shards
 from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards
-from millrace.sources.readers import leading_files, read_documents
+from millrace.sources.readers import leading_files, parse_objects, read_documents, read_lines
 from millrace.sources.registry import CorpusSource
-from millrace.streaming.ingest import append_to, encode_stream, stream_parquet
+from millrace.streaming.ingest import append_to, convert_stream, encode_stream, stream_lines, stream_parquet
 
 
 @pytest.fixture(scope="module")
@@ -205,6 +206,40 @@ def test_streams_take_up_where_they_stopped(spark, coder, tmp_path):
         assert spark.read.parquet(out).count() == spark.read.parquet(out).select("id").distinct().count() == seen
 
 
+def test_a_stream_of_chats_equals_the_batch(spark, tmp_path):
+    """Also when a batch ended but was not noted as done, and is run again."""
+    folder, out, mark = tmp_path / "in", tmp_path / "out", tmp_path / "mark"
+    folder.mkdir()
+
+    def put(name, rows):
+        chats = [{"messages": [{"role": "user", "content": f"{name} {i}"}, {"role": "assistant", "content": "yes"}][: 2 - (i % 5 == 4)]} for i in range(rows)]
+        (folder / name).write_text("".join(json.dumps(c) + "\n" * (1 + i % 2) for i, c in enumerate(chats)))
+
+    run = lambda: convert_stream(stream_lines(spark, str(folder), 1), str(out), str(mark), "chats").awaitTermination()
+    stored = lambda: sorted(json.loads(x)["text"] for p in out.glob("batch-*/*.txt") for x in p.read_text().splitlines())
+    batch = lambda: sorted(r.text for r in convert_chat(parse_objects(read_lines(spark, str(folder))), "chats").where("text IS NOT NULL").collect())
+    put("a.jsonl", 30)
+    put("b.jsonl", 7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        run()
+        assert stored() == batch() and len(stored()) == 24 + 6
+        put("c.jsonl", 12)
+        run()
+        commits = sorted((mark / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        assert len(commits) == 3 and stored() == batch()
+        commits[-1].unlink()
+        (mark / "commits" / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+        run()
+        assert stored() == batch() and len(list(out.glob("batch-*"))) == 3
+        lines = [json.loads(x)["text"] for p in sorted(out.glob("batch-000000000/*.txt")) for x in p.read_text().splitlines()]
+        assert [t.split("\n")[1].split()[1] for t in lines] == [f"{i}<|im_end|>" for i in range(30) if i % 5 != 4]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def _json_source(root, name, monkeypatch, known=None):
     files = []
     for f in range(3):
