@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import mix64
+from millrace.session import materialise
 
 TABLE_BITS = 22
-CHUNK = 1 << 20  # characters hashed at once; a longer text is a chunk of its own
+CHUNK = 1 << 20  # characters whose q-grams are looked up at once
 _M = 0x9E3779B97F4A7C15
 
 
@@ -27,12 +29,14 @@ _M = 0x9E3779B97F4A7C15
 class LeakParams:
     """``rate``: edits for each character of an item; q * rate must stay below 1. Items of which fewer than
     ``least_shared`` q-grams would have to be shared are too short for the filter and get a smaller edit
-    budget, down to none; items shorter than q are never found. ``block_chars`` bounds the
+    budget, down to none. Items shorter than q have no q-gram and are looked up whole; those of fewer than ``shortest``
+    characters stand in almost any text and are left out. ``block_chars`` bounds the
     benchmark text that is broadcast at once: a larger benchmark is gone through in blocks."""
 
     q: int = 12
     rate: float = 0.05
     least_shared: int = 8
+    shortest: int = 3
     block_chars: int = 8_000_000
 
 
@@ -89,12 +93,40 @@ class Benchmark:
         self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
         self.budgets = np.array([budget(len(t), params) for t in self.texts], np.int64)
         self.bound = np.array([max(1, len(t) - params.q + 1 - k * params.q) for t, k in zip(self.texts, self.budgets, strict=True)], np.int64)
+        self.reach = int(max((len(t) + 2 * k for t, k in zip(self.texts, self.budgets.tolist(), strict=True)), default=0)) + params.q
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(t) for t in self.texts if params.shortest <= len(t) < params.q}):
+            numbers = np.array([i for i, t in enumerate(self.texts) if len(t) == n])
+            hashes = np.concatenate([gram_hashes(self.texts[i], n) for i in numbers])
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = hashes[order], numbers[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.hashes >> np.uint64(64 - TABLE_BITS)] = True
 
     def regions(self, points: np.ndarray) -> list[tuple[int, int]]:
         """(item, diagonal) of the bands in which enough q-grams are shared; each reaches from its diagonal to
-        2 k beyond it."""
+        2 k beyond it. Items without a q-gram come with the first place they stand at.
+
+        A long text is gone through in pieces of CHUNK characters, which overlap by what a band takes of the text. So what is
+        unfolded at once is bounded, and every band lies in one piece.
+        """
+        found: dict[tuple[int, int], None] = {}
+        for start in range(0, max(1, len(points)), CHUNK):
+            found |= dict.fromkeys(self._bands(points[start : start + CHUNK + self.reach], start))
+        return [*self._short_items(points), *found]
+
+    def _short_items(self, points: np.ndarray) -> list[tuple[int, int]]:
+        found = []
+        for n, (hashes, numbers) in self.short.items():
+            grams = gram_hashes(points, n)
+            values, first = np.unique(grams, return_index=True)
+            at = np.searchsorted(values, hashes)
+            at[at == len(values)] = 0
+            hit = values[at] == hashes if len(values) else np.zeros(len(hashes), bool)
+            found += zip(numbers[hit].tolist(), first[at[hit]].tolist(), strict=True)
+        return found
+
+    def _bands(self, points: np.ndarray, start: int) -> list[tuple[int, int]]:
         grams = gram_hashes(points, self.params.q)
         at = np.flatnonzero(self.table[grams >> np.uint64(64 - TABLE_BITS)])
         if not len(at):
@@ -106,7 +138,7 @@ class Benchmark:
             return []
         entry = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         item = self.item[entry]
-        diagonal = np.repeat(at, counts) - self.place[entry] 
+        diagonal = start + np.repeat(at, counts) - self.place[entry]
         width = self.budgets[item] + 1
         shift = np.int64(1) << np.int64(40)
         base = np.floor_divide(diagonal, width)
@@ -165,8 +197,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: L
     ``end`` counts characters of the text with runs of white space as one. Of an item's places only that with
     the fewest edits is listed (then the first). Letter case A-Z and white space do not matter. Null and
     empty texts have no leaks, null ids and texts of the benchmark (item_id, text) are left out, repeated ids
-    are separate texts of one item. Equal rows give equal results; columns not in ``keep`` are ignored, also one
-    named leaks, which cannot be kept.
+    are separate texts of one item. Equal rows give equal results, an empty table gives none. Columns not in ``keep`` are ignored; a
+    kept one can have any name but leaks. A text may be of any length.
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
@@ -175,17 +207,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: L
     blocks = max(1, -(-total // params.block_chars))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("end", pa.int64())]))
 
-    carried = keep if "text" in keep else [*keep, "_text"]
     at = keep.index("text") if "text" in keep else len(keep)
 
-    def searcher(shared):
+    def searcher(shared, carried: list[str], at: int):
         def run(batches):
             index = Benchmark(shared.value, params)
             for batch in batches:
-                before = batch.column(len(carried)).to_pylist()
                 out = []
-                for text, known in zip(batch.column(at).to_pylist(), before, strict=True):
-                    best = {x["item_id"]: (x["edits"], x["end"]) for x in known or ()}
+                for text in batch.column(at).to_pylist():
+                    best: dict[int, tuple[int, int]] = {}
                     if text:
                         points, _ = code_points([text])
                         tried = set()
@@ -197,16 +227,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], params: L
                             got = index.align(points, item, diagonal)
                             if got is not None and (key not in best or got < best[key]):
                                 best[key] = got
-                    out.append([{"item_id": i, "edits": e, "end": at} for i, (e, at) in sorted(best.items())])
+                    out.append([{"item_id": i, "edits": e, "end": end} for i, (e, end) in sorted(best.items())])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(out, kind)], [*carried, "leaks"])
 
         return run
 
-    rows = docs.select(*keep, *[F.col("text").alias("_text")] * ("text" not in keep))
-    schema = rows.schema.simpleString()[7:-1]
-    rows = rows.withColumn("leaks", F.array().cast(found_type))
+    # Under names of their own, the caller's columns can't meet the ones made here.
+    inner = [f"_kept_{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)], *[F.col("text").alias("_text")] * ("text" not in keep))
+    carried = rows.columns
+    part_of = lambda block: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]  # noqa: E731  block_chars in expectation
+    final = [F.col(k).alias(c) for c, k in zip(keep, inner, strict=True)]
+    if blocks == 1:
+        schema = rows.schema.simpleString()[7:-1]
+        return rows.mapInArrow(searcher(spark.sparkContext.broadcast(part_of(0)), carried, at), f"{schema}, leaks {found_type}").select(*final, "leaks")
+    # One index at a time: what a block finds is written by row number, and small, and the rows are read again for the next block.
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "leak-rows")
+    texts, found = rows.select("_row", F.col(carried[at]).alias("_text")), []
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # block_chars in expectation
-        rows = rows.mapInArrow(searcher(shared), f"{schema}, leaks {found_type}")
-    return rows.drop("_text")
+        shared = spark.sparkContext.broadcast(part_of(block))
+        some = texts.mapInArrow(searcher(shared, ["_row", "_text"], 1), f"_row bigint, _text string, leaks {found_type}")
+        found.append(materialise(some.where(F.size("leaks") > 0).select("_row", "leaks"), "leaks-found"))
+        shared.unpersist()
+    each = reduce(DataFrame.unionByName, found).select("_row", F.explode("leaks").alias("x"))
+    # The texts of one repeated id may lie in several blocks.
+    best = each.groupBy("_row", "x.item_id").agg(F.min(F.struct("x.edits", "x.end")).alias("b"))
+    leaks = best.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("item_id", "b.edits", "b.end"))).alias("leaks"))
+    return rows.join(leaks, "_row", "left").select(*final, F.coalesce("leaks", F.array().cast(found_type)).alias("leaks"))

@@ -170,11 +170,14 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     """The mix itself: each take as a row with the columns of ``docs``, a text of which only some words are taken cut
     to these, joined by one space, n_chars to match, and pass, n_words, shard and position (from 0, shuffled within the shard).
 
-    ``docs`` has doc_id, text, source and n_chars (columns of the added names are replaced). Each row is a document of its own,
+    ``docs`` has doc_id, text, source and n_chars (columns of the added names are replaced, any others are kept). Each row is a document of its own,
     also without an id or with that of another: rows are written once with a number, by which they meet their takes.
     Documents of which nothing is taken are not in it.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_mark", F.xxhash64("text")), "mixed-rows")
+    own = docs.columns
+    # Under names of their own, the caller's columns can't meet the ones made here.
+    inner = [c if c in ("doc_id", "text", "source") else f"_kept_{i}" for i, c in enumerate(own)]
+    rows = materialise(docs.toDF(*inner).withColumn("_row", F.monotonically_increasing_id()).withColumn("_mark", F.xxhash64("text")), "mixed-rows")
     plan = mix(rows, params, ("_row", "_mark")).select(F.col("doc_id").alias("_id"), F.col("_row").alias("_taken"), "_mark", F.explode("takes").alias("_take"))
     place = F.row_number().over(Window.partitionBy("_take.shard").orderBy("_take.key", "_id", "_mark", "_taken")) - 1
     plan = plan.withColumn("_position", place.cast("bigint")).drop("_id", "_mark")  # shards hold a bounded number of blocks
@@ -182,6 +185,6 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_take.n_words").cast("int")), " ")
     whole = F.col("_take.n_words") >= word_count(F.col("text"))
     rows = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(head))
-    rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
-    own = [c for c in docs.columns if c not in ("pass", "n_words", "shard", "position")]
-    return rows.select(*own, F.col("_take.pass").alias("pass"), F.col("_take.n_words").alias("n_words"), F.col("_take.shard").alias("shard"), F.col("_position").alias("position"))
+    named = {c: F.col(k) for c, k in zip(own, inner, strict=True)} | {"n_chars": F.length("text").cast("bigint")}
+    named |= {"pass": F.col("_take.pass"), "n_words": F.col("_take.n_words"), "shard": F.col("_take.shard"), "position": F.col("_position")}
+    return rows.select(*[column.alias(name) for name, column in named.items()])

@@ -400,8 +400,10 @@ def remove_repeats(docs: DataFrame, params: SubstringParams = SubstringParams())
 
 def without_repeats(docs: DataFrame, params: SubstringParams = SubstringParams()) -> DataFrame:
     """``docs`` (doc_id, text, n_chars and others) with the words of ``remove_repeats`` cut from the texts, and n_chars to
-    match. A text that loses words has single spaces between the others; one that loses none is left as it is."""
+    match, and any other columns as they are. A text that loses words has single spaces between the others; one that loses none is left as it is."""
     names = docs.columns
-    rows = with_removals(docs, params).select(*names, "_runs")
+    # Under names of their own, the caller's columns can't meet the ones made here.
+    inner = docs.toDF(*[c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(names)])
+    rows = with_removals(inner, params).select(*inner.columns, "_runs")
     cut = rows.mapInArrow(_cut_texts(params.window, names.index("text"), names), docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in names else cut

@@ -191,9 +191,21 @@ def flat(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in " ".join(text.split()))
 
 
+def test_regions_of_a_long_text_in_pieces(rng, make_text, monkeypatch):
+    items = [(i, make_text(rng, 12)) for i in range(6)] + [(9, "a b c")]
+    index = decontaminate.Benchmark(items, decontaminate.LeakParams())
+    words = make_text(rng, 2000).split()
+    for at in range(50, 2000, 130):
+        words[at:at] = items[at % 7][1].split()
+    points, _ = decontaminate.code_points([" ".join(words)])
+    whole = index.regions(points)
+    monkeypatch.setattr(decontaminate, "CHUNK", 300)
+    assert sorted(index.regions(points)) == sorted(whole) and len({i for i, _ in whole}) == 7
+
+
 def test_leaks(spark, docs_of, rng, make_text):
     params = decontaminate.LeakParams(block_chars=400)
-    items = [(i, make_text(rng, rng.randrange(10, 25))) for i in range(12)] + [(50, "tiny"), (51, "exactly this é"), (52, None), (None, "x" * 40)]
+    items = [(i, make_text(rng, rng.randrange(10, 25))) for i in range(12)] + [(50, "tiny"), (51, "exactly this é"), (52, None), (None, "x" * 40), (53, "日本語"), (54, "ab"), (55, "q = 7x"), (55, "tin")]
     rows = []
     for i in range(90):
         _, item = items[i % 14]
@@ -203,6 +215,7 @@ def test_leaks(spark, docs_of, rng, make_text):
             letters[at] = rng.choice(("", "q", "qq", letters[at].upper()))
         rows.append((i, make_text(rng, rng.randrange(10)) + " " + "".join(letters).replace(" ", rng.choice((" ", "\n "))) + " " + make_text(rng, rng.randrange(10))))
     rows += [(100, None), (101, ""), (102, items[0][1]), (103, (items[0][1] + " ") * 3), (3, rows[3][1])]
+    rows += [(104, "と日本語で"), (105, "if Q =\n 7X then"), (106, "ab"), (107, "日本 語"), (108, "tin")]
     benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, leaks int")
     out = decontaminate.find_leaks(docs_of(rows), benchmark, ["doc_id"], params).collect()
     assert len(out) == len(rows)
@@ -210,12 +223,18 @@ def test_leaks(spark, docs_of, rng, make_text):
     for r in out:
         want = {}
         for i, item in items:
-            if i is not None and item is not None and len(flat(item)) >= params.q:
+            if i is not None and item is not None and len(flat(item)) >= params.shortest:
                 edits = least_edits(flat(item), flat(texts[r["doc_id"]] or ""))
                 if edits <= decontaminate.budget(len(flat(item)), params):
-                    want[i] = edits
+                    want[i] = min(edits, want.get(i, edits))
         assert {x["item_id"]: x["edits"] for x in r["leaks"]} == want
     assert decontaminate.find_leaks(docs_of([]), benchmark, ["doc_id"]).count() == 0
+    # With many blocks, what each has found is written before the next index is made: no search is left in the plan.
+    plan = decontaminate.find_leaks(docs_of(rows), benchmark, ["doc_id"], params)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    one = decontaminate.find_leaks(docs_of(rows), benchmark, ["doc_id"])
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert Counter(map(str, one.collect())) == Counter(map(str, out))
     none = decontaminate.find_leaks(docs_of(rows[:3]), benchmark.limit(0), ["doc_id", "text"]).collect()
     assert [r["leaks"] for r in none] == [[], [], []]
 

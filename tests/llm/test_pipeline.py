@@ -12,7 +12,7 @@ import corpus_pipeline
 from test_duplicates import brute_classes, brute_removal
 from test_models import flat, least_edits
 
-from millrace.llm import decontaminate, mixing, near_dedup, queries
+from millrace.llm import decontaminate, mixing, near_dedup, queries, substrings
 
 
 SF = "/root/testdata/sf0.001"
@@ -98,6 +98,40 @@ def test_mixture_keeps_documents_that_share_an_id(spark, rng, make_text):
     assert sorted(map(str, again)) == sorted(map(str, out))
 
 
+def test_near_duplicates_of_texts_that_share_an_id(spark, rng, make_text):
+    """Different texts of one id, or without one, are documents of their own; of each class one row stays."""
+    texts = [make_text(rng, 40) for _ in range(12)]
+    near = [" ".join([*t.split()[:-1], "other"]) for t in texts]
+    ids = [3, 3, 3, None, None, 5, 6, 7, 8, None, 1, 1]
+    rows = [*zip(ids, texts), (2, near[0]), (None, near[1]), (3, near[3]), (9, texts[5]), (6, texts[6]), (None, texts[9]), (4, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    classes = brute_classes([(n, t) for n, (_, t) in enumerate(rows)], near_dedup.NearParams())
+    members = {}
+    for n, c in classes.items():
+        members.setdefault(c, []).append(rows[n])
+    want = Counter(min((i is None, i or 0) for i, _ in group) for group in members.values())
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    got = out.collect()
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == want and len(got) == len(members)
+    assert {r["text"] for r in got} >= set(texts) - {texts[0], texts[3]} | {near[0], near[3]} - {None}
+    assert sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, docs.repartition(5), "").collect())) == sorted(map(str, got))
+
+
+def test_columns_with_the_names_of_inner_ones_are_kept(spark, rng, make_text):
+    shared = make_text(rng, 25)
+    rows = [(i, make_text(rng, 30) + " " + shared, "s", 9, *[f"KEEP{i}-{n}" for n in range(12)]) for i in range(6)]
+    names = ["_row", "_mark", "_taken", "_take", "_position", "_id", "_own", "_runs", "_place_id", "_place_mark", "_text", "_kept_0"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    for out in (mixing.mixed_documents(docs), substrings.without_repeats(docs), substrings.without_repeats(docs.withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("n_chars", F.col("n_chars")))):
+        got = out.collect()
+        assert out.columns[:16] == docs.columns and got
+        assert all(all(r[n] == f"KEEP{r['_row'].split('-')[0][4:]}-{k}" for k, n in enumerate(names)) for r in got)
+    benchmark = spark.createDataFrame([(1, shared)], "item_id bigint, text string")
+    leaks = decontaminate.find_leaks(docs, benchmark, names).collect()
+    assert len(leaks) == 6 and all(r["_text"] == f"KEEP{r['_row'][4:].split('-')[0]}-10" and len(r["leaks"]) == 1 for r in leaks)
+
+
 def test_run_equals_stages(spark, corpus):
     path, _ = corpus
     first = corpus_pipeline.run(spark, path)
@@ -117,7 +151,8 @@ def test_empty_corpus(spark, corpus):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_its_oracle(spark, name):
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     frame = queries.queries()[name](spark, SF)
     result = db.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in result.description]
@@ -128,5 +163,5 @@ def test_query_equals_its_oracle(spark, name):
 def test_queries_are_registered():
     known = contract.queries()
     assert set(queries.queries()) <= set(known) and "pipeline" in known
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(contract.oracle_sql())
