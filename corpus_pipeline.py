@@ -2,7 +2,8 @@
 
 Every stage takes the documents that its predecessor kept, reread from Parquet, and all but the last return
 the columns of ``documents``. ``run`` applies them to the documents table of a data folder. Each stage works on
-empty tables, null and repeated rows as its operator does; repeated rows of one doc_id are one document.
+empty tables, null and repeated rows, ties and texts of any length as its operator does; columns beside those of
+``documents`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,16 +29,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class stays. Documents without an id have no class and stay."""
+    """Of each class one row stays: that of the smallest doc_id, a null one last, then of the smallest hash of its text.
+
+    Rows are classed one by one, under a number that is written with them, so different texts of one doc_id are told apart, and so
+    are texts without an id. Texts without words are in no class but their own and stay.
+    """
     settle(spark)
-    classes = materialise(near_dedup.near_classes(docs), "near-classes")
-    others = classes.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+    rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
+    classes = materialise(near_dedup.near_classes(rows.select(F.col("row").alias("doc_id"), "text")), "near-classes")
+    keys = rows.select(F.col("row").alias("doc_id"), F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "row").alias("key"))
+    first = keys.join(classes, "doc_id").groupBy("class_id").agg(F.min("key").alias("key"))
+    return rows.join(first.select(F.col("key.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
