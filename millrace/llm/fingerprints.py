@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.hashing import prefix_sums, run_hashes
+from millrace.llm.ranking import numbered
 from millrace.session import materialise
 
 
@@ -132,17 +133,33 @@ class _Document:
 ORDER = ("known", "doc_id", "tie")
 
 
-def _part_of(known: np.ndarray, doc_id: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """Number of a row's range; ranges count from the largest ids, and null ids lie in the last."""
-    return np.where(known, len(limits) - np.searchsorted(limits, doc_id, "right"), len(limits)).astype(np.int64)
+Limits = tuple[np.ndarray, np.ndarray, np.ndarray]  # hashes among null ids; ids and hashes among the others
 
 
-def _ranges(keys: DataFrame, params: FingerprintParams) -> np.ndarray:
-    """Limits of doc_id ranges of about range_rows rows, ascending: one number for each task to come."""
-    parts = min(params.most_ranges, -(-keys.count() // params.range_rows))
-    if parts < 2:
-        return np.zeros(0, np.int64)
-    return np.array(sorted({int(x) for x in keys.where("known").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}), np.int64)
+def _part_of(known: np.ndarray, doc_id: np.ndarray, tie: np.ndarray, limits: Limits) -> np.ndarray:
+    """Number of a row's range. Ranges count from the largest ids, and null ids lie in the last ones; rows without an id, and of one
+    id, are cut by their texts' hashes."""
+    null_ties, ids, ties = limits
+    at = np.searchsorted(null_ties, tie, "right").astype(np.int64)
+    low, high = np.searchsorted(ids, doc_id, "left"), np.searchsorted(ids, doc_id, "right")
+    place = high.astype(np.int64)
+    for a, b in {(int(a), int(b)) for a, b in zip(low[low < high], high[low < high], strict=True)}:
+        same = (low == a) & (high == b)
+        place[same] = a + np.searchsorted(ties[a:b], tie[same], "right")
+    return len(null_ties) + len(ids) - np.where(known, len(null_ties) + place, at)
+
+
+def _ranges(keys: DataFrame, params: FingerprintParams) -> Limits:
+    """Limits of ranges of about range_rows rows: one key for each task to come, from the sorted keys."""
+    rows = keys.count()
+    each = max(params.range_rows, -(-rows // params.most_ranges))
+    found = []
+    if rows > each:
+        order = [F.col(c).asc() for c in (*ORDER, "row")]
+        placed = numbered(keys.withColumn("row", F.monotonically_increasing_id()), order, "place")
+        found = sorted(tuple(r) for r in placed.where(F.col("place") % each == 0).select(*ORDER).distinct().collect())
+    known = [k for k in found if k[0]]
+    return tuple(np.array(x, np.int64) for x in ([t for k, _, t in found if not k], [i for _, i, _ in known], [t for *_, t in known]))
 
 
 def edited_likeness(docs: DataFrame, params: FingerprintParams = FingerprintParams()) -> DataFrame:
@@ -152,9 +169,9 @@ def edited_likeness(docs: DataFrame, params: FingerprintParams = FingerprintPara
     last comes the first. The edited text has its last n // 2 characters replaced by the first as many of
     the next document. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. Null texts count as empty; a lone document is its own next one. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. A text may be of any length; its phrases are held by one task.
 
-    Each range of ids goes to one task, with the first row of the next range besides; so every text is
+    Each range of keys (id and hash of the text, so that documents without an id or of one id are parted too) goes to one task, with the first row of the next range besides; so every text is
     shuffled once, and tasks share nothing.
     """
     spark = docs.sparkSession
@@ -167,7 +184,7 @@ def edited_likeness(docs: DataFrame, params: FingerprintParams = FingerprintPara
         best: dict[int, tuple] = {}
         for batch in batches:
             known, ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            parts = _part_of(known, ids, limits)
+            parts = _part_of(known, ids, ties, limits)
             order = np.lexsort((ties, ids, known, parts))
             last = np.flatnonzero(np.append(parts[order][1:] != parts[order][:-1], True)) if len(order) else order
             for i in order[last]:
@@ -187,7 +204,7 @@ def edited_likeness(docs: DataFrame, params: FingerprintParams = FingerprintPara
         ends, previous = shared.value
         for batch in batches:
             known, ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            parts = _part_of(known, ids, ends)
+            parts = _part_of(known, ids, ties, ends)
             copies = [i for i, key in enumerate(zip(known.tolist(), ids.tolist(), ties.tolist(), strict=True)) if key in previous]
             to = [previous[(bool(known[i]), int(ids[i]), int(ties[i]))] for i in copies]
             for rows, part, extra in ((batch, parts, False), (batch.take(pa.array(copies, pa.int64())), np.array(to, np.int64), True)):

@@ -209,6 +209,23 @@ def test_fingerprints_of_edited_texts(docs_of, rng, make_text, range_rows):
         assert (r["near_edited"], r["near_next"]) == (fingerprints.likeness(mark, other), fingerprints.likeness(mark, after))
 
 
+def test_ranges_part_documents_without_an_id(spark, docs_of, rng, make_text):
+    """Null ids, and rows of one id, are cut into ranges like others, and each is still met by the next."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, make_text(rng, 12)) for i in range(240)]
+    params = fingerprints.FingerprintParams(range_rows=10)
+    keys = [(i is not None, i or 0, t) for i, t in rows]
+    frame = spark.createDataFrame([(k, i, hash(t) % 10**9) for k, i, t in keys], "known boolean, doc_id bigint, tie bigint")
+    limits = fingerprints._ranges(frame, params)
+    known, ids, ties = (np.array(c) for c in zip(*[(r["known"], r["doc_id"], r["tie"]) for r in frame.collect()]))
+    parts = fingerprints._part_of(known, ids, ties, limits)
+    counts = Counter(parts.tolist())
+    assert len(counts) >= 20 and max(counts.values()) <= 11
+    order = np.lexsort((ties, ids, known))[::-1]
+    assert (np.diff(parts[order]) >= 0).all() and parts[order][-1] > parts[order][0]
+    many = Counter(map(tuple, fingerprints.edited_likeness(docs_of(rows), params).collect()))
+    assert many == Counter(map(tuple, fingerprints.edited_likeness(docs_of(rows)).collect())) and many.total() == 240
+
+
 def test_fingerprints_of_odd_rows(docs_of):
     rows = [(1, "abc abc"), (1, "abc abc"), (None, "abc abc"), (None, None)]
     out = fingerprints.edited_likeness(docs_of(rows), fingerprints.FingerprintParams(range_rows=1)).collect()
