@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.numbers import uniform
@@ -15,7 +18,19 @@ from millrace.session import materialise
 MASKED = -100  # label of a token that is not supervised
 MAX_ATTEMPTS = 100
 SHARD = ["source", "shard_id"]
-Fetch = Callable[[DataFrame, int, str], DataFrame]
+SLOT = 32  # tokens of a slot, whose places fit the bits of a mask
+
+
+@dataclass(frozen=True)
+class Fetch:
+    """Stored token datasets: ``windows`` adds the tokens to planned windows (plan, seq_len, targets) and ``places`` gives
+    ``supervised_places`` of them."""
+
+    windows: Callable[[DataFrame, int, str], DataFrame]
+    places: Callable[[], DataFrame]
+
+    def __call__(self, plan: DataFrame, seq_len: int, targets: str) -> DataFrame:
+        return self.windows(plan, seq_len, targets)
 
 
 @dataclass(frozen=True)
@@ -143,22 +158,75 @@ def pretrain_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame |
     return cut_windows(plan, blocks, seq_len, block_size)
 
 
+def supervised_places(rows: DataFrame) -> DataFrame:
+    """(source, shard_id, slot, mask, next) of rows (source, shard_id, tok_start, labels): where supervised tokens are.
+
+    A slot is SLOT tokens of a shard; bit i of ``mask`` stands for its i-th one, and ``next`` is the first supervised place behind
+    the slot. Slots behind the last supervised token have no row. So one look-up tells the first supervised place from any place on.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("labels")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            hit = lists.flatten().to_numpy(zero_copy_only=False) != MASKED
+            row, place = row[hit], (batch.column("tok_start").to_numpy()[row] + offset)[hit]
+            opens = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(place // SLOT, prepend=-1) != 0))
+            masks = np.bitwise_or.reduceat(np.int64(1) << (place % SLOT), opens) if len(opens) else np.zeros(0, np.int64)
+            at = pa.array(row[opens])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in SHARD], pa.array(place[opens] // SLOT), pa.array(masks)], [*SHARD, "slot", "mask"])
+
+    packed = rows.where(F.size("labels") > 0).select(*SHARD, "tok_start", "labels")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.select(*SHARD).schema)
+    masks = packed.mapInArrow(pack, f"{schema}, slot bigint, mask bigint").groupBy(*SHARD, "slot").agg(F.bit_or("mask").alias("mask"))
+    shard = Window.partitionBy(*SHARD).orderBy("slot")  # a shard has a bounded number of tokens
+    first = F.col("slot") * SLOT + _lowest_bit(F.col("mask"))
+    chained = masks.select("*", first.alias("first")).withColumns({
+        "after": F.lead("slot").over(shard), "next": F.lead("first").over(shard), "before": F.lag("slot").over(shard)})
+    # Empty slots up to the next filled one have its first place; so have those before the first filled one.
+    run = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    none = F.lit(0).cast("bigint")
+    own = F.array(F.struct(F.col("slot").alias("slot"), F.col("mask").alias("mask"), F.col("next").alias("next")))
+    behind = F.transform(run(F.col("slot") + 1, F.coalesce("after", "slot") - 1), lambda s: F.struct(s.alias("slot"), none.alias("mask"), F.col("next").alias("next")))
+    ahead = F.transform(F.when(F.col("before").isNull(), run(none, F.col("slot") - 1)).otherwise(F.array().cast("array<bigint>")), lambda s: F.struct(s.alias("slot"), none.alias("mask"), F.col("first").alias("next")))
+    return chained.select(*SHARD, F.explode(F.concat(ahead, own, behind)).alias("s")).select(*SHARD, "s.*")
+
+
+def _lowest_bit(mask: Column) -> Column:
+    return F.bit_count(mask.bitwiseAND(-mask) - 1)
+
+
+def _with_target(plan: DataFrame, places: DataFrame, seq_len: int) -> DataFrame:
+    """The planned windows that have a supervised token among their targets."""
+    begin = F.col("start") + 1
+    slotted = plan.withColumn("slot", F.floor(begin / F.lit(SLOT)))
+    # Shifting by a power of two in place of bits: the distance is a column.
+    left = F.floor(F.col("mask") / F.pow(F.lit(2.0), begin % SLOT)).cast("bigint")
+    first = F.when(left != 0, begin + _lowest_bit(left)).otherwise(F.col("next"))
+    return slotted.join(places, [*SHARD, "slot"]).where(first <= F.col("start") + seq_len).select(*plan.columns)
+
+
 def supervised_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame | Fetch, names: list[str], seq_len: int, block_size: int) -> DataFrame:
     """Windows with at least one supervised target; shard and start are drawn again until one is found.
 
-    Later attempts are only made for draws that are still open, more of them at a time.
-    A draw without a window after ``MAX_ATTEMPTS`` attempts raises.
+    Attempts are tested by the places of supervised tokens alone, and one window is cut for each draw. Later attempts are only
+    made for draws that are still open, more of them at a time. A draw without a window after ``MAX_ATTEMPTS`` attempts raises.
     """
     shards = usable_shards(manifest, seq_len, names)
+    if isinstance(blocks, DataFrame):
+        places = supervised_places(blocks.withColumn("tok_start", F.col("block_id") * block_size))
+        places = materialise(places, "supervised-places")
+    else:
+        places = blocks.places()
     pending, filled, first = draws, [], 0
     for stop in (1, 8, MAX_ATTEMPTS):
         tries = pending.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(stop - 1))))
-        cut = cut_windows(window_plan(tries, shards, seq_len), blocks, seq_len, block_size, "labels")
-        good = cut.where(F.exists("y", lambda v: v != MASKED))
-        columns = ["attempt", "seed", *SHARD, "start", "x", "y"]
+        good = _with_target(window_plan(tries, shards, seq_len), places, seq_len)
         if stop - first > 1:  # of several tries the first one
-            good = good.groupBy("worker", "draw").agg(F.min(F.struct(*columns)).alias("w")).select("worker", "draw", "w.*")
-        filled.append(materialise(good.select("worker", "draw", *columns), "windows"))
+            good = good.groupBy("worker", "draw").agg(F.min(F.struct("attempt", "seed", *SHARD, "start")).alias("w")).select("worker", "draw", "w.*")
+        filled.append(materialise(good.select("worker", "draw", "seed", "attempt", *SHARD, "start"), "window-plan"))
         # Draws are made from their number, so open ones are found again and not stored.
         pending = pending.join(filled[-1], ["worker", "draw"], "left_anti")
         if pending.isEmpty():
@@ -166,10 +234,7 @@ def supervised_windows(draws: DataFrame, manifest: DataFrame, blocks: DataFrame
         first = stop
     else:
         raise RuntimeError(f"no supervised window after {MAX_ATTEMPTS} attempts")
-    windows = filled[0]
-    for more in filled[1:]:
-        windows = windows.unionByName(more)
-    return windows
+    return cut_windows(reduce(DataFrame.unionByName, filled), blocks, seq_len, block_size, "labels")
 
 
 def batches(windows: DataFrame, batch_size: int, accumulate: int = 1) -> DataFrame:

@@ -17,7 +17,7 @@ from millrace.operators.windows import (
     validate_mixture,
 )
 from millrace.session import materialise
-from millrace.sinks.token_shards import is_token_table, read_binary_blocks, read_shard_metas, read_table_groups, read_table_windows, read_token_table, read_windows
+from millrace.sinks.token_shards import is_token_table, read_binary_blocks, read_places, read_shard_metas, read_table_groups, read_table_windows, read_token_table, read_windows
 
 
 def parse_mixture(values: dict) -> tuple[dict[str, str], list[MixtureSource], list[MixtureSource]]:
@@ -82,7 +82,10 @@ def open_datasets(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame
             return stored
         return stored.unionByName(read_windows(plan.where(~F.col("source").isin(*tables)), metas, seq_len, targets))
 
-    return reduce(DataFrame.unionByName, manifests), fetch
+    def places() -> DataFrame:
+        return reduce(DataFrame.unionByName, [named(read_places(spark, path), name) for name, path in paths.items()])
+
+    return reduce(DataFrame.unionByName, manifests), Fetch(fetch, places)
 
 
 def sample_set(

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.merging import take_runs
+from millrace.operators.windows import supervised_places
 from millrace.session import materialise
 from millrace.sinks.outputs import clear, require_free, save_mode
 from millrace.sources.paths import children, exists, metadata_name, qualified, readable, resolve_paths, write_file
@@ -31,6 +32,8 @@ INDEX_TYPE = "<u8"
 META_SUFFIX = ".meta.json"
 DATASET_META = "dataset.meta.json"
 STAGING = "_staging"
+PLACES = "_supervised"
+PLACES_BLOCK = 1 << 16  # labels packed at once
 
 SPAN_TOKENS = 1 << 20  # tokens fetched by one read
 GROUP_BYTES = 8 << 20  # of a row group of a token table
@@ -60,6 +63,25 @@ def write_token_table(tokens: DataFrame, path: str, overwrite: bool = False) ->
     shard = F.regexp_extract("file", r"/shard_id=(\d+)/[^/]*$", 1).cast("int")
     groups = row_groups(spark, files, "tok_start").select(shard.alias("shard_id"), "file", "row_group", "num_rows", F.col("least").alias("tok_start"))
     groups.write.mode("overwrite").parquet(f"{path}/_groups")
+    if "labels" in tokens.columns:
+        _write_places(spark.read.parquet(path).withColumn("shard_id", F.col("shard_id").cast("int")), path)
+
+
+def _write_places(rows: DataFrame, path: str) -> None:
+    """Where the supervised tokens of (shard_id, tok_start, labels) are, as a table beside them."""
+    supervised_places(rows.withColumn("source", F.lit(""))).drop("source").write.mode("overwrite").parquet(f"{path}/{PLACES}")
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """(shard_id, slot, mask, next) of a labelled dataset; of one that another writer made from its labels."""
+    if exists(spark, f"{path}/{PLACES}"):
+        return spark.read.parquet(f"{path}/{PLACES}")
+    return supervised_places(_label_blocks(read_shard_metas(spark, path)))
+
+
+def _label_blocks(metas: DataFrame) -> DataFrame:
+    blocks = read_binary_blocks(metas, "", PLACES_BLOCK, labelled=True)
+    return blocks.select("source", "shard_id", (F.col("block_id") * PLACES_BLOCK).alias("tok_start"), "labels")
 
 
 def write_table_meta(spark: SparkSession, path: str, manifest: DataFrame, dtype: str, vocab_size: int, tokenizer: str | None = None) -> None:
@@ -249,6 +271,8 @@ def write_binary_shards(
     written.select("shard_id", "mark").mapInArrow(publish, "shard_id int").agg(F.count("*")).collect()
     fs.delete_dir(f"{base}/{STAGING}")  # with what attempts left that did not count
     written = written.select("shard_id", "num_tokens", "num_docs")
+    if labelled:
+        _write_places(_label_blocks(read_shard_metas(spark, path)), path)
     _write_dataset_meta(tokens, written, path, dtype, vocab_size, tokenizer)
     return written
 

@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.windows import (
-    MASKED, SAMPLE_SETS, MixtureSource, batches, mixture_report, pretrain_windows, source_draws, supervised_windows,
-    token_accounting, token_blocks, usable_shards, validate_mixture, window_plan,
+    Fetch, MASKED, MixtureSource, SAMPLE_SETS, SLOT, batches, cut_windows, mixture_report, pretrain_windows, source_draws, supervised_places, supervised_windows, token_accounting, token_blocks, usable_shards, validate_mixture, window_plan,
 )
 from millrace.plans.training import parse_mixture, sample_set
 
@@ -147,3 +146,35 @@ def test_mixtures_are_checked():
     for bad in ({}, {"train_datasets": [{"name": "a"}]}):
         with pytest.raises(ValueError):
             parse_mixture(bad)
+
+
+def test_places_of_supervised_tokens(spark, data):
+    docs, _, _, labels = data
+    slots = {(r.source, r.shard_id, r.slot): r for r in supervised_places(docs).collect()}
+    assert len(slots) == supervised_places(docs).count()
+    for (source, shard), values in labels.items():
+        places = [i for i, v in enumerate(values) if v != MASKED]
+        for slot in range(len(values) // SLOT + 1):
+            row = slots.get((source, shard, slot))
+            behind = [p for p in places if p >= (slot + 1) * SLOT]
+            own = [p - slot * SLOT for p in places if p // SLOT == slot]
+            if own or behind:
+                assert row.mask == sum(1 << i for i in own) and row.next == (behind[0] if behind else None)
+            else:
+                assert row is None
+
+
+def test_redraws_read_each_window_once(spark, data):
+    """However many attempts a draw takes, its tokens are fetched once, after the attempt is known."""
+    docs, manifest, _, _ = data
+    blocks, calls = token_blocks(docs, BLOCK, 6), []
+
+    def windows(plan, seq_len, targets):
+        calls.append(plan.groupBy("worker", "draw").count().agg(F.max("count"), F.count("*")).first())
+        return cut_windows(plan, blocks, seq_len, BLOCK, targets)
+
+    places = supervised_places(docs)
+    draws = source_draws(spark, [MixtureSource("a"), MixtureSource("b")], 80, 4)
+    found = supervised_windows(draws, manifest, Fetch(windows, lambda: places), ["a", "b"], 6, BLOCK)
+    assert sorted(found.collect()) == sorted(supervised_windows(draws, manifest, blocks, ["a", "b"], 6, BLOCK).collect())
+    assert [tuple(c) for c in calls] == [(1, 80)] and found.agg(F.max("attempt")).first()[0] > 7
