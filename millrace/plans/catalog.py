@@ -650,6 +650,18 @@ QUERIES = (
 )
 
 
+def prepare(spark: SparkSession, sf: str, labels: tuple[str, ...]) -> None:
+    """Make the named shared results of ``_once`` and forget all others."""
+    makers = {
+        "tokenizer": tokenizer, "tokens": tokens, "plan": shard_plan, "mixture": mixture, "stored-mixture": stored_mixture, "chat-dataset": chat_dataset,
+    }
+    sf = sf.rstrip("/")
+    for label in labels:
+        makers[label](apply_settings(spark), sf)
+    for key in [k for k in _made if k[2] not in labels]:
+        del _made[key]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def settled(query):
         return lambda spark, sf: query(apply_settings(spark), sf.rstrip("/"))
