@@ -16,6 +16,22 @@ KINDS = ("local", "jsonl", *SHUFFLED_KINDS)
 # Defaults of a tokenizer specification.
 DEFAULTS = {"vocab_size": 8192, "max_documents": 100_000, "shuffle_buffer": 10_000, "seed": 42}
 
+# The names that specification files use for the fields of a specification, of a corpus, and for a catalogue table.
+FILE_KEYS = {
+    "tokenizer_path": "path", "tokenizer_vocab_size": "vocab_size", "tokenizer_train_max_documents": "max_documents",
+    "shuffle_buffer_size": "shuffle_buffer",
+}
+CORPUS_KEYS = {"data_source": "kind", "data_path": "path", "dataset_name": "table", "dataset_split": "split", "shuffle_buffer_size": "shuffle_buffer"}
+TABLE_KIND = "hf"
+
+
+def _renamed(values: dict, names: dict[str, str]) -> dict:
+    """With the short names; a field that is given under both fails."""
+    twice = [k for k in names if k in values and names[k] in values]
+    if twice:
+        raise ValueError(f"given twice: {', '.join(twice)}")
+    return {names.get(k, k): v for k, v in values.items()}
+
 
 @dataclass(frozen=True)
 class CorpusSpec:
@@ -28,6 +44,17 @@ class CorpusSpec:
     text_column: str = "text"
     shuffle_buffer: int | None = None
 
+    @classmethod
+    def of(cls, values: dict) -> CorpusSpec:
+        """From a mapping, under the names of the fields or those of specification files."""
+        given = _renamed({k: v for k, v in values.items() if v is not None}, CORPUS_KEYS)
+        config = given.pop("dataset_config", None)  # a part of a catalogue name
+        if config and given.get("table"):
+            given["table"] = f"{given['table']}.{config}"
+        if given.get("kind") == TABLE_KIND:
+            given["kind"] = "table"
+        return cls(**given)
+
 
 @dataclass(frozen=True)
 class TokenizerSpec:
@@ -40,7 +67,8 @@ class TokenizerSpec:
 
     @classmethod
     def of(cls, values: dict) -> TokenizerSpec:
-        """From a mapping with ``raw_datasets`` or, failing that, ``train_datasets``."""
+        """From a mapping with ``raw_datasets`` or, failing that, ``train_datasets``, under the names of the fields or of files."""
+        values = _renamed(values, FILE_KEYS)
         corpora = values.get("raw_datasets") or values.get("train_datasets")
         if not corpora:
             raise ValueError("a tokenizer specification needs raw_datasets")
@@ -50,7 +78,7 @@ class TokenizerSpec:
         if unknown:
             raise ValueError(f"unknown keys in a tokenizer specification: {', '.join(sorted(unknown))}")
         given = {k: values[k] for k in DEFAULTS if k in values}
-        return cls([CorpusSpec(**c) for c in corpora], values["path"], **given)
+        return cls([CorpusSpec.of(c) for c in corpora], values["path"], **given)
 
 
 def validate_corpora(corpora: list[CorpusSpec]) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +32,7 @@ from millrace.operators.windows import (
 )
 from millrace.plans.chat import read_chat
 from millrace.plans.corpus import encode_documents
+from millrace.plans.specs import load_run_spec
 from millrace.plans.training import open_datasets
 from millrace.session import apply_settings, materialise, scratch_path
 from millrace.sinks.outputs import write_chat_jsonl, write_sample_jsonl
@@ -41,7 +44,10 @@ from millrace.sinks.token_shards import (
     write_table_meta,
     write_token_table,
 )
-from millrace.sources.readers import parse_objects, read_documents, read_lines, read_rows, read_rows_after, spread, string_field
+from millrace.sources.paths import write_file
+from millrace.sources.readers import (
+    FILE_SHIFT, parse_objects, read_documents, read_lines, read_rows, read_rows_after, read_table, spread, string_field,
+)
 from millrace.streaming.ingest import append_to, convert_stream, encode_stream, stream_lines, stream_parquet
 
 # Parameters of the registered queries; the oracles use the same values.
@@ -637,6 +643,73 @@ def stream_chat(spark, sf):
     return parse_objects(stored).select(string_field(F.col("row"), "text").alias("text"))
 
 
+# --- files of other kinds
+
+
+def text_files(spark, sf):
+    """One text file for each source, with line ends of two characters, read back whole."""
+    path = scratch_path(spark, "texts")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    placed = docs.repartition("source").sortWithinPartitions("source", "doc_id").select("text", "source")
+    placed.write.partitionBy("source").option("lineSep", "\r\n").text(path)
+    read = read_documents(spark, "text", path)
+    return read.select(F.shiftright("ord", FILE_SHIFT).alias("file_no"), "text")
+
+
+def table_rows(spark, sf):
+    """The training rows of a catalogue table with a split column."""
+    name = f"rows_{uuid.uuid4().hex}"
+    split = F.when(F.pmod("doc_id", F.lit(3)) == 0, "test").otherwise("train")
+    stored = table(spark, sf, "documents").select("doc_id", "text", split.alias("split"))
+    stored.write.option("path", scratch_path(spark, "table")).saveAsTable(name)
+    try:
+        return read_table(spark, name, columns=["doc_id", "text"]).select("doc_id", "text")
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # its files stay
+
+
+def blank_lines(spark, sf):
+    """JSON lines with empty lines and lines of blanks among them."""
+    path, kind = scratch_path(spark, "blank-lines"), F.pmod("doc_id", F.lit(4))
+    blank = F.when(kind == 0, "\n").when(kind == 1, "\n \t").when(kind == 2, "\n\u3000\n  ").otherwise("")
+    docs = table(spark, sf, "documents").select(F.concat(F.to_json(F.struct("doc_id", "text")), blank).alias("line"))
+    docs.write.text(path)
+    rows = parse_objects(read_lines(spark, path))
+    return rows.select(F.try_variant_get("row", "$.doc_id", "bigint").alias("doc_id"), string_field(F.col("row"), "text").alias("text"))
+
+
+def counts_fraction(spark, sf):
+    """Counts with a fraction, in either case and with separators."""
+    sums = table(spark, sf, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"))
+    tenths = F.floor(F.col("chars") / 100)
+    label = F.concat(F.lit(" "), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.when(tenths % 2 == 0, "k").otherwise("M "))
+    spaced = F.format_string("%s_%03d", F.floor(F.col("chars") / 1000), F.col("chars") % 1000)
+    return sums.select("source", label.alias("label"), parse_count(label).alias("parsed"), parse_count(spaced).alias("plain"))
+
+
+def tokenizer_json(spark, sf):
+    """Counts of tokens by a vocabulary that was saved as JSON and loaded."""
+    path = scratch_path(spark, "vocabulary") + ".json"
+    tokenizer(spark, sf).save_json(spark, path)
+    ids = Tokenizer.load_json(spark, path).encode(F.col("text"))
+    return texts(spark, sf).select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"))
+
+
+def eval_windows(spark, sf):
+    """Batches of the training data's evaluation set, as a specification file asks for them."""
+    paths = stored_mixture(spark, sf)
+    values = {
+        "train_datasets": [{"name": name, "tokenized_path": paths[name], "weight": weight} for name, weight in MIXTURE],
+        "seq_len": SEQ_LEN, "batch_size": BATCH, "grad_accum_steps": ACCUMULATE, "seed": SEED, "num_workers": WORKERS, "learning_rate": 0.1,
+    }
+    path = scratch_path(spark, "run") + ".json"
+    write_file(spark, path, json.dumps(values))
+    run = load_run_spec(spark, path)
+    total = open_datasets(spark, run.paths)[0].agg(F.sum("num_tokens").alias("n")).first().n
+    found = run.batches(spark, total // (SEQ_LEN * WORKERS) // (BATCH * ACCUMULATE), "train_eval")
+    return _plan_columns(found, "step", "batch_id", joined(F.col("x")).alias("x"), joined(F.col("y")).alias("y"))
+
+
 QUERIES = (
     doc_filter, train_filter, parquet_positions, pretok_word_counts, pretok_doc_counts,
     bpe_pair_counts, bpe_train, bpe_vocab, bpe_encode, bpe_encode_counts, bpe_decode,
@@ -647,6 +720,7 @@ QUERIES = (
     corpus_take, mixture_draws, window_starts, windows_pretrain, windows_sft, window_batches, step_tokens, source_report,
     normalise_rows, resume_topup, mixed_rebuild, sample_totals, seed_choice, counts_format, jsonl_documents, stream_encode,
     jsonl_limited, parquet_resume, token_table, chatml_file, blank_rows, windows_ranges, stream_chat,
+    text_files, table_rows, blank_lines, counts_fraction, tokenizer_json, eval_windows,
 )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.functions.text import WHITESPACE_CODES
+from millrace.operators.windows import SAMPLE_SETS
 from millrace.plans import catalog as c
 
 STRIP = " || ".join(f"chr({code})" for code in WHITESPACE_CODES)
@@ -129,7 +130,7 @@ def uniform(*parts: str) -> str:
     return f"(('0x' || md5(concat_ws(':', {', '.join(parts)}))[1:13])::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-def draws(sources: list[tuple[str, float]], seq_len: int) -> str:
+def draws(sources: list[tuple[str, float]], seq_len: int, seed: int = c.SEED, n: str | None = None) -> str:
     total, edges = 0.0, []
     for name, weight in sources:
         total += weight
@@ -139,9 +140,9 @@ def draws(sources: list[tuple[str, float]], seq_len: int) -> str:
     return f"""
 drawn AS MATERIALIZED (
   SELECT worker, draw, seed, {pick} AS source FROM (
-    SELECT worker, draw, {c.SEED} + worker AS seed, {uniform(f'{c.SEED} + worker', "'source'", 'draw')} AS u
+    SELECT worker, draw, {seed} + worker AS seed, {uniform(f'{seed} + worker', "'source'", 'draw')} AS u
     FROM (SELECT unnest(range(0, {c.WORKERS})) AS worker),
-         (SELECT unnest(range(0, sum(num_tokens)::BIGINT // {seq_len * c.WORKERS})) AS draw FROM manifest)))"""
+         (SELECT unnest(range(0, {n or f'sum(num_tokens)::BIGINT // {seq_len * c.WORKERS}'})) AS draw FROM manifest)))"""
 
 
 def starts(seq_len: int, attempts: int) -> str:
@@ -199,6 +200,9 @@ topped AS (SELECT doc_id, dataset, k > total // 8 AS added, total // 4 AS target
 
 def oracle_sql() -> dict[str, str]:
     lang_windows = f"{LANG_DRAWS},{starts(c.SEQ_LEN, 1)},{DOC_STREAM}"
+    whole_steps = f"sum(num_tokens)::BIGINT // {c.SEQ_LEN * c.WORKERS} // {c.BATCH * c.ACCUMULATE} * {c.BATCH * c.ACCUMULATE}"
+    eval_draws = draws(c.MIXTURE, c.SEQ_LEN, c.SEED + SAMPLE_SETS["train_eval"], whole_steps)
+    eval_windows = f"{BPE},{DOC_TOKENS},{LANG_SHARDS},{eval_draws},{starts(c.SEQ_LEN, 1)},{DOC_STREAM}"
     chat = f"{BPE_CHAT},{CHAT_SHARDS}"
     known = {
         "doc_filter": f"SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents WHERE {strip('text')} <> ''",
@@ -276,6 +280,21 @@ def oracle_sql() -> dict[str, str]:
               string_agg(s.id, ' ' ORDER BY s.spot) FILTER (s.spot > start) AS y
             FROM (SELECT *, unnest(range(start, start + {c.SEQ_LEN + 1})) AS spot FROM planned) p
             JOIN stream s ON s.src = p.source AND s.shard_id = p.shard_id AND s.spot = p.spot GROUP BY ALL""",
+        "eval_windows": f"""{eval_windows}
+            SELECT worker, draw, source, p.shard_id, start, draw // {c.BATCH * c.ACCUMULATE} AS step, draw // {c.BATCH} AS batch_id,
+              string_agg(s.id, ' ' ORDER BY s.spot) FILTER (s.spot < start + {c.SEQ_LEN}) AS x,
+              string_agg(s.id, ' ' ORDER BY s.spot) FILTER (s.spot > start) AS y
+            FROM (SELECT *, unnest(range(start, start + {c.SEQ_LEN + 1})) AS spot FROM planned) p
+            JOIN stream s ON s.src = p.source AND s.shard_id = p.shard_id AND s.spot = p.spot GROUP BY ALL""",
+        "text_files": """SELECT row_number() OVER (ORDER BY 'source=' || source) - 1 AS file_no,
+              string_agg(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10), '' ORDER BY doc_id) AS text
+            FROM documents GROUP BY source""",
+        "table_rows": "SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0",
+        "blank_lines": "SELECT doc_id, text FROM documents",
+        "counts_fraction": """SELECT source, ' ' || tenths // 10 || '.' || tenths % 10 || CASE WHEN tenths % 2 = 0 THEN 'k' ELSE 'M ' END AS label,
+              trunc((tenths // 10 || '.' || tenths % 10)::DOUBLE * CASE WHEN tenths % 2 = 0 THEN 1000 ELSE 1000000 END)::BIGINT AS parsed, chars AS plain
+            FROM (SELECT source, sum(n_chars)::BIGINT AS chars, sum(n_chars)::BIGINT // 100 AS tenths FROM documents GROUP BY source)""",
+        "tokenizer_json": f"{BPE},{DOC_TOKENS} SELECT doc_id, n AS n_tokens FROM lens",
         "windows_sft": f"""{chat},{draws([('chat', 1.0)], c.CHAT_SEQ_LEN)},{starts(c.CHAT_SEQ_LEN, 100)},
             flow AS MATERIALIZED (
               SELECT shard_id, tok_start + spot AS spot, ct.id, label,
