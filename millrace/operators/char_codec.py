@@ -22,6 +22,13 @@ def char_vocab(documents: DataFrame, text: str = "text") -> DataFrame:
     return distinct.withColumn("id", F.row_number().over(Window.orderBy("ch")) - 1)
 
 
+def _offsets(ends: np.ndarray) -> np.ndarray:
+    """Offsets of a list or string column, which have 32 bits; a batch that needs more fails."""
+    if len(ends) and ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError(f"a batch has {ends[-1]} elements; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return ends.astype(np.int32)
+
+
 @dataclass(frozen=True)
 class CharTokenizer:
     """Sorted code points; an id is a position in them."""
@@ -49,7 +56,7 @@ class CharTokenizer:
             ids = np.searchsorted(points, codes).clip(max=max(len(points) - 1, 0))
             if len(codes) and (len(points) == 0 or (points[ids] != codes).any()):
                 raise ValueError("text has a character outside the vocabulary")
-            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            ends = _offsets(np.concatenate([[0], np.cumsum(lengths)]))
             mask = texts.is_null() if texts.null_count else None
             return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)), mask=mask)
 
@@ -64,7 +71,7 @@ class CharTokenizer:
             sizes = 1 + (chosen >= 0x80).astype(np.int64) + (chosen >= 0x800) + (chosen >= 0x10000)  # bytes in UTF-8
             byte_ends = np.concatenate([[0], np.cumsum(sizes)])
             lengths = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
-            ends = byte_ends[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+            ends = _offsets(byte_ends[np.concatenate([[0], np.cumsum(lengths)])])
             letters = chosen.tobytes().decode("utf-32-le").encode()
             text = pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(letters))
             return pc.if_else(rows.is_null(), pa.scalar(None, pa.string()), text) if rows.null_count else text

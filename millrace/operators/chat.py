@@ -77,12 +77,6 @@ def _complete(messages: Column) -> Column:
     return F.coalesce(whole & F.exists(messages, lambda m: m["role"] == "assistant"), F.lit(False))
 
 
-def message_list(raw: Column) -> Column:
-    """``array<struct<role,content>>``; one bad turn or no assistant turn gives null."""
-    messages = F.transform(items(raw), message)
-    return F.get(F.filter(F.array(messages), _complete), F.lit(0))
-
-
 def first_string(row: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*[_kept(string_field(row, n)) for n in names])
 

@@ -8,8 +8,8 @@ from pyspark.sql.types import StringType
 
 from millrace.functions.text import not_blank
 from millrace.operators.chat import truthy
-from millrace.operators.cutoffs import cuts, ord_bucket, take_between
-from millrace.sources.readers import FILE_SHIFT, json_field, string_field
+from millrace.operators.cutoffs import ord_bucket, take_between
+from millrace.sources.readers import json_field, string_field
 
 SAMPLE = ("text", "dataset", "source", "metadata")
 
@@ -64,15 +64,6 @@ def top_up(available: DataFrame, existing: DataFrame, target: int) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def resume_file(available: DataFrame, skip: int) -> int:
-    """Index of the file that holds the last of ``skip`` valid rows; earlier files need not be read."""
-    if skip < 1:
-        return 0
-    wanted = available.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(skip).cast("bigint").alias("n"))
-    found = cuts(available.select("ord").withColumn("_all", F.lit(0)), "_all", "ord", ord_bucket(F.col("ord")), wanted).first()
-    return 0 if found is None else int(found.cut) >> FILE_SHIFT
-
-
 def skip_known(paths: list[str], known_counts: dict[str, int], skip: int) -> tuple[list[str], int]:
     """Drop files whose known number of valid rows lies wholly before the resume point."""
     kept = []

@@ -505,12 +505,6 @@ def sample_rows(spark, sf) -> DataFrame:
     return documents(spark, sf).select("ord", "lang", F.parse_json(body).alias("row"))
 
 
-def _normalised(spark, sf) -> DataFrame:
-    rows = sample_rows(spark, sf)
-    langs = rows.select("ord", F.col("lang").alias("dataset"))
-    return samples.normalise_json(rows, "-").drop("dataset").join(langs, "ord")
-
-
 def normalise_rows(spark, sf):
     rows = samples.normalise_json(sample_rows(spark, sf), "sample")
     return rows.select(F.col("ord").alias("doc_id"), "text", "dataset", F.col("source").cast("string").alias("source"))

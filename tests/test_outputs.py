@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators.bpe_codec import Tokenizer
 from millrace.operators.chat import convert_chat
 from millrace.operators.quota import CorpusSpec, TokenizerSpec
-from millrace.operators.samples import mix, pick_seed, replace_section, resume_file, sample_summary, skip_known, top_up
+from millrace.operators.samples import mix, pick_seed, replace_section, sample_summary, skip_known, top_up
 from millrace.operators.windows import MixtureSource
 from millrace.plans import samples as sample_plan
 from millrace.plans.corpus import read_corpus, tokenise_corpus, train_tokenizer
@@ -325,8 +325,6 @@ def test_small_sample_operators(spark):
     assert top_up(available, existing, 2).count() == 3
     totals = {r.name: (r.rows, r.target) for r in sample_summary(existing, 5).collect()}
     assert totals == {"a": (3, 5), "mixed_pretrain": (3, None)}
-    files = spark.range(30).select((F.shiftleft(F.floor(F.col("id") / 10), 40) + F.col("id") % 10).alias("ord"))
-    assert [resume_file(files, n) for n in (0, 5, 10, 11, 30, 99)] == [0, 0, 0, 1, 2, 2]
     with pytest.raises(ValueError):
         mix([])
     old = spark.createDataFrame([("s", 1), ("t", 2)], "section string, v int")

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
@@ -12,7 +13,7 @@ from tokenizers.trainers import BpeTrainer
 from millrace.operators import bpe_train
 from millrace.operators.bpe_codec import Tokenizer, choose_dtype
 from millrace.operators.bpe_train import train_bpe, vocabulary, word_counts
-from millrace.operators.char_codec import CharTokenizer, char_vocab
+from millrace.operators.char_codec import CharTokenizer, _offsets, char_vocab
 
 
 def library(texts, vocab_size):
@@ -131,3 +132,9 @@ def test_characters(spark):
         assert row.ids == [expected[ch] for ch in row.text] and row.back == row.text
     with pytest.raises(Exception, match="outside the vocabulary"):
         frame(spark, ["Z"]).select(coder.encode(F.col("text"))).collect()
+
+
+def test_offsets_do_not_wrap():
+    assert _offsets(np.array([0, 2**31 - 1])).tolist() == [0, 2**31 - 1]
+    with pytest.raises(OverflowError, match="maxRecordsPerBatch"):
+        _offsets(np.array([0, 5, 2**31]))
