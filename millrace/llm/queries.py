@@ -92,9 +92,31 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def base_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules alone decide in op2_url_verdicts."""
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return op2_url_verdicts(spark, sf_dir).select("page_id", "host", "path", "rule", ruled.alias("ruled"))
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of op5_licenses."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and unigram scores of op9_lm_scores, to six places."""
+    found = op9_lm_scores(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def base_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op10_fingerprints."""
+    return op10_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES = (
     op1_mix_sources, op2_url_verdicts, op3_toxicity, op4_language, op5_licenses, op6_near_duplicates, op7_leaks, op8_substrings, op9_lm_scores,
-    op10_fingerprints, op11_clusters, op12_resampling, op13_ngram_join,
+    op10_fingerprints, op11_clusters, op12_resampling, op13_ngram_join, base_urls, base_licenses, base_lm_scores, base_edits,
 )
 
 
@@ -190,9 +212,12 @@ FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
 
 
 # The table of CRC-32 is made by eight shifts of each byte; a word's CRC goes over the bytes of its hexadecimal form.
-_RESAMPLING = r"""
-WITH crc AS (
-  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+_CRC = r"""
+crc AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b))"""
+_CRC_OF = "xor(list_reduce({bytes}, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+_RESAMPLING = rf"""
+WITH {_CRC},
 texts AS (
   SELECT doc_id AS id, 's' AS side, text FROM documents UNION ALL SELECT item_id, 't', text FROM benchmark),
 words AS (
@@ -200,7 +225,7 @@ words AS (
 hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)),
 bytes AS (SELECT word, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bs FROM hexed),
 buckets AS (
-  SELECT word, xor(list_reduce(bs, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  SELECT word, {_CRC_OF.format(bytes="bs")} % 10000 AS bucket
   FROM bytes, crc),
 features AS (SELECT w.id, w.side, b.bucket FROM words w JOIN buckets b USING (word)),
 totals AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM features GROUP BY bucket),
@@ -217,5 +242,48 @@ SELECT y.doc_id, y.n_features, y.weight, y.score, CASE WHEN p.place <= 10 * p.n
 FROM noisy y LEFT JOIN placed p USING (doc_id)"""
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_URLS = """
+WITH rules(host, path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '.*') AS path FROM cut),
+fits AS (
+  SELECT page_id, arg_max(r.host || r.path, len(r.host || r.path)) AS rule, arg_max(verdict, len(r.host || r.path)) AS ruled
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id)
+SELECT page_id, host, path, rule, ruled FROM parts LEFT JOIN fits USING (page_id)"""
+
+_LICENSES = rf"""
+WITH phrases(words, label) AS (
+  VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+docs AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+hits AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(words) - 1] = words)) - 1 AS start FROM docs, phrases)
+SELECT doc_id, any_value(len(ws))::BIGINT AS n_words, count(start)::BIGINT AS n_base, min(start)::BIGINT AS first_word, max(start)::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM docs LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
+
+_UNIGRAMS = rf"""
+WITH {_CRC},
+docs AS (
+  SELECT doc_id, {_CRC_OF.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} % 7 = 2 AS held_out,
+         list_append(coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []), ' ') AS tokens FROM documents, crc),
+rows AS (SELECT doc_id, held_out, unnest(tokens) AS token FROM docs),
+counts AS (SELECT token, count(*) AS c FROM rows WHERE NOT held_out GROUP BY token),
+sums AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM counts)
+SELECT doc_id, any_value(held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, any_value(n)::BIGINT AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1))), 6) AS base_score
+FROM rows LEFT JOIN counts USING (token), sums GROUP BY doc_id"""
+
+_EDITS = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pairs AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS following FROM docs)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(following, length(text) // 2)) AS edited_sha256
+FROM pairs"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _MIX, "op8_substrings": _SUBSTRINGS, "op11_clusters": _clusters_sql(), "op12_resampling": _RESAMPLING, "op13_ngram_join": _SHINGLES}
+    return {"base_urls": _URLS, "base_licenses": _LICENSES, "base_lm_scores": _UNIGRAMS, "base_edits": _EDITS, "op1_mix_sources": _MIX, "op8_substrings": _SUBSTRINGS, "op11_clusters": _clusters_sql(), "op12_resampling": _RESAMPLING, "op13_ngram_join": _SHINGLES}
