@@ -75,8 +75,8 @@ def token_blocks(documents: DataFrame, block_size: int, overlap: int = 0) -> Dat
     return gathered.select(*SHARD, "block_id", *[F.flatten(F.col("parts")[a]).alias(a) for a in arrays])
 
 
-def source_draws(spark: SparkSession, sources: list[MixtureSource], n: int, seed: int, workers: int = 1) -> DataFrame:
-    """(worker, draw, seed, source): ``n`` weighted source draws per worker.
+def draw_sources(numbers: DataFrame, sources: list[MixtureSource], seed: int, workers: int = 1) -> DataFrame:
+    """(worker, draw, seed, source): a weighted draw of each worker for every number ``draw``.
 
     Worker ``w`` draws with ``seed + w``. A draw depends on its seed and number only.
     """
@@ -84,8 +84,8 @@ def source_draws(spark: SparkSession, sources: list[MixtureSource], n: int, seed
     for s in validate_mixture(sources):
         total += s.weight
         edges.append((s.name, total))
-    draws = spark.range(n).select(
-        F.explode(F.sequence(F.lit(0), F.lit(workers - 1))).alias("worker"), F.col("id").alias("draw")
+    draws = numbers.select(
+        F.explode(F.sequence(F.lit(0), F.lit(workers - 1))).alias("worker"), "draw"
     ).withColumn("seed", F.col("worker") + F.lit(seed))
     point = uniform(F.col("seed"), "source", F.col("draw")) * F.lit(total)
     pick = F.lit(edges[-1][0])
@@ -94,6 +94,11 @@ def source_draws(spark: SparkSession, sources: list[MixtureSource], n: int, seed
     return draws.withColumn("source", pick)
 
 
+def source_draws(spark: SparkSession, sources: list[MixtureSource], n: int, seed: int, workers: int = 1) -> DataFrame:
+    """The first ``n`` draws of ``draw_sources``."""
+    return draw_sources(spark.range(n).select(F.col("id").alias("draw")), sources, seed, workers)
+
+
 def usable_shards(manifest: DataFrame, seq_len: int, names: list[str]) -> DataFrame:
     """Shards long enough for a window, laid end to end per source.
 

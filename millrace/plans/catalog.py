@@ -48,6 +48,7 @@ from millrace.sources.paths import write_file
 from millrace.sources.readers import (
     FILE_SHIFT, parse_objects, read_documents, read_lines, read_rows, read_rows_after, read_table, spread, string_field,
 )
+from millrace.streaming.draws import stream_draws, write_draws
 from millrace.streaming.ingest import append_to, convert_stream, encode_stream, stream_lines, stream_parquet
 
 # Parameters of the registered queries; the oracles use the same values.
@@ -414,6 +415,15 @@ def mixture_draws(spark, sf):
     return draws.select(F.col("worker").cast("bigint").alias("worker"), "draw", "source")
 
 
+def mixture_stream(spark, sf):
+    """The draws once more, as a stream that is stopped after each half."""
+    _, _, n = mixture(spark, sf)
+    path, checkpoint = scratch_path(spark, "draws"), scratch_path(spark, "draws-checkpoint")
+    for _ in range(2):
+        write_draws(stream_draws(spark, mixture_sources(), n // 2, SEED, WORKERS), lambda draws: draws, path, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{path}/batch-*").select(F.col("worker").cast("bigint").alias("worker"), "draw", "source")
+
+
 def _plan_columns(plan: DataFrame, *more: Column) -> DataFrame:
     return plan.select(
         F.col("worker").cast("bigint").alias("worker"), "draw", "source", F.col("shard_id").cast("bigint").alias("shard_id"), "start", *more
@@ -714,7 +724,7 @@ QUERIES = (
     corpus_take, mixture_draws, window_starts, windows_pretrain, windows_sft, window_batches, step_tokens, source_report,
     normalise_rows, resume_topup, mixed_rebuild, sample_totals, seed_choice, counts_format, jsonl_documents, stream_encode,
     jsonl_limited, parquet_resume, token_table, chatml_file, blank_rows, windows_ranges, stream_chat,
-    text_files, table_rows, blank_lines, counts_fraction, tokenizer_json, eval_windows,
+    text_files, table_rows, blank_lines, counts_fraction, tokenizer_json, eval_windows, mixture_stream,
 )
 
 

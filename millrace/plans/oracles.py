@@ -203,6 +203,7 @@ def oracle_sql() -> dict[str, str]:
     whole_steps = f"sum(num_tokens)::BIGINT // {c.SEQ_LEN * c.WORKERS} // {c.BATCH * c.ACCUMULATE} * {c.BATCH * c.ACCUMULATE}"
     eval_draws = draws(c.MIXTURE, c.SEQ_LEN, c.SEED + SAMPLE_SETS["train_eval"], whole_steps)
     eval_windows = f"{BPE},{DOC_TOKENS},{LANG_SHARDS},{eval_draws},{starts(c.SEQ_LEN, 1)},{DOC_STREAM}"
+    halves = f"sum(num_tokens)::BIGINT // {c.SEQ_LEN * c.WORKERS} // 2 * 2"
     chat = f"{BPE_CHAT},{CHAT_SHARDS}"
     known = {
         "doc_filter": f"SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents WHERE {strip('text')} <> ''",
@@ -273,6 +274,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT src_ord::BIGINT AS src_ord, source, doc_id, place FROM placed
             QUALIFY row_number() OVER (PARTITION BY source ORDER BY place, doc_id) <= n""",
         "mixture_draws": f"{LANG_DRAWS} SELECT worker, draw, source FROM drawn",
+        "mixture_stream": f"""{BPE},{DOC_TOKENS},{LANG_SHARDS},{draws(c.MIXTURE, c.SEQ_LEN, n=halves)} SELECT worker, draw, source FROM drawn""",
         "window_starts": f"{LANG_DRAWS},{starts(c.SEQ_LEN, 1)} SELECT worker, draw, source, shard_id, start FROM planned",
         "windows_pretrain": f"""{lang_windows}
             SELECT worker, draw, source, p.shard_id, start,

@@ -7,6 +7,7 @@ from millrace.operators.windows import (
     Fetch, MASKED, MixtureSource, SAMPLE_SETS, SLOT, batches, cut_windows, mixture_report, pretrain_windows, source_draws, supervised_places, supervised_windows, token_accounting, token_blocks, usable_shards, validate_mixture, window_plan,
 )
 from millrace.plans.training import parse_mixture, sample_set
+from millrace.streaming.draws import stream_draws, write_draws
 
 SHARDS = {("a", 0): 90, ("a", 1): 7, ("a", 2): 40, ("b", 0): 33, ("b", 1): 200}
 BLOCK = 12
@@ -178,3 +179,21 @@ def test_redraws_read_each_window_once(spark, data):
     found = supervised_windows(draws, manifest, Fetch(windows, lambda: places), ["a", "b"], 6, BLOCK)
     assert sorted(found.collect()) == sorted(supervised_windows(draws, manifest, blocks, ["a", "b"], 6, BLOCK).collect())
     assert [tuple(c) for c in calls] == [(1, 80)] and found.agg(F.max("attempt")).first()[0] > 7
+
+
+def test_draws_as_a_stream_go_on_where_they_stopped(spark, data, tmp_path):
+    docs, manifest, _, _ = data
+    sources, blocks = [MixtureSource("a", 2.0), MixtureSource("b")], token_blocks(docs.drop("labels"), BLOCK, 6)
+    make = lambda draws: pretrain_windows(draws, manifest, blocks, ["a", "b"], 6, BLOCK)
+    path, mark = tmp_path / "out", tmp_path / "mark"
+    for batches_done in (1, 2, 3):
+        write_draws(stream_draws(spark, sources, 15, 9, 2), make, str(path), str(mark)).awaitTermination()
+        assert len(list(path.glob("batch-*"))) == batches_done
+    whole = make(source_draws(spark, sources, 45, 9, 2))
+    stored = lambda: sorted(spark.read.parquet(f"{path}/batch-*").where("draw < 45").select(whole.columns).collect())
+    assert stored() == sorted(whole.collect()) and whole.count() == 90
+    # A batch that was written but not noted as done is made again.
+    (mark / "commits" / "2").unlink()
+    (mark / "commits" / ".2.crc").unlink(missing_ok=True)
+    write_draws(stream_draws(spark, sources, 15, 9, 2), make, str(path), str(mark)).awaitTermination()
+    assert stored() == sorted(whole.collect())
