@@ -631,7 +631,7 @@ def blank_rows(spark, sf):
 def stream_encode(spark, sf):
     path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
     schema = "doc_id bigint, text string"
-    coded = encode_stream(stream_parquet(spark, f"{sf}/documents*.parquet", schema), tokenizer(spark, sf), "doc_id")
+    coded = encode_stream(spread(stream_parquet(spark, f"{sf}/documents*.parquet", schema), "doc_id"), tokenizer(spark, sf), "doc_id")
     append_to(coded, path, checkpoint).awaitTermination()
     return spark.read.parquet(path).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
 
