@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ _PAIR = np.uint64(0xD6E8FEB86659FD93)
 class LMParams:
     """``least_count``: n-grams of at least this count are kept. ``word_share`` and ``gram_share`` prune further, and are off: words
     of at least this share of the training tokens may stand in longer n-grams, n-grams of at least this share are
-    kept. ``block_chars``: text of a block; ``shard_entries``: counts that a shard holds."""
+    kept. ``block_chars``: text of a block; ``shard_entries``: counts that a shard holds. Trigrams go out in ``waves``, each of its own
+    shards, whose files are dropped before the next."""
 
     word_share: float = 0.0
     gram_share: float = 0.0
@@ -42,6 +44,7 @@ class LMParams:
     block_chars: int = 4_000_000
     shard_entries: int = 1_500_000
     least_count: int = 2
+    waves: int = 2
 
 
 def token_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -211,8 +214,8 @@ def _merge_shard(table: pa.Table) -> pa.Table:
     return _table(rows, REPLY_ROWS)
 
 
-def _send_arcs(shards: int, least: tuple[int, int], n_train: int, discount: float):
-    """A block's trigrams with kept bigrams, by the shard of the history; and of its one-word histories
+def _send_arcs(shards: range, least: tuple[int, int], n_train: int, discount: float):
+    """A block's trigrams with kept bigrams, by the shard of the history, for the shards of one wave; and of its one-word histories
     the discounted counts, and the unigram counts + 1, of the kept bigrams that the block answers for."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -227,11 +230,11 @@ def _send_arcs(shards: int, least: tuple[int, int], n_train: int, discount: floa
         of = known.pair_history[mine]
         sums = np.bincount(of, np.maximum(known.pair_count[mine] - discount, 0), len(grams.words) + 1)[known.histories]
         below = np.bincount(of, known.count[known.pair_word[mine]] + 1, len(grams.words) + 1)[known.histories]
-        cut, history_cut = _shard_bounds(states, shards), _shard_bounds(known.history_hashes, shards)
+        cut, history_cut = _shard_bounds(states, shards.stop), _shard_bounds(known.history_hashes, shards.stop)
         tri_cut = np.concatenate([[0], np.cumsum(sizes)])[cut]
         block = left["block"][0].as_py()
         rows = []
-        for s in range(shards):
+        for s in shards:
             a, b, c, d, e, f = cut[s], cut[s + 1], tri_cut[s], tri_cut[s + 1], history_cut[s], history_cut[s + 1]
             distinct, at = np.unique(words[c:d], return_inverse=True)
             rows.append((s, block, pack_keys(states[a:b]), pack_ints(sizes[a:b]), pack_keys(distinct), pack_ints(at), pack_ints(counts[c:d]), pack_ints(known.tri_lower[c:d]), pack_keys(known.history_hashes[e:f]), _pack_planes(sums[e:f]), _pack_planes(below[e:f])))
@@ -338,11 +341,13 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
     least = (max(1, math.ceil(params.word_share * tokens)), max(params.least_count, math.ceil(params.gram_share * tokens)))
     replies = merged.where("block >= 0").select("block", "shard", "counts", "pair_counts", "owned")
 
-    paired = rows.select("block", "train", "text").groupBy("block").cogroup(replies.groupBy("block"))
-    arcs = paired.applyInArrow(_send_arcs(shards, least, n_train, params.discount), ARC_ROWS)
-    weights = materialise(arcs.groupBy("shard").applyInArrow(_weigh_shard(least[1], params.discount), WEIGHT_ROWS), "arc-weights")
-    del paired, arcs
-    free_shuffles(spark)
+    weights = []
+    for wave in range(min(params.waves, shards)):
+        paired = rows.select("block", "train", "text").groupBy("block").cogroup(replies.groupBy("block"))
+        arcs = paired.applyInArrow(_send_arcs(range(wave, shards, params.waves), least, n_train, params.discount), ARC_ROWS)
+        weights.append(materialise(arcs.groupBy("shard").applyInArrow(_weigh_shard(least[1], params.discount), WEIGHT_ROWS), "arc-weights"))
+        del paired, arcs
+        free_shuffles(spark)
     room = tokens + vocabulary + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -355,6 +360,6 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
             [left["doc_id"], pa.array(np.diff(grams.first)), add((known.count > 0)[grams.at].astype(np.int64)), pa.array(np.full(len(grams.starts), tokens, np.int64)), add(automaton.unigram), add(automaton.walk())],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = replies.unionByName(weights, allowMissingColumns=True)
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), weights, replies)
     paired = rows.select("block", "doc_id", "text").groupBy("block").cogroup(both.groupBy("block"))
     return paired.applyInArrow(score, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
