@@ -21,6 +21,7 @@ RULES = [
 def settle(spark: SparkSession) -> None:
     apply_settings(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")  # these operators bound their batches by rows
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
