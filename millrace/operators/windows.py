@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.merging import take_runs
 from millrace.functions.numbers import uniform
 from millrace.operators.prefix import with_sum_before
 from millrace.session import materialise
@@ -18,6 +19,8 @@ from millrace.session import materialise
 MASKED = -100  # label of a token that is not supervised
 MAX_ATTEMPTS = 100
 SHARD = ["source", "shard_id"]
+SPAN_TOKENS = 1 << 18  # tokens cut into blocks at once
+BLOCKS_AT_ONCE = 1024
 SLOT = 32  # tokens of a slot, whose places fit the bits of a mask
 
 
@@ -55,24 +58,72 @@ def token_blocks(documents: DataFrame, block_size: int, overlap: int = 0) -> Dat
 
     A block goes on into the next ones by ``overlap`` tokens, so that a window of that length
     lies in the block it starts in. ``documents`` has source, shard_id, tok_start, ids and
-    maybe labels. A document is cut at block edges only, and the rows gathered for one block
-    hold ``block_size + overlap`` tokens at most.
+    maybe labels. Documents are cut at the edges of spans of many blocks and moved once, by span; a task
+    cuts the blocks of a span after the other, and holds the tokens of one.
     """
     arrays = [c for c in ("ids", "labels") if c in documents.columns]
-    size = F.lit(block_size).cast("bigint")
+    per = max(1, SPAN_TOKENS // block_size)
+    size = F.lit(per * block_size).cast("bigint")
     stop = F.col("tok_start") + F.size("ids")
 
-    def piece(block: Column) -> Column:
-        start = F.greatest(F.col("tok_start"), block * size)
-        length = (F.least(stop, (block + 1) * size + overlap) - start).cast("int")
+    def piece(span: Column) -> Column:
+        start = F.greatest(F.col("tok_start"), span * size)
+        length = (F.least(stop, (span + 1) * size + overlap) - start).cast("int")
         skip = (start - F.col("tok_start") + 1).cast("int")
-        return F.struct(block.alias("block_id"), start.alias("start"), *[F.slice(a, skip, length).alias(a) for a in arrays])
+        return F.struct(span.alias("span"), start.alias("start"), *[F.slice(a, skip, length).alias(a) for a in arrays])
 
     first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("tok_start") - overlap) / size))
-    blocks = F.sequence(first, F.floor((stop - 1) / size))
-    pieces = documents.where(F.size("ids") > 0).select(*SHARD, F.explode(F.transform(blocks, piece)).alias("p")).select(*SHARD, "p.*")
-    gathered = pieces.groupBy(*SHARD, "block_id").agg(F.array_sort(F.collect_list(F.struct("start", *arrays))).alias("parts"))
-    return gathered.select(*SHARD, "block_id", *[F.flatten(F.col("parts")[a]).alias(a) for a in arrays])
+    spans = F.sequence(first, F.floor((stop - 1) / size))
+    pieces = documents.where(F.size("ids") > 0).select(*SHARD, F.explode(F.transform(spans, piece)).alias("p")).select(*SHARD, "p.*")
+    dealt = pieces.repartition(*SHARD, "span").sortWithinPartitions(*SHARD, "span", "start")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []  # a span's pieces hold its tokens and the overlap, however many batches they come in
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in (*SHARD, "span")], strict=True))
+            opens = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for a, b in zip(opens, opens[1:]):
+                if a == b:
+                    continue
+                if held and keys[a] != key:
+                    yield from _span_blocks(key, held, arrays, block_size, overlap, per)
+                    held = []
+                key = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from _span_blocks(key, held, arrays, block_size, overlap, per)
+
+    shard = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select(*SHARD).schema)
+    return dealt.mapInArrow(cut, f"{shard}, block_id bigint, " + ", ".join(f"{a} array<int>" for a in arrays))
+
+
+def _span_blocks(key: tuple, held: list[pa.RecordBatch], arrays: list[str], block_size: int, overlap: int, per: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of one span, each of its pieces in the order of their starts."""
+    source, shard, span = key
+    starts = np.concatenate([h.column("start").to_numpy() for h in held])
+    lists = {a: pa.concat_arrays([h.column(a) for h in held]) for a in arrays}
+    sizes = lists["ids"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = {a: lists[a].flatten().to_numpy(zero_copy_only=False) for a in arrays}
+    low = np.maximum((starts - overlap) // block_size, span * per)
+    high = np.minimum((starts + sizes - 1) // block_size, span * per + per - 1)
+    row = np.repeat(np.arange(len(starts)), high - low + 1)
+    block = take_runs(low, high - low + 1)
+    begin = np.maximum(starts[row], block * block_size)
+    length = np.minimum(starts[row] + sizes[row], (block + 1) * block_size + overlap) - begin
+    at = (np.cumsum(sizes) - sizes)[row] + begin - starts[row]
+    order = np.lexsort((begin, block))
+    tied = (np.diff(block[order]) == 0) & (np.diff(begin[order]) == 0)
+    if tied.any():  # documents that share an ord also share places; their tokens decide
+        order = np.array(sorted(order, key=lambda i: (block[i], begin[i], *[values[a][at[i] : at[i] + length[i]].tolist() for a in arrays])))
+    block, length, at = block[order], length[order], at[order]
+    opens = np.flatnonzero(np.diff(block, prepend=-1))
+    edges = pa.array(np.append(0, np.cumsum(np.add.reduceat(length, opens))).astype(np.int32))
+    place = take_runs(at, length)
+    blocks = [pa.ListArray.from_arrays(edges, pa.array(values[a][place].astype(np.int32))) for a in arrays]
+    kept = [pa.array([v] * len(opens), held[0].column(c).type) for c, v in zip(SHARD, (source, shard))]
+    whole = pa.RecordBatch.from_arrays([*kept, pa.array(block[opens]), *blocks], [*SHARD, "block_id", *arrays])
+    for i in range(0, len(opens), BLOCKS_AT_ONCE):
+        yield whole.slice(i, BLOCKS_AT_ONCE)
 
 
 def draw_sources(numbers: DataFrame, sources: list[MixtureSource], seed: int, workers: int = 1) -> DataFrame:
