@@ -1,12 +1,16 @@
 """What a task holds and moves does not grow with its input."""
 
+import shutil
+
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import windows
 from millrace.operators.windows import token_blocks
+from millrace.plans import catalog
+from millrace.plans.training import open_datasets
 from millrace.session import apply_settings
+from millrace.sinks.token_shards import read_binary_blocks, read_shard_metas, write_binary_shards, write_table_meta, write_token_table
 
 
 def test_batches_of_texts_are_bounded_by_bytes(spark):
@@ -44,3 +48,41 @@ def test_blocks_across_spans_and_batches(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found == {(s, b): list(range(b * 64, min(7500, b * 64 + 164))) for s in (0, 1) for b in range(118)}
+
+
+def test_a_manifest_lists_no_shard_folders(spark, tmp_path):
+    coded = spark.range(40).select(F.col("id").alias("ord"), F.array(F.lit(1), F.lit(2)).alias("ids"), F.col("id").cast("int").alias("shard_id"))
+    path = str(tmp_path / "t")
+    write_token_table(coded, path)
+    write_table_meta(spark, path, spark.range(40).selectExpr("int(id) shard_id", "2L num_tokens", "1L num_docs"), "uint16", 300)
+    for shard in range(40):  # data that is gone is noticed where tokens are read and not before
+        shutil.rmtree(f"{path}/shard_id={shard}")
+    manifest, _ = open_datasets(spark, {"t": path})
+    assert manifest.count() == 40
+
+
+def test_metas_are_read_once(spark, tmp_path):
+    rows = spark.range(60).select(F.col("id").alias("ord"), F.array(F.lit(1), F.lit(2)).alias("ids"), F.col("id").cast("int").alias("shard_id"))
+    path = str(tmp_path / "b")
+    write_binary_shards(rows, spark.range(60).selectExpr("int(id) shard_id", "2L num_tokens"), path, "uint16", 300)
+    metas = read_shard_metas(spark, path)
+    for file in (tmp_path / "b").glob("*.meta.json"):
+        file.unlink()
+    assert [(r.shard_id, r.num_tokens) for r in metas.orderBy("shard_id").collect()] == [(i, 2) for i in range(60)]
+
+
+def test_files_of_a_resumed_copy_grow_in_number(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 20).alias("text"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog, "COPY_BYTES", 4000)
+    monkeypatch.setattr(catalog, "scratch_path", lambda spark, label: str(tmp_path / "copy"))
+    assert catalog.parquet_resume(spark, str(tmp_path)).count() == 400 - 400 // 3
+    assert len(list((tmp_path / "copy").glob("part-*.parquet"))) == 10
+
+
+def test_blocks_of_many_shards_are_read_by_many_tasks(spark, tmp_path):
+    rows = spark.range(200).select(F.col("id").alias("ord"), F.array(F.lit(1), F.lit(2)).alias("ids"), F.col("id").cast("int").alias("shard_id"))
+    path = str(tmp_path / "b")
+    write_binary_shards(rows, spark.range(200).selectExpr("int(id) shard_id", "2L num_tokens"), path, "uint16", 300)
+    blocks = read_binary_blocks(read_shard_metas(spark, path), "s", 8)
+    assert blocks.select(F.spark_partition_id().alias("p")).distinct().count() > 1
