@@ -17,7 +17,7 @@ from millrace.operators.windows import (
     validate_mixture,
 )
 from millrace.session import materialise
-from millrace.sinks.token_shards import is_token_table, read_binary_blocks, read_places, read_shard_metas, read_table_groups, read_table_windows, read_token_table, read_windows
+from millrace.sinks.token_shards import is_token_table, read_binary_blocks, read_places, read_shard_metas, read_table_groups, read_table_manifest, read_table_windows, read_windows
 
 
 def parse_mixture(values: dict) -> tuple[dict[str, str], list[MixtureSource], list[MixtureSource]]:
@@ -72,7 +72,7 @@ def open_datasets(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame
     groups = materialise(reduce(DataFrame.unionByName, [named(read_table_groups(spark, path), name) for name, path in tables.items()]), "table-groups") if tables else None
     columns = ["source", "shard_id", "num_tokens", "num_docs"]
     manifests = [metas.select(*columns)] if binary else []
-    manifests += [named(read_token_table(spark, path)[0], name).select(*columns) for name, path in tables.items()]
+    manifests += [named(read_table_manifest(spark, path), name).select(*columns) for name, path in tables.items()]
 
     def fetch(plan: DataFrame, seq_len: int, targets: str) -> DataFrame:
         if not tables:

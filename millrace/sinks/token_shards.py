@@ -22,8 +22,8 @@ from millrace.functions.merging import take_runs
 from millrace.operators.windows import supervised_places
 from millrace.session import materialise
 from millrace.sinks.outputs import clear, require_free, save_mode
-from millrace.sources.paths import children, exists, metadata_name, qualified, readable, resolve_paths, write_file
-from millrace.sources.stores import open_store, opened_parquet, row_groups
+from millrace.sources.paths import exists, metadata_name, qualified, write_file
+from millrace.sources.stores import folder_files, open_store, opened_parquet, row_groups
 
 # Element types of the binary files.
 TOKEN_TYPES = {"uint16": "<u2", "uint32": "<u4"}
@@ -35,6 +35,10 @@ STAGING = "_staging"
 PLACES = "_supervised"
 PLACES_BLOCK = 1 << 16  # labels packed at once
 
+METAS_PER_TASK = 1024
+READ_TOKENS = 16_000_000  # tokens read by one task
+NEAR_BYTES = 1 << 16  # between two windows that one read fetches
+MOST_BYTES = 8 << 20  # of such a read
 SPAN_TOKENS = 1 << 20  # tokens fetched by one read
 GROUP_BYTES = 8 << 20  # of a row group of a token table
 TASK_TOKENS = 100_000_000  # tokens written by one task, about one full shard
@@ -59,7 +63,8 @@ def write_token_table(tokens: DataFrame, path: str, overwrite: bool = False) ->
     start = F.coalesce(F.sum(F.size("ids").cast("bigint")).over(before), F.lit(0).cast("bigint"))
     placed = tokens.withColumn("tok_start", start)
     placed.write.mode(save_mode(overwrite)).option("parquet.block.size", GROUP_BYTES).partitionBy("shard_id").parquet(path)
-    files = resolve_paths(spark, path)
+    root = shard_root(spark, path)
+    files = [f"{root}/{name}" for name in folder_files(root, recursive=True) if not any(part.startswith(("_", ".")) for part in name.split("/"))]
     shard = F.regexp_extract("file", r"/shard_id=(\d+)/[^/]*$", 1).cast("int")
     groups = row_groups(spark, files, "tok_start").select(shard.alias("shard_id"), "file", "row_group", "num_rows", F.col("least").alias("tok_start"))
     groups.write.mode("overwrite").parquet(f"{path}/_groups")
@@ -101,10 +106,16 @@ def read_token_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     Shards are partitions, so a filter on shard_id reads only their files; places are stored, so one on tok_start
     reads only the row groups it meets.
     """
+    manifest = read_table_manifest(spark, path)
+    tokens = spark.read.parquet(path)
+    return manifest, tokens.withColumn("shard_id", F.col("shard_id").cast("int"))
+
+
+def read_table_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of a token table, whose folders are not listed for it."""
     if not is_token_table(spark, path):
         raise FileNotFoundError(f"token dataset not found: {path}")
-    tokens = spark.read.parquet(path)
-    return spark.read.parquet(f"{path}/_shards"), tokens.withColumn("shard_id", F.col("shard_id").cast("int"))
+    return spark.read.parquet(f"{path}/_shards")
 
 
 def read_table_groups(spark: SparkSession, path: str) -> DataFrame:
@@ -126,8 +137,9 @@ def read_table_windows(plan: DataFrame, groups: DataFrame, seq_len: int, targets
     """
     named = ["worker", "draw", "seed", "attempt", "source", "shard_id", "start"]
     located = plan.select(*named).join(groups, ["source", "shard_id"])
-    first = F.size(F.filter("starts", lambda s: s <= F.col("start")))
-    past = F.size(F.filter("starts", lambda s: s <= F.col("start") + seq_len))
+    only = F.size("starts") == 1  # most shards of small limits; spares their windows two passes over a list
+    first = F.when(only, 1).otherwise(F.size(F.filter("starts", lambda s: s <= F.col("start"))))
+    past = F.when(only, 1).otherwise(F.size(F.filter("starts", lambda s: s <= F.col("start") + seq_len)))
     located = located.withColumn("_first", first).withColumn("_past", past).select(
         *named, "_first", F.slice("starts", F.col("_first"), F.col("_past") - F.col("_first") + 1).alias("_starts"),
         F.slice("groups", F.col("_first"), F.col("_past") - F.col("_first") + 1).alias("_groups"))
@@ -147,23 +159,52 @@ def read_table_windows(plan: DataFrame, groups: DataFrame, seq_len: int, targets
             return held[group]
 
         for batch in batches:
-            x, y = [], []
-            for row in batch.select(["start", "_starts", "_groups"]).to_pylist():
-                wanted = [(g["file"], g["row_group"]) for g in row["_groups"]]
-                at = row["start"] - row["_starts"][0]
+            start = batch.column("start").to_numpy()
+            listed = _runs([batch.column(c) for c in ("_starts", "_groups")])
+            x, y = np.empty((len(start), seq_len), np.int32), np.empty((len(start), seq_len), np.int32)
+            for a, b in zip(listed, listed[1:]):  # windows of the same groups
+                wanted = [(g["file"], g["row_group"]) for g in batch.column("_groups")[a].as_py()]
+                at = start[a:b] - batch.column("_starts")[a][0].as_py()
                 parts = [read(g, wanted) for g in wanted]
                 run = [np.concatenate([p[i] for p in parts]) if len(parts) > 1 else parts[0][i] for i in range(len(arrays))]
-                x.append(run[0][at : at + seq_len])
-                y.append(run[-1][at + 1 : at + 1 + seq_len])
-                if len(y[-1]) < seq_len:
-                    raise ValueError(f"{wanted[0][0]} ends before token {row['start'] + seq_len + 1}")
-            lists = [pa.array(v, pa.list_(pa.int32())) for v in (x, y)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], *lists], [*named, "x", "y"])
+                if at.max() + 1 + seq_len > len(run[-1]):
+                    raise ValueError(f"{wanted[0][0]} ends before token {start[a + at.argmax()] + seq_len + 1}")
+                x[a:b], y[a:b] = _slices(run[0], at, seq_len), _slices(run[-1], at + 1, seq_len)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], _lists(x), _lists(y)], [*named, "x", "y"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.select(*named).schema)
     return dealt.mapInArrow(fetch, f"{schema}, x array<int>, y array<int>")
 
 
+def _runs(columns: list[pa.Array]) -> list[int]:
+    """Where runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    if n == 0:
+        return [0]
+    coded = [c.dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in map(_spelled, columns)]
+    return [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in coded], axis=0)) + 1).tolist(), n]
+
+
+def _spelled(column: pa.Array) -> pa.Array:
+    """Values that Arrow can number: a list is told by its length and its first element, which is enough for groups in order."""
+    if not pa.types.is_list(column.type):
+        return column
+    head = pc.list_element(column, 0)
+    if pa.types.is_struct(head.type):
+        head = pc.binary_join_element_wise(*[pc.cast(pc.struct_field(head, i), pa.string()) for i in range(head.type.num_fields)], "/")
+    return pc.binary_join_element_wise(pc.cast(head, pa.string()), pc.cast(pc.list_value_length(column), pa.string()), "/")
+
+
+def _slices(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A row of ``size`` values for each place."""
+    return values[at[:, None] + np.arange(size)]
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    edges = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(rows.reshape(-1)))
+
+
 class _ShardFiles:
     """The files of one shard as one attempt writes them, in the staging folder and under a name of its own."""
 
@@ -300,25 +341,36 @@ def read_shard_metas(spark: SparkSession, path: str) -> DataFrame:
     path = shard_root(spark, path)
     if not exists(spark, path):
         raise FileNotFoundError(f"token dataset not found: {path}")
-    names = [n for n in children(spark, path) if n.endswith(META_SUFFIX) and n != DATASET_META]
+    names = [n for n in folder_files(path) if n.endswith(META_SUFFIX) and n != DATASET_META]
     if not names:
         raise FileNotFoundError(f"no *{META_SUFFIX} files in {path}")
     # Names of other writers may have no number; they are counted off in order.
     own = {n: int(n.removesuffix(META_SUFFIX)) for n in names if n.removesuffix(META_SUFFIX).isdigit()}
     ids = own if len(own) == len(names) and len(set(own.values())) == len(names) else {n: i for i, n in enumerate(names)}
-    numbers = spark.createDataFrame([(i, metadata_name(n)) for n, i in ids.items()], "shard_id int, meta string")
     schema = (
         "dtype string, label_dtype string, num_tokens bigint, num_docs bigint,"
         " files struct<tokens: string, labels: string, index: string>"
     )
-    raw = spark.read.text([readable(f"{path}/{n}") for n in names], wholetext=True)
-    metas = raw.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("meta"), F.from_json("value", schema).alias("m"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(path)
+        for batch in batches:
+            values = []
+            for name in batch.column("name").to_pylist():
+                with store.open_input_file(f"{base}/{name}") as file:
+                    values.append(file.read().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("shard_id"), batch.column("meta"), pa.array(values, pa.string())], ["shard_id", "meta", "value"])
+
+    listed = spark.createDataFrame([(i, n, metadata_name(n)) for n, i in ids.items()], "shard_id int, name string, meta string")
+    raw = listed.repartition(-(-len(names) // METAS_PER_TASK)).mapInArrow(read, "shard_id int, meta string, value string")
+    metas = raw.select("shard_id", "meta", F.from_json("value", schema).alias("m"))
     stem = F.regexp_replace("meta", r"\.meta\.json$", "")
-    metas = metas.join(numbers, "meta").select(
+    metas = metas.select(
         "shard_id",
         *[F.concat(F.lit(f"{path}/"), F.coalesce(F.col(f"m.files.{k}"), F.concat(stem, F.lit(f".{k}")))).alias(k) for k in ("tokens", "labels")],
         "m.dtype", F.coalesce("m.label_dtype", F.lit("int32")).alias("label_dtype"), "m.num_tokens", "m.num_docs",
     )
+    metas = materialise(metas, "shard-metas")  # read once, however many checks and readers follow
     broken = metas.where(F.col("dtype").isNull() | F.col("num_tokens").isNull() | (F.col("num_tokens") < 0)).select("tokens").first()
     if broken is not None:
         raise ValueError(f"the meta file beside {broken[0]} cannot be read, or has no dtype or num_tokens")
@@ -353,7 +405,8 @@ def read_windows(plan: DataFrame, metas: DataFrame, seq_len: int, targets: str =
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, pafs.NativeFile] = {}
 
-        def read(path: str, element: np.dtype, size: int, start: int) -> np.ndarray:
+        def read(path: str, element: np.dtype, size: int, starts: np.ndarray) -> np.ndarray:
+            """The windows at rising places of a file; those near each other by one read."""
             if path not in opened:
                 if len(opened) == len(arrays):  # rows come by shard, so an earlier one is done
                     for file in opened.values():
@@ -363,19 +416,32 @@ def read_windows(plan: DataFrame, metas: DataFrame, seq_len: int, targets: str =
                 opened[path] = fs.open_input_file(inner)
                 if opened[path].size() != size * element.itemsize:
                     raise ValueError(f"{path} does not hold {size} tokens")
-            return np.frombuffer(opened[path].read_at(seq_len * element.itemsize, start * element.itemsize), element).astype(np.int32)
+            found = np.empty((len(starts), seq_len), np.int32)
+            gaps = np.flatnonzero((np.diff(starts) - seq_len) * element.itemsize > NEAR_BYTES) + 1
+            most = max(1, MOST_BYTES // element.itemsize)
+            edges = np.unique(np.concatenate([[0], gaps, np.flatnonzero(np.diff((starts - starts[0]) // most)) + 1, [len(starts)]]))
+            for a, b in zip(edges, edges[1:]):
+                low, high = int(starts[a]), int(starts[b - 1]) + seq_len
+                values = np.frombuffer(opened[path].read_at((high - low) * element.itemsize, low * element.itemsize), element)
+                found[a:b] = _slices(values, starts[a:b] - low, seq_len)
+            return found
 
         for batch in batches:
-            x, y = [], []
-            for row in batch.select([c for c in batch.schema.names if c not in ("worker", "draw", "seed", "attempt")]).to_pylist():
+            start = batch.column("start").to_numpy()
+            x, y = np.empty((len(start), seq_len), np.int32), np.empty((len(start), seq_len), np.int32)
+            edges = _runs([batch.column("_tokens")])
+            for a, b in zip(edges, edges[1:]):  # windows of one shard
+                row = {c: batch.column(c)[a].as_py() for c in batch.schema.names if c not in named}
                 tokens = np.dtype(TOKEN_TYPES[row["dtype"]])
-                x.append(read(row["_tokens"], tokens, row["_size"], row["start"]))
+                order = np.argsort(start[a:b], kind="stable")  # a task may hold two spans of a shard
+                back = np.argsort(order, kind="stable")
+                at = start[a:b][order]
+                x[a:b] = read(row["_tokens"], tokens, row["_size"], at)[back]
                 if targets == "labels":
-                    y.append(read(row["_labels"], np.dtype(LABEL_TYPES[row["label_dtype"]]), row["_size"], row["start"] + 1))
+                    y[a:b] = read(row["_labels"], np.dtype(LABEL_TYPES[row["label_dtype"]]), row["_size"], at + 1)[back]
                 else:
-                    y.append(read(row["_tokens"], tokens, row["_size"], row["start"] + 1))
-            lists = [pa.array(v, pa.list_(pa.int32())) for v in (x, y)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], *lists], [*named, "x", "y"])
+                    y[a:b] = read(row["_tokens"], tokens, row["_size"], at + 1)[back]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in named], _lists(x), _lists(y)], [*named, "x", "y"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.select(*named).schema)
     return dealt.mapInArrow(fetch, f"{schema}, x array<int>, y array<int>")
@@ -386,6 +452,7 @@ def read_binary_blocks(metas: DataFrame, source: str, block_size: int, overlap:
 
     A block goes on into the next ones by ``overlap`` tokens.
     """
+    spark = metas.sparkSession
     arrays = ["tokens", "labels"] if labelled else ["tokens"]
 
     span = max(1, SPAN_TOKENS // block_size)
@@ -416,4 +483,7 @@ def read_binary_blocks(metas: DataFrame, source: str, block_size: int, overlap:
     last = F.floor((F.col("num_tokens") - 1) / (span * block_size))
     spans = metas.where("num_tokens > 0").withColumn("span", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     schema = "shard_id int, block_id bigint, ids array<int>" + (", labels array<int>" if labelled else "")
-    return spans.repartition("shard_id", "span").mapInArrow(fetch, schema).withColumn("source", F.lit(source))
+    # The rows are few and small, whatever they stand for, so the number of tasks is told and not left to their size.
+    size = spans.agg(F.count("*").alias("spans"), F.sum(F.least("num_tokens", F.lit(span * block_size))).alias("tokens")).first()
+    tasks = max(1, min(size.spans, max(spark.sparkContext.defaultParallelism, -(-(size.tokens or 0) // READ_TOKENS))))
+    return spans.repartition(tasks, "shard_id", "span").mapInArrow(fetch, schema).withColumn("source", F.lit(source))

@@ -32,6 +32,13 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{metadata_name(rest)}")
 
 
+def folder_files(root: str, recursive: bool = False) -> list[str]:
+    """Paths of the files in a folder, relative to it and sorted; none if it is missing. One listing call for each folder and none for a file."""
+    store, base = open_store(root)
+    found = store.get_file_info(pafs.FileSelector(base, allow_not_found=True, recursive=recursive))
+    return sorted(f.path[len(base.rstrip("/")) + 1 :] for f in found if f.type == pafs.FileType.File)
+
+
 class opened_parquet:
     """A Parquet file and the handle below it, closed together."""
 
