@@ -5,15 +5,17 @@ from a fixed count on, so their number grows with the corpus, and discounted. Ke
 kept history); a failure arc leads to the next shorter history at the cost of its backoff weight. A text is
 one walk from left to right, and all places of a block walk at once: a state depends on two words only.
 
-Neither the vocabulary nor the n-grams are ever in one place. Documents are dealt into blocks of bounded size, each
-block sends its words and bigrams with their counts to shards by hash, and gets back the corpus counts of just these. Then
-it sends those trigrams of which both bigrams are kept, sharded by history, and gets back their counts and
+Neither the vocabulary nor the n-grams are ever in one place. Documents are dealt into blocks of bounded size and move
+once: from then on a block is one packed row of words and places. Each block sends its words and bigrams with their counts
+to shards by hash, and gets back the corpus counts of just these. Then it sends those trigrams of which both
+bigrams are kept, sharded by history, and gets back their counts and
 the sums behind the backoff weights of its own histories.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -87,25 +89,38 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return _unpack_planes(data).view(f"u{data[0]}").astype(np.int64)
 
 
+def pack_floats(values: np.ndarray) -> bytes:
+    """Numbers from 0 on; in the fewest bytes where all are quarters, as sums of whole counts less a discount of 0.75 are."""
+    quarters = values * 4
+    if (quarters == np.floor(quarters)).all() and quarters.max(initial=0) < 1 << 53 and not np.signbit(values).any():
+        return b"q" + pack_ints(quarters.astype(np.int64))
+    return b"f" + _pack_planes(values)
+
+
 def unpack_floats(data: bytes) -> np.ndarray:
-    return _unpack_planes(data).view(np.float64)
+    return unpack_ints(data[1:]) / 4 if data[:1] == b"q" else _unpack_planes(data[1:]).view(np.float64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, of 6 bytes where that is enough for all."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    width = 8 if (steps[1:] >> np.uint64(48)).any() else 6
-    return bytes([width]) + keys[:1].tobytes() + steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted hashes as differences, byte by byte from the lowest: each plane compressed where that is shorter, as the highest are
+    nearly all 0. A difference so takes hardly more than the bits that tell it."""
+    out = [len(keys).to_bytes(4, "little")]
+    for plane in np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T):
+        raw = plane.tobytes()
+        small = pa.compress(raw, "zstd", asbytes=True) if raw else raw
+        out += [min(len(small), len(raw)).to_bytes(4, "little"), small if len(small) < len(raw) else raw]
+    return b"".join(out)
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    if len(data) == 1:
-        return np.zeros(0, np.uint64)
-    width = data[0]
-    steps = np.zeros(((len(data) - 9) // width + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+    n, at = int.from_bytes(data[:4], "little"), 4
+    steps = np.empty((8, n), np.uint8)
+    for plane in steps:
+        size = int.from_bytes(data[at : at + 4], "little")
+        raw = data[at + 4 : at + 4 + size]
+        plane[:] = np.frombuffer(raw if size == n else pa.decompress(raw, n, "zstd", asbytes=True), np.uint8)
+        at += 4 + size
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -114,16 +129,32 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(list(c), kinds[k]) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def _pack_block(table: pa.Table) -> pa.Table:
+    """The texts of a block as one row: its distinct words, also by frequency, the word of each place, and the length, mark and id of each text."""
+    hashes, first = token_stream(table["text"].combine_chunks())
+    words, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # numbers of frequent words are small, so places take fewer bytes
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    train = np.packbits(table["train"].to_numpy()).tobytes()
+    row = {"block": table["block"][0].as_py(), "words": pack_keys(words), "common": pack_ints(order), "at": pack_ints(place[at]), "sizes": pack_ints(np.diff(first)), "train": train}
+    ids = table["doc_id"].combine_chunks().cast(pa.int64())
+    return pa.table([*([x] for x in row.values()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], [*row, "doc_ids"])
+
+
 class BlockGrams:
-    """The distinct words and bigrams of a block by hash, and where they stand. ``at`` and ``pair_at`` are the word of each place
-    and the bigram that ends there; ``starts`` are the texts' first places."""
+    """The distinct words and bigrams of a packed block by hash, and where they stand. ``at`` and ``pair_at`` are the word of each
+    place and the bigram that ends there; ``starts`` are the texts' first places, ``taught`` marks those that are learnt from."""
 
-    def __init__(self, column: pa.Array):
-        hashes, self.first = token_stream(column)
+    def __init__(self, row: dict):
+        self.first = np.concatenate([[0], np.cumsum(unpack_ints(row["sizes"]))])
         self.starts = self.first[:-1]
+        self.taught = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(self.starts)).astype(bool)
+        self.train = np.repeat(self.taught, np.diff(self.first))
+        self.words, self.at = unpack_keys(row["words"]), unpack_ints(row["common"])[unpack_ints(row["at"])]
+        hashes = self.words[self.at]
         before = np.append(BEGIN_HASH, hashes)[:-1]
         before[self.starts] = BEGIN_HASH
-        self.words, self.at = np.unique(hashes, return_inverse=True)
         self.pairs, self.pair_at = np.unique(mix64(before * _PAIR + hashes), return_inverse=True)
         self.inner = np.delete(np.arange(len(hashes)), self.starts)  # places with two words, or one and the beginning, before
 
@@ -167,6 +198,7 @@ class KnownCounts:
         self.tri_state = np.searchsorted(self.states, self.tri_pair)
 
 
+BLOCK_ROWS = "block bigint, words binary, common binary, at binary, sizes binary, train binary, doc_ids array<bigint>"
 COUNT_ROWS = "shard bigint, block bigint, words binary, counts binary, pairs binary, pair_counts binary, tokens bigint, texts bigint"
 REPLY_ROWS = "block bigint, shard bigint, counts binary, pair_counts binary, owned binary, known bigint, tokens bigint, texts bigint"
 ARC_ROWS = "shard bigint, block bigint, states binary, sizes binary, words binary, word_at binary, counts binary, lower binary, histories binary, sums binary, below binary"
@@ -176,23 +208,27 @@ WEIGHT_ROWS = "block bigint, shard bigint, tri_counts binary, state_sums binary,
 def _count_block(shards: int):
     """A block's distinct words and bigrams and their training counts, cut by the shard of the hash."""
 
-    def run(table: pa.Table) -> pa.Table:
-        grams = BlockGrams(table["text"].combine_chunks())
-        taught = table["train"].to_numpy()
-        train = np.repeat(taught, np.diff(grams.first))
-        counts = np.bincount(grams.at, train, len(grams.words)).astype(np.int64)
-        pair_counts = np.bincount(grams.pair_at, train, len(grams.pairs)).astype(np.int64)
-        of, pair_of = _shard_bounds(grams.words, shards), _shard_bounds(grams.pairs, shards)
-        block = table["block"][0].as_py()
-        rows = []
-        for s, (a, b, c, d) in enumerate(zip(of[:-1], of[1:], pair_of[:-1], pair_of[1:], strict=True)):
-            own = (int(train.sum()), int(taught.sum())) if s == 0 else (0, 0)
-            rows.append((s, block, pack_keys(grams.words[a:b]), pack_ints(counts[a:b]), pack_keys(grams.pairs[c:d]), pack_ints(pair_counts[c:d]), *own))
-        return _table(rows, COUNT_ROWS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            grams = BlockGrams(row)
+            counts = np.bincount(grams.at, grams.train, len(grams.words)).astype(np.int64)
+            pair_counts = np.bincount(grams.pair_at, grams.train, len(grams.pairs)).astype(np.int64)
+            of, pair_of = _shard_bounds(grams.words, shards), _shard_bounds(grams.pairs, shards)
+            rows = []
+            for s, (a, b, c, d) in enumerate(zip(of[:-1], of[1:], pair_of[:-1], pair_of[1:], strict=True)):
+                own = (int(grams.train.sum()), int(grams.taught.sum())) if s == 0 else (0, 0)
+                rows.append((s, row["block"], pack_keys(grams.words[a:b]), pack_ints(counts[a:b]), pack_keys(grams.pairs[c:d]), pack_ints(pair_counts[c:d]), *own))
+            yield from _table(rows, COUNT_ROWS).to_batches()
 
     return run
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(totals of the distinct keys, number of each sent key, first place of each distinct key, ends of all but the last sender's keys)."""
     _, place, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -219,10 +255,9 @@ def _send_arcs(shards: range, least: tuple[int, int], n_train: int, discount: fl
     the discounted counts, and the unigram counts + 1, of the kept bigrams that the block answers for."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = BlockGrams(left["text"].combine_chunks())
+        grams = BlockGrams(left.to_pylist()[0])
         known = KnownCounts(grams, right.to_pylist(), least, n_train)
-        train = np.repeat(left["train"].to_numpy(), np.diff(grams.first))
-        counts = np.bincount(known.tri_at, train[known.tri_places], len(known.tri)).astype(np.int64)
+        counts = np.bincount(known.tri_at, grams.train[known.tri_places], len(known.tri)).astype(np.int64)
         words = grams.words[known.tri % max(1, len(grams.words))]
         states = grams.pairs[known.states]
         sizes = np.bincount(known.tri_state, minlength=len(states))
@@ -237,7 +272,7 @@ def _send_arcs(shards: range, least: tuple[int, int], n_train: int, discount: fl
         for s in shards:
             a, b, c, d, e, f = cut[s], cut[s + 1], tri_cut[s], tri_cut[s + 1], history_cut[s], history_cut[s + 1]
             distinct, at = np.unique(words[c:d], return_inverse=True)
-            rows.append((s, block, pack_keys(states[a:b]), pack_ints(sizes[a:b]), pack_keys(distinct), pack_ints(at), pack_ints(counts[c:d]), pack_ints(known.tri_lower[c:d]), pack_keys(known.history_hashes[e:f]), _pack_planes(sums[e:f]), _pack_planes(below[e:f])))
+            rows.append((s, block, pack_keys(states[a:b]), pack_ints(sizes[a:b]), pack_keys(distinct), pack_ints(at), pack_ints(counts[c:d]), pack_ints(known.tri_lower[c:d]), pack_keys(known.history_hashes[e:f]), pack_floats(sums[e:f]), pack_floats(below[e:f])))
         return _table(rows, ARC_ROWS)
 
     return run
@@ -272,7 +307,7 @@ def _weigh_shard(least_gram: int, discount: float):
         own, under = (np.bincount(of, np.concatenate(column(name, unpack_floats)))[of] for name in ("sums", "below"))
         shard = table["shard"][0].as_py()
         parts = zip(table["block"].to_pylist(), np.split(totals[at], tri_ends), np.split(sums[state_at], state_ends), np.split(below[state_at], state_ends), np.split(own, ends), np.split(under, ends), strict=True)
-        return _table([(b, shard, pack_ints(t), *(_pack_planes(x) for x in rest)) for b, t, *rest in parts], WEIGHT_ROWS)
+        return _table([(b, shard, pack_ints(t), *(pack_floats(x) for x in rest)) for b, t, *rest in parts], WEIGHT_ROWS)
 
     return run
 
@@ -332,7 +367,10 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
     # The text tells rows of one id, or without one, apart; equal rows count alike wherever they are.
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
-    sent = rows.select("block", "train", "text").groupBy("block").applyInArrow(_count_block(shards), COUNT_ROWS)
+    packed = materialise(rows.groupBy("block").applyInArrow(_pack_block, BLOCK_ROWS), "lm-blocks")
+    free_shuffles(spark)
+
+    sent = packed.drop("doc_ids").mapInArrow(_count_block(shards), COUNT_ROWS)
     merged = materialise(sent.groupBy("shard").applyInArrow(_merge_shard, REPLY_ROWS), "word-counts")
     del sent
     free_shuffles(spark)
@@ -343,7 +381,7 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
 
     weights = []
     for wave in range(min(params.waves, shards)):
-        paired = rows.select("block", "train", "text").groupBy("block").cogroup(replies.groupBy("block"))
+        paired = packed.drop("doc_ids").groupBy("block").cogroup(replies.groupBy("block"))
         arcs = paired.applyInArrow(_send_arcs(range(wave, shards, params.waves), least, n_train, params.discount), ARC_ROWS)
         weights.append(materialise(arcs.groupBy("shard").applyInArrow(_weigh_shard(least[1], params.discount), WEIGHT_ROWS), "arc-weights"))
         del paired, arcs
@@ -351,15 +389,15 @@ def score_texts(docs: DataFrame, train: Column, params: LMParams = LMParams()) -
     room = tokens + vocabulary + 1
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = BlockGrams(left["text"].combine_chunks())
+        grams, ids = BlockGrams(left.drop_columns("doc_ids").to_pylist()[0]), left["doc_ids"].combine_chunks().flatten()
         got = right.to_pylist()
         known = KnownCounts(grams, [r for r in got if r["counts"] is not None], least, n_train)
         automaton = BackoffAutomaton(known, [r for r in got if r["counts"] is None], least[1], params.discount, room)
         add = lambda each: pa.array(np.add.reduceat(each, grams.starts))
         return pa.table(
-            [left["doc_id"], pa.array(np.diff(grams.first)), add((known.count > 0)[grams.at].astype(np.int64)), pa.array(np.full(len(grams.starts), tokens, np.int64)), add(automaton.unigram), add(automaton.walk())],
+            [ids, pa.array(np.diff(grams.first)), add((known.count > 0)[grams.at].astype(np.int64)), pa.array(np.full(len(grams.starts), tokens, np.int64)), add(automaton.unigram), add(automaton.walk())],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), weights, replies)
-    paired = rows.select("block", "doc_id", "text").groupBy("block").cogroup(both.groupBy("block"))
+    paired = packed.groupBy("block").cogroup(both.groupBy("block"))
     return paired.applyInArrow(score, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -315,3 +315,26 @@ def slow_score(model, tokens):
 
     line = ["^", *tokens]
     return math.fsum(math.log10(chance(tuple(line[max(0, i - 2) : i]), line[i])) for i in range(1, len(line)))
+
+
+def test_lm_texts_move_once(docs_of, rng, make_text, monkeypatch):
+    """Blocks are packed when they are made; the waves and the scores move packed blocks, and keys take few bytes."""
+    taken, pack = [], backoff_lm.materialise
+    monkeypatch.setattr(backoff_lm, "materialise", lambda df, label: taken.append((label, df.schema.simpleString())) or pack(df, label))
+    out = backoff_lm.score_texts(docs_of([(i, make_text(rng, 40)) for i in range(60)]), F.lit(True), backoff_lm.LMParams(block_chars=500, shard_entries=20))
+    assert [label for label, _ in taken] == ["lm-blocks", "word-counts", "arc-weights", "arc-weights"]
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "text#" not in plan and out.count() == 60
+
+
+def test_lm_packing():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(draw.integers(0, 2**64, n, np.uint64))
+        packed = backoff_lm.pack_keys(keys)
+        assert (backoff_lm.unpack_keys(packed) == keys).all() and len(backoff_lm.unpack_keys(packed)) == n
+        assert n < 5000 or len(packed) < 7 * n
+    for values in (np.zeros(0), np.arange(900) * 0.25, draw.random(50) * 9, np.array([0.0, -0.0, 2.0**60, 1e-300])):
+        back = backoff_lm.unpack_floats(backoff_lm.pack_floats(values))
+        assert back.tobytes() == values.tobytes()
+    assert len(backoff_lm.pack_floats(np.arange(900) * 0.25)) < 2100
